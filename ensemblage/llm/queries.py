@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ogg, secrets
+from . import ogg, secrets, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,12 +15,18 @@ def op5_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.media_features(table(spark, sf_dir, "documents"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    history = warc.capture_history(table(spark, sf_dir, "pages"))
+    return history.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", "ts", "key_range", "place")
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op5_ogg": op5_ogg,
+    "op9_warc": op9_warc,
     "op10_secrets": op10_secrets,
 }
 
