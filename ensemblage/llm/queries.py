@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ogg, secrets, warc
+from . import ogg, packing, secrets, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.best_fit(table(spark, sf_dir, "documents"))
+
+
 def op5_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.media_features(table(spark, sf_dir, "documents"))
 
@@ -25,6 +29,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_best_fit": op3_best_fit,
     "op5_ogg": op5_ogg,
     "op9_warc": op9_warc,
     "op10_secrets": op10_secrets,
