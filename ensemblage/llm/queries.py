@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, line_dedup, mixing, ogg, packing, secrets, warc
+from . import fingerprints, line_dedup, mixing, ngram_join, ogg, packing, secrets, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,11 @@ def op5_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.media_features(table(spark, sf_dir, "documents"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    join = ngram_join.Join(n=3, num=90, den=100)
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"), join).select("doc_id", "n_shingles", "component_id")
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     history = warc.capture_history(table(spark, sf_dir, "pages"))
     return history.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", "ts", "key_range", "place")
@@ -46,6 +51,7 @@ QUERIES = {
     "op3_best_fit": op3_best_fit,
     "op4_mixing": op4_mixing,
     "op5_ogg": op5_ogg,
+    "op7_jaccard_join": op7_jaccard_join,
     "op9_warc": op9_warc,
     "op10_secrets": op10_secrets,
 }
