@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, line_dedup, mixing, ngram_join, ogg, packing, secrets, warc
+from . import ctw, fingerprints, line_dedup, mixing, ngram_join, ogg, packing, secrets, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op5_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.media_features(table(spark, sf_dir, "documents"))
 
 
+def op6_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     join = ngram_join.Join(n=3, num=90, den=100)
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"), join).select("doc_id", "n_shingles", "component_id")
@@ -51,6 +55,7 @@ QUERIES = {
     "op3_best_fit": op3_best_fit,
     "op4_mixing": op4_mixing,
     "op5_ogg": op5_ogg,
+    "op6_ctw": op6_ctw,
     "op7_jaccard_join": op7_jaccard_join,
     "op9_warc": op9_warc,
     "op10_secrets": op10_secrets,
