@@ -93,6 +93,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
+#: Breaks for words of letters and digits: all other ASCII bytes.
+PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -121,9 +123,10 @@ def _powers(n: int) -> np.ndarray:
 class Words:
     """Words of some rows: ``hash`` (uint64), ``row``, byte ``start`` and ``size``."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = _SPACE):
+        """``breaks``: for each byte whether it ends a word; white space by default."""
         data = _LOWER[data]
-        space = _SPACE[data]
+        space = breaks[data]
         n = len(data)
         self.data, self.rows = data, len(offsets) - 1
         if not n or space.all():
@@ -148,6 +151,17 @@ class Words:
             self.hash = mix64(np.add.reduceat(value, first) + self.size.astype(np.uint64))
         self.row = np.searchsorted(offsets, start, "right") - 1
 
+    def starts_with(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Words longer than ``size`` bytes, and the hashes of their first bytes."""
+        longer = np.flatnonzero(self.size > size)
+        if not len(longer):
+            return longer, np.zeros(0, np.uint64)
+        with np.errstate(over="ignore"):
+            total = np.full(len(longer), np.uint64(size))
+            for k in range(size):
+                total += _BYTE[self.data[self.start[longer] + k]] * _powers(size)[k]
+        return longer, mix64(total)
+
     def bounds(self) -> np.ndarray:
         """Index of the first word of each row, and the end."""
         return np.searchsorted(self.row, np.arange(self.rows + 1))

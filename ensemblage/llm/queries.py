@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ctw, fingerprints, line_dedup, mixing, ngram_join, ogg, packing, secrets, warc
+from . import ctw, fingerprints, line_dedup, mixing, ngram_join, ogg, packing, secrets, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,10 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"), join).select("doc_id", "n_shingles", "component_id")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     history = warc.capture_history(table(spark, sf_dir, "pages"))
     return history.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", "ts", "key_range", "place")
@@ -57,6 +61,7 @@ QUERIES = {
     "op5_ogg": op5_ogg,
     "op6_ctw": op6_ctw,
     "op7_jaccard_join": op7_jaccard_join,
+    "op8_toxicity": op8_toxicity,
     "op9_warc": op9_warc,
     "op10_secrets": op10_secrets,
 }
