@@ -362,3 +362,27 @@ def near_duplicates(documents: DataFrame, join: Join = Join()) -> DataFrame:
     df = rows.join(least, "grp", "left")
     own = F.when(F.col("grp").isNull(), F.col("doc_id")).otherwise(F.col("least"))
     return df.select("doc_id", "n_shingles", F.col("cls").alias("class"), F.col("grp").alias("group"), own.alias("component_id"))
+
+
+def keep_one(documents: DataFrame, join: Join = Join()) -> DataFrame:
+    """The documents, columns as given, with one of each group: the smallest doc_id
+    (null last), then by a hash of the text.  Rows without words all stay."""
+    narrow = documents.select("doc_id", "text")
+    profile = materialize(profiles(narrow, join, shingle_order(narrow, join)), "join-profiles")
+    _, groups = class_links(narrow, profile, join)
+    rows = profile.where("cls is not null").join(groups.withColumnRenamed("node", "cls"), "cls", "left")
+    last = F.coalesce("doc_id", F.lit(2**63 - 1))
+    rows = rows.select(last.alias("_id"), F.col("key").alias("_key"), F.coalesce("component", "cls").alias("grp")).groupBy("grp", "_id", "_key").agg(F.count("*").alias("rows"))
+    rows = materialize(rows, "join-keep")
+    first = rows.groupBy("grp").agg(F.min(F.struct("_id", "_key")).alias("first"))
+    lost = materialize(rows.join(first, "grp").where(F.struct("_id", "_key") != F.col("first")).select("_id", "_key"), "join-lost")
+    if lost.count() <= BROADCAST_ROWS:
+        lost = F.broadcast(lost)
+    place = (F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)) == F.col("_id")) & (F.xxhash64("text") == F.col("_key"))
+    kept = documents.join(lost, place, "left_anti")
+    twice = rows.where("rows > 1").select("_id", "_key")
+    if twice.isEmpty():
+        return kept
+    # Rows of one id and text: the first of them stays.
+    again = kept.join(twice, place, "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(twice, place, "left_anti").unionByName(again)
