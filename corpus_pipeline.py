@@ -1,10 +1,53 @@
-"""Corpus preparation in stages; each stage's rows are written and read again."""
+"""Corpus preparation in stages; each stage's rows are written and read again.
+
+Toxic documents go, repeated chunks of lines go, one document of each group of near
+duplicates stays, sources are mixed to their target weights, and what is left is
+packed into bins.  Every stage works on all that the one before has kept.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+
+from ensemblage.llm import line_dedup, mixing, ngram_join, packing, toxicity
+from ensemblage.llm.common import materialize
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.reject_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(docs).drop("line_stats")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return ngram_join.keep_one(docs, ngram_join.Join(n=5, num=80, den=100))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed_documents(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.best_fit(docs)
+
+
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("line_dedup", dedup_lines),
+    ("near_duplicates", near_duplicates),
+    ("mixing", mix_sources),
+    ("packing", pack),
+]
+
+#: A learned score decides the first stage: SQL can't express these rows.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed corpus: what the last stage makes of the documents."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
