@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from . import tabular_queries
+
+QUERIES = dict(tabular_queries.QUERIES)
+ORACLES = dict(tabular_queries.ORACLES)
