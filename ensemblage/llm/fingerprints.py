@@ -2,14 +2,15 @@
 
 Native: regular expressions, array functions and one shuffle of the texts.
 
-A k-mer of characters is an anchor if the smallest hash among its s-mers stands at one
-of its ends.  Whether a k-mer is chosen depends on its own characters alone, so any
-stretch of text has the same anchors wherever it stands, and two texts that share a
-stretch share its anchors at a constant offset (``align``).
+A text is read as tokens of up to four characters of a word with the white space after
+them; together they are the text.  A k-mer of tokens is an anchor if the smallest hash
+among its s-mers stands at one of its ends.  Whether a k-mer is chosen depends on its
+own tokens alone, so any stretch of text has the same anchors wherever it stands, and
+two texts that share a stretch share its anchors at a constant offset (``align``).
 
 A fingerprint is the ``SKETCH`` smallest distinct anchor hashes of the whole text, in
 order, each 12 hex digits; likeness is the Jaccard estimate of two such sketches.  A
-text without an anchor, as one under ``K`` characters, is sketched by its own hash.
+text without an anchor, as one under ``K`` tokens, is sketched by its own hash.
 """
 
 from __future__ import annotations
@@ -19,9 +20,9 @@ from pyspark.sql import functions as F
 
 from .common import let
 
-K, S = 16, 6
+TOKEN = r"[^\s]{1,4}\s*|\s+"
+K, S = 5, 2
 SKETCH = 64
-_W = K - S  # index of a k-mer's last s-mer
 _LOWEST = -(2**63)
 
 #: Rows a bucket of neighbouring ids should hold, and buckets at most.
@@ -34,16 +35,21 @@ def _mask(h: Column) -> Column:
 
 
 def anchors(text: Column) -> Column:
-    """Array of (hash, pos) of a text's anchors; pos in code points from 0."""
+    """Array of (hash, pos) of a text's anchors; pos counts tokens from 0."""
 
-    def chosen(h):
-        starts = F.filter(F.sequence(F.lit(0), F.size(h) - _W - 1), lambda i: F.array_min(F.slice(h, i + 1, _W + 1)) == F.least(F.get(h, i), F.get(h, i + _W)))
-        # Three s-mers cover the k-mer.
-        return F.transform(starts, lambda i: F.struct(_mask(F.xxhash64(F.get(h, i), F.get(h, i + _W // 2), F.get(h, i + _W))).alias("hash"), i.alias("pos")))
+    def pairs(h):
+        return F.zip_with(h, F.slice(h, F.lit(2), F.greatest(F.size(h) - 1, F.lit(0))), lambda x, y: F.xxhash64(x, y))
+
+    def chosen(m):
+        first, second, third, last = (lambda i, d=d: F.get(m, i + d) for d in range(K - S + 1))
+        at_edge = lambda i: F.least(first(i), last(i)) <= F.least(second(i), third(i))
+        # The last s-mer of the array lacks its second token and begins no k-mer.
+        starts = F.filter(F.sequence(F.lit(0), F.size(m) - K), at_edge)
+        return F.transform(starts, lambda i: F.struct(_mask(F.xxhash64(first(i), third(i), last(i))).alias("hash"), i.alias("pos")))
 
-    smers = F.transform(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{S}}}))."), F.lit(1)), lambda x: F.xxhash64(x))
     none = F.expr("cast(array() as array<struct<hash:bigint,pos:int>>)")
-    return F.when(F.length(text) < K, none).otherwise(let(smers, chosen))
+    hashes = F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), lambda x: F.xxhash64(x))
+    return let(hashes, lambda h: F.when(F.size(h) < K, none).otherwise(let(pairs(h), chosen)))
 
 
 def _smallest(hashes: Column) -> Column:
@@ -66,7 +72,7 @@ def likeness(a: Column, b: Column) -> Column:
 
 def align(left: DataFrame, right: DataFrame, text: str = "text", key: str = "pair") -> DataFrame:
     """Positional matching of pairs of texts that share ``key``: the offset that most
-    common anchors agree on, how many do, and the span of the left text they cover."""
+    common anchors agree on, how many do, and the span of left tokens they cover."""
 
     def placed(df, side):
         return df.select(key, F.explode(anchors(F.coalesce(F.col(text), F.lit("")))).alias("a")).select(key, "a.hash", F.col("a.pos").alias(side)).distinct()
@@ -116,42 +122,31 @@ def with_next(df: DataFrame, columns: list[str], tie: str) -> DataFrame:
     return df.withColumn("next", F.lead(F.struct(*columns)).over(w)).where("_to.look = 0").drop("_b", "_to")
 
 
+def text_sketch(text: Column) -> Column:
+    return sketch(F.transform(anchors(text), lambda a: a["hash"]), text)
+
+
 def fingerprints(documents: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited,
-    near_next, n_anchors.
+    near_next.
 
     The edited text has its last floor(n_chars/4) code points replaced by as many (or
-    all) first ones of the next document.  Its anchors are those of the part that
-    stays, chosen with the text's own, and those of the rest with K-1 characters
-    before it.  Null texts are empty; a null id comes first; rows of one id are in
-    order of their texts; a single row is its own next.
+    all) first ones of the next document.  Null texts are empty; a null id comes first;
+    rows of one id are in order of their texts; a single row is its own next.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     df = documents.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST)).alias("id"), text.alias("text"))
+    df = with_next(df.withColumn("sketch", text_sketch(F.col("text"))), ["text", "sketch"], "text")
     n = F.length("text")
-    kept = n - F.floor(n / 4).cast("int")
-
-    def own(a):
-        hashes = lambda x: F.transform(x, lambda y: y["hash"])
-        stays = F.filter(a, lambda y: y["pos"] + K <= kept)
-        return F.struct(sketch(hashes(a), F.col("text")).alias("all"), _smallest(hashes(stays)).alias("kept"), F.size(a).alias("n"))
-
-    df = df.withColumn("a", let(anchors(F.col("text")), own))
-    df = with_next(df, ["text", F.col("a.all").alias("sketch")], "text")
     q = F.floor(n / 4).cast("int")
-    head = F.substring(F.col("next.text"), F.lit(1), q)
-    df = df.withColumn("head", head).withColumn("stays", F.substring(F.col("text"), F.lit(1), kept))
-    joint = F.concat(F.when(kept >= K - 1, F.substring(F.col("stays"), kept - K + 2, F.lit(K - 1))).otherwise(F.col("stays")), F.col("head"))
-    hashes = F.concat(F.col("a.kept"), F.transform(anchors(joint), lambda y: y["hash"]))
-    edited = sketch(hashes, F.concat("stays", "head"))
-    df = df.withColumn("edited", edited)
+    df = df.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), n - q), F.substring(F.col("next.text"), F.lit(1), q)))
+    df = df.withColumn("edited_sketch", text_sketch(F.col("edited")))
     return df.select(
         "doc_id",
         n.cast("long").alias("n_chars"),
-        F.sha2(F.concat("stays", "head"), 256).alias("edited_sha256"),
-        fingerprint(F.col("a.all")).alias("fingerprint"),
-        fingerprint(F.col("edited")).alias("edited_fingerprint"),
-        likeness(F.col("a.all"), F.col("edited")).alias("near_edited"),
-        likeness(F.col("a.all"), F.col("next.sketch")).alias("near_next"),
-        F.col("a.n").cast("long").alias("n_anchors"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        fingerprint(F.col("sketch")).alias("fingerprint"),
+        fingerprint(F.col("edited_sketch")).alias("edited_fingerprint"),
+        likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
+        likeness(F.col("sketch"), F.col("next.sketch")).alias("near_next"),
     )

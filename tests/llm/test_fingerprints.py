@@ -24,8 +24,7 @@ def test_edited_texts_and_composed_fingerprints(spark, monkeypatch):
     want = sorted(edited(TEXTS), key=lambda r: (r[0] is not None, r[0] or 0, hashlib.sha256(r[2].encode()).hexdigest()))
     # The whole-text fingerprints of own, edited and next texts, computed directly.
     texts = sorted({x for w in want for x in w[1:]})
-    whole = fp.sketch(fp.F.transform(fp.anchors(fp.F.col("text")), lambda a: a["hash"]), fp.F.col("text"))
-    frame = spark.createDataFrame([(t,) for t in texts], "text string").select("text", whole.alias("s"))
+    frame = spark.createDataFrame([(t,) for t in texts], "text string").select("text", fp.text_sketch(fp.F.col("text")).alias("s"))
     direct = {r.text: (r.f, r.s) for r in frame.select("text", "s", fp.fingerprint(fp.F.col("s")).alias("f")).collect()}
 
     def near(a, b):
@@ -41,12 +40,25 @@ def test_edited_texts_and_composed_fingerprints(spark, monkeypatch):
         assert g.near_next == near(direct[own][1], direct[nxt][1])
 
 
+def test_anchors_are_closed_syncmers(spark):
+    text = TEXTS[3][1]
+    col = fp.F.col
+    rows = spark.createDataFrame([(text,)], "text string")
+    tokens = [m for m in __import__("re").findall(r"\S{1,4}\s*|\s+", text)]
+    assert "".join(tokens) == text
+    h = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(tokens)], "i int, t string").orderBy("i").select(fp.F.xxhash64("t")).collect()]
+    m = [r[0] for r in spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(zip(h, h[1:]))], "i int, a long, b long").orderBy("i").select(fp.F.xxhash64("a", "b")).collect()]
+    w = fp.K - fp.S + 1
+    want = [i for i in range(len(tokens) - fp.K + 1) if min(m[i : i + w]) in (m[i], m[i + w - 1])]
+    assert [a.pos for a in rows.select(fp.anchors(col("text")).alias("a")).first().a] == want
+
+
 def test_align_finds_the_offset(spark):
-    shared = "".join(rng.choice("abcdefgh ") for _ in range(300))
-    left = spark.createDataFrame([(1, "xyz" * 20 + shared)], "pair int, text string")
-    right = spark.createDataFrame([(1, shared + "uvw" * 20)], "pair int, text string")
+    shared = " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(60))
+    left = spark.createDataFrame([(1, "xyz " * 20 + shared)], "pair int, text string")
+    right = spark.createDataFrame([(1, shared + " uvw" * 20)], "pair int, text string")
     row = fp.align(left, right).first()
-    assert row.offset == -60 and row.start >= 60 and row.end <= 360
+    assert row.offset == -20 and row.start >= 20 and row.end <= 140
 
 
 def test_empty_and_single(spark):
