@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import tabular_queries
+from . import grid_queries, tabular_queries
 
-QUERIES = dict(tabular_queries.QUERIES)
-ORACLES = dict(tabular_queries.ORACLES)
+QUERIES = tabular_queries.QUERIES | grid_queries.QUERIES
+ORACLES = tabular_queries.ORACLES | grid_queries.ORACLES
