@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import grid_queries, tabular_queries
+from . import grid_queries, run_queries, tabular_queries
 
-QUERIES = tabular_queries.QUERIES | grid_queries.QUERIES
-ORACLES = tabular_queries.ORACLES | grid_queries.ORACLES
+QUERIES = tabular_queries.QUERIES | grid_queries.QUERIES | run_queries.QUERIES
+ORACLES = tabular_queries.ORACLES | grid_queries.ORACLES | run_queries.ORACLES
