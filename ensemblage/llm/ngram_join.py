@@ -35,14 +35,14 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Words, materialize, mix64, row_slices, text_buffers
 from .components import components
 
 BUCKET_BITS = 18
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: Ids of texts to fetch that may be broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 _LOWEST = -(2**63)
@@ -145,7 +145,10 @@ def _class(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.md5(s.tobytes()).digest()[:8], "little", signed=True)
 
 
-_PROFILE = "doc_id long, key long, n_shingles long, cls long, prefix array<long>, sketch binary"
+#: Longs of the short parity sketch that joins within regions test by themselves.
+SHORT = 4
+_SHORT = [f"f{k}" for k in range(SHORT)]
+_PROFILE = "doc_id long, key long, n_shingles long, cls long, prefix array<long>, sketch binary, " + ", ".join(f"{f} long" for f in _SHORT)
 
 
 def profiles(documents: DataFrame, join: Join, order: np.ndarray) -> DataFrame:
@@ -157,7 +160,8 @@ def profiles(documents: DataFrame, join: Join, order: np.ndarray) -> DataFrame:
         classes, seen = shared.value, set()
         for batch, sets in _sets(batches, join.n):
             cls, values, offsets, sketches = [], [], [0], []
-            for s in sets:
+            short = np.zeros((len(sets), SHORT), np.int64)
+            for at, s in enumerate(sets):
                 c = _class(s) if len(s) else None
                 cls.append(c)
                 if c is None or c in seen:
@@ -170,6 +174,8 @@ def profiles(documents: DataFrame, join: Join, order: np.ndarray) -> DataFrame:
                 values.append(window)
                 offsets.append(offsets[-1] + len(window))
                 sketches.append(parity(s))
+                odd = np.bincount((s & np.uint64(64 * SHORT - 1)).astype(np.int64), minlength=64 * SHORT).astype(np.uint8) & 1
+                short[at] = np.packbits(odd).view(np.int64)
             if len(seen) > 2_000_000:
                 seen.clear()
             flat = np.concatenate(values).view(np.int64) if values else np.zeros(0, np.int64)
@@ -181,8 +187,9 @@ def profiles(documents: DataFrame, join: Join, order: np.ndarray) -> DataFrame:
                     pa.array(cls, pa.int64()),
                     pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat)),
                     pa.array(sketches, pa.binary()),
+                    *[pa.array(np.ascontiguousarray(short[:, k])) for k in range(SHORT)],
                 ],
-                ["doc_id", "key", "n_shingles", "cls", "prefix", "sketch"],
+                ["doc_id", "key", "n_shingles", "cls", "prefix", "sketch", *_SHORT],
             )
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text").mapInArrow(profile, _PROFILE)
@@ -253,6 +260,18 @@ def _compatible(join: Join, n1, i1, n2, i2):
     return sizes & (most * (join.num + join.den) >= need)
 
 
+def _most(join: Join, both):
+    """Largest symmetric difference of linked sets with ``both`` elements together:
+    the intersection has t/(1+t) of these at least."""
+    return both - 2 * -(-join.num * both // (join.num + join.den))
+
+
+def _short_sketches_allow(join: Join, n1: str, n2: str) -> Column:
+    both = F.col(n1) + F.col(n2)
+    most = both - 2 * F.ceil(join.num * both / (join.num + join.den))
+    return sum((F.bit_count(F.col(f + "1").bitwiseXOR(F.col(f + "2"))) for f in _SHORT[1:]), F.bit_count(F.col(_SHORT[0] + "1").bitwiseXOR(F.col(_SHORT[0] + "2")))) <= most
+
+
 def _pairs(df: DataFrame) -> DataFrame:
     return df.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -262,15 +281,13 @@ def sketched(pairs: DataFrame, reps: DataFrame, join: Join) -> DataFrame:
     left = reps.select(F.col("cls").alias("a"), F.col("n_shingles").alias("n1"), F.col("sketch").alias("s1"))
     right = reps.select(F.col("cls").alias("b"), F.col("n_shingles").alias("n2"), F.col("sketch").alias("s2"))
 
-    def test(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            # |x ^ y| = n1 + n2 - 2 |x & y|, and |x & y| is t/(1+t) of n1 + n2 at least.
-            both = pdf["n1"] + pdf["n2"]
-            most = both - 2 * -(-join.num * both // (join.num + join.den))
-            ok = [hamming(x, y) <= m for x, y, m in zip(pdf["s1"], pdf["s2"], most)]
-            yield pdf.loc[ok, ["a", "b"]]
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            most = _most(join, batch.column("n1").to_numpy() + batch.column("n2").to_numpy())
+            ok = [hamming(x.as_buffer(), y.as_buffer()) <= m for x, y, m in zip(batch.column("s1"), batch.column("s2"), most)]
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "n1", "n2", "s1", "s2").mapInPandas(test, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "n1", "n2", "s1", "s2").mapInArrow(test, "a long, b long")
 
 
 def fetch_sets(documents: DataFrame, profile: DataFrame, wanted: DataFrame, join: Join) -> DataFrame:
@@ -294,27 +311,27 @@ def measured(pairs: DataFrame, documents: DataFrame, profile: DataFrame, join: J
     wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
     sets = materialize(fetch_sets(documents, profile, wanted, join), "join-sets").dropDuplicates(["cls"])
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             inter, total = [], []
-            for x, y in zip(pdf["x"], pdf["y"]):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for x, y in zip(batch.column("x"), batch.column("y")):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 at = np.searchsorted(x, y)
                 same = int((x[np.minimum(at, len(x) - 1)] == y).sum())
                 inter.append(same)
                 total.append(len(x) + len(y) - same)
-            yield pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "inter": inter, "total": total})
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(inter, pa.int64()), pa.array(total, pa.int64())], ["a", "b", "inter", "total"])
 
     left = sets.select(F.col("cls").alias("a"), F.col("items").alias("x"))
     right = sets.select(F.col("cls").alias("b"), F.col("items").alias("y"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInPandas(count, "a long, b long, inter long, total long")
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(count, "a long, b long, inter long, total long")
 
 
 def class_links(documents: DataFrame, profile: DataFrame, join: Join) -> tuple[DataFrame, DataFrame]:
     """Links (a, b) between classes of equal sets that make up exact components, and
     the components (node, component) themselves."""
     reps = profile.where("size(prefix) > 0").dropDuplicates(["cls"])
-    reps = materialize(reps.select("cls", "n_shingles", "prefix", "sketch"), "join-classes")
+    reps = materialize(reps.select("cls", "n_shingles", "prefix", "sketch", *_SHORT), "join-classes")
     found = materialize(members(reps, join), "join-members")
 
     pivots = found.where(_compatible(join, F.col("n"), F.col("i"), F.col("p_n"), F.col("p_i"))).select(F.col("cls").alias("a"), F.col("p_cls").alias("b"))
@@ -330,12 +347,14 @@ def class_links(documents: DataFrame, profile: DataFrame, join: Join) -> tuple[D
     own = found.join(groups.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     mixed = own.groupBy("s").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("s")
     own = own.join(mixed, "s").join(near, ["cls", "p_cls"], "left").withColumn("d", F.when(F.col("cls") == F.col("p_cls"), 0.0).otherwise(F.col("d")))
-    own = materialize(own.select("s", "g", "cls", "n", "i", "p_cls", "d", "component"), "join-mixed")
-    x = own.select("s", F.explode(F.array("g", F.col("g") + 1)).alias("at"), *[F.col(c).alias(c + "1") for c in ("g", "cls", "n", "i", "p_cls", "d", "component")])
-    y = own.select("s", F.col("g").alias("at"), *[F.col(c).alias(c + "2") for c in ("g", "cls", "n", "i", "p_cls", "d", "component")])
+    own = own.join(reps.select("cls", *_SHORT), "cls")
+    columns = ["g", "cls", "n", "i", "p_cls", "d", "component", *_SHORT]
+    own = materialize(own.select("s", *columns), "join-mixed")
+    x = own.select("s", F.explode(F.array("g", F.col("g") + 1)).alias("at"), *[F.col(c).alias(c + "1") for c in columns])
+    y = own.select("s", F.col("g").alias("at"), *[F.col(c).alias(c + "2") for c in columns])
     far = (F.col("p_cls1") == F.col("p_cls2")) & (F.abs(F.col("d1") - F.col("d2")) > 1 - join.ratio + 1e-9)
     once = (F.col("g1") < F.col("g2")) | (F.col("cls1") < F.col("cls2"))
-    met = x.join(y, ["s", "at"]).where(once & (F.col("component1") != F.col("component2")) & _compatible(join, F.col("n1"), F.col("i1"), F.col("n2"), F.col("i2")) & ~F.coalesce(far, F.lit(False)))
+    met = x.join(y, ["s", "at"]).where(once & (F.col("component1") != F.col("component2")) & _compatible(join, F.col("n1"), F.col("i1"), F.col("n2"), F.col("i2")) & ~F.coalesce(far, F.lit(False)) & _short_sketches_allow(join, "n1", "n2"))
     again = _pairs(met.select(F.col("cls1").alias("a"), F.col("cls2").alias("b"))).join(distances.select("a", "b"), ["a", "b"], "left_anti")
     tested = materialize(sketched(again, reps, join), "join-again")
     if tested.isEmpty():
