@@ -405,3 +405,18 @@ def keep_one(documents: DataFrame, join: Join = Join()) -> DataFrame:
     # Rows of one id and text: the first of them stays.
     again = kept.join(twice, place, "left_semi").dropDuplicates(["doc_id", "text"])
     return kept.join(twice, place, "left_anti").unionByName(again)
+
+
+def oracle(join: Join) -> str:
+    """doc_id, n_shingles, component_id in DuckDB SQL, by a self-join on shingles: for
+    tables that are small enough for its pairs, with whole doc_ids."""
+    shingle = " || ' ' || ".join(f"w[i + {k}]" for k in range(join.n))
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return f"""WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {join.n} THEN [array_to_string(w, ' ')] ELSE list_distinct([{shingle} for i in range(1, len(w) - {join.n} + 2)]) END AS s FROM words),
+items AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) + any_value(b.n) AS total, count(*) AS inter FROM items a JOIN items b ON a.x = b.x AND a.doc_id < b.doc_id AND {join.den} * least(a.n, b.n) >= {join.num} * greatest(a.n, b.n) GROUP BY 1, 2),
+links AS (SELECT a, b FROM pairs WHERE {join.den} * inter >= {join.num} * (total - inter)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, e.b FROM reach r JOIN edges e ON r.other = e.a)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, (SELECT min(other) FROM reach r WHERE r.doc_id = sets.doc_id) AS component_id FROM sets"""

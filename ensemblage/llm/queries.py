@@ -35,9 +35,11 @@ def op6_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctw.score_documents(table(spark, sf_dir, "documents"))
 
 
+_TRIGRAMS = ngram_join.Join(n=3, num=90, den=100)
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    join = ngram_join.Join(n=3, num=90, den=100)
-    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"), join).select("doc_id", "n_shingles", "component_id")
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"), _TRIGRAMS).select("doc_id", "n_shingles", "component_id")
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,4 +71,5 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op1_line_dedup": line_dedup.oracle(),
     "op4_mixing": mixing.oracle(),
+    "op7_jaccard_join": ngram_join.oracle(_TRIGRAMS),
 }
