@@ -22,7 +22,7 @@ are all that training gathers, and pairs are scored once each.
 * Grams get their log-probabilities in the groups.  Pairs add up their grams, from an
   array while the grams are few (``BROADCAST_GRAMS``, counted first), else by a join.
 * The ``HEAD`` most frequent pairs have their counts and scores sent to the executors
-  (12 MB); all others are joined by hash with the documents that hold them.
+  (6 MB); all others are joined by hash with the documents that hold them.
 
 Words and pairs are told apart by 64-bit hashes.  Log-probabilities are natural inside.
 """
@@ -43,8 +43,8 @@ from .common import Words, id_text, materialize, mix64, row_slices, text_buffers
 DEPTH = 6
 TOPICS = 8
 ENDINGS = 512
-HEAD = 1 << 19
-BROADCAST_GRAMS = 4_000_000
+HEAD = 1 << 18
+BROADCAST_GRAMS = 3_000_000
 SLICE_BYTES = 4 << 20
 END, SPACE = 10, 32
 #: Hash of the end token, apart from those of words.
@@ -176,8 +176,7 @@ def pair_counts(documents: DataFrame, topics) -> DataFrame:
     """(pair, hash, word, n) of all pairs, ``word`` with the topic byte before it, and
     ``c``, the count of the word whatever its topic."""
     rows = documents.select("text", "held_out").mapInArrow(_counter(topics), "pair long, hash long, word binary, n long")
-    # Words of one hash are one word: the word itself need not be a key.
-    pairs = materialize(rows.groupBy("pair", "hash").agg(F.first("word").alias("word"), F.sum("n").alias("n")), "ctw-pairs")
+    pairs = materialize(rows.groupBy("pair", "hash", "word").agg(F.sum("n").alias("n")), "ctw-pairs")
     words = pairs.groupBy("hash").agg(F.sum("n").alias("c"))
     return materialize(pairs.join(words, "hash"), "ctw-words")
 
@@ -355,7 +354,7 @@ def gram_scores(grams: DataFrame) -> DataFrame:
     counts = grams.groupBy((F.col("gram").bitwiseAND(255)).cast("int").alias("byte"), (F.col("near").bitwiseAND(255)).alias("near1")).agg(F.sum("n").alias("n")).where("n > 0")
     below = grams.groupBy("near").applyInPandas(_weigh, "key int, weighted double").groupBy("key").agg(F.sum("weighted").alias("weighted"))
     # 65536 rows each at most, whatever the corpus.
-    crown = Crown(counts.toPandas(), below.toPandas())
+    crown = Crown(counts.toArrow().to_pandas(), below.toArrow().to_pandas())
     shared = grams.sparkSession.sparkContext.broadcast(crown)
 
     def score(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -381,7 +380,7 @@ def word_scores(words: DataFrame, grams: DataFrame) -> DataFrame:
         rows = words.select("pair", "word", "c").mapInPandas(spread, "pair long, c long, gram long").join(grams, "gram")
         return rows.groupBy("pair").agg(F.max("c").alias("c"), F.sum("logp").alias("logp"))
 
-    table = grams.toPandas().sort_values("gram")
+    table = grams.toArrow().to_pandas().sort_values("gram")
     shared = spark.sparkContext.broadcast((table["gram"].to_numpy(), table["logp"].to_numpy()))
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -443,6 +442,21 @@ def _scored(head: np.ndarray, base: np.ndarray, logp: np.ndarray, known: np.ndar
     return run
 
 
+def _most_frequent(scores: DataFrame, ends: list[int]) -> pd.DataFrame:
+    """Pairs from the least count up that keeps them at ``HEAD`` at most, in order of
+    hash, and those of the end token.  Counts are told apart to an eighth of a binary
+    order, so the table that finds the least count has some hundred rows."""
+    level = F.floor(F.log2(F.greatest("c", F.lit(1))) * 8).cast("int")
+    table = sorted(scores.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect(), reverse=True)
+    least, n = 10**9, 0
+    for row in table:
+        n += row.n
+        if n > HEAD:
+            break
+        least = row.level
+    return scores.where((level >= least) | F.col("pair").isin(ends)).toArrow().to_pandas().sort_values("pair")
+
+
 def score_documents(documents: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score,
     bits_per_byte for every document.
@@ -463,7 +477,7 @@ def score_documents(documents: DataFrame) -> DataFrame:
     spread = total + 0.1 * (distinct + 1)
     base = lambda c: np.log10((c + 0.1) / spread)
     ends = pair_hash(np.full(TOPICS + 1, END_HASH, np.uint64), np.arange(TOPICS + 1)).view(np.int64)[1:].tolist()
-    head = scores.orderBy(F.desc(F.col("pair").isin(ends)), F.desc("c"), "pair").limit(HEAD).toPandas().sort_values("pair")
+    head = _most_frequent(scores, ends)
     keys, c = head["pair"].to_numpy(), head["c"].to_numpy()
     run = _scored(keys, base(c), head["logp"].to_numpy(), (c > 0).astype(float), topics)
 
