@@ -146,7 +146,7 @@ def _class(s: np.ndarray) -> int:
 
 
 #: Longs of the short parity sketch that joins within regions test by themselves.
-SHORT = 4
+SHORT = 8
 _SHORT = [f"f{k}" for k in range(SHORT)]
 _PROFILE = "doc_id long, key long, n_shingles long, cls long, prefix array<long>, sketch binary, " + ", ".join(f"{f} long" for f in _SHORT)
 
@@ -350,11 +350,12 @@ def class_links(documents: DataFrame, profile: DataFrame, join: Join) -> tuple[D
     own = own.join(reps.select("cls", *_SHORT), "cls")
     columns = ["g", "cls", "n", "i", "p_cls", "d", "component", *_SHORT]
     own = materialize(own.select("s", *columns), "join-mixed")
-    x = own.select("s", F.explode(F.array("g", F.col("g") + 1)).alias("at"), *[F.col(c).alias(c + "1") for c in columns])
-    y = own.select("s", F.col("g").alias("at"), *[F.col(c).alias(c + "2") for c in columns])
+    # Both sides are one exchange of the same rows; bands that meet are a condition.
+    x, y = (own.select("s", *[F.col(c).alias(c + side) for c in columns]) for side in "12")
     far = (F.col("p_cls1") == F.col("p_cls2")) & (F.abs(F.col("d1") - F.col("d2")) > 1 - join.ratio + 1e-9)
-    once = (F.col("g1") < F.col("g2")) | (F.col("cls1") < F.col("cls2"))
-    met = x.join(y, ["s", "at"]).where(once & (F.col("component1") != F.col("component2")) & _compatible(join, F.col("n1"), F.col("i1"), F.col("n2"), F.col("i2")) & ~F.coalesce(far, F.lit(False)) & _short_sketches_allow(join, "n1", "n2"))
+    once = ((F.col("g1") == F.col("g2")) & (F.col("cls1") < F.col("cls2"))) | (F.col("g1") + 1 == F.col("g2"))
+    allowed = _compatible(join, F.col("n1"), F.col("i1"), F.col("n2"), F.col("i2")) & _short_sketches_allow(join, "n1", "n2")
+    met = x.join(y, "s").where(once & (F.col("component1") != F.col("component2")) & allowed & ~F.coalesce(far, F.lit(False)))
     again = _pairs(met.select(F.col("cls1").alias("a"), F.col("cls2").alias("b"))).join(distances.select("a", "b"), ["a", "b"], "left_anti")
     tested = materialize(sketched(again, reps, join), "join-again")
     if tested.isEmpty():
