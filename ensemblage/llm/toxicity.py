@@ -50,9 +50,35 @@ LOOKS_LIKE = {
 _SEPARATORS = " .-_*~'"
 _SYMBOLS = re.escape("".join(c for c in LOOKS_LIKE if not c.isdigit()))
 
-_MIXED = re.compile(rf"(?<![^\s\"'(\[,;:])(?=[^\s]{{0,19}}[A-Za-z])(?=[^\s]{{0,19}}[0-9{_SYMBOLS}])[A-Za-z0-9{_SYMBOLS}]{{3,20}}(?![^\s\"')\].,;:?])")
-_SPACED = re.compile(rf"(?<!\S)[A-Za-z0-9{_SYMBOLS}](?:[ .\-_*~][A-Za-z0-9{_SYMBOLS}]){{3,23}}(?![^\s.,;:!?])")
-_REPEATED = re.compile(r"[A-Za-z]*([A-Za-z])\1\1[A-Za-z]*")
+_MARK = rf"[0-9{_SYMBOLS}]"
+_TOKEN = re.compile(rf"[A-Za-z0-9{_SYMBOLS}]{{3,}}")
+_BEFORE, _AFTER = frozenset("\"'([,;:"), frozenset("\"')].,;:?")
+_HAS_LETTER, _HAS_MARK, _SPACE = re.compile("[A-Za-z]"), re.compile(_MARK), re.compile(r"\s")
+_SPACED = re.compile(rf"(?<!\S)[A-Za-z0-9{_SYMBOLS}](?:[ .\-_*~][A-Za-z0-9{_SYMBOLS}]){{3,}}(?![^\s.,;:!?])")
+# From a run's first letter on, so that a run is gone through once.
+_REPEATED = re.compile(r"(?<![A-Za-z])[A-Za-z]*([A-Za-z])\1\1[A-Za-z]*")
+_LONG_REPEAT = re.compile(r"([a-z])\1{3,}")
+#: Characters of a span whose restoration is kept for the next time.
+_KEPT_CHARS = 64
+
+
+def _mixed(text: str) -> Iterator[str]:
+    """Tokens with letters among digits or symbols, of any length, each gone through
+    once.  A letter and a mark may also stand close after the token."""
+    for m in _TOKEN.finditer(text):
+        start, end = m.span()
+        if end < len(text) and not (text[end].isspace() or text[end] in _AFTER):
+            continue
+        if start and not (text[start - 1].isspace() or text[start - 1] in _BEFORE):
+            start = text.find("(", start, end) + 1
+            if not start or end - start < 3:
+                continue
+        near = text[start : max(end, start + 20)]
+        gap = _SPACE.search(near)
+        near = near[: gap.start()] if gap else near
+        if _HAS_LETTER.search(near) and _HAS_MARK.search(near):
+            yield text[start:end]
+
 
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
@@ -85,6 +111,8 @@ class CharModel:
 
 # Log-costs of the channel.
 _SAME, _LOOKS, _NOTHING, _AGAIN = math.log(0.95), math.log(0.3), math.log(0.2), math.log(0.3)
+# A separator between words; one of the kind that is less likely to do what it does.
+_EDGE, _UNLIKELY = math.log(0.2), math.log(0.02)
 
 
 class Channel:
@@ -92,38 +120,63 @@ class Channel:
 
     def __init__(self, model: CharModel):
         self.log = model.log
-        self.decode = lru_cache(maxsize=200_000)(self._decode)
+        self._short = lru_cache(maxsize=200_000)(self._decode)
+
+    def decode(self, seen: str, phrase: bool = False) -> str:
+        return (self._short if len(seen) <= _KEPT_CHARS else self._decode)(seen, phrase)
+
+    def _decode(self, seen: str, phrase: bool = False) -> str:
+        """Most probable letters for ``seen`` (lower case); may be empty.
 
-    def _decode(self, seen: str) -> str:
-        """Most probable letters for ``seen`` (lower case); may be empty."""
-        # State: the last two letters; best score and letters so far.
-        states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-        for c in seen:
-            then: dict[tuple[int, int], tuple[float, str]] = {}
+        In a ``phrase``, whose every second character is a separator, separators may
+        also stand between words: a space then comes out.  Where white space and other
+        separators are mixed, white space is the one that parts words."""
+        mixed = phrase and " " in seen[1::2] and bool(seen[1::2].strip(" "))
+        # State: the last two letters; best score and the chain of letters so far.
+        states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+        for i, c in enumerate(seen):
+            then: dict[tuple[int, int], tuple[float, tuple | None]] = {}
 
-            def keep(state, score, letters, then=then):
+            def keep(state, score, letters, x="", then=then):
                 if state not in then or score > then[state][0]:
-                    then[state] = (score, letters)
+                    then[state] = (score, (letters, x) if x else letters)
 
             choices = [(c, _SAME)] if c in _LETTERS else []
-            choices += [(x, _LOOKS - math.log(len(LOOKS_LIKE[c]))) for x in LOOKS_LIKE.get(c, "")]
+            separates = phrase and i % 2 == 1
+            if not separates:
+                choices += [(x, _LOOKS - math.log(len(LOOKS_LIKE[c]))) for x in LOOKS_LIKE.get(c, "")]
+            inside, between = (_UNLIKELY, _EDGE) if mixed and c == " " else (_NOTHING, _UNLIKELY if mixed else _EDGE)
             for (a, b), (score, letters) in states.items():
                 for x, cost in choices:
                     k = ord(x) - 96
-                    keep((b, k), score + cost + self.log[a, b, k], letters + x)
+                    keep((b, k), score + cost + self.log[a, b, k], letters, x)
                     if k == b:
                         keep((a, b), score + cost + _AGAIN, letters)
                 if c in _SEPARATORS or not choices:
-                    keep((a, b), score + _NOTHING, letters)
+                    keep((a, b), score + inside, letters)
+                if separates and b:
+                    keep((0, 0), score + between + self.log[a, b, 0], letters, " ")
             states = then
-        best = max(((score + self.log[a, b, 0], letters) for (a, b), (score, letters) in states.items()), default=(0.0, ""))
-        return best[1]
+        _, chain = max(((score + self.log[a, b, 0] if b or not phrase else score, letters) for (a, b), (score, letters) in states.items()), key=lambda s: s[0], default=(0.0, None))
+        out = []
+        while chain:
+            chain, x = chain
+            out.append(x)
+        return "".join(reversed(out))
 
     def restored(self, text: str) -> list[str]:
-        """Words behind the disguised spans of a text, in order of kind."""
-        found = [m[0] for m in _MIXED.finditer(text)] + [m[0] for m in _SPACED.finditer(text)]
-        found += [m[0] for m in _REPEATED.finditer(text) if len(m[0]) <= 40]
-        return [w for w in (self.decode(s.rstrip("!|+.?").lower()) for s in dict.fromkeys(found)) if len(w) > 2]
+        """Words behind the disguised spans of a text, in order of kind.  A spaced span
+        gives its letters as one word, with and without those at its ends, and the words
+        that it parts into."""
+        spaced = [m[0] for m in _SPACED.finditer(text)]
+        # The letter at either end may be a word by itself.
+        ends = [x for s in spaced for x in (s[2:] if s[1] == " " else "", s[:-2] if s[-2] == " " else "") if x]
+        found = [*_mixed(text), *spaced, *ends, *(m[0] for m in _REPEATED.finditer(text))]
+        clean = lambda s: _LONG_REPEAT.sub(r"\1\1\1", s.rstrip("!|+.?").lower())
+        words = [self.decode(clean(s)) for s in dict.fromkeys(found)]
+        for s in dict.fromkeys(spaced):
+            words += self.decode(s.lower(), True).split()
+        return [w for w in words if len(w) > 2]
 
 
 _DIGIT_OR_SYMBOL = np.zeros(256, bool)

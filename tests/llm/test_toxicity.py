@@ -1,4 +1,5 @@
 import random
+import time
 import zlib
 
 import numpy as np
@@ -41,6 +42,23 @@ def test_disguised_words_are_restored(model, word):
     assert bad >= tox.THRESHOLD > good
 
 
+LONG = ["idi" + "o" * 60 + "t", "m0r" + "0" * 30 + "n", "a i-d-i-o-t", "y i d i o t", "a i d i o t", "i d i o t y", "stupid" + "d" * 50, " ".join("people talked about stupid weather".replace(" ", "")), ".".join("peopletalkedaboutworthlessmusic")]
+
+
+@pytest.mark.parametrize("word", LONG)
+def test_long_spans_and_spaced_phrases_are_restored(model, word):
+    bad, good = scores(model, [f"they said {word} to", f"they said {' '.join('people talked about quiet weather'.replace(' ', ''))} to"])
+    assert bad >= tox.THRESHOLD > good
+
+
+def test_long_spans_take_linear_time(model):
+    channel = tox.Channel(tox.CharModel(model.chars))
+    for text in ("(" * 200_000 + "{", "a1" * 20_000, "a " * 20_000, "ab" * 100_000 + "aaa", "," * 200_000, "(," * 100_000):
+        start = time.monotonic()
+        channel.restored(text)
+        assert time.monotonic() - start < 10
+
+
 def test_clean_marks_do_no_harm(model):
     texts = ["room 101 at 10:30, call 555-0100", "mail a.b@example.com about the €5 and £7 notes", "a b c d e f g", "soooo niiice", "x" * 50000, "", None, "\n\t", "$$$ !!! 000", "Ünï çödé 1é2"]
     assert (scores(model, texts) < tox.THRESHOLD).all()
