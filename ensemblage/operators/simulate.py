@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 EPS = 1e-12
+#: Weight of a step's free energy in the moving average that ``estimated`` aims at.
+EMA_ALPHA = 0.05
 
 SPEC = "run_id string, method string, seed long, beta double, n long, steps long, dt double, rate double, every long, start long, cap double"
 ROW = "run_id string, method string, seed long, step long, t double, l2_mean_force double, events_fraction double, n_unique long, ess double, crossings long, left_frac double, error string"
@@ -76,7 +78,8 @@ def resample(score: np.ndarray, rate: float, dt: float, cap: float, rng: np.rand
 
 def simulate_run(spec: dict, model: Channel = Channel(), nodes: int = 101, low: float = -2.0, high: float = 2.0, snapshots: int = 10) -> list[tuple]:
     """Rows of one run.  Method ``abf`` biases alone; ``uniform`` and ``estimated``
-    also resample towards the flat density or that of the estimated free energy."""
+    also resample towards the flat density or, for the latter, exp(-beta (A - B)):
+    B is the free energy of the present bias, A its moving average over the steps."""
     key = int(hashlib.sha256(str(spec["seed"]).encode()).hexdigest()[:15], 16)
     start, noise, choice = (np.random.default_rng([key, k]) for k in range(3))
     n, beta, dt = int(spec["n"]), spec["beta"], spec["dt"]
@@ -85,6 +88,7 @@ def simulate_run(spec: dict, model: Channel = Channel(), nodes: int = 101, low:
     y = start.standard_normal(n) / (np.sqrt(beta) * model.omega(x))
     ancestor, side = np.arange(n), np.sign(x)
     hits, total = np.zeros(nodes), np.zeros(nodes)
+    average = np.zeros(nodes)
     crossings = events = applied = 0
     rows = []
     reference = model.mean_force(grid, beta)
@@ -96,6 +100,9 @@ def simulate_run(spec: dict, model: Channel = Channel(), nodes: int = 101, low:
         hits += np.bincount(j, minlength=nodes)
         total += np.bincount(j, weights=-fx, minlength=nodes)
         force = total / np.maximum(hits, 20)
+        if spec["method"] == "estimated":
+            bias = np.concatenate([[0], np.cumsum((force[1:] + force[:-1]) / 2 * step)])
+            average = (1 - EMA_ALPHA) * average + EMA_ALPHA * bias
         amplitude = np.sqrt(2 * dt / beta)
         x = fold(x + dt * (fx + np.interp(x, grid, force)) + amplitude * noise.standard_normal(n), low, high)
         y = y + dt * fy + amplitude * noise.standard_normal(n)
@@ -106,9 +113,7 @@ def simulate_run(spec: dict, model: Channel = Channel(), nodes: int = 101, low:
             p = np.bincount(np.clip(np.rint((x - low) / step).astype(int), 0, nodes - 1), minlength=nodes) + 0.5
             p = p / (p.sum() * step)
             if spec["method"] == "estimated":
-                f = np.concatenate([[0], np.cumsum((force[1:] + force[:-1]) / 2 * step)])
-                bias = np.concatenate([[0], np.cumsum((force[1:] + force[:-1]) / 2 * step)])
-                q = np.exp(-beta * (f - bias - (f - bias).min()))
+                q = np.exp(-beta * (average - bias - (average - bias).min()))
             else:
                 q = np.ones(nodes)
             q = q / (q.sum() * step)

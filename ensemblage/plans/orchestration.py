@@ -33,7 +33,9 @@ def config_id(parts: list[str]) -> Column:
 def _text(name: str) -> Column:
     """Numbers without trailing zeros, other values as they are."""
     c = F.col(name)
-    return F.coalesce(compact_number(F.try_to_number(c.cast("string"), F.lit("S999999999D999999"))), c.cast("string"))
+    number = F.try_to_number(c.cast("string"), F.lit("S999999999D999999"))
+    # Formatting turns a missing number into text, so it is asked for first.
+    return F.coalesce(F.when(number.isNotNull(), compact_number(number)), c.cast("string"), F.lit("null"))
 
 
 def config_hash(columns: list[str], digits: int = 12) -> Column:

@@ -182,3 +182,21 @@ def test_runs_are_reproducible_and_isolated(spark):
     again = simulate.simulate(specs.where("run_id = 'a'")).collect()
     assert sorted(r for r in rows if r.run_id == "a") == sorted(again)
     assert all(1 <= r.ess <= 50 and r.events_fraction <= 0.1 for r in again)
+
+
+def test_estimated_target_is_not_the_flat_one():
+    spec = {"run_id": "a", "seed": 1, "beta": 4.0, "n": 100, "steps": 300, "dt": 0.01, "rate": 1.0, "every": 10, "start": 50, "cap": 0.1}
+    flat, estimated, again = (simulate.simulate_run({**spec, "method": m}) for m in ("uniform", "estimated", "estimated"))
+    assert estimated == again
+    assert [r[3:] for r in flat[:1]] == [r[3:] for r in estimated[:1]]  # before resampling starts
+    assert all(f[3:] != e[3:] for f, e in zip(flat[2:], estimated[2:]))
+
+
+def test_simulate_methods_runs_every_method(spark):
+    from ensemblage.plans import registry
+
+    rows = registry.QUERIES["simulate_methods"](spark, "")
+    runs = {(r.method, r.seed): r["count"] for r in rows.groupBy("method", "seed").count().collect()}
+    assert runs == {(m, s): 10 for m in ("abf", "uniform", "estimated") for s in (0, 1, 2)}
+    ids = spark.createDataFrame([("abf", 0.5), ("uniform", 0.5), (None, 1.0)], "method string, eta double").select(orchestration.config_id(["method", "eta"]))
+    assert [r[0] for r in ids.collect()] == ["method=abf_eta=0.5", "method=uniform_eta=0.5", "method=null_eta=1"]
