@@ -22,7 +22,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD
+from . import ngram_join
+from .common import WORD, materialize
 
 CAPACITY = 2048
 #: Documents a shard should hold: they bound the memory of a task.
@@ -163,9 +164,27 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
+def folded(text: Column) -> Column:
+    return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[\p{Punct}\s]+", " ")
+
+
 def text_cluster(text: Column) -> Column:
     """Cluster of texts that are equal but for case, punctuation and white space."""
-    return F.md5(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[\p{Punct}\s]+", " "))
+    return F.md5(folded(text))
+
+
+def near_clusters(documents: DataFrame, join: ngram_join.Join = ngram_join.Join(n=5, num=80, den=100)) -> DataFrame:
+    """doc_id, source, n_tokens and ``cluster`` of each document: the group of near
+    copies that its folded text is in.  Texts without words are one cluster."""
+    plain = documents.select("doc_id", folded(F.col("text")).alias("text"))
+    profile = materialize(ngram_join.profiles(plain, join, ngram_join.shingle_order(plain, join)), "packing-profiles")
+    _, groups = ngram_join.class_links(plain, profile, join)
+    last = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("_id")
+    known = profile.where("cls is not null").select(last, F.col("key").alias("_key"), "cls").distinct()
+    known = known.join(groups.withColumnRenamed("node", "cls"), "cls", "left").select("_id", "_key", F.coalesce("component", "cls").cast("string").alias("_group"))
+    slim = documents.select("doc_id", "source", word_count(F.col("text")).alias("n_tokens"), text_cluster(F.col("text")).alias("_equal"), last, F.xxhash64(folded(F.col("text"))).alias("_key"))
+    rows = slim.join(known, ["_id", "_key"], "left").select("doc_id", "source", "n_tokens", F.coalesce("_group", "_equal").alias("cluster"))
+    return materialize(rows, "packing-clusters")
 
 
 def best_fit(documents: DataFrame, capacity: int = CAPACITY, cluster: Column | None = None, tokens: Column | None = None) -> DataFrame:

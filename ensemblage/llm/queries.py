@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import ctw, fingerprints, line_dedup, mixing, ngram_join, ogg, packing, secrets, toxicity, warc
 
@@ -20,7 +21,8 @@ def op2_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.best_fit(table(spark, sf_dir, "documents"))
+    rows = packing.near_clusters(table(spark, sf_dir, "documents"))
+    return packing.best_fit(rows, cluster=F.col("cluster"), tokens=F.col("n_tokens"))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

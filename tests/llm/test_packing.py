@@ -65,3 +65,18 @@ def test_whole_documents_are_packed(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string, source string")
     assert packing.best_fit(df).count() == 0
+
+
+def test_near_copies_never_share_a_bin(spark, tmp_path):
+    from ensemblage.llm import queries
+
+    words = [f"w{i}" for i in range(100)]
+    rows = [(i, " ".join(words[:-1] + [f"end{i}"]), f"s{i}") for i in range(6)]
+    rows += [(10, "A b, c!", "x"), (11, "a b c", "y"), (12, None, "x"), (13, "", "y"), (6, "other text of id six", "z"), (6, "two rows of one id", "y"), (None, "no id", "x")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op3_best_fit(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows)
+    assert len({r.bin_id for r in got if r.doc_id is not None and r.doc_id < 6}) == 6
+    for pair in ((10, 11), (12, 13)):
+        assert len({r.cluster for r in got if r.doc_id in pair}) == 1
+        assert len({r.bin_id for r in got if r.doc_id in pair}) == 2
