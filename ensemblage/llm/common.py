@@ -107,17 +107,18 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
-_BASE = 0x5851F42D4C957F2D
-_POWERS = np.ones(1, np.uint64)
+#: Odd factors of the places in a word, one table for each of two independent hashes.
+#: They come from a mixer and not from powers: words of regular structure, which
+#: collide under every polynomial modulo 2**64, have nothing to hold on to.
+_SEEDS = (np.uint64(0x5851F42D4C957F2D), np.uint64(0xC2B2AE3D27D4EB4F))
+_FACTORS = [np.ones(0, np.uint64), np.ones(0, np.uint64)]
 
 
-def _powers(n: int) -> np.ndarray:
-    global _POWERS
-    if len(_POWERS) < n:
-        size = max(n, 64)
+def _factors(n: int, lane: int = 0) -> np.ndarray:
+    if len(_FACTORS[lane]) < n:
         with np.errstate(over="ignore"):
-            _POWERS = np.concatenate([[np.uint64(1)], np.cumprod(np.full(size - 1, _BASE, np.uint64), dtype=np.uint64)])
-    return _POWERS
+            _FACTORS[lane] = mix64(np.arange(1, max(2 * n, 64) + 1, dtype=np.uint64) * _SEEDS[lane]) | np.uint64(1)
+    return _FACTORS[lane]
 
 
 class Words:
@@ -147,9 +148,18 @@ class Words:
         first = np.concatenate([[0], np.cumsum(self.size)[:-1]])
         relative = np.arange(len(kept)) - np.repeat(first, self.size)
         with np.errstate(over="ignore"):
-            value = _BYTE[data[kept]] * _powers(int(self.size.max()))[relative]
+            value = _BYTE[data[kept]] * _factors(int(self.size.max()))[relative]
             self.hash = mix64(np.add.reduceat(value, first) + self.size.astype(np.uint64))
         self.row = np.searchsorted(offsets, start, "right") - 1
+        self._kept, self._first, self._relative = kept, first, relative
+
+    def second(self) -> np.ndarray:
+        """Another 64-bit hash of each word, independent of ``hash``."""
+        if not len(self.hash):
+            return self.hash
+        with np.errstate(over="ignore"):
+            value = _BYTE[self.data[self._kept]] * _factors(int(self.size.max()), 1)[self._relative]
+            return mix64(np.add.reduceat(value, self._first) ^ self.size.astype(np.uint64))
 
     def starts_with(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         """Words longer than ``size`` bytes, and the hashes of their first bytes."""
@@ -159,7 +169,7 @@ class Words:
         with np.errstate(over="ignore"):
             total = np.full(len(longer), np.uint64(size))
             for k in range(size):
-                total += _BYTE[self.data[self.start[longer] + k]] * _powers(size)[k]
+                total += _BYTE[self.data[self.start[longer] + k]] * _factors(size)[k]
         return longer, mix64(total)
 
     def bounds(self) -> np.ndarray:
