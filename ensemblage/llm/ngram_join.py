@@ -1,29 +1,33 @@
 """N-gram Jaccard self-join in metric space, and the groups that its links form.
 
-A document's set holds its distinct ``n``-word shingles.  Jaccard distance is a
-metric, but unrelated texts share no shingle, so they are all at distance 1 from any
-pivot document.  The first pivots are therefore one-shingle sets: a set x is at
-distance 1 - 1/|x| from {s} if it holds s, else at 1.  A global order of shingles
-(rare first, then by hash) breaks the ties, and the first one names the Voronoi region.
-
-Windows.  Two sets within distance 1 - t share t of their union, so by the triangle
-inequality neither has more than |x| - ceil(t|x|) elements that the other lacks.  A
-linked set's region is therefore among the first |x| - ceil(t|x|) + 1 shingles of x,
-or the other way round: with both sets replicated to the regions of these windows,
-linked sets meet in the region of the first shingle that both have.  The same
-inequality about the empty set bounds their sizes, which cuts a region into bands.
-
-Recursion.  Inside a region's band the set that comes first is the pivot, and only
-distances to it are computed: sets within the threshold join its component.  Then
-regions that still hold two components or more are joined again, now between
-components, with the triangle inequality about the known distances to common pivots.
-Pairs must pass the sizes, the positions, and a parity sketch whose Hamming distance
-never exceeds the symmetric difference; what passes is counted on the whole sets.
-None of these steps can lose a link between different components, so components are
-exact, and no group of copies is expanded into its pairs.
-
-Equal sets are one class from the start.  The order only steers speed: its counts are
-sums in 2**18 buckets over all documents (2 MB, whatever the corpus).
+A document's set holds its distinct ``n``-word shingles.  Jaccard distance is a metric,
+but unrelated texts share no shingle: all are at distance 1 from any pivot document, so
+pivots among all documents make no regions.  The space is therefore first seen through
+projections in which distances do not pile up.
+
+Projections.  Shingles are dealt by their hash to K parts; |x - y| + |y - x| is a metric
+on the subsets of every part too.  Linked sets of which the smaller has a elements differ
+in H = floor(a (1-t)/t) elements at most, hence in H parts at most: with K > H parts they
+coincide in one, at distance 0.  A set is replicated to the region of each of its parts.
+K depends on the smaller size only, in levels half as large again each; a set goes to
+the levels of all sizes that a smaller partner can have.  Empty parts say nothing: K has
+spare parts for them, and sets that have more empty parts than that are dealt again by
+other hashes (``_emit``), so no linked pair is without a common region.  Texts that only
+share a passage or a few shingles hardly ever coincide in a part.
+
+Pivots.  The first set of a region is its pivot.  Each set is measured against one pivot
+first; links make components.  Only regions that still hold sets of two components are
+joined within: pivots among the region's sets create Voronoi cells of the Hamming metric
+on parity sketches, which never exceeds the symmetric difference; triangle-inequality
+windows replicate sets near a border to the neighbouring cells, and cells are split again
+until they are small (``voronoi_join``).  The nearest candidates of another component are
+measured first, and at last every candidate that the sketches allow.  What is measured is
+counted on whole sets.  None of these steps can lose a link between two components, so
+components are exact, and no group of copies is expanded into its pairs.
+
+Equal sets are one class from the start (128-bit digests of the whole sorted sets).
+Shingles are 64-bit hashes of word hashes; a wrong count needs a collision between two
+shingles of one pair of documents.
 """
 
 from __future__ import annotations
@@ -33,19 +37,25 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Words, materialize, mix64, row_slices, text_buffers
 from .components import components
 
-BUCKET_BITS = 18
 SLICE_BYTES = 2 << 20
 #: Ids of texts to fetch that may be broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Rows of a region that one task joins; larger ones are joined block by block.
+REGION_ROWS = 50_000
+#: Nearest candidates that are measured in each round; at last all of them.
+ROUNDS = (2, None)
+#: Hashes by which sets with many empty parts are dealt.
+DEALS = 8
+PIVOTS, SMALL = 8, 1 << 16
 _LOWEST = -(2**63)
+_SMALLEST_REST = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -56,12 +66,14 @@ class Join:
     num: int = 80
     den: int = 100
 
-    def prefix(self, size: int) -> int:
-        return size - -(-self.num * size // self.den) + 1
+    def differ(self, size):
+        """Most elements in which a set of ``size`` and a linked one, not smaller, differ."""
+        return (self.den - self.num) * size // self.num
 
-    @property
-    def ratio(self) -> float:
-        return self.num / self.den
+    def apart(self, both):
+        """Largest symmetric difference of linked sets with ``both`` elements together:
+        the intersection has t/(1+t) of these at least."""
+        return both - 2 * -(-self.num * both // (self.num + self.den))
 
 
 def shingle_sets(words: Words, n: int) -> Iterator[np.ndarray]:
@@ -96,33 +108,80 @@ def _sets(batches: Iterator[pa.RecordBatch], n: int):
             yield batch.slice(a, b - a), list(shingle_sets(words, n))
 
 
-def shingle_order(documents: DataFrame, join: Join) -> np.ndarray:
-    """Class of each hash bucket: 0 for ordinary ones, more the more documents its
-    shingles are in beyond what chance puts there."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << BUCKET_BITS, np.int64)
-        for _, sets in _sets(batches, join.n):
-            if sets:
-                total += np.bincount((np.concatenate(sets) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=len(total))
-        parts = total.reshape(16, -1)
-        yield pa.RecordBatch.from_arrays([pa.array(range(16), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["part", "counts"])
-
-    def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros((1 << BUCKET_BITS) // 16, np.int64)
-        for c in pdf["counts"]:
-            total += np.frombuffer(c, np.int64)
-        return pd.DataFrame({"part": [key[0]], "counts": [total.tobytes()]})
-
-    kind = "part int, counts binary"
-    rows = documents.select("text").mapInArrow(count, kind).groupBy("part").applyInPandas(add, kind).collect()
-    counts = np.zeros(1 << BUCKET_BITS)
-    for r in rows:
-        part = np.frombuffer(bytes(r.counts), np.int64)
-        counts[r.part * len(part) : (r.part + 1) * len(part)] = part
-    usual = max(float(np.median(counts)), 1.0)
-    beyond = np.maximum(counts - usual - 4 * np.sqrt(usual), 0)
-    return np.minimum(np.ceil(2 * np.log2(1 + beyond)), 255).astype(np.uint8)
+class Levels:
+    """Levels of H, the parts of each, and how many of these may be empty."""
+
+    def __init__(self, join: Join, most: int):
+        self.h = [1]
+        while self.h[-1] < most:
+            self.h.append(max(self.h[-1] + 1, self.h[-1] * 3 // 2))
+        self.spare = []
+        for k, h in enumerate(self.h):
+            least = self.h[k - 1] + 1 if k else 1
+            size = max(1, -(-least * join.num // (join.den - join.num)))
+            spare = 0
+            for _ in range(8):
+                parts = h + 1 + spare
+                empty = parts * (1 - 1 / parts) ** size
+                spare = max(spare, int(empty + empty**0.5))
+            self.spare.append(spare)
+        self.h, self.spare = np.array(self.h), np.array(self.spare)
+        self.parts = self.h + 1 + self.spare
+
+
+def _emit(flat, start, size, which, level, levels: Levels, deal: int, out: list) -> None:
+    """Append (set, key) of the parts of the sets ``which`` on their ``level``."""
+    if not len(which):
+        return
+    if deal == DEALS:
+        # One region a level for sets that no hash has dealt well.
+        with np.errstate(over="ignore"):
+            out.append((which, mix64(level.astype(np.uint64) + np.uint64(_SMALLEST_REST))))
+        return
+    n, parts = size[which], levels.parts[level]
+    owner = np.repeat(np.arange(len(which)), n)
+    values = flat[np.repeat(start[which] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+    with np.errstate(over="ignore"):
+        if deal:
+            values = mix64(values + np.uint64(deal) * np.uint64(0x9E3779B97F4A7C15))
+        part = (values >> np.uint64(32)) * parts[owner].astype(np.uint64) >> np.uint64(32)
+        first = np.cumsum(parts) - parts
+        at = first[owner] + part.astype(np.int64)
+        total = np.zeros(int(parts.sum()), np.uint64)
+        np.add.at(total, at, values)
+        count = np.bincount(at, minlength=len(total))
+        full = np.flatnonzero(count)
+        mine = np.repeat(np.arange(len(which)), parts)[full]
+        place = mix64((level[mine].astype(np.uint64) << np.uint64(40)) + (np.uint64(deal) << np.uint64(36)) + (full - first[mine]).astype(np.uint64))
+        out.append((which[mine], mix64(total[full] + place) + count[full].astype(np.uint64)))
+    empty = parts - np.bincount(mine, minlength=len(which))
+    again = empty > levels.spare[level]
+    _emit(flat, start, size, which[again], level[again], levels, deal + 1, out)
+
+
+def regions_of(sets: list[np.ndarray], join: Join) -> tuple[np.ndarray, np.ndarray]:
+    """(set, region) for all projections of the sets.  Sets so small that only an equal
+    one can link have none."""
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    high = join.differ(size)
+    if not len(size) or not high.max():
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    low = join.differ(-(-join.num * size // join.den))
+    levels = Levels(join, int(high.max()))
+    first, last = np.searchsorted(levels.h, np.maximum(low, 1)), np.searchsorted(levels.h, high)
+    flat, start = np.concatenate(sets), np.cumsum(size) - size
+    out: list[tuple[np.ndarray, np.ndarray]] = []
+    for step in range(int((last - first).max()) + 1):
+        which = np.flatnonzero((high > 0) & (first + step <= last))
+        _emit(flat, start, size, which, first[which] + step, levels, 0, out)
+    return np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
+
+
+# -------------------------------------------------------------------- sketches
+
+#: Longs of the short parity sketch, the metric within regions.
+SHORT = 8
+_SHORT = [f"f{k}" for k in range(SHORT)]
 
 
 def parity(s: np.ndarray) -> bytes:
@@ -132,6 +191,11 @@ def parity(s: np.ndarray) -> bytes:
     return np.packbits(np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1).tobytes()
 
 
+def short_parity(s: np.ndarray) -> np.ndarray:
+    odd = np.bincount((s & np.uint64(64 * SHORT - 1)).astype(np.int64), minlength=64 * SHORT).astype(np.uint8) & 1
+    return np.packbits(odd).view(np.int64)
+
+
 def hamming(a: bytes, b: bytes) -> int:
     x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
     while len(x) > len(y):
@@ -141,159 +205,253 @@ def hamming(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
-def _class(s: np.ndarray) -> int:
-    return int.from_bytes(hashlib.md5(s.tobytes()).digest()[:8], "little", signed=True)
+def _class(s: np.ndarray) -> bytes:
+    return hashlib.md5(s.tobytes()).digest()
 
 
-#: Longs of the short parity sketch that joins within regions test by themselves.
-SHORT = 8
-_SHORT = [f"f{k}" for k in range(SHORT)]
-_PROFILE = "doc_id long, key long, n_shingles long, cls long, prefix array<long>, sketch binary, " + ", ".join(f"{f} long" for f in _SHORT)
+_PROFILE = "doc_id long, key long, n_shingles long, cls binary, sketch binary, " + ", ".join(f"{f} long" for f in _SHORT)
+_SEEN = 2_000_000
 
 
-def profiles(documents: DataFrame, join: Join, order: np.ndarray) -> DataFrame:
-    """Per document its set's size and class (null if empty), and for the first one
-    of a class in each partition the window of regions and the parity sketch."""
-    shared = documents.sparkSession.sparkContext.broadcast(order)
+def profiles(documents: DataFrame, join: Join) -> DataFrame:
+    """Per document its set's size and class (null if empty), and for the first one of
+    a class in each partition its parity sketches."""
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, seen = shared.value, set()
+        seen = set()
         for batch, sets in _sets(batches, join.n):
-            cls, values, offsets, sketches = [], [], [0], []
+            cls, sketches = [], []
             short = np.zeros((len(sets), SHORT), np.int64)
             for at, s in enumerate(sets):
                 c = _class(s) if len(s) else None
                 cls.append(c)
                 if c is None or c in seen:
                     sketches.append(None)
-                    offsets.append(offsets[-1])
                     continue
                 seen.add(c)
-                rank = np.argsort(classes[(s >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)], kind="stable")
-                window = s[rank[: join.prefix(len(s))]]
-                values.append(window)
-                offsets.append(offsets[-1] + len(window))
                 sketches.append(parity(s))
-                odd = np.bincount((s & np.uint64(64 * SHORT - 1)).astype(np.int64), minlength=64 * SHORT).astype(np.uint8) & 1
-                short[at] = np.packbits(odd).view(np.int64)
-            if len(seen) > 2_000_000:
+                short[at] = short_parity(s)
+            if len(seen) > _SEEN:
                 seen.clear()
-            flat = np.concatenate(values).view(np.int64) if values else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
                     batch.column("key"),
                     pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array(cls, pa.int64()),
-                    pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat)),
+                    pa.array(cls, pa.binary()),
                     pa.array(sketches, pa.binary()),
                     *[pa.array(np.ascontiguousarray(short[:, k])) for k in range(SHORT)],
                 ],
-                ["doc_id", "key", "n_shingles", "cls", "prefix", "sketch", *_SHORT],
+                ["doc_id", "key", "n_shingles", "cls", "sketch", *_SHORT],
             )
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text").mapInArrow(profile, _PROFILE)
 
 
-_MEMBER = "s long, g int, cls long, n long, i int, p_cls long, p_n long, p_i int"
-_STATE = ["s", "g", "cls", "n", "i", "p_cls", "p_n", "p_i"]
+# --------------------------------------------------------------------- regions
 
 
-def members(reps: DataFrame, join: Join) -> DataFrame:
-    """Regions with company: a row for each set in a region that has another one of
-    compatible size, with the pivot of its band.
+def _binary(hi: np.ndarray, lo: np.ndarray) -> pa.Array:
+    both = np.stack([hi, lo], 1).astype(">i8")
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(hi), [None, pa.py_buffer(both.tobytes())]).cast(pa.binary())
 
-    Rows of a region arrive in order of size, so neighbours tell whether a set has
-    company, and a region is streamed: nothing is kept of it but one row.
-    """
-    step = float(np.log(join.den / join.num))
 
-    def near(n1, n2):
-        return np.minimum(n1, n2) * join.den >= np.maximum(n1, n2) * join.num
+def members(documents: DataFrame, join: Join) -> DataFrame:
+    """(s, cls, pivot): the sets of all regions that have two of them or more, with the
+    region's pivot, which is its first set.
 
-    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail: dict[str, np.ndarray] | None = None
-        company = False  # of the tail with the row before it
+    A region's rows arrive in order, and nothing is kept of it but one row."""
 
-        def out(x, keep):
-            return pa.RecordBatch.from_arrays([pa.array(x[c][keep]) for c in _STATE], _STATE)
+    def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
+        for _, sets in _sets(batches, join.n):
+            own, digests = [], []
+            for s in sets:
+                if join.differ(len(s)) and (c := _class(s)) not in seen:
+                    seen.add(c)
+                    own.append(s)
+                    digests.append(c)
+            if len(seen) > _SEEN:
+                seen.clear()
+            which, region = regions_of(own, join)
+            halves = np.frombuffer(b"".join(digests), ">i8").astype(np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(region.view(np.int64)), pa.array(halves[which, 0]), pa.array(halves[which, 1])], ["s", "hi", "lo"])
 
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # The last row so far with its region's pivot, and whether others were there.
+        tail, company = None, False
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("s", "cls", "n", "i")}
-            x["g"] = np.floor(np.log(x["n"]) / step + 1e-9).astype(np.int32)
+            rows = np.stack([batch.column(c).to_numpy() for c in ("s", "hi", "lo")])
             if tail is not None:
-                x = {c: np.concatenate([tail[c], x[c]]) for c in x}
-            m = len(x["s"])
-            new = np.ones(m, bool)
-            new[1:] = (x["s"][1:] != x["s"][:-1]) | (x["g"][1:] != x["g"][:-1])
-            new[0] = tail is None
-            at = np.maximum.accumulate(np.where(new, np.arange(m), -1))
-            for c in ("cls", "n", "i"):
-                pivot = x[c][np.maximum(at, 0)]
-                if tail is not None:
-                    pivot = np.where(at < 0, tail["p_" + c][0], pivot)
-                x["p_" + c] = pivot.astype(x[c].dtype)
-            beside = np.zeros(m + 1, bool)  # k: rows k-1 and k
-            beside[1:m] = (x["s"][1:] == x["s"][:-1]) & near(x["n"][1:], x["n"][:-1])
-            beside[0] = company
-            keep = beside[:-1] | beside[1:]
+                rows = np.concatenate([tail[:3, None], rows], 1)
+            new = np.ones(rows.shape[1], bool)
+            new[1:] = (rows[:, 1:] != rows[:, :-1]).any(0)  # a class that several partitions have
+            rows = rows[:, new]
+            opens = np.ones(rows.shape[1], bool)
+            opens[1:] = rows[0, 1:] != rows[0, :-1]
+            region = np.cumsum(opens) - 1
+            pivot = rows[1:, np.flatnonzero(opens)]
+            if tail is not None:
+                pivot[:, 0] = tail[3:]
+            shared = np.bincount(region) > 1
+            shared[0] |= company
+            keep = shared[region]
             keep[-1] = False
             if keep.any():
-                yield out(x, keep)
-            tail, company = {c: x[c][-1:] for c in _STATE}, bool(beside[m - 1])
+                at = region[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(rows[0, keep]), _binary(rows[1, keep], rows[2, keep]), _binary(pivot[0, at], pivot[1, at])], ["s", "cls", "pivot"])
+            tail, company = np.concatenate([rows[:, -1], pivot[:, -1]]), bool(shared[-1])
         if tail is not None and company:
-            yield out(tail, np.array([True]))
-
-    rows = reps.select("cls", F.col("n_shingles").alias("n"), F.posexplode("prefix").alias("i", "s"))
-    # The band of a region goes with it: neighbours in size must meet.
-    sorted_ = rows.select("s", "cls", "n", "i").repartition(F.col("s")).sortWithinPartitions("s", "n", "cls")
-    return sorted_.mapInArrow(stream, _MEMBER)
+            yield pa.RecordBatch.from_arrays([pa.array(tail[:1]), _binary(tail[1:2], tail[2:3]), _binary(tail[3:4], tail[4:])], ["s", "cls", "pivot"])
 
+    rows = documents.select("text").mapInArrow(replicate, "s long, hi long, lo long")
+    return rows.repartition("s").sortWithinPartitions("s", "hi", "lo").mapInArrow(stream, "s long, cls binary, pivot binary")
 
-def _compatible(join: Join, n1, i1, n2, i2):
-    """Sizes and positions allow the pair, if its first common shingle is this one."""
-    sizes = F.least(n1, n2) * join.den >= F.greatest(n1, n2) * join.num
-    need = join.num * (n1 + n2)
-    most = F.least(n1 - i1, n2 - i2)
-    return sizes & (most * (join.num + join.den) >= need)
 
+def voronoi_join(n: np.ndarray, sketch: np.ndarray, group: np.ndarray, join: Join, nearest: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of places of sets in different groups that sizes and sketches allow; for
+    each set outside the largest group the ``nearest`` ones only, if given.
 
-def _most(join: Join, both):
-    """Largest symmetric difference of linked sets with ``both`` elements together:
-    the intersection has t/(1+t) of these at least."""
-    return both - 2 * -(-join.num * both // (join.num + join.den))
+    Pivots create Voronoi cells; a cell's windows hold all sets that can be within reach
+    of one of its own by the triangle inequality; cells are split until they are small,
+    or until splitting no longer helps.
+    """
+    reach = int(join.apart(2 * int(n.max())))
+
+    def distances(x, y):
+        total = np.zeros((len(x), len(y)), np.int64)
+        for k in range(sketch.shape[1]):
+            total += np.bitwise_count(sketch[x, k][:, None] ^ sketch[y, k][None])
+        return total
+
+    def compare(own, window):
+        step = max(1, SMALL * 8 // len(window))
+        for at in range(0, len(own), step):
+            x = own[at : at + step]
+            d = distances(x, window)
+            ok = (d <= join.apart(n[x][:, None] + n[window][None])) & (group[x][:, None] != group[window][None])
+            if nearest and nearest < len(window):
+                d = np.where(ok, d, 1 << 30)
+                best = np.argpartition(d, nearest - 1, axis=1)[:, :nearest]
+                i, k = np.nonzero(np.take_along_axis(ok, best, 1))
+                yield x[i], window[best[i, k]]
+            else:
+                i, j = np.nonzero(ok)
+                yield x[i], window[j]
+
+    def split(own, window):
+        if len(own) * len(window) <= SMALL:
+            yield from compare(own, window)
+            return
+        pivots = window[np.unique(np.linspace(0, len(window) - 1, PIVOTS).astype(int))]
+        near, far = distances(own, pivots), distances(window, pivots)
+        cell, least = near.argmin(1), far.min(1)
+        for p in np.unique(cell):
+            mine = own[cell == p]
+            d = near[cell == p, p]
+            inside = (far[:, p] <= least + 2 * reach) & (far[:, p] <= d.max() + reach) & (far[:, p] >= d.min() - reach)
+            others = window[inside]
+            yield from (split if len(mine) * len(others) < 0.5 * len(own) * len(window) else compare)(mine, others)
+
+    main = np.bincount(group).argmax()
+    own = np.flatnonzero(group != main)
+    if len(own):
+        yield from split(own, np.arange(len(n)))
+
+
+def candidates(found: DataFrame, reps: DataFrame, groups: DataFrame | None, join: Join, nearest: int | None) -> DataFrame:
+    """Pairs (a, b) of classes in different components that a region holds both of and
+    that sizes and short sketches allow."""
+    own = found.select("s", "cls").join(groups.withColumnRenamed("node", "cls"), "cls", "left").select("s", "cls", F.coalesce("component", "cls").alias("component"))
+    own = materialize(own, "join-own")
+    mixed = own.groupBy("s").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count("*").alias("rows")).where("c1 <> c2")
+    blocks = F.ceil(F.col("rows") / REGION_ROWS).cast("int").alias("blocks")
+    own = own.join(mixed.select("s", blocks), "s").join(reps.select("cls", F.col("n_shingles").alias("n"), *_SHORT), "cls")
+    # A region of several blocks has a cell for each pair of blocks: a row goes to the
+    # pairs that its own block is in.
+    block = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.least(block, other) * 100_000 + F.greatest(block, other))
+    own = own.withColumn("cell", F.explode(pairs))
+    columns = ["s", "cell", "cls", "component", "n", *_SHORT]
+
+    def join_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def joined(table: pa.Table):
+            if not table.num_rows:
+                return
+            place = np.stack([table["s"].to_numpy(), table["cell"].to_numpy().astype(np.int64)])
+            edges = np.flatnonzero(np.concatenate([[True], (place[:, 1:] != place[:, :-1]).any(0), [True]]))
+            n = table["n"].to_numpy()
+            # Bits are counted without a sign.
+            sketch = np.stack([table[f].to_numpy() for f in _SHORT], 1).view(np.uint64)
+            group = table["component"].combine_chunks().dictionary_encode().indices.to_numpy()
+            cls = table["cls"].combine_chunks()
+            left, right = [], []
+            # Regions of two sets, the most of them, at once.
+            two = edges[:-1][np.diff(edges) == 2]
+            apart = np.bitwise_count(sketch[two] ^ sketch[two + 1]).sum(1) <= join.apart(n[two] + n[two + 1])
+            two = two[apart & (group[two] != group[two + 1])]
+            left.append(two)
+            right.append(two + 1)
+            for a, b in zip(edges[:-1], edges[1:]):
+                if b - a > 2:
+                    _, dense = np.unique(group[a:b], return_inverse=True)
+                    for i, j in voronoi_join(n[a:b], sketch[a:b], dense, join, nearest):
+                        left.append(i + a)
+                        right.append(j + a)
+                        if sum(map(len, left)) > 200_000:
+                            yield left, right
+                            left, right = [], []
+            yield left, right
+
+        def out(table):
+            for left, right in joined(table):
+                x, y = np.concatenate(left), np.concatenate(right)
+                if len(x):
+                    cls = table["cls"].combine_chunks()
+                    yield pa.RecordBatch.from_arrays([cls.take(pa.array(x)), cls.take(pa.array(y))], ["a", "b"])
 
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            if sum(h.num_rows for h in held) < 20_000:
+                continue
+            table = pa.Table.from_batches(held).combine_chunks()
+            s, cell = table["s"].to_numpy(), table["cell"].to_numpy()
+            last = len(s) - int(np.argmax(((s != s[-1]) | (cell != cell[-1]))[::-1])) if ((s != s[-1]) | (cell != cell[-1])).any() else 0
+            yield from out(table.slice(0, last))
+            held = table.slice(last).combine_chunks().to_batches()
+        if held:
+            yield from out(pa.Table.from_batches(held))
 
-def _short_sketches_allow(join: Join, n1: str, n2: str) -> Column:
-    both = F.col(n1) + F.col(n2)
-    most = both - 2 * F.ceil(join.num * both / (join.num + join.den))
-    return sum((F.bit_count(F.col(f + "1").bitwiseXOR(F.col(f + "2"))) for f in _SHORT[1:]), F.bit_count(F.col(_SHORT[0] + "1").bitwiseXOR(F.col(_SHORT[0] + "2")))) <= most
+    met = own.select(*columns).repartition("s", "cell").sortWithinPartitions("s", "cell").mapInArrow(join_cells, "a binary, b binary")
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _pairs(df: DataFrame) -> DataFrame:
-    return df.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+# -------------------------------------------------------------------- distances
 
 
 def sketched(pairs: DataFrame, reps: DataFrame, join: Join) -> DataFrame:
-    """Pairs (a, b) whose parity sketches do not rule them out."""
+    """Pairs (a, b) whose long parity sketches do not rule them out."""
     left = reps.select(F.col("cls").alias("a"), F.col("n_shingles").alias("n1"), F.col("sketch").alias("s1"))
     right = reps.select(F.col("cls").alias("b"), F.col("n_shingles").alias("n2"), F.col("sketch").alias("s2"))
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            most = _most(join, batch.column("n1").to_numpy() + batch.column("n2").to_numpy())
+            most = join.apart(batch.column("n1").to_numpy() + batch.column("n2").to_numpy())
             ok = [hamming(x.as_buffer(), y.as_buffer()) <= m for x, y, m in zip(batch.column("s1"), batch.column("s2"), most)]
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "n1", "n2", "s1", "s2").mapInArrow(test, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "n1", "n2", "s1", "s2").mapInArrow(test, "a binary, b binary")
 
 
-def fetch_sets(documents: DataFrame, profile: DataFrame, wanted: DataFrame, join: Join) -> DataFrame:
+def fetch_sets(documents: DataFrame, reps: DataFrame, wanted: DataFrame, join: Join) -> DataFrame:
     """(cls, items) for the classes ``wanted``: whole sets, from one text of each."""
-    one = profile.where("prefix is not null and size(prefix) > 0").join(wanted, "cls").groupBy("cls").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(_LOWEST)).alias("id"), "key")).alias("d"))
-    one = materialize(one.select("cls", "d.id", "d.key"), "join-wanted")
+    one = materialize(reps.join(wanted, "cls").select("cls", "id", "key"), "join-wanted")
     if one.count() <= BROADCAST_ROWS:
         one = F.broadcast(one)
     texts = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST)).alias("id"), F.xxhash64("text").alias("key"), "text").join(one, ["id", "key"])
@@ -302,67 +460,67 @@ def fetch_sets(documents: DataFrame, profile: DataFrame, wanted: DataFrame, join
         for batch, sets in _sets(batches, join.n):
             yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array([s.tobytes() for s in sets], pa.binary())], ["cls", "items"])
 
-    # Repeated rows of one id and text give a class twice.
-    return texts.select("cls", "text").mapInArrow(whole, "cls long, items binary")
+    # Repeated rows of one id and text would give a class twice.
+    one_text = texts.select("cls", "text").dropDuplicates(["cls"])
+    return materialize(one_text.mapInArrow(whole, "cls binary, items binary"), "join-sets")
 
 
-def measured(pairs: DataFrame, documents: DataFrame, profile: DataFrame, join: Join) -> DataFrame:
-    """(a, b, inter, total): intersection and union sizes of whole sets."""
+def measured(pairs: DataFrame, documents: DataFrame, reps: DataFrame, join: Join) -> DataFrame:
+    """(a, b, linked) by intersection and union of whole sets."""
     wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
-    sets = materialize(fetch_sets(documents, profile, wanted, join), "join-sets").dropDuplicates(["cls"])
+    sets = fetch_sets(documents, reps, wanted, join)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            inter, total = [], []
+            linked = []
             for x, y in zip(batch.column("x"), batch.column("y")):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                at = np.searchsorted(x, y)
-                same = int((x[np.minimum(at, len(x) - 1)] == y).sum())
-                inter.append(same)
-                total.append(len(x) + len(y) - same)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(inter, pa.int64()), pa.array(total, pa.int64())], ["a", "b", "inter", "total"])
+                same = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
+                linked.append(join.den * same >= join.num * (len(x) + len(y) - same))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
 
     left = sets.select(F.col("cls").alias("a"), F.col("items").alias("x"))
     right = sets.select(F.col("cls").alias("b"), F.col("items").alias("y"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(count, "a long, b long, inter long, total long")
-
-
-def class_links(documents: DataFrame, profile: DataFrame, join: Join) -> tuple[DataFrame, DataFrame]:
-    """Links (a, b) between classes of equal sets that make up exact components, and
-    the components (node, component) themselves."""
-    reps = profile.where("size(prefix) > 0").dropDuplicates(["cls"])
-    reps = materialize(reps.select("cls", "n_shingles", "prefix", "sketch", *_SHORT), "join-classes")
-    found = materialize(members(reps, join), "join-members")
-
-    pivots = found.where(_compatible(join, F.col("n"), F.col("i"), F.col("p_n"), F.col("p_i"))).select(F.col("cls").alias("a"), F.col("p_cls").alias("b"))
-    tested = materialize(sketched(_pairs(pivots), reps, join), "join-pairs")
-    distances = materialize(measured(tested, documents, profile, join), "join-distances")
-    linked = F.col("inter") * join.den >= F.col("total") * join.num
-    first = distances.where(linked).select("a", "b")
-    groups = components(first)
-
-    # Regions that hold sets of two components are joined between these.
-    near = distances.select("a", "b", (1 - F.col("inter") / F.col("total")).alias("d"))
-    near = near.union(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "d")).withColumnsRenamed({"a": "cls", "b": "p_cls"})
-    own = found.join(groups.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    mixed = own.groupBy("s").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("s")
-    own = own.join(mixed, "s").join(near, ["cls", "p_cls"], "left").withColumn("d", F.when(F.col("cls") == F.col("p_cls"), 0.0).otherwise(F.col("d")))
-    own = own.join(reps.select("cls", *_SHORT), "cls")
-    columns = ["g", "cls", "n", "i", "p_cls", "d", "component", *_SHORT]
-    own = materialize(own.select("s", *columns), "join-mixed")
-    # Both sides are one exchange of the same rows; bands that meet are a condition.
-    x, y = (own.select("s", *[F.col(c).alias(c + side) for c in columns]) for side in "12")
-    far = (F.col("p_cls1") == F.col("p_cls2")) & (F.abs(F.col("d1") - F.col("d2")) > 1 - join.ratio + 1e-9)
-    once = ((F.col("g1") == F.col("g2")) & (F.col("cls1") < F.col("cls2"))) | (F.col("g1") + 1 == F.col("g2"))
-    allowed = _compatible(join, F.col("n1"), F.col("i1"), F.col("n2"), F.col("i2")) & _short_sketches_allow(join, "n1", "n2")
-    met = x.join(y, "s").where(once & (F.col("component1") != F.col("component2")) & allowed & ~F.coalesce(far, F.lit(False)))
-    again = _pairs(met.select(F.col("cls1").alias("a"), F.col("cls2").alias("b"))).join(distances.select("a", "b"), ["a", "b"], "left_anti")
-    tested = materialize(sketched(again, reps, join), "join-again")
-    if tested.isEmpty():
-        return first, groups
-    second = materialize(measured(tested, documents, profile, join).where(linked).select("a", "b"), "join-links")
-    links = first.union(second)
-    return links, (components(links) if not second.isEmpty() else groups)
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(count, "a binary, b binary, linked boolean")
+
+
+def _grouped(links: DataFrame, groups: DataFrame | None) -> DataFrame:
+    """Components (node, component) of ``links`` on top of those that are known."""
+    if groups is None:
+        return materialize(components(links), "join-groups")
+    of = lambda side: groups.select(F.col("node").alias(side), F.col("component").alias("_" + side))
+    between = links.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    between = between.select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
+    merged = materialize(components(between), "join-merged")
+    moved = merged.select(F.col("node").alias("component"), F.col("component").alias("to"))
+    kept = groups.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    # A single set that has come to a component, or that others have come to.
+    return materialize(kept.union(merged.join(groups.select("node"), "node", "left_anti")), "join-groups")
+
+
+def class_groups(documents: DataFrame, join: Join = Join()) -> tuple[DataFrame, DataFrame]:
+    """Profiles of all documents (doc_id, key, n_shingles, cls), and the components
+    (node, component) of the classes that have links."""
+    documents = documents.select("doc_id", "text")
+    profile = materialize(profiles(documents, join), "join-profiles")
+    found = materialize(members(documents, join), "join-members")
+    known = found.select("cls").distinct()
+    reps = profile.where("sketch is not null").join(known, "cls").select("cls", "n_shingles", "sketch", *_SHORT, F.coalesce("doc_id", F.lit(_LOWEST)).alias("id"), "key")
+    reps = materialize(reps.dropDuplicates(["cls"]), "join-classes")
+
+    # Every set against one pivot of its regions.
+    pairs = found.groupBy("cls").agg(F.min("pivot").alias("pivot")).where("cls <> pivot").select(F.least("cls", "pivot").alias("a"), F.greatest("cls", "pivot").alias("b")).distinct()
+    groups, before = None, None
+    for nearest in (0, *ROUNDS):
+        if nearest != 0:
+            pairs = candidates(found, reps, groups, join, nearest).join(before, ["a", "b"], "left_anti")
+        tested = materialize(sketched(pairs, reps, join), "join-pairs")
+        if nearest != 0 and tested.isEmpty():
+            continue
+        distances = materialize(measured(tested, documents, reps, join), "join-distances")
+        groups = _grouped(distances.where("linked").select("a", "b"), groups)
+        before = distances.select("a", "b") if before is None else before.union(distances.select("a", "b"))
+    return profile.select("doc_id", "key", "n_shingles", "cls"), groups
 
 
 def near_duplicates(documents: DataFrame, join: Join = Join()) -> DataFrame:
@@ -372,40 +530,43 @@ def near_duplicates(documents: DataFrame, join: Join = Join()) -> DataFrame:
     those of white space have empty sets and are alone: class and group are null and
     component_id is the row's own id.  Repeated rows are in one class.  A null doc_id
     takes part; its component_id is the smallest id there is, null if there is none.
+    Texts of any length take part whole.  An empty table gives an empty result.
     """
-    documents = documents.select("doc_id", "text")
-    profile = materialize(profiles(documents, join, shingle_order(documents, join)), "join-profiles")
-    _, groups = class_links(documents, profile, join)
-    rows = profile.select("doc_id", "n_shingles", "cls").join(groups.withColumnRenamed("node", "cls"), "cls", "left")
-    rows = materialize(rows.select("doc_id", "n_shingles", "cls", F.coalesce("component", "cls").alias("grp")), "join-rows")
-    least = rows.where("grp is not null").groupBy("grp").agg(F.min("doc_id").alias("least"))
-    df = rows.join(least, "grp", "left")
-    own = F.when(F.col("grp").isNull(), F.col("doc_id")).otherwise(F.col("least"))
-    return df.select("doc_id", "n_shingles", F.col("cls").alias("class"), F.col("grp").alias("group"), own.alias("component_id"))
+    profile, groups = class_groups(documents, join)
+    # Ids are summed up by class before classes meet their group, so no key is hot
+    # but a class in the last join, whose rows come straight from a table.
+    least = profile.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least"))
+    least = materialize(least.join(groups.withColumnRenamed("node", "cls"), "cls", "left").select("cls", F.coalesce("component", "cls").alias("group"), "least"), "join-least")
+    ids = least.groupBy("group").agg(F.min("least").alias("component_id"))
+    ids = materialize(least.select("cls", "group").join(ids, "group"), "join-ids")
+    df = profile.join(ids, "cls", "left")
+    own = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return df.select("doc_id", "n_shingles", F.hex("cls").alias("class"), F.hex("group").alias("group"), own.alias("component_id"))
 
 
 def keep_one(documents: DataFrame, join: Join = Join()) -> DataFrame:
     """The documents, columns as given, with one of each group: the smallest doc_id
-    (null last), then by a hash of the text.  Rows without words all stay."""
-    narrow = documents.select("doc_id", "text")
-    profile = materialize(profiles(narrow, join, shingle_order(narrow, join)), "join-profiles")
-    _, groups = class_links(narrow, profile, join)
-    rows = profile.where("cls is not null").join(groups.withColumnRenamed("node", "cls"), "cls", "left")
-    last = F.coalesce("doc_id", F.lit(2**63 - 1))
-    rows = rows.select(last.alias("_id"), F.col("key").alias("_key"), F.coalesce("component", "cls").alias("grp")).groupBy("grp", "_id", "_key").agg(F.count("*").alias("rows"))
+    (null last), then by a hash of the text.  Rows without words (null, empty, white
+    space) all stay.  Of repeated rows of one id and text one stays.  An empty table
+    stays empty; columns of any name may come along."""
+    profile, groups = class_groups(documents, join)
+    last = F.coalesce("doc_id", F.lit(2**63 - 1)).alias("_id")
+    rows = profile.where("cls is not null").groupBy("cls", last, F.col("key").alias("_key")).agg(F.count("*").alias("rows"))
     rows = materialize(rows, "join-keep")
-    first = rows.groupBy("grp").agg(F.min(F.struct("_id", "_key")).alias("first"))
-    lost = materialize(rows.join(first, "grp").where(F.struct("_id", "_key") != F.col("first")).select("_id", "_key"), "join-lost")
+    first = rows.groupBy("cls").agg(F.min(F.struct("_id", "_key")).alias("first"))
+    first = materialize(first.join(groups.withColumnRenamed("node", "cls"), "cls", "left").select("cls", F.coalesce("component", "cls").alias("grp"), "first"), "join-first")
+    firsts = materialize(first.select("cls", "grp").join(first.groupBy("grp").agg(F.min("first").alias("first")), "grp").select("cls", "first"), "join-firsts")
+    lost = materialize(rows.join(firsts, "cls").where(F.struct("_id", "_key") != F.col("first")).select("_id", "_key"), "join-lost")
+    twice = materialize(rows.where("rows > 1").select("_id", "_key"), "join-twice")
     if lost.count() <= BROADCAST_ROWS:
         lost = F.broadcast(lost)
-    place = (F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)) == F.col("_id")) & (F.xxhash64("text") == F.col("_key"))
-    kept = documents.join(lost, place, "left_anti")
-    twice = rows.where("rows > 1").select("_id", "_key")
-    if twice.isEmpty():
-        return kept
-    # Rows of one id and text: the first of them stays.
-    again = kept.join(twice, place, "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(twice, place, "left_anti").unionByName(again)
+    packed = documents.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("_id"), F.xxhash64("text").alias("_key"))
+    kept = packed.join(lost, ["_id", "_key"], "left_anti")
+    if not twice.isEmpty():
+        # Rows of one id and text: the first of them stays.
+        again = kept.join(twice, ["_id", "_key"], "left_semi").dropDuplicates(["_id", "_key"])
+        kept = kept.join(twice, ["_id", "_key"], "left_anti").unionByName(again)
+    return kept.select("row.*")
 
 
 def oracle(join: Join) -> str:

@@ -177,11 +177,10 @@ def near_clusters(documents: DataFrame, join: ngram_join.Join = ngram_join.Join(
     """doc_id, source, n_tokens and ``cluster`` of each document: the group of near
     copies that its folded text is in.  Texts without words are one cluster."""
     plain = documents.select("doc_id", folded(F.col("text")).alias("text"))
-    profile = materialize(ngram_join.profiles(plain, join, ngram_join.shingle_order(plain, join)), "packing-profiles")
-    _, groups = ngram_join.class_links(plain, profile, join)
+    profile, groups = ngram_join.class_groups(plain, join)
     last = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("_id")
     known = profile.where("cls is not null").select(last, F.col("key").alias("_key"), "cls").distinct()
-    known = known.join(groups.withColumnRenamed("node", "cls"), "cls", "left").select("_id", "_key", F.coalesce("component", "cls").cast("string").alias("_group"))
+    known = known.join(groups.withColumnRenamed("node", "cls"), "cls", "left").select("_id", "_key", F.hex(F.coalesce("component", "cls")).alias("_group"))
     slim = documents.select("doc_id", "source", word_count(F.col("text")).alias("n_tokens"), text_cluster(F.col("text")).alias("_equal"), last, F.xxhash64(folded(F.col("text"))).alias("_key"))
     rows = slim.join(known, ["_id", "_key"], "left").select("doc_id", "source", "n_tokens", F.coalesce("_group", "_equal").alias("cluster"))
     return materialize(rows, "packing-clusters")
