@@ -13,7 +13,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text", "line_stats.*")
+    return line_dedup.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op2_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,3 +1,6 @@
+import random
+import re
+
 import duckdb
 import pandas as pd
 
@@ -23,17 +26,84 @@ DOCS = [
 
 
 def frame(spark, rows=DOCS):
-    return spark.createDataFrame([(*r, "keep") for r in rows], "doc_id long, text string, hash string")
+    return spark.createDataFrame([(*r, "keep", "mine") for r in rows], "doc_id long, text string, hash string, line_stats string")
+
+
+def brute(rows):
+    """Line by line: units by their bytes, first by id, then by place."""
+    units = {}
+    docs = {}
+    for r, (doc, text) in enumerate(rows):
+        lines = (text or "").split("\n")
+        worded = [(i, x, len([w for w in re.split("[\x20\x09-\x0d]+", x) if w])) for i, x in enumerate(lines)]
+        worded = [w for w in worded if w[2]]
+        docs[r] = lines, worded
+        own = [(k, a[1] + "\n" + b[1], [k, k + 1]) for k, (a, b) in enumerate(zip(worded, worded[1:]))]
+        own += [(k, a[1], [k]) for k, a in enumerate(worded) if a[2] >= line_dedup.LONG_WORDS]
+        for k, bytes_, of in own:
+            units.setdefault(bytes_, []).append((2**63 - 1 if doc is None else doc, k, r, of))
+    lost = {r: set() for r in docs}
+    for places in units.values():
+        least = min(p[0] for p in places)
+        for doc, k, r, of in places:
+            if doc != least or k != min(p[1] for p in places if p[2] == r):
+                lost[r].update(of)
+    out = []
+    for r, (lines, worded) in docs.items():
+        gone, run = set(), []
+        for k in [*sorted(lost[r]), None]:
+            if run and (k is None or k != run[-1] + 1):
+                if sum(worded[x][2] for x in run) >= line_dedup.LEAST_WORDS:
+                    gone.update(range(worded[run[0]][0], worded[run[-1]][0] + 1))
+                run = []
+            run.append(k)
+        doc, text = rows[r]
+        out.append((doc, None if text is None else "\n".join(x for i, x in enumerate(lines) if i not in gone), 0 if text is None else len(lines), len(gone)))
+    return out
 
 
-def test_matches_sql(spark):
-    got = line_dedup.dedup_lines(frame(spark)).select("doc_id", "text", "line_stats.*").collect()
+def by_sql(rows):
     con = duckdb.connect()
-    documents = pd.DataFrame(DOCS, columns=["doc_id", "text"]).astype({"doc_id": "Int64"})  # noqa: F841
+    documents = pd.DataFrame(rows, columns=["doc_id", "text"]).astype({"doc_id": "Int64"})  # noqa: F841
     con.sql("CREATE TABLE t AS SELECT * FROM documents")
     con.sql("CREATE VIEW documents AS SELECT * FROM t")
-    want = con.sql(line_dedup.oracle()).fetchall()
-    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+    return con.sql(line_dedup.oracle()).fetchall()
+
+
+def corpus(seed):
+    rng = random.Random(seed)
+    sentence = lambda n: " ".join(rng.choice("alpha beta gamma delta epsilon zeta".split()) + str(rng.randrange(400)) for _ in range(n))
+    passages = [[sentence(rng.randrange(9, 30)) for _ in range(rng.randrange(2, 8))] for _ in range(12)]
+    common = [sentence(3) for _ in range(4)]
+    rows = []
+    for k in range(150):
+        parts = [rng.choice([[sentence(12)], [rng.choice(common)], [""], rng.choice(passages), [sentence(60)], rng.choice(rows)[1].split("\n")[:5] if rows else [""]]) for _ in range(rng.randrange(1, 7))]
+        rows.append((k, "\n".join(x for p in parts for x in p)))
+    return rows + [rows[3], (3, rows[3][1] + "\nmore"), (None, rows[5][1])], passages
+
+
+def test_matches_brute_force_and_sql(spark):
+    for rows in (DOCS, corpus(1)[0], corpus(2)[0]):
+        got = sorted(map(tuple, line_dedup.report(frame(spark, rows).repartition(3)).collect()), key=repr)
+        want = sorted(brute(rows), key=repr)
+        assert got == want
+        assert sorted(by_sql(rows), key=repr) == want
+
+
+def test_repeated_passages_go_and_their_text_stays_once(spark):
+    rows, passages = corpus(3)
+    rows = rows[:150]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(frame(spark, rows)).collect()}
+    whole = "\n".join(got[k] for k in range(150))
+    copies = left = 0
+    for p in passages:
+        if sum(len(x.split()) for x in p) <= 50:
+            continue
+        for x in p:
+            assert x in whole
+            copies += sum(t.split("\n").count(x) for _, t in rows) - 1
+            left += sum(t.split("\n").count(x) for t in got.values()) - 1
+    assert copies > 200 and left <= 0.02 * copies
 
 
 def test_passage_goes_but_for_its_first_place(spark):
@@ -42,9 +112,10 @@ def test_passage_goes_but_for_its_first_place(spark):
     rows = {}
     for r in df.collect():
         rows.setdefault(r.doc_id, r)
-    assert rows[1].text == DOCS[0][1] and rows[2].line_stats.removed_lines > 5
-    assert rows[2].text.startswith("other start") and LONG in rows[2].text and rows[3].text == "last"
+    assert rows[1].text == DOCS[0][1] and rows[2].text == f"other start\nmore\n{LONG}\nother end"
+    assert rows[3].text == "last" and rows[4].text == "" and rows[None].text == "null id"
     assert rows[6].text is None and rows[7].text == "" and rows[8].text == rows[9].text == "\n\n\n\n"
+    assert {r.line_stats for r in rows.values()} == {"mine"}
 
 
 def test_both_joins_agree(spark, monkeypatch):
