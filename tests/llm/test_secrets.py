@@ -1,5 +1,9 @@
 import hashlib
+import math
+import random
 import re
+import time
+from collections import Counter, defaultdict
 
 from ensemblage.llm import secrets
 
@@ -51,5 +55,119 @@ def test_battery_finds_random_tokens_only(spark):
     assert rows[0].spans == f"random:4:{4 + 32}"
 
 
+ALPHABETS = [
+    ("[0-9a-f]+", "0123456789abcdef", "abcdef", "0123456789", None),
+    ("[0-9A-F]+", "0123456789ABCDEF", "ABCDEF", "0123456789", None),
+    ("[A-Z2-7]+", "234567ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", secrets.LETTERS),
+    ("[A-Za-z0-9]+", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "abcdefghijklmnopqrstuvwxyz", "abcdefghijklmnopqrstuvwxyz", secrets.LETTERS),
+    (".*", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/", "abcdefghijklmnopqrstuvwxyz", "abcdefghijklmnopqrstuvwxyz", secrets.LETTERS),
+]
+
+
+def log_tail(z):
+    upper = lambda x: -x * x / 2 - math.log(x + math.sqrt(x * x + 8 / math.pi)) + math.log(2 / math.sqrt(2 * math.pi))
+    return upper(z) if z > 0 else math.log(max(1 - math.exp(upper(-z)), 1e-12))
+
+
+def judge(token):
+    """(encoding, stratum), whether the token may be random, and -log10 p."""
+    bare = token.rstrip("=")
+    which, (_, alphabet, ones, symbols, usual) = next((k, a) for k, a in enumerate(ALPHABETS) if re.fullmatch(a[0], bare))
+    ranks = [alphabet.index({"-": "+", "_": "/"}.get(c, c)) for c in bare]
+    n, a = len(ranks), len(alphabet)
+    if n < 3:
+        return (which, n), False, 0
+    middle, spread = (a - 1) / 2, (a * a - 1) / 12
+    count = Counter(ranks)
+    squares = sum(c * c for c in count.values())
+    side = [alphabet[r] in ones for r in ranks]
+    changes = sum(x != y for x, y in zip(side, side[1:]))
+    lagged = sum((x - middle) * (y - middle) for x, y in zip(ranks, ranks[1:])) / spread
+    p = len(ones) / a
+    pq = p * (1 - p)
+    z = [
+        (sum((count[k] - n / a) ** 2 / (n / a) for k in range(a)) - (a - 1)) / math.sqrt(2 * (a - 1)),
+        (changes - (n - 1) * 2 * pq) / math.sqrt((n - 1) * 2 * pq * (1 - 2 * pq) + 2 * (n - 2) * (pq - 4 * pq * pq)),
+        lagged / math.sqrt(n - 1),
+    ]
+    q = dict(zip(symbols, usual or [1] * len(symbols)))
+    q = {alphabet.index(c): v / sum(q.values()) for c, v in q.items()}
+    x = {r: (r - middle) / math.sqrt(spread) for r in q}
+    equal, triple = sum(v**2 for v in q.values()), sum(v**3 for v in q.values())
+    mean = sum(q[r] * x[r] for r in q)
+    variance = sum(q[r] * x[r] ** 2 for r in q) - mean**2
+    towards = [
+        (equal - sum(c * (c - 1) for c in count.values()) / (n * (n - 1))) / math.sqrt((2 * (equal - equal**2) + 4 * (n - 2) * (triple - equal**2)) / (n * (n - 1))),
+        (changes - 0.5 - (n - 1) * secrets.CHANGE) / math.sqrt((n - 1) * secrets.CHANGE * (1 - secrets.CHANGE)),
+        (mean**2 - lagged / (n - 1)) / math.sqrt((variance**2 + 4 * mean**2 * variance) / (n - 1)),
+    ]
+    t = -2 * sum(map(log_tail, towards)) / secrets.DEPENDENCE
+    tail = (t / 2 - math.log(1 + t / 2 + t * t / 8)) / math.log(10)
+    return (which, int(math.log2(n))), z[0] < 3.29 and abs(z[1]) < 3.29 and abs(z[2]) < 3.29, min(max(math.floor(tail * 100), 0), secrets.BINS - 1)
+
+
+def brute_random(rows):
+    strata, tokens = defaultdict(list), []
+    for r, text in enumerate(rows):
+        taken = [tuple(map(int, b.split(":")[1:])) for b in base(text)]
+        for m in re.finditer("[A-Za-z0-9+/_=-]{20,}", text or ""):
+            if not any(s < m.end() and m.start() < e for s, e in taken):
+                stratum, passes, bin_ = judge(m[0])
+                strata[stratum].append(bin_)
+                tokens.append((r, m.start(), m.end(), stratum, passes, bin_))
+    least = {}
+    for stratum, bins in strata.items():
+        bins = sorted(bins, reverse=True)
+        ok = [b for k, b in enumerate(bins) if 10 ** (-b / 100) <= secrets.FDR * (len(bins) - bins[::-1].index(b)) / len(bins)]
+        least[stratum] = min(ok, default=secrets.BINS)
+    return {(r, s, e) for r, s, e, stratum, passes, b in tokens if passes and b >= least[stratum]}
+
+
+def sample(seed):
+    rng = random.Random(seed)
+    rows = []
+    for _ in range(60):
+        parts = []
+        for _ in range(rng.randrange(12)):
+            n = rng.randrange(20, 70)
+            alphabet = rng.choice([a[1] for a in ALPHABETS] + ["abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"])
+            words = "_".join(rng.choice(["release", "candidate", "Final", "user", "x", "2024", "getName"]) for _ in range(6))
+            parts.append(rng.choice(["".join(rng.choices(alphabet, k=n)), words, words.replace("_", ""), "word", "token=" + "z" * n, "1234567890" * 3, "=" * 30, "ünï 😀"]))
+        rows.append(rng.choice([" ", "\n"]).join(parts))
+    return [*rows, None, "", "A" * 3000 + " " + "".join(rng.choices(ALPHABETS[3][1], k=5000))]
+
+
+def test_random_spans_match_python(spark):
+    for seed in (1, 2):
+        rows = sample(seed)
+        df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+        got = {(r.doc_id, *map(int, s.split(":")[1:])) for r in secrets.find_secrets(df).collect() for s in r.spans.split(",") if s.startswith("random")}
+        want = brute_random(rows)
+        assert got == want and len(want) > 20
+
+
+def test_random_tokens_are_found_and_words_are_not():
+    rng = random.Random(4)
+    alphabets = [a[1] for a in ALPHABETS[2:]] + ["abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"]
+    kinds = ["release", "candidate", "internal", "configuration", "user", "the", "manager", "Options", "Builder", "2024", "v2"]
+    for alphabet in alphabets:
+        keys = ["".join(rng.choices(alphabet, k=40)) for _ in range(200)]
+        words = [rng.choice(["_", "-", "", "/"]).join(rng.choices(kinds, k=6)) for _ in range(200)]
+        found = brute_random([k for k in keys + words])
+        # One case and few digits come near to what an ordinary token is.
+        assert sum(r < 200 for r, _, _ in found) >= (100 if len(alphabet) == 32 else 185) and sum(r >= 200 for r, _, _ in found) <= 4
+
+
+def test_many_matches_take_less_than_a_square(spark):
+    def seconds(n):
+        df = spark.createDataFrame([(1, " ".join(["0123456789abcdef" * 2, "zz" * 12][k % 2] for k in range(n)))], "doc_id long, text string")
+        began = time.time()
+        assert secrets.find_secrets(df).first().n_hex == n // 2
+        return time.time() - began
+
+    seconds(10)
+    assert seconds(8000) < 8 * max(seconds(2000), 1)
+
+
 def test_empty_table(spark):
     assert secrets.find_secrets(spark.createDataFrame([], "doc_id long, text string")).count() == 0
