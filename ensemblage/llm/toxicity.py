@@ -11,9 +11,11 @@ Score.  Words and their first 4 to 6 bytes are features.  The evidence of a feat
 the log-odds of its shrunken precision on labelled texts; a text's evidence is that of
 its strongest feature, and two-fold cross-fitting calibrates it to a probability.
 
-Learning takes at most ``TRAIN_ROWS`` labelled texts, of ``TRAIN_CHARS`` characters at
-most, in order of a hash of their id: bounds of what the driver holds.  Scoring takes
-every whole text, row by row, without a shuffle.
+Trigrams are counted over all documents.  The lexicon learns from at most ``TRAIN_ROWS``
+labelled texts of any length, those with the smallest hashes of their ids; a histogram of
+the hashes finds the bound.  Executors restore these texts and count their features; the
+driver gets the features that toxic texts share, and the evidence of each text.  Scoring
+takes every whole text, row by row, without a shuffle.
 """
 
 from __future__ import annotations
@@ -26,15 +28,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PUNCTUATION, Words, row_slices, text_buffers
+from .common import PUNCTUATION, Words, materialize, md5_int, row_slices, text_buffers
 from .ctw import held_out
 
 TRAIN_ROWS = 12_000
-TRAIN_CHARS = 20_000
 THRESHOLD = 0.3
 PREFIXES = (4, 5, 6)
 SLICE_BYTES = 2 << 20
@@ -176,7 +176,7 @@ class Channel:
         words = [self.decode(clean(s)) for s in dict.fromkeys(found)]
         for s in dict.fromkeys(spaced):
             words += self.decode(s.lower(), True).split()
-        return [w for w in words if len(w) > 2]
+        return [w for w in words if w]
 
 
 _DIGIT_OR_SYMBOL = np.zeros(256, bool)
@@ -258,43 +258,37 @@ class Model:
         return 1 / (1 + np.exp(-(self.scale * self.strongest(data, offsets) + self.shift)))
 
 
-def _lexicon(data, offsets, toxic: np.ndarray, rows: np.ndarray, chars) -> Model:
-    """Evidence of the features that some toxic ``rows`` share."""
-    ones, zeros = float((toxic & rows).sum()), float((~toxic & rows).sum())
+def feature_counts(data: np.ndarray, offsets: np.ndarray, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct features, and in how many rows of each cell (2 * half + toxic) they are."""
+    rows, hashes = map(np.concatenate, zip(*features(data, offsets)))
+    order = np.lexsort((rows, hashes))
+    rows, hashes = rows[order], hashes[order]
+    new = np.ones(len(rows), bool)
+    new[1:] = (rows[1:] != rows[:-1]) | (hashes[1:] != hashes[:-1])
+    h, at = np.unique(hashes[new], return_inverse=True)
+    return h, np.bincount(at * 4 + cell[rows[new]], minlength=4 * len(h)).reshape(-1, 4)
+
+
+#: Cells of all rows, and of either half.
+_ALL, _HALVES = ([0, 2], [1, 3]), (([0], [1]), ([2], [3]))
+
+
+def lexicon(h: np.ndarray, n: np.ndarray, totals: np.ndarray, cells, chars) -> Model:
+    """Evidence of the features that some toxic rows of the ``cells`` share."""
+    zeros, ones = (float(totals[c].sum()) for c in cells)
     prior = (ones + 0.5) / (ones + zeros + 1)
     none = math.log(prior / (1 - prior))
-
-    def counted(chosen: np.ndarray, among: np.ndarray | None):
-        found = []
-        for a, b in row_slices(offsets, SLICE_BYTES):
-            if not chosen[a:b].any():
-                continue
-            for row, h in features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]):
-                mine = chosen[a:b][row]
-                row, h = row[mine], h[mine]
-                if among is not None:
-                    at = np.minimum(np.searchsorted(among, h), len(among) - 1)
-                    row, h = row[among[at] == h], h[among[at] == h]
-                order = np.lexsort((h, row))
-                row, h = row[order], h[order]
-                first = np.ones(len(h), bool)
-                first[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-                found.append(h[first])
-        return np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
-
-    h, a = counted(toxic & rows, None)
-    h, a = h[a >= _LEAST_TEXTS], a[a >= _LEAST_TEXTS]
-    b = np.zeros(len(h))
-    if len(h):
-        others, n = counted(~toxic & rows, h)
-        b[np.searchsorted(h, others)] = n
+    b, a = (n[:, c].sum(1).astype(float) for c in cells)
+    shared = a >= _LEAST_TEXTS
+    h, a, b = h[shared], a[shared], b[shared]
     p = (a + _SHRINK * prior) / (a + b + _SHRINK)
     evidence = np.log(p / (1 - p))
     # Only what chance does not explain: log-likelihood ratio against the prior.
-    share = np.clip(a / (a + b), 1e-12, 1 - 1e-12) if len(h) else p
+    share = np.clip(a / (a + b), 1e-12, 1 - 1e-12)
     gain = a * np.log(share / prior) + b * np.log((1 - share) / (1 - prior))
     keep = (gain > LEAST_GAIN) & (evidence > none + 0.5)
-    return Model(chars, h[keep], evidence[keep], none, 1.0, 0.0)
+    order = np.argsort(h[keep])
+    return Model(chars, h[keep][order], evidence[keep][order], none, 1.0, 0.0)
 
 
 def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -321,45 +315,130 @@ def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def learn(data: np.ndarray, offsets: np.ndarray, toxic: np.ndarray) -> Model:
-    """A model of texts (UTF-8 bytes, row offsets) and their labels."""
-    slices = [(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in row_slices(offsets, SLICE_BYTES)]
-    chars = sum((CharModel.count(d) for d, _ in slices), np.zeros((27, 27, 27)))
-    channel = Channel(CharModel(chars))
-    slices = [with_restored(d, o, channel) for d, o in slices]
-    data = np.concatenate([np.zeros(0, np.uint8), *(d for d, _ in slices)])
-    offsets = np.concatenate([[0], np.cumsum(np.concatenate([np.zeros(0, np.int64), *(np.diff(o) for _, o in slices)]))]).astype(np.int64)
-    del slices, channel
-    every = np.ones(len(toxic), bool)
-    model = _lexicon(data, offsets, toxic, every, chars)
-    if not len(toxic):
-        return Model(chars, model.hashes, model.evidence, model.none, 0.0, -30.0)
-    # Each half is measured with the other half's lexicon; both labels are halved.
-    half = np.zeros(len(toxic), bool)
-    half[np.flatnonzero(toxic)[::2]] = True
-    half[np.flatnonzero(~toxic)[::2]] = True
+    """A model of texts (UTF-8 bytes, row offsets) and their labels, in one place."""
+    chars = CharModel.count(data)
+    data, offsets = with_restored(data, offsets, Channel(CharModel(chars)))
+    cell = toxic.astype(np.int64)
+    # Both labels are halved.
+    cell[np.flatnonzero(toxic)[::2]] += 2
+    cell[np.flatnonzero(~toxic)[::2]] += 2
+    h, n = feature_counts(data, offsets, cell)
+    totals = np.bincount(cell, minlength=4)
     x = np.zeros(len(toxic))
-    for mine in (half, ~half):
-        other = _lexicon(data, offsets, toxic, ~mine, chars)
-        for a, b in row_slices(offsets, SLICE_BYTES):
-            s = other.strongest(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-            x[a:b] = np.where(mine[a:b], s, x[a:b])
-    model.scale, model.shift = _calibrate(x, toxic.astype(float))
+    for half in (0, 1):
+        mine = cell // 2 == half
+        x[mine] = lexicon(h, n, totals, _HALVES[1 - half], chars).strongest(data, offsets)[mine]
+    return _calibrated(lexicon(h, n, totals, _ALL, chars), x, toxic)
+
+
+def _calibrated(model: Model, x: np.ndarray, toxic: np.ndarray) -> Model:
+    """Each half is measured with the other half's lexicon (``x``)."""
+    model.scale, model.shift = _calibrate(x, toxic.astype(float)) if len(x) else (0.0, -30.0)
     return model
 
 
+def char_counts(documents: DataFrame) -> np.ndarray:
+    """Trigrams of the letters of all documents: 19,683 sums, whatever the corpus."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(27**3, np.int64)
+        for batch in batches:
+            data, offsets = text_buffers(batch.column(0))
+            for a, b in row_slices(offsets, SLICE_BYTES):
+                total += CharModel.count(data[offsets[a] : offsets[b]]).ravel().astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(27**3, dtype=np.int32)), pa.array(total)], ["trigram", "n"])
+
+    # A line feed keeps the words of two texts apart.
+    texts = documents.select(F.concat(F.col("text"), F.lit("\n")).alias("text"))
+    found = texts.mapInArrow(count, "trigram int, n long").groupBy("trigram").agg(F.sum("n").alias("n")).toArrow()
+    chars = np.zeros(27**3)
+    chars[found["trigram"].to_numpy()] = found["n"].to_numpy()
+    return chars.reshape(27, 27, 27)
+
+
+def chosen_labels(labels: DataFrame) -> DataFrame:
+    """(doc_id, toxic, rank) of the training ids: those of the smallest hashes, as many
+    as ``TRAIN_ROWS`` allows.  Nothing is sorted: a histogram of 65536 cells finds the
+    bound, and is taken again within its first cell while that alone is too large."""
+    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), 4, 2)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = known.withColumn("rank", md5_int(F.concat(F.lit("toxicity:"), F.col("doc_id").cast("string")), 12))
+    width = 1 << 48
+    while True:
+        step = max(1, width >> 16)
+        cells = known.where(F.col("rank") < width).groupBy(F.floor(F.col("rank") / step).alias("cell")).agg(F.count("*").alias("n")).collect()
+        total, bound = 0, width
+        for cell, n in sorted(cells):
+            total += n
+            if total > TRAIN_ROWS:
+                bound = cell * step
+                break
+        if bound or step == 1:
+            return known.where(F.col("rank") < max(bound, 1))
+        width = step
+
+
 def fit(documents: DataFrame, labels: DataFrame) -> Model:
     """Learn from the labelled rows outside the held-out part (remainder 2 of 4)."""
-    # Ids are chosen among labels, so that only the chosen texts move.
-    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), 4, 2)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    order = F.md5(F.concat(F.lit("toxicity:"), F.col("doc_id").cast("string")))
-    chosen = known.orderBy(order, "doc_id").limit(TRAIN_ROWS).toArrow()
-    chosen = documents.sparkSession.createDataFrame(chosen.to_pandas(), "doc_id long, toxic long")
-    texts = documents.select("doc_id", "text").where(F.length("text") <= TRAIN_CHARS).join(F.broadcast(chosen), "doc_id")
+    chars = char_counts(documents)
+    shared = documents.sparkSession.sparkContext.broadcast(chars)
+    # At most TRAIN_ROWS ids.
+    chosen = F.broadcast(materialize(chosen_labels(labels), "tox-labels"))
+    cell = ((F.col("rank") % 2) * 2 + (F.col("toxic") > 0).cast("long")).alias("cell")
+    texts = documents.select("doc_id", "text").join(chosen, "doc_id").where("text is not null")
     # Of several rows of one id the least text counts.
-    rows = texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).toArrow()
-    rows = rows.take(pa.compute.sort_indices(rows["doc_id"]))
-    data, offsets = text_buffers(rows["text"])
-    return learn(data, offsets, rows["toxic"].to_numpy() > 0)
+    texts = texts.groupBy("doc_id", cell).agg(F.min("text").alias("text")).select("cell", "text")
+
+    def restore(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        channel = Channel(CharModel(shared.value))
+        for batch in batches:
+            data, offsets = text_buffers(batch.column("text"))
+            for a, b in row_slices(offsets, SLICE_BYTES):
+                d, o = with_restored(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], channel)
+                text = pa.LargeBinaryArray.from_buffers(pa.large_binary(), b - a, [None, pa.py_buffer(o.astype(np.int64).tobytes()), pa.py_buffer(np.ascontiguousarray(d).tobytes())])
+                yield pa.RecordBatch.from_arrays([batch.column("cell").slice(a, b - a), text.cast(pa.binary())], ["cell", "text"])
+
+    # Texts are few and uneven: restoring them is spread over all cores.
+    texts = materialize(texts.repartition(documents.sparkSession.sparkContext.defaultParallelism * 4), "tox-texts")
+    training = materialize(texts.mapInArrow(restore, "cell long, text binary"), "tox-training")
+
+    def slices(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            data, offsets = text_buffers(batch.column("text").cast(pa.large_binary()).view(pa.large_string()))
+            cell = batch.column("cell").to_numpy()
+            for a, b in row_slices(offsets, SLICE_BYTES):
+                yield cell[a:b], data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell, data, offsets in slices(batches):
+            h, n = feature_counts(data, offsets, cell)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), *[pa.array(np.ascontiguousarray(n[:, k])) for k in range(4)]], ["h", *_CELLS])
+
+    totals = np.zeros(4, np.int64)
+    for row in training.groupBy("cell").agg(F.count("*").alias("n")).collect():
+        totals[row.cell] = row.n
+    counts = training.mapInArrow(count, "h long, " + ", ".join(f"{c} long" for c in _CELLS)).groupBy("h").agg(*[F.sum(c).alias(c) for c in _CELLS])
+
+    def speaks(cells):
+        """What may be evidence: enough toxic texts, and more of them than among all."""
+        b, a = (sum((F.col(_CELLS[k]) for k in c[1:]), F.col(_CELLS[c[0]])) for c in cells)
+        ones, rows = float(totals[cells[1]].sum()), float(totals[cells[0] + cells[1]].sum())
+        return (a >= _LEAST_TEXTS) & (a * rows >= (a + b) * ones)
+
+    found = counts.where(speaks(_ALL) | speaks(_HALVES[0]) | speaks(_HALVES[1])).toArrow()
+    h, n = found["h"].to_numpy().view(np.uint64), np.stack([found[c].to_numpy() for c in _CELLS], 1)
+    halves = documents.sparkSession.sparkContext.broadcast([lexicon(h, n, totals, _HALVES[1 - half], chars) for half in (0, 1)])
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell, data, offsets in slices(batches):
+            x = np.where(cell < 2, *(m.strongest(data, offsets) for m in halves.value))
+            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(x)], ["cell", "x"])
+
+    # A number for each training text.
+    evidence = training.mapInArrow(measure, "cell long, x double").toArrow()
+    return _calibrated(lexicon(h, n, totals, _ALL, chars), evidence["x"].to_numpy(), evidence["cell"].to_numpy() % 2 == 1)
+
+
+_CELLS = [f"n{k}" for k in range(4)]
 
 
 def score_documents(documents: DataFrame, model: Model, columns: list[str] | None = None) -> DataFrame:
@@ -397,7 +476,11 @@ def toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def reject_toxic(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that score under ``threshold``, columns as given."""
+    """The documents that score under ``threshold``, columns as given.
+
+    Null and empty texts score as texts without evidence and stay; each of several
+    repeated rows is judged by its own text; an empty table stays empty; columns of any
+    name may come along.  Very long texts are scored whole."""
     packed = documents.select(F.struct("*").alias("row"), "text")
     df = score_documents(packed, fit(documents, labels), ["row"])
     return df.where(F.col("tox_score") < threshold).select("row.*")

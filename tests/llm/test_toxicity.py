@@ -1,10 +1,13 @@
+import math
 import random
+import re
 import time
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from ensemblage.llm import toxicity as tox
 from ensemblage.llm.common import text_buffers
@@ -110,3 +113,53 @@ def test_query_with_nulls_repeats_and_clashing_columns(spark):
     assert kept.columns == docs.columns and 300 < kept.count() < len(rows)
     assert tox.toxicity(docs.limit(0), labels).count() == 0
     assert all(r.score < 0.3 for r in tox.toxicity(docs, labels.limit(0)).collect())
+
+
+def test_scores_match_brute_force(spark):
+    """The query's scores from sets of features in Python, given the decoder (which is
+    held against all paths above)."""
+    rng = random.Random(5)
+    texts = {i: sentence(rng, i % 6 == 0) + rng.choice(["", " 1d10t", " s t u p i d day", " the riverrrr"]) * (i % 7 == 0) for i in range(700)}
+    texts[900] = " ".join(sentence(rng, False) for _ in range(900)) + " moron"
+    toxic = {i: int(any(w in t for w in TOXIC) or "1d10t" in t or "s t u p" in t) for i, t in texts.items()}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, v) for i, v in toxic.items() if i % 10], "doc_id long, toxic int")
+    chars = sum(tox.CharModel.count(np.frombuffer((t + "\n").encode(), np.uint8)) for t in texts.values())
+    assert (tox.char_counts(docs) == chars).all()
+    channel = tox.Channel(tox.CharModel(chars))
+
+    def features(text):
+        words = re.findall("[A-Za-z0-9\x80-\U0010ffff]+", " ".join([text, *channel.restored(text)]).lower())
+        return {*words, *((n, w[:n]) for w in words for n in tox.PREFIXES if len(w) > n)}
+
+    rank = {r.doc_id: r["rank"] for r in tox.chosen_labels(labels).collect()}
+    assert set(rank) == {i for i in texts if i % 10 and zlib.crc32(str(i).encode()) % 4 != 2}
+    of = {i: features(t) for i, t in texts.items()}
+
+    def evidence(ids):
+        ones = sum(toxic[i] for i in ids)
+        prior = (ones + 0.5) / (len(ids) + 1)
+        none = math.log(prior / (1 - prior))
+        out = {}
+        for f in set().union(*(of[i] for i in ids if toxic[i])):
+            a, b = (sum(f in of[i] for i in ids if toxic[i] == k) for k in (1, 0))
+            p = (a + 4 * prior) / (a + b + 4)
+            gain = a * math.log(a / (a + b) / prior) + (b * math.log(b / (a + b) / (1 - prior)) if b else 0)
+            if a >= 3 and gain > 10 and math.log(p / (1 - p)) > none + 0.5:
+                out[f] = math.log(p / (1 - p))
+        return lambda text_features: max([none, *(out[f] for f in text_features if f in out)])
+
+    halves = [evidence([i for i in rank if rank[i] % 2 == half]) for half in (0, 1)]
+    x = np.array([halves[1 - rank[i] % 2](of[i]) for i in rank])
+    scale, shift = tox._calibrate(x, np.array([float(toxic[i]) for i in rank]))
+    every = evidence(list(rank))
+    got = {r.doc_id: r.score for r in tox.toxicity(docs, labels).collect()}
+    for i in texts:
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-(scale * every(of[i]) + shift))), rel=1e-4)
+    assert got[900] >= tox.THRESHOLD
+
+
+def test_training_ids_are_bounded(spark, monkeypatch):
+    labels = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit(1).alias("toxic"))
+    monkeypatch.setattr(tox, "TRAIN_ROWS", 300)
+    assert 250 < tox.chosen_labels(labels).count() <= 300
