@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .grid import EPS, finite_difference, interpolate, trapezoid
+from .grid import EPS, cumulative_trapezoid, finite_difference, gauge_fix, interpolate, normalised, smooth, trapezoid
 
 
 def jarzynski(work: DataFrame, keys: list[str], w: str, beta: float) -> DataFrame:
@@ -69,17 +69,19 @@ def running_mean(samples: DataFrame, run: list[str], order: list[str], value: st
 
 
 def target_density(profile: DataFrame, run: list[str], x: str, kind: str, beta: float, estimate: str = "F", bias: str = "B") -> DataFrame:
-    """Density q that resampling aims at: ``uniform``, or ``biased``, of exp(-beta (F -
-    bias)), where F is an estimate or, for the oracle method only, the reference."""
+    """Density q that resampling aims at: ``uniform``; ``estimated`` or ``oracle``, of
+    exp(-beta (F - bias)), where F is an estimate or, for the oracle method only, the
+    reference (see ``oracle_guard``), clamped after it is normalised, and normalised
+    again.  ``self_target`` gives the fourth kind."""
     df = profile
     if kind == "uniform":
         df = df.withColumn("q", F.lit(1.0))
-    elif kind == "biased":
+    elif kind in ("estimated", "oracle"):
         u = F.col(estimate) - F.col(bias)
         df = df.withColumn("q", F.exp(-beta * (u - F.min(u).over(Window.partitionBy(*run)))))
     else:
         raise ValueError(kind)
-    return df.join(trapezoid(df, run, x, "q", "_t"), run).withColumn("q", F.col("q") / F.col("_t")).drop("_t")
+    return normalised(df, run, x, "q", again=kind != "uniform")
 
 
 def oracle_guard(method: str, **reference) -> None:
@@ -127,3 +129,42 @@ def replacement_fraction(died: Column, cloned: Column, applied: Column, n: int)
 
 def barrier_decomposition(energetic: Column, beta: float, m: int, omega_in: Column, omega_out: Column) -> list[Column]:
     return [(beta * energetic).alias("energetic"), (m * F.log(omega_in / omega_out)).alias("entropic")]
+
+
+# --------------------------------------------------------------- whole chains
+
+
+def integrated_profile(samples: DataFrame, z: str, force: str, step: float, n: int, smoothing: list[tuple[int, float]], points: DataFrame, x: str, at: float, low: float = 0.0) -> DataFrame:
+    """Thermodynamic integration as a whole: mean constrained force at each of ``n``
+    nodes, smoothed with its end values going on, integrated by trapezoids, interpolated
+    at ``points`` (column ``x``), and 0 at the point nearest to ``at``."""
+    j = F.rint((F.col(z) - low) / step).cast("int")
+    means = samples.groupBy(j.alias("j")).agg(F.avg(force).alias("f"))
+    flat = smooth(means, [], "f", n, smoothing, "replicate").withColumn("_x", low + F.col("j") * step).withColumn("_run", F.lit(0))
+    profile = cumulative_trapezoid(flat, ["_run"], "_x", "f", "free_energy").select("j", "free_energy")
+    found = interpolate(points, profile, x, low, step, n, "free_energy").withColumn("_run", F.lit(0))
+    return gauge_fix(found, ["_run"], x, "free_energy", at).drop("_run")
+
+
+def work_profile(path: DataFrame, run: str, order: list[str], xi: str, force: str, beta: float) -> DataFrame:
+    """Free energy along a driven coordinate: each run's work is summed up from the
+    force times the coordinate's step, and Jarzynski's estimate is taken over the runs
+    at each step (the first of ``order``): (step, n, free_energy)."""
+    w = Window.partitionBy(run).orderBy(*order)
+    moved = F.coalesce(F.col(xi) - F.lag(xi).over(w), F.lit(0.0))
+    work = path.withColumn("_w", F.col(force) * moved).withColumn("work", F.sum("_w").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    out = jarzynski(work, [order[0]], "work", beta)
+    return out.select(order[0], "n", F.col("delta_f").alias("free_energy"))
+
+
+def mbar_restrained_profile(samples: DataFrame, centers: list[float], x: str, home: str, stiffness: float, beta: float, low: float, step: float, n: int, tolerance: float = 1e-9, most: int = 500) -> DataFrame:
+    """Iterate the restraints' weights to ``tolerance`` and give probability and free
+    energy at the nodes: (bin, p, pmf), over the bins of half a step about each node."""
+    j = F.rint((F.col(x) - low) / step).cast("int")
+    z = mbar(samples, centers, x, home, stiffness, beta, most, tolerance)
+    return mbar_profile(samples, centers, z, x, home, stiffness, beta, F.when((j >= 0) & (j < n), j))
+
+
+def self_target(profile: DataFrame, run: list[str], x: str, p: str) -> DataFrame:
+    """Target q that is the present density itself: a control that moves nothing."""
+    return normalised(profile.withColumn("q", F.col(p)), run, x, "q")

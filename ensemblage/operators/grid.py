@@ -43,6 +43,13 @@ def closed_right_bin(x: Column, low: float, high: float, n: int) -> Column:
     return F.when(x == high, n - 1).when((x >= low) & (x < high), F.least(F.floor((x - low) / ((high - low) / n)).cast("int"), F.lit(n - 1)))
 
 
+def midpoint_bin(x: Column, low: float, high: float, n: int) -> tuple[Column, Column]:
+    """Bin of [low, high] and its middle; null outside."""
+    width = (high - low) / n
+    j = F.when((x >= low) & (x <= high), F.least(F.floor((x - low) / width).cast("int"), F.lit(n - 1)))
+    return j, low + (j + 0.5) * width
+
+
 def histogram(df: DataFrame, keys: list[str], x: str, low: float, high: float, n: int) -> DataFrame:
     """Counts in each bin that has any."""
     return df.withColumn("bin", closed_right_bin(F.col(x), low, high, n)).where("bin is not null").groupBy(*keys, "bin").agg(F.count("*").alias("n"))
@@ -73,6 +80,12 @@ def cumulative_riemann(df: DataFrame, run: list[str], x: str, y: str, step: floa
     return df.withColumn(out, F.coalesce(F.sum(y).over(frame), F.lit(0.0)) * step)
 
 
+def cumulative_midpoint(df: DataFrame, run: list[str], x: str, y: str, step: float, out: str = "cumulative") -> DataFrame:
+    """Integral up to each bin's middle: all bins before it and half of its own."""
+    before = F.sum(y).over(_w(run, x).rowsBetween(Window.unboundedPreceding, -1))
+    return df.withColumn(out, (F.coalesce(before, F.lit(0.0)) + F.col(y) / 2) * step)
+
+
 def trapezoid(df: DataFrame, run: list[str], x: str, y: str, out: str = "integral") -> DataFrame:
     """Trapezoid integral of each run over its finite points; null below two."""
     w = _w(run, x)
@@ -81,8 +94,11 @@ def trapezoid(df: DataFrame, run: list[str], x: str, y: str, out: str = "integra
     return pieces.groupBy(*run).agg(F.when(F.count("*") >= 2, F.sum("_p")).alias(out))
 
 
-def normalised(df: DataFrame, run: list[str], x: str, y: str, eps: float = EPS) -> DataFrame:
-    """y, at least eps, over its trapezoid integral."""
+def normalised(df: DataFrame, run: list[str], x: str, y: str, eps: float = EPS, again: bool = False) -> DataFrame:
+    """y, at least eps, over its trapezoid integral; ``again``: clamped and divided a
+    second time, so that the clamp holds of the density."""
+    if again:
+        df = normalised(df, run, x, y, eps)
     df = df.withColumn(y, F.greatest(F.col(y), F.lit(eps)))
     total = trapezoid(df, run, x, y, "_total")
     return (df.join(total, run) if run else df.crossJoin(F.broadcast(total))).withColumn(y, F.col(y) / F.col("_total")).drop("_total")
@@ -97,6 +113,14 @@ def finite_difference(df: DataFrame, run: list[str], x: str, y: str, out: str =
     return df.withColumn(out, F.try_divide(rise, over))
 
 
+def relative_curvature(df: DataFrame, run: list[str], x: str, y: str, step: float, out: str = "curvature") -> DataFrame:
+    """Second difference over the value and the square of the step; 0 at the two ends
+    and where the value is 0."""
+    w = _w(run, x)
+    second = F.lead(y).over(w) - 2 * F.col(y) + F.lag(y).over(w)
+    return df.withColumn(out, F.coalesce(F.try_divide(second, F.col(y) * step * step), F.lit(0.0)))
+
+
 # --------------------------------------------------------------------- gauges
 
 
@@ -120,9 +144,11 @@ def aligned(df: DataFrame, run: list[str], y: str, reference: str, mask: Column)
 
 
 def gaussian_offsets(width: float, step: float, cut: float = 4.0, unit: str = "integral") -> list[tuple[int, float]]:
-    """Kernel (offset, weight) cut at ``cut`` widths: weights times step sum to 1 for
-    unit ``integral``, weights alone for unit ``sum``."""
-    radius = max(1, math.ceil(cut * width / step))
+    """Kernel (offset, weight) cut at ``cut`` widths.  Two flavours that must not be mixed
+    up: weights times step sum to 1 for unit ``integral``, whose radius is the nearest
+    number of steps; weights alone sum to 1 for unit ``sum``, whose radius covers the cut."""
+    reach = cut * width / step
+    radius = max(1, round(reach) if unit == "integral" else math.ceil(reach))
     weights = [math.exp(-0.5 * (k * step / width) ** 2) for k in range(-radius, radius + 1)]
     total = sum(weights) * (step if unit == "integral" else 1.0)
     return [(k, w / total) for k, w in zip(range(-radius, radius + 1), weights)]
@@ -184,6 +210,44 @@ def binned_mean(sums: DataFrame, least: float = 0.0) -> DataFrame:
     return sums.withColumn("mean", F.coalesce(F.try_divide(F.col("total"), F.greatest(F.col("hits").cast("double"), F.lit(least))), F.lit(0.0)))
 
 
+def smoothed_density(df: DataFrame, run: list[str], x: str, low: float, step: float, n: int, width: float, eps: float = EPS) -> DataFrame:
+    """Density (run, j, x, p): particles scattered to their nearest nodes, smoothed with
+    reflected ends, normalised and clamped.  The work is that of the grid, not of
+    particles times nodes."""
+    hits = scatter_add(df.withColumn("_one", F.lit(1.0)), run, nearest_bin(F.col(x), low, step, n), "_one", n)
+    flat = smooth(hits, run, "total", n, gaussian_offsets(width, step)).withColumnRenamed("total", "p").withColumn("x", low + F.col("j") * step)
+    return normalised(flat, run, "x", "p", eps).withColumn("p", F.greatest("p", F.lit(eps)))
+
+
+def smoothed_force(df: DataFrame, run: list[str], x: str, value: str, low: float, step: float, n: int, width: float, min_count: float = 0.0, eps: float = EPS) -> DataFrame:
+    """Mean of a value at each node (run, j, x, estimate): smoothed sums over smoothed
+    counts, which ``min_count`` is added to."""
+    sums = scatter_add(df, run, nearest_bin(F.col(x), low, step, n), value, n).withColumn("hits", F.col("hits").cast("double"))
+    kernel = gaussian_offsets(width, step)
+    both = smooth(sums, run, "total", n, kernel).join(smooth(sums, run, "hits", n, kernel), [*run, "j"])
+    return both.select(*run, "j", (low + F.col("j") * step).alias("x"), (F.col("total") / (F.col("hits") + min_count + eps)).alias("estimate"))
+
+
+def kernel_estimate(particles: DataFrame, nodes: DataFrame, x: str, value: str, width: float, smoothing: list[tuple[int, float]], n: int, eps: float = EPS) -> DataFrame:
+    """Weighted mean at each node without a least count, 0 where there is no weight,
+    then smoothed with its end values going on."""
+    node = nodes.select("j", F.col("x").alias("_x"))
+    w = gaussian(F.col("_x") - F.col(x), width)
+    sums = particles.select(x, value).crossJoin(F.broadcast(node)).groupBy("j").agg(F.sum(w * F.col(value)).alias("num"), F.sum(w).alias("den"))
+    raw = sums.select("j", F.when(F.col("den") > eps, F.col("num") / F.col("den")).otherwise(0.0).alias("estimate"))
+    return smooth(raw, [], "estimate", n, smoothing, "replicate")
+
+
+def ema_profiles(df: DataFrame, run: list[str], step: str, node: str, y: str, alpha: float, at: float | None = None, out: str = "ema") -> DataFrame:
+    """Moving average of profiles over their steps, from the first one on; ``at``: with
+    the value 0 at the node nearest to it.  Taking a constant out at every step shifts
+    the average by a constant, so it is taken out once."""
+    folded = df.groupBy(*run, node).agg(F.array_sort(F.collect_list(F.struct(F.col(step).alias("s"), F.col(y).cast("double").alias("v")))).alias("a"))
+    value = F.aggregate("a", F.col("a")[0]["v"], lambda t, p: t * (1 - alpha) + alpha * p["v"])
+    folded = folded.select(*run, node, value.alias(out))
+    return folded if at is None else gauge_fix(folded, run, node, out, at)
+
+
 def interpolate(points: DataFrame, profile: DataFrame, x: str, low: float, step: float, n: int, y: str, outside: float | None = None) -> DataFrame:
     """Linear interpolation of a profile (j, y) at points; clamped at the ends, or a
     constant outside.  The profile travels as one array beside the points."""
@@ -248,6 +312,34 @@ def profile_errors(df: DataFrame, run: list[str], x: str, y: str, reference: str
     )
 
 
+def errors_by_region(df: DataFrame, run: list[str], x: str, y: str, reference: str, region: Column, inside: Column) -> DataFrame:
+    """Root of the squared difference integrated over each region's nodes inside the
+    window, by its width: (run, region, l2).  Null below two nodes."""
+    own = df.withColumn("region", region).where(inside & F.col("region").isNotNull()).withColumn("_d", F.col(y) - F.col(reference))
+    keys = [*run, "region"]
+    squares = own.withColumn("_d", F.col("_d") * F.col("_d"))
+    total = trapezoid(squares, keys, x, "_d", "_t")
+    return squares.groupBy(*keys).agg((F.max(x) - F.min(x)).alias("_w")).join(total, keys).select(*keys, F.sqrt(F.try_divide("_t", "_w")).alias("l2"))
+
+
+def marginal_error(df: DataFrame, run: list[str], x: str, p: str, inside: Column, target: str | None = None, eps: float = 1e-300) -> DataFrame:
+    """L2 distance of a density from the uniform one, or from a target density, both
+    renormalised on the window, over its width: (run, l2)."""
+    own = df.where(inside)
+
+    def unit(frame, c):
+        total = trapezoid(frame, run, x, c, "_t")
+        return frame.join(total, run).withColumn(c, F.col(c) / F.greatest("_t", F.lit(eps))).drop("_t")
+
+    own = unit(own, p)
+    own = unit(own, target) if target else own
+    part = Window.partitionBy(*run)
+    other = F.col(target) if target else 1 / (F.max(x).over(part) - F.min(x).over(part))
+    squares = own.withColumn("_d", F.col(p) - other).withColumn("_d", F.col("_d") * F.col("_d"))
+    width = squares.groupBy(*run).agg((F.max(x) - F.min(x)).alias("_w"))
+    return trapezoid(squares, run, x, "_d", "_t").join(width, run).select(*run, F.sqrt(F.try_divide("_t", "_w")).alias("l2"))
+
+
 def conditional_divergence(df: DataFrame, bins: DataFrame, x: str, y: str, reference: Column, low: float, high: float, n: int, least: int = 10, eps: float = EPS) -> DataFrame:
     """L2 and KL divergence of y's histogram density, among particles near each bin
     center, from a reference density at the histogram's midpoints (column ``mid``).

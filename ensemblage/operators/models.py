@@ -53,6 +53,29 @@ def _v_dy(x, y):
 
 
 register_potential("two_channel", _v, _v_dx, _v_dy)
+def _ring(x, y):
+    """Terms of a potential with a ring of wells."""
+    return 1 - x * x - y * y, x * x - 2, (x + y) * (x + y) - 1, (x - y) * (x - y) - 1
+
+
+def _ring_v(x, y):
+    a, b, c, d = _ring(x, y)
+    return (4 * a * a + 2 * b * b + c * c + d * d) / 6
+
+
+def _ring_dx(x, y):
+    a, b, c, d = _ring(x, y)
+    return (8 * x * (b - 2 * a) + 4 * c * (x + y) + 4 * d * (x - y)) / 6
+
+
+def _ring_dy(x, y):
+    a, _, c, d = _ring(x, y)
+    return (-16 * y * a + 4 * c * (x + y) - 4 * d * (x - y)) / 6
+
+
+register_potential("ring", _ring_v, _ring_dx, _ring_dy)
+#: The triple well is the two-channel surface, usually taken with y from -5 to 5.
+register_potential("triple_well", _v, _v_dx, _v_dy)
 register_potential("double_well", lambda x: (x * x - 1) * (x * x - 1), lambda x: 4 * x * (x * x - 1))
 
 
@@ -141,3 +164,20 @@ def free_energy_of_density(p: Column, beta: float, eps: float = 1e-12) -> Column
 def free_energy_of_mean_force(profile: DataFrame, run: list[str], x: str, force: str, out: str = "F") -> DataFrame:
     """Thermodynamic integration of a mean force along x, from 0."""
     return cumulative_trapezoid(profile, run, x, force, out)
+
+
+def gradient_check(points: DataFrame, potential: str, x: str = "x", y: str = "y", h: float = 1e-5) -> DataFrame:
+    """One row: largest deviation of the gradient from central differences."""
+    v = POTENTIALS[potential]
+    cx, cy = F.col(x), F.col(y)
+    dx = (v.value(cx + h, cy) - v.value(cx - h, cy)) / (2 * h)
+    dy = (v.value(cx, cy + h) - v.value(cx, cy - h)) / (2 * h)
+    return points.agg(F.count("*").alias("n"), F.max(F.abs(v.dx(cx, cy) - dx)).alias("dx_off"), F.max(F.abs(v.dy(cx, cy) - dy)).alias("dy_off"))
+
+
+def knobs(df: DataFrame, phi: str, barrier: float, beta: float, omega_out: float, m: int) -> DataFrame:
+    """Height and inner frequency for a share ``phi`` of entropy in a barrier (in 1/beta),
+    and the two parts of the free-energy difference that they give."""
+    share = F.col(phi)
+    df = df.withColumns({"height": (1 - share) * barrier / beta, "omega_in": omega_out * E(share * barrier / m)})
+    return df.withColumns({"df_energetic": F.col("height"), "df_entropic": m / beta * F.log(F.col("omega_in") / omega_out)})

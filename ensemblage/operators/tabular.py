@@ -5,33 +5,45 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import finite, finite_or_null, iqr, quantile, reduction_percent, standard_error
+from ..functions import finite, finite_or_null, quantile, reduction_percent, standard_error
 
 
 def config_summary(df: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
-    """Runs per configuration, and median, quartiles, IQR and missing share of metrics."""
-    aggregates = [F.count("*").alias("n")]
-    for m in metrics:
-        c = F.col(m)
-        aggregates += [
-            quantile(c, 0.5).alias(f"{m}_median"),
-            quantile(c, 0.25).alias(f"{m}_q25"),
-            quantile(c, 0.75).alias(f"{m}_q75"),
-            iqr(c).alias(f"{m}_iqr"),
-            F.avg((~finite(c)).cast("double")).alias(f"{m}_missing"),
-        ]
-    return df.groupBy(*keys).agg(*aggregates)
+    """Runs per configuration, and median, quartiles, IQR and missing share of metrics.
+
+    Values are summed up to their counts first, spread by group and value, so that a
+    group of many rows gathers its distinct values only, and all quartiles of a metric
+    come from one aggregate."""
+    if len(metrics) == 1:
+        # One metric: equal values of a group are one row with a frequency.
+        (m,) = metrics
+        counted = df.groupBy(*keys, finite_or_null(F.col(m)).alias("_v")).agg(F.count("*").alias("_n"))
+        q = F.percentile("_v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("_n")).alias("_q")
+        missing = F.try_divide(F.coalesce(F.sum(F.when(F.col("_v").isNull(), F.col("_n"))), F.lit(0)).cast("double"), F.sum("_n"))
+        out = counted.groupBy(*keys).agg(F.sum("_n").alias("n"), q, missing.alias("_missing"))
+        return out.select(*keys, "n", *_spread(m, F.col("_q")), F.col("_missing").alias(f"{m}_missing"))
+    quartiles = [F.percentile(finite_or_null(F.col(m)), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"_{m}") for m in metrics]
+    missing = [F.avg((~finite(F.col(m))).cast("double")).alias(f"{m}_missing") for m in metrics]
+    out = df.groupBy(*keys).agg(F.count("*").alias("n"), *quartiles, *missing)
+    return out.select(*keys, "n", *[c for m in metrics for c in (*_spread(m, F.col(f"_{m}")), F.col(f"{m}_missing"))])
+
+
+def _spread(m: str, q: Column) -> list[Column]:
+    """Columns from the three quartiles of a metric."""
+    return [q[1].alias(f"{m}_median"), q[0].alias(f"{m}_q25"), q[2].alias(f"{m}_q75"), (q[2] - q[0]).alias(f"{m}_iqr")]
 
 
 def matched_pairs(runs: DataFrame, method: str, baseline: str, match: list[str], metric: str) -> DataFrame:
     """Every method's run beside the baseline's run with the same match keys.
 
-    The baseline has one row a key, so it is the side that the optimiser may send.
+    The baseline's value comes to the others by a window over the match keys: one pass
+    and one shuffle.  The baseline has one row a key.
     Columns: method, match keys, ``value``, ``base``.  Null keys never match.
     """
-    base = runs.where(F.col(method) == baseline).select(*match, F.col(metric).alias("base"))
-    others = runs.where(F.col(method) != baseline).select(method, *match, F.col(metric).alias("value"))
-    return others.join(base, match)
+    known = runs.where(F.concat(*[F.col(m).cast("string") for m in match]).isNotNull())
+    own, w = F.col(method) == baseline, Window.partitionBy(*match)
+    both = known.select(method, *match, F.col(metric).alias("value"), F.max(F.when(own, F.col(metric))).over(w).alias("base"), F.max(own).over(w).alias("_known"))
+    return both.where(F.col("_known") & ~own).drop("_known")
 
 
 def pair_summary(pairs: DataFrame, keys: list[str]) -> DataFrame:
@@ -127,6 +139,13 @@ def ancestor_statistics(particles: DataFrame, group: list[str], ancestor: str, t
     )
 
 
+def strict_crossings(path: DataFrame, run: list[str], order: list[Column], x: Column) -> DataFrame:
+    """Steps along each run whose two ends have opposite signs; a point at 0 has none."""
+    w = Window.partitionBy(*run).orderBy(*[f"_o{i}" for i in range(len(order))])
+    points = path.select(*run, *[c.alias(f"_o{i}") for i, c in enumerate(order)], x.alias("_x")).withColumn("_p", F.lag("_x").over(w))
+    return points.groupBy(*run).agg(F.count_if(F.col("_x") * F.col("_p") < 0).alias("crossings"), F.count("*").alias("n_points"))
+
+
 def crossings(path: DataFrame, run: list[str], order: list[Column], x: Column) -> DataFrame:
     """Sign changes along each run; points at 0 are passed over."""
     signs = path.select(*run, *[c.alias(f"_o{i}") for i, c in enumerate(order)], F.signum(x).alias("s")).where("s <> 0")
@@ -142,6 +161,29 @@ def ema(path: DataFrame, run: str, order: list[str], value: str, alpha: float, s
     return gathered.select(run, F.aggregate("a", first.cast("double"), lambda t, p: t * (1 - alpha) + alpha * p["v"]).alias("ema"), F.size("a").alias("n"))
 
 
+def cadence_rate(alpha: float, every: int) -> float:
+    """Rate of a moving average that is taken at every ``every``-th step only."""
+    return 1 - (1 - alpha) ** every
+
+
+def running_counters(events: DataFrame, run: list[str], order: list[str], counters: list[str]) -> DataFrame:
+    """``total_`` columns: counters summed up along each run; ``since_``: what was added
+    since the row before, from totals again."""
+    w = Window.partitionBy(*run).orderBy(*order)
+    df = events.withColumns({f"total_{c}": F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, 0)) for c in counters})
+    return df.withColumns({f"since_{c}": F.col(f"total_{c}") - F.coalesce(F.lag(f"total_{c}").over(w), F.lit(0)) for c in counters})
+
+
+def extent(x: Column, low: float, high: float) -> Column:
+    """compact below ``low``, transition [low, high], stretched above; nowhere else."""
+    return F.when(x < low, "compact").when((x >= low) & (x <= high), "transition").when(x > high, "stretched")
+
+
+def extent_fractions(df: DataFrame, keys: list[str], where: Column) -> DataFrame:
+    named = df.withColumn("_r", where)
+    return named.groupBy(*keys).agg(*[F.avg((F.col("_r") == r).cast("double")).alias(f"frac_{r}") for r in ("compact", "transition", "stretched")])
+
+
 def region(x: Column, barrier: float, half: float, low: float, high: float) -> Column:
     """left [low, b-h), barrier [b-h, b+h], right (b+h, high], else outside."""
     return (
@@ -167,3 +209,14 @@ def conditional_moments(df: DataFrame, bins: DataFrame, x: str, y: str) -> DataF
     hits = df.select(F.col(x).cast("double").alias(x), F.col(y).cast("double").alias(y)).join(F.broadcast(bins), inside)
     found = hits.groupBy("center").agg(F.count("*").alias("n"), F.avg(y).alias("mean"), F.var_samp(y).alias("variance"), F.avg(F.col(y) * F.col(y)).alias("mean_square"))
     return bins.join(found, "center", "left").select("center", F.coalesce("n", F.lit(0)).alias("n"), "mean", F.when(F.col("n") >= 2, F.col("variance")).alias("variance"), "mean_square")
+
+
+def conditional_spread(df: DataFrame, bins: DataFrame, x: str, components: list[str]) -> DataFrame:
+    """Per half-open bin [low, high): count, mean over the components of their sample
+    variances (null below two), and mean of the squared norm."""
+    inside = (F.col(x) >= F.col("low")) & (F.col(x) < F.col("high"))
+    hits = df.select(F.col(x).cast("double").alias(x), *[F.col(c).cast("double").alias(c) for c in components]).join(F.broadcast(bins), inside)
+    norm = sum((F.col(c) * F.col(c) for c in components[1:]), F.col(components[0]) * F.col(components[0]))
+    variance = sum((F.var_samp(c) for c in components[1:]), F.var_samp(components[0])) / len(components)
+    found = hits.groupBy("low", "high").agg(F.count("*").alias("n"), F.when(F.count("*") >= 2, variance).alias("variance"), F.avg(norm).alias("square_norm"))
+    return bins.join(found, ["low", "high"], "left").select("low", "high", F.coalesce("n", F.lit(0)).alias("n"), "variance", "square_norm")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import grid_queries, run_queries, tabular_queries
+from . import grid_queries, physics_queries, report_queries, run_queries, tabular_queries
 
-QUERIES = tabular_queries.QUERIES | grid_queries.QUERIES | run_queries.QUERIES
-ORACLES = tabular_queries.ORACLES | grid_queries.ORACLES | run_queries.ORACLES
+_PARTS = (tabular_queries, grid_queries, run_queries, report_queries, physics_queries)
+QUERIES = {k: v for p in _PARTS for k, v in p.QUERIES.items()}
+ORACLES = {k: v for p in _PARTS for k, v in p.ORACLES.items()}

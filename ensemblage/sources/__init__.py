@@ -60,9 +60,36 @@ def is_directory(spark: SparkSession, path: str) -> bool:
     return status.isDirectory()
 
 
-def latest(paths: DataFrame, path: str = "path") -> Column | DataFrame:
-    """The last of some run directories by name."""
-    return paths.agg(F.max(path).alias(path))
+def _hadoop(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def latest(spark: SparkSession, path: str, pattern: str = "sweep_*", pointer: str = "LATEST") -> str:
+    """The folder that the pointer file names, else the last one by name that fits the
+    pattern; fails if there is neither."""
+    place, fs = _hadoop(spark, f"{path}/{pointer}")
+    if fs.exists(place):
+        name = spark.read.text(f"{path}/{pointer}", wholetext=True).first().value.strip()
+        return name if "/" in name else f"{path}/{name}"
+    matches = fs.globStatus(_hadoop(spark, f"{path}/{pattern}")[0])
+    if matches is None or not len(matches):
+        raise FileNotFoundError(f"{path}/{pattern}")
+    return max(m.getPath().toString() for m in matches)
+
+
+def write_whole(spark: SparkSession, path: str, text: str) -> None:
+    """One small file that is there whole or not at all: written beside its place, then
+    renamed; a file that was there is replaced."""
+    place, fs = _hadoop(spark, path)
+    beside = _hadoop(spark, path + ".part")[0]
+    out = fs.create(beside, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if fs.exists(place):
+        fs.delete(place, False)
+    if not fs.rename(beside, place):
+        raise OSError(f"{path} could not be put in place")
 
 
 def read_npz(spark: SparkSession, path: str) -> DataFrame:
@@ -168,3 +195,10 @@ def cross_check(built: DataFrame, reference: DataFrame, keys: list[str], value:
     """One row: nodes compared, largest deviation, and whether it is tolerable."""
     both = built.select(*keys, F.col(value).alias("_a")).join(reference.select(*keys, F.col(value).alias("_b")), keys)
     return both.agg(F.count("*").alias("n"), F.max(F.abs(F.col("_a") - F.col("_b"))).alias("deviation")).withColumn("ok", (F.col("n") > 0) & (F.col("deviation") <= tolerance))
+
+
+def required_reference(built: DataFrame, reference: DataFrame, keys: list[str], value: str, tolerance: float = 5e-2) -> DataFrame:
+    """``cross_check`` that fails the query where no node is there to compare; a
+    deviation beyond the tolerance is reported (``ok``) and does not fail."""
+    checked = cross_check(built, reference, keys, value, tolerance)
+    return checked.where(F.assert_true(F.col("n") > 0, F.lit("the reference has no node in common")).isNull())
