@@ -2,8 +2,11 @@
 
 Native: regular expressions, array functions and one shuffle of the texts.
 
-A text is read as tokens of up to four characters of a word with the white space after
-them; together they are the text.  A k-mer of tokens is an anchor if the smallest hash
+A text is read as tokens that end where their own characters say so: after one of some
+letters and digits or a character of the East Asian scripts, at the end of a word with
+the white space after it, and else after eight characters.  Together they are the text,
+and an insertion moves no token beyond the next such end, also in text without spaces.
+A k-mer of tokens is an anchor if the smallest hash
 among its s-mers stands at one of its ends.  Whether a k-mer is chosen depends on its
 own tokens alone, so any stretch of text has the same anchors wherever it stands, and
 two texts that share a stretch share its anchors at a constant offset (``align``).
@@ -20,14 +23,18 @@ from pyspark.sql import functions as F
 
 from .common import let
 
-TOKEN = r"[^\s]{1,4}\s*|\s+"
+#: Characters that end a token.
+ENDS = r"aeoAEO0369\x{2E80}-\x{10FFFF}"
+TOKEN = rf"[^\s{ENDS}]{{0,7}}[{ENDS}]\s*|[^\s{ENDS}]{{1,8}}\s*|\s+"
 K, S = 5, 2
 SKETCH = 64
 _LOWEST = -(2**63)
 
-#: Rows a bucket of neighbouring ids should hold, and buckets at most.
+#: Rows a bucket of neighbouring ids should hold.  Their bounds are the only thing that
+#: is kept of the ids (0.5 MB at most): of 65536 buckets, each holds some 1.5 GB of 100 TB.
+#: A bucket is sorted and streamed, and spills if it is larger than memory.
 BUCKET_ROWS = 5_000
-MOST_BUCKETS = 10_000
+MOST_BUCKETS = 65_536
 
 
 def _mask(h: Column) -> Column:
@@ -93,15 +100,18 @@ def _bounds(ids: DataFrame) -> list[int]:
     return sorted({low, *cuts})
 
 
+def _longs(values: list[int]) -> Column:
+    """A constant array, written as one text rather than as a literal for each value."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+
 def _bucket(value: Column, bounds: list[int]) -> Column:
-    """Index of the last bound that is not above ``value``, in two steps of at
-    most a hundred comparisons."""
+    """Index of the last bound that is not above ``value``, in two steps of as many
+    comparisons as the root of their number."""
     step = max(1, int(len(bounds) ** 0.5))
-    groups = [bounds[i : i + step] for i in range(0, len(bounds), step)]
-    outer = F.array(*[F.lit(g[0]).cast("long") for g in groups])
-    inner = F.array(*[F.array(*[F.lit(b).cast("long") for b in g]) for g in groups])
     at = lambda a: F.size(F.filter(a, lambda b: b <= value)) - 1
-    return let(at(outer), lambda o: o * step + at(F.get(inner, o)))
+    outer, inner = _longs(bounds[::step]), _longs(bounds)
+    return let(at(outer), lambda o: o * step + at(F.slice(inner, o * step + 1, step)))
 
 
 def with_next(df: DataFrame, columns: list[str], tie: str) -> DataFrame:
@@ -113,7 +123,7 @@ def with_next(df: DataFrame, columns: list[str], tie: str) -> DataFrame:
     """
     bounds = _bounds(df.select("id"))
     n = len(bounds)
-    first = F.array(*[F.lit(b).cast("long") for b in bounds])
+    first = _longs(bounds)
     df = df.withColumn("_b", _bucket(F.col("id"), bounds))
     here = F.struct(F.col("_b").alias("b"), F.lit(0).alias("look"))
     ahead = F.struct(F.pmod(F.col("_b") - 1, F.lit(n)).alias("b"), F.lit(1).alias("look"))
@@ -132,7 +142,8 @@ def fingerprints(documents: DataFrame) -> DataFrame:
 
     The edited text has its last floor(n_chars/4) code points replaced by as many (or
     all) first ones of the next document.  Null texts are empty; a null id comes first;
-    rows of one id are in order of their texts; a single row is its own next.
+    rows of one id are in order of their texts; a single row is its own next.  Texts of
+    any length are read whole; an empty table gives an empty result.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     df = documents.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST)).alias("id"), text.alias("text"))
