@@ -5,11 +5,14 @@ later equal payloads are ``revisit`` records that name it.  Archives are binary
 of a Parquet table in the shared scratch folder, so that any store that Spark writes
 to will do; each holds about ``ARCHIVE_BYTES`` of records and is read back by parsing.
 
-Every archive's index is a run sorted by (URL key, timestamp, page id).  Splitters
-from a fixed-size hash sample cut all runs at the same keys; the segments of one key
-range meet in one task and a loser tree merges them k ways.  Ranges in their order
-are the globally ordered capture history.  The sample steers only how evenly ranges
-are cut: every entry is merged.
+Every archive's index is a run sorted by (URL key, timestamp, page id).  Splitters cut
+all runs at the same keys; the segments of one key range meet in one task and a loser
+tree merges them k ways.  Ranges in their order are the globally ordered capture history.
+Splitters have two levels: at most ``COARSE`` keys, which go to every task, cut the key
+space into stretches, and each stretch is cut by splitters of its own, which only its
+segments meet.  So a range holds some ``RANGE_ENTRIES`` entries however large the table.
+Splitters are samples by a hash; they steer only how evenly ranges are cut, and every
+entry is merged.
 """
 
 from __future__ import annotations
@@ -29,8 +32,10 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 ARCHIVE_BYTES = 4 << 20
-#: Keys sampled to choose range splitters: the bound of what reaches the driver.
-SAMPLE = 4096
+#: Coarse splitters: the bound of what reaches the driver is ``OVERSAMPLE`` times that.
+COARSE = 1024
+#: Sampled keys for each splitter.
+OVERSAMPLE = 8
 #: Index entries a range should hold.
 RANGE_ENTRIES = 20_000
 EPOCH = 1_700_000_000  # capture time of page 0; pages follow by a second each
@@ -222,23 +227,72 @@ def read_runs(archives: DataFrame) -> DataFrame:
     return archives.mapInPandas(runs, f"archive string, entries array<struct<{kind}>>")
 
 
+def _sampled(runs: DataFrame, keys: int, total: int) -> DataFrame:
+    """About ``keys`` of all entries by a hash, as rows of ``_KEY``; all if they are few."""
+    rows = runs.select(F.explode("entries").alias("e")).select("e.urlkey", "e.ts", "e.page_id", "e.archive", "e.offset")
+    share = min(1.0, keys / max(total, 1))
+    return rows.where(F.pmod(F.xxhash64(*rows.columns), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
+
+
+def _place(row) -> tuple:
+    """The key of a sampled entry, ordered like ``_key``."""
+    page = None if pd.isna(row[2]) else int(row[2])
+    return (row[0], row[1], page is not None, page or 0, row[3], int(row[4]))
+
+
+def _even(keys: list[tuple], ranges: int) -> list[tuple]:
+    keys = sorted(keys)
+    return sorted({keys[i * len(keys) // ranges] for i in range(1, ranges)}) if keys else []
+
+
 def merge_runs(runs: DataFrame) -> DataFrame:
     """All entries with ``key_range`` and ``place``: ordered by (key_range, place)
     they are the capture history in (URL key, timestamp, page id) order."""
     runs = materialize(runs, "runs")
     total = runs.agg(F.sum(F.size("entries"))).first()[0] or 0
     ranges = max(1, -(-total // RANGE_ENTRIES))
-    sample = runs.select(F.explode("entries").alias("e")).select("e.urlkey", "e.ts", "e.page_id").orderBy(F.xxhash64("page_id", "urlkey"), "urlkey", "page_id").limit(SAMPLE)
-    keys = sorted((r[0], r[1], r[2] is not None, r[2] or 0) for r in sample.collect())
-    cuts = [keys[i * len(keys) // ranges] for i in range(1, ranges)] if keys else []
+    coarse = min(ranges, COARSE)
+    # Ranges within a stretch; its number times ``stride`` is that of its first one.
+    within = -(-ranges // coarse)
+    stride = 4 * within if within > 1 else 1
+    cuts = _even([_place(r) for r in _sampled(runs, coarse * OVERSAMPLE, total).collect()], coarse) if coarse > 1 else []
+    kind = ENTRY.replace(", ", ",").replace(" ", ":")
+
+    def rows_of(entries) -> list[tuple]:
+        return [tuple(e[f] for f in _FIELDS) for e in entries]
+
+    def cut_at(rows: list[tuple], splitters: list[tuple], first: int, name: str) -> list[tuple]:
+        edges = [0, *(bisect.bisect_left(rows, c, key=_key) for c in splitters), len(rows)]
+        return [(first + i, name, [dict(zip(_FIELDS, r)) for r in rows[a:b]]) for i, (a, b) in enumerate(zip(edges, edges[1:])) if a < b]
 
     def segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for name, entries in pdf.itertuples(index=False):
-                rows = [tuple(e[f] for f in _FIELDS) for e in entries]
-                edges = [0, *(bisect.bisect_left(rows, c, key=lambda e: _key(e)[:4]) for c in cuts), len(rows)]
-                found = [(i, name, [dict(zip(_FIELDS, r)) for r in rows[a:b]]) for i, (a, b) in enumerate(zip(edges, edges[1:])) if a < b]
-                yield pd.DataFrame(found, columns=["key_range", "archive", "segment"])
+                yield pd.DataFrame(cut_at(rows_of(entries), cuts, 0, name), columns=["key_range", "archive", "segment"])
+
+    cut = runs.select("archive", "entries").mapInPandas(segments, f"key_range long, archive string, segment array<struct<{kind}>>")
+    if within > 1:
+        # A stretch's own splitters: at most ``stride`` - 1 of some OVERSAMPLE times as many.
+        def stretch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                yield pdf.assign(key_range=[bisect.bisect_right(cuts, _place(r)) for r in pdf.itertuples(index=False)])
+
+        def split(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+            keys = [_place(r) for r in pdf[["urlkey", "ts", "page_id", "archive", "offset"]].itertuples(index=False)]
+            found = _even(keys, min(stride, max(1, len(keys) // OVERSAMPLE)))
+            return pd.DataFrame({"key_range": [key[0]], "splitters": [[(u, t, p if known else None, a, o) for u, t, known, p, a, o in found]]})
+
+        key = "urlkey string, ts string, page_id long, archive string, offset long"
+        sample = _sampled(runs, ranges * OVERSAMPLE, total).mapInPandas(stretch, key + ", key_range long")
+        fine = sample.groupBy("key_range").applyInPandas(split, f"key_range long, splitters array<struct<{key.replace(', ', ',').replace(' ', ':')}>>")
+
+        def again(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for first, name, segment, splitters in pdf[["key_range", "archive", "segment", "splitters"]].itertuples(index=False):
+                    own = [_place(tuple(x[f] for f in ("urlkey", "ts", "page_id", "archive", "offset"))) for x in (splitters if splitters is not None else [])]
+                    yield pd.DataFrame(cut_at(rows_of(segment), own, first * stride, name), columns=["key_range", "archive", "segment"])
+
+        cut = materialize(cut, "segments").join(fine, "key_range", "left").mapInPandas(again, f"key_range long, archive string, segment array<struct<{kind}>>")
 
     def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         streams = []
@@ -249,9 +303,7 @@ def merge_runs(runs: DataFrame) -> DataFrame:
         out = pd.DataFrame(merged, columns=["key_range", "place", *_FIELDS])
         return out.astype({"page_id": "Int64", "refers_to": "Int64"})
 
-    kind = ENTRY.replace(", ", ",").replace(" ", ":")
-    cut = runs.select("archive", "entries").mapInPandas(segments, f"key_range int, archive string, segment array<struct<{kind}>>")
-    return cut.groupBy("key_range").applyInPandas(merge, f"key_range int, place int, {ENTRY}")
+    return cut.groupBy("key_range").applyInPandas(merge, f"key_range long, place int, {ENTRY}")
 
 
 def capture_history(pages: DataFrame, smallest: int = 0) -> DataFrame:

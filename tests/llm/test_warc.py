@@ -34,7 +34,10 @@ def brute(pages):
     return sorted(out, key=repr)
 
 
-def test_round_trip(spark, monkeypatch):
+@pytest.mark.parametrize("coarse", [1024, 2, 1])
+def test_round_trip(spark, monkeypatch, coarse):
+    monkeypatch.setattr(warc, "COARSE", coarse)
+    monkeypatch.setattr(warc, "OVERSAMPLE", 2)
     df = spark.createDataFrame([(*p, 0, "y") for p in PAGES], "page_id long, url string, html string, size int, ts string").repartition(3)
     monkeypatch.setattr(warc, "RANGE_ENTRIES", 3)
     history = warc.capture_history(df)
@@ -47,6 +50,21 @@ def test_round_trip(spark, monkeypatch):
     assert sorted(r.position for r in warc.history_order(history).collect()) == list(range(len(PAGES)))
 
 
+def test_ranges_hold_what_they_should_however_many(spark, monkeypatch):
+    pages = [(i, f"http://h{i % 37}.org/{i}", f"<p>{i // 2}</p>") for i in range(3000)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(5)
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 50_000)
+    monkeypatch.setattr(warc, "RANGE_ENTRIES", 30)
+    monkeypatch.setattr(warc, "COARSE", 4)
+    rows = warc.capture_history(df).collect()
+    placed = [(r.urlkey, r.ts, r.page_id) for r in sorted(rows, key=lambda r: (r.key_range, r.place))]
+    assert len(placed) == 3000 and placed == sorted(placed)
+    sizes = {}
+    for r in rows:
+        sizes[r.key_range] = sizes.get(r.key_range, 0) + 1
+    assert len(sizes) > 50 and max(sizes.values()) < 200
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.capture_history(df).count() == 0
