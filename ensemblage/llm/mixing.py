@@ -43,7 +43,8 @@ def domain_of(source: Column) -> Column:
 @dataclass(frozen=True)
 class Targets:
     """``share`` of all tokens to select; weights of nodes by level and name (a
-    weight that is absent is 1); how often a document may be used."""
+    weight that is absent is 1, one of 0 takes nothing below the node); how often a
+    document may be used."""
 
     share: float = 0.6
     max_epochs: int = 2
@@ -65,7 +66,8 @@ def share_out(nodes: DataFrame, parent: list[str], name: str) -> DataFrame:
     that the rest would get are full; the others share what remains by weight.
     """
     w = Window.partitionBy(*parent)
-    ordered = w.orderBy(F.col("cap") / F.col("weight"), name)
+    # A weight of 0 comes with a capacity of 0.
+    ordered = w.orderBy(F.when(F.col("weight") > 0, F.try_divide("cap", "weight")).otherwise(0.0), name)
     before = ordered.rowsBetween(Window.unboundedPreceding, -1)
     df = nodes.withColumns({
         "_caps": F.coalesce(F.sum("cap").over(before), F.lit(0)),
@@ -74,13 +76,16 @@ def share_out(nodes: DataFrame, parent: list[str], name: str) -> DataFrame:
     df = df.withColumn("_full", F.col("cap") * F.col("_rest") <= (F.col("given") - F.col("_caps")) * F.col("weight"))
     full_caps = F.coalesce(F.sum(F.when(F.col("_full"), F.col("cap"))).over(w), F.lit(0))
     open_weight = F.sum(F.when(~F.col("_full"), F.col("weight"))).over(w)
-    share = F.floor((F.col("given") - full_caps) * F.col("weight") / open_weight).cast("long")
+    share = F.floor(F.try_divide((F.col("given") - full_caps) * F.col("weight"), open_weight)).cast("long")
     return df.withColumn("tokens", F.when(F.col("_full"), F.col("cap")).otherwise(share)).drop("_caps", "_rest", "_full")
 
 
 def budgets(leaves: DataFrame, targets: Targets) -> DataFrame:
     """Leaf rows (levels, available) with ``tokens`` granted by the tree."""
-    cap = leaves.withColumn("cap", F.col("available") * targets.max_epochs)
+    barred = F.lit(False)
+    for level, weights in targets.weights.items():
+        barred = barred | F.col(level).isin([n for n, w in weights.items() if w == 0])
+    cap = leaves.withColumn("cap", F.when(barred, 0).otherwise(F.col("available") * targets.max_epochs))
     total = leaves.agg(F.floor(F.sum("available") * targets.share).cast("long").alias("given"))
     level = cap.groupBy("domain").agg(F.sum("cap").alias("cap")).crossJoin(F.broadcast(total))
     caps = cap.agg(F.sum("cap").alias("_all"))

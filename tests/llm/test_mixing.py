@@ -39,3 +39,13 @@ def test_repeated_rows_null_ids_and_clashing_columns(spark):
     assert all(0 <= r.taken_tokens <= 2 * r.n_tokens for r in got)
     assert mixing.mixed_documents(docs, mixing.Targets(share=1.0)).columns == docs.columns
     assert mixing.mix(docs.limit(0)).count() == mixing.mixed_documents(docs.limit(0)).count() == 0
+
+
+def test_weight_of_zero_takes_nothing(spark):
+    rows = [(i, "w " * 10, ["en", "de"][i % 2], f"src{i % 3}") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    for weights in ({"lang": {"de": 0}}, {"source": {"src1": 0}, "lang": {"de": 0}}, {"lang": {"de": 0, "en": 0}}):
+        got = mixing.mix(df, mixing.Targets(share=0.3, weights=weights)).collect()
+        barred = lambda r: weights["lang"].get(r.lang) == 0 or weights.get("source", {}).get(r.source) == 0
+        assert all(r.taken_tokens == 0 for r in got if barred(r))
+        assert sum(r.taken_tokens for r in got) == (180 if not all(map(barred, got)) else 0)
