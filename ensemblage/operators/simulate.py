@@ -15,11 +15,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from .estimators import oracle_guard
+
 EPS = 1e-12
 #: Weight of a step's free energy in the moving average that ``estimated`` aims at.
 EMA_ALPHA = 0.05
 
 SPEC = "run_id string, method string, seed long, beta double, n long, steps long, dt double, rate double, every long, start long, cap double"
+#: Columns that a spec may have besides: names of the model, the resampler, the start.
+OPTIONS = ("model", "resampler", "init")
 ROW = "run_id string, method string, seed long, step long, t double, l2_mean_force double, events_fraction double, n_unique long, ess double, crossings long, left_frac double, error string"
 
 
@@ -50,76 +54,215 @@ def fold(x: np.ndarray, low: float, high: float) -> np.ndarray:
     return low + np.minimum(m, 2 * (high - low) - m)
 
 
+@dataclass(frozen=True)
+class Surface:
+    """The two-channel surface in x and y, both walls reflecting."""
+
+    def forces(self, x, y):
+        a, b = np.exp(-x * x), np.exp(-y * y)
+        third, upper = y - 1 / 3, y - 5 / 3
+        g, h = np.exp(-third * third), np.exp(-upper * upper)
+        right, left = np.exp(-((x - 1) ** 2)), np.exp(-((x + 1) ** 2))
+        along = -6 * x * a * (g - h) + 10 * b * ((x - 1) * right + (x + 1) * left) + 0.8 * x**3
+        across = -6 * a * (third * g - upper * h) + 10 * y * b * (right + left) + 0.8 * third**3
+        return -along, -across
+
+    def mean_force(self, x, beta):
+        """By quadrature over y."""
+        y = np.linspace(-2.5, 3.5, 801)
+        a, b = np.exp(-x[:, None] ** 2), np.exp(-y * y)
+        v = 3 * a * (np.exp(-((y - 1 / 3) ** 2)) - np.exp(-((y - 5 / 3) ** 2))) - 5 * b * (np.exp(-((x[:, None] - 1) ** 2)) + np.exp(-((x[:, None] + 1) ** 2))) + 0.2 * x[:, None] ** 4 + 0.2 * (y - 1 / 3) ** 4
+        w = np.exp(-beta * (v - v.min(1, keepdims=True)))
+        return (w * -self.forces(x[:, None], y)[0]).sum(1) / w.sum(1)
+
+
+# -------------------------------------------------------------------- resamplers
+#
+# Five ways to move particles from where there are too many to where there are too few;
+# all keep their number.  Each takes scores, a rate, the time since the last call, the
+# largest share of events and a generator, and gives the indices of the particles that
+# go on and the number of events.
+
+
+def _chance(score: np.ndarray, rate: float, dt: float) -> np.ndarray:
+    return 1 - np.exp(-rate * np.maximum(score, 0) * dt)
+
+
+def _at_most(chosen: np.ndarray, most: int, rng: np.random.Generator) -> np.ndarray:
+    return rng.permutation(chosen)[:most] if len(chosen) > most else chosen
+
+
 def resample(score: np.ndarray, rate: float, dt: float, cap: float, rng: np.random.Generator) -> tuple[np.ndarray, int]:
-    """Indices of the particles that go on, as many as before, and the number of
-    events.  A particle of positive score dies with probability 1 - exp(-rate s dt);
-    one of negative score is cloned likewise.  Deaths and clones together stay within
-    ``cap`` of all; clones beyond the free places are dropped at random, free places
+    """A particle of positive score dies with probability 1 - exp(-rate s dt), one of
+    negative score is cloned likewise.  Beyond ``cap`` of all, deaths and clones are cut
+    in proportion; clones beyond the free places are dropped at random, free places
     beyond the clones are filled from the survivors."""
     n = len(score)
-    p = 1 - np.exp(-rate * np.abs(score) * dt)
-    hit = rng.random(n) < p
-    die, clone = np.flatnonzero(hit & (score > 0)), np.flatnonzero(hit & (score < 0))
-    most = int(cap * n)
-    if len(die) + len(clone) > most:
-        share = most / (len(die) + len(clone))
-        die = rng.permutation(die)[: int(len(die) * share)]
-        clone = rng.permutation(clone)[: int(len(clone) * share)]
+    u = rng.random(n)
+    die, clone = np.flatnonzero(u < _chance(score, rate, dt)), np.flatnonzero(u < _chance(-score, rate, dt))
+    most, events = int(cap * n), len(die) + len(clone)
+    if events > most:
+        deaths = min(round(most * len(die) / events), len(die))
+        die, clone = _at_most(die, deaths, rng), _at_most(clone, most - deaths, rng)
     alive = np.ones(n, bool)
     alive[die] = False
     pool = np.concatenate([np.flatnonzero(alive), clone])
     if len(pool) > n:
-        keep = rng.permutation(len(pool))[:n]
-        pool = pool[np.sort(keep)]
+        pool = pool[np.sort(rng.permutation(len(pool))[:n])]
     elif len(pool) < n:
         pool = np.concatenate([pool, rng.choice(np.flatnonzero(alive), n - len(pool))])
     return pool, len(die) + len(clone)
 
 
-def simulate_run(spec: dict, model: Channel = Channel(), nodes: int = 101, low: float = -2.0, high: float = 2.0, snapshots: int = 10) -> list[tuple]:
-    """Rows of one run.  Method ``abf`` biases alone; ``uniform`` and ``estimated``
-    also resample towards the flat density or, for the latter, exp(-beta (A - B)):
-    B is the free energy of the present bias, A its moving average over the steps."""
+def replace_by_weight(score: np.ndarray, rate: float, dt: float, cap: float, rng: np.random.Generator) -> tuple[np.ndarray, int]:
+    """Deaths as above, ``cap`` of all at most; each place is taken by a clone drawn with
+    weight -s among negative scores.  Without any of these nobody dies."""
+    n = len(score)
+    births = np.maximum(-score, 0)
+    chosen = np.arange(n)
+    if not births.sum() > 0:
+        return chosen, 0
+    die = _at_most(np.flatnonzero(rng.random(n) < _chance(score, rate, dt)), int(cap * n), rng)
+    chosen[die] = rng.choice(n, len(die), p=births / births.sum())
+    return chosen, len(die)
+
+
+def recentred(score: np.ndarray, clip: float) -> np.ndarray:
+    """Mean taken out, then three times clipped and the mean taken out."""
+    score = score - score.mean()
+    for _ in range(3):
+        score = np.clip(score, -clip, clip)
+        score = score - score.mean()
+    return score
+
+
+def replace_configurations(score: np.ndarray, rate: float, dt: float, cap: float, rng: np.random.Generator, clip: float = 5.0) -> tuple[np.ndarray, int]:
+    """Like ``replace_by_weight`` with recentred scores; a cap of less than one event, or
+    a side of the scores without mass, stops all events."""
+    score = recentred(score, clip)
+    if int(cap * len(score)) < 1 or np.maximum(score, 0).sum() <= EPS or np.maximum(-score, 0).sum() <= EPS:
+        return np.arange(len(score)), 0
+    return replace_by_weight(score, rate, dt, cap, rng)
+
+
+class Clocks:
+    """Exponential clocks of death and birth for each particle, run down by the score:
+    whose death clock ends becomes a copy of a random one, whose birth clock ends is
+    copied over a random one.  There is no cap."""
+
+    def __init__(self, n: int, rng: np.random.Generator):
+        self.death, self.birth = rng.exponential(size=(2, n))
+
+    def __call__(self, score: np.ndarray, rate: float, dt: float, cap: float, rng: np.random.Generator) -> tuple[np.ndarray, int]:
+        n = len(score)
+        self.death -= rate * dt * np.maximum(score, 0)
+        self.birth -= rate * dt * np.maximum(-score, 0)
+        chosen, events = np.arange(n), 0
+        # One after the other: a particle may be copied after it has been replaced.
+        for k in np.flatnonzero((self.death < 0) | (self.birth < 0)):
+            if self.death[k] < 0:
+                self.death[k], chosen[k] = rng.exponential(), chosen[rng.integers(n)]
+                events += 1
+            if self.birth[k] < 0:
+                self.birth[k], chosen[rng.integers(n)] = rng.exponential(), chosen[k]
+                events += 1
+        return chosen, events
+
+
+#: By name; ``clocks`` has a state and is made for each run.  ``single`` counts one step
+#: of time however many have gone since the last call.
+RESAMPLERS = {"proportional": resample, "single": resample, "weighted": replace_by_weight, "configurations": replace_configurations, "clocks": Clocks}
+
+
+def starting(kind: str, n: int, low: float, high: float, rng: np.random.Generator) -> np.ndarray:
+    """First positions: ``well`` about -1; ``uniform``; ``left``, ``right`` or ``mixed``:
+    in the outer parts of the interval, half of the particles on either side."""
+    if kind == "well":
+        return -1 + 0.1 * rng.standard_normal(n)
+    if kind == "uniform":
+        return rng.uniform(low, high, n)
+    share = {"left": 1.0, "right": 0.0, "mixed": 0.5}[kind]
+    left = np.arange(n) < int(share * n)
+    u = rng.uniform(0.1, 0.4, n)
+    return low + (high - low) * np.where(left, u, 0.5 + u)
+
+
+def target_of(method: str, grid: np.ndarray, p: np.ndarray, bias: np.ndarray, average: np.ndarray, beta: float, reference: np.ndarray | None = None) -> np.ndarray:
+    """Density that a method resamples towards.  A reference reaches ``oracle`` alone."""
+    oracle_guard(method, reference=reference)
+    if method == "uniform":
+        q = np.ones(len(grid))
+    elif method == "self":
+        q = p.copy()
+    else:
+        aim = reference if method == "oracle" else average
+        q = np.exp(-beta * (aim - bias - (aim - bias).min()))
+    step = grid[1] - grid[0]
+    for _ in range(2):
+        q = np.maximum(q / max(_integral(q, step), EPS), EPS)
+    return q / _integral(q, step)
+
+
+def _integral(y: np.ndarray, step: float) -> float:
+    return float((y.sum() - (y[0] + y[-1]) / 2) * step)
+
+
+def simulate_run(spec: dict, nodes: int = 101, snapshots: int = 10) -> list[tuple]:
+    """Rows of one run.  Method ``abf`` biases alone; ``uniform``, ``estimated``,
+    ``oracle`` and ``self`` also resample towards the target of their name: for
+    ``estimated`` exp(-beta (A - B)), where B is the free energy of the present bias and
+    A its moving average over the steps.  The reference reaches a run's dynamics with
+    the method ``oracle`` only; all runs are measured against it.
+
+    ``model`` is ``channel`` (x within walls, y free) or ``surface`` (both within walls);
+    ``resampler`` and ``init`` are named as in ``RESAMPLERS`` and ``starting``."""
     key = int(hashlib.sha256(str(spec["seed"]).encode()).hexdigest()[:15], 16)
     start, noise, choice = (np.random.default_rng([key, k]) for k in range(3))
-    n, beta, dt = int(spec["n"]), spec["beta"], spec["dt"]
+    n, beta, dt, method = int(spec["n"]), spec["beta"], spec["dt"], spec["method"]
+    model, (low, high) = {"channel": (Channel(), (-2.0, 2.0)), "surface": (Surface(), (-3.0, 3.0))}[spec.get("model") or "channel"]
+    resampler = spec.get("resampler") or "proportional"
+    kill = Clocks(n, choice) if resampler == "clocks" else RESAMPLERS[resampler]
+    since = dt * (1 if resampler in ("single", "weighted", "clocks") else spec["every"])
     grid, step = np.linspace(low, high, nodes, retstep=True)
-    x = -1 + 0.1 * start.standard_normal(n)
-    y = start.standard_normal(n) / (np.sqrt(beta) * model.omega(x))
+    x = starting(spec.get("init") or "well", n, low, high, start)
+    y = start.standard_normal(n) / (np.sqrt(beta) * model.omega(x)) if isinstance(model, Channel) else 0.3 * start.standard_normal(n)
     ancestor, side = np.arange(n), np.sign(x)
     hits, total = np.zeros(nodes), np.zeros(nodes)
     average = np.zeros(nodes)
     crossings = events = applied = 0
     rows = []
     reference = model.mean_force(grid, beta)
+    oracle = np.concatenate([[0], np.cumsum((reference[1:] + reference[:-1]) / 2 * step)]) if method == "oracle" else None
     inside = np.abs(grid) <= 1.5
     every = max(1, int(spec["steps"]) // snapshots)
+
+    def node(x):
+        return np.clip(np.rint((x - low) / step).astype(int), 0, nodes - 1)
+
     for k in range(1, int(spec["steps"]) + 1):
-        j = np.clip(np.rint((x - low) / step).astype(int), 0, nodes - 1)
+        j = node(x)
         fx, fy = model.forces(x, y)
         hits += np.bincount(j, minlength=nodes)
         total += np.bincount(j, weights=-fx, minlength=nodes)
         force = total / np.maximum(hits, 20)
-        if spec["method"] == "estimated":
-            bias = np.concatenate([[0], np.cumsum((force[1:] + force[:-1]) / 2 * step)])
+        bias = np.concatenate([[0], np.cumsum((force[1:] + force[:-1]) / 2 * step)])
+        if method == "estimated":
             average = (1 - EMA_ALPHA) * average + EMA_ALPHA * bias
         amplitude = np.sqrt(2 * dt / beta)
         x = fold(x + dt * (fx + np.interp(x, grid, force)) + amplitude * noise.standard_normal(n), low, high)
         y = y + dt * fy + amplitude * noise.standard_normal(n)
+        if not isinstance(model, Channel):
+            y = fold(y, -2.5, 3.5)
         now = np.sign(x)
         crossings += int(((now != side) & (now != 0) & (side != 0)).sum())
         side = np.where(now == 0, side, now)
-        if spec["method"] != "abf" and k >= spec["start"] and k % spec["every"] == 0:
-            p = np.bincount(np.clip(np.rint((x - low) / step).astype(int), 0, nodes - 1), minlength=nodes) + 0.5
-            p = p / (p.sum() * step)
-            if spec["method"] == "estimated":
-                q = np.exp(-beta * (average - bias - (average - bias).min()))
-            else:
-                q = np.ones(nodes)
-            q = q / (q.sum() * step)
-            ratio = np.log(p / np.maximum(q, EPS))
-            score = np.interp(x, grid, np.clip(ratio - (p * ratio).sum() * step, -5, 5))
-            pool, count = resample(score, spec["rate"], dt * spec["every"], spec["cap"], choice)
+        if method != "abf" and k >= spec["start"] and k % spec["every"] == 0:
+            p = np.bincount(node(x), minlength=nodes) + 0.5
+            p = p / _integral(p, step)
+            q = target_of(method, grid, p, bias, average, beta, oracle)
+            ratio = np.log(p / q)
+            score = np.clip(np.interp(x, grid, ratio - _integral(p * ratio, step)), -5, 5)
+            pool, count = kill(score, spec["rate"], since, spec["cap"], choice)
             x, y, ancestor, side = x[pool], y[pool], ancestor[pool], side[pool]
             events += count
             applied += 1
@@ -127,8 +270,8 @@ def simulate_run(spec: dict, model: Channel = Channel(), nodes: int = 101, low:
             family = np.bincount(ancestor)
             family = family[family > 0].astype(float)
             d = force[inside] - reference[inside]
-            rows.append((spec["run_id"], spec["method"], int(spec["seed"]), k, k * dt, float(np.sqrt((d * d).mean())), events / max(applied * n, 1), len(family), float(n * n / (family**2).sum()), crossings, float((x < 0).mean()), None))
-            if not np.isfinite(rows[-1][5]):
+            rows.append((spec["run_id"], method, int(spec["seed"]), k, k * dt, float(np.sqrt((d * d).mean())), events / max(applied * n, 1), len(family), float(n * n / (family**2).sum()), crossings, float((x < 0).mean()), None))
+            if not (np.isfinite(rows[-1][5]) and np.isfinite(x).all()):
                 raise FloatingPointError(f"step {k}")
     return rows
 

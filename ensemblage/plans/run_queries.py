@@ -72,14 +72,28 @@ def stream_running_ema(spark, d):
     return rounded(last_update(run_stream(streaming.running_ema(stream), "update", spark), ["user_id"]))
 
 
+_FIXED = (("beta", "double", 4.0), ("n", "long", 200), ("steps", "long", 1000), ("dt", "double", 0.01), ("rate", "double", 1.0), ("every", "long", 10), ("start", "long", 200), ("cap", "double", 0.1))
+
+
+def _specs(spark, axes):
+    names = list(axes)
+    values = [F.lit(v).cast(k).alias(n) for n, k, v in _FIXED]
+    return orchestration.expand_grid(spark, axes).select(orchestration.config_id(names).alias("run_id"), *[F.col(n).cast("long").alias(n) if n == "seed" else n for n in names], *values)
+
+
 @query()
 def simulate_methods(spark, d):
-    methods = {"method": ["abf", "uniform", "estimated"], "seed": [0, 1, 2]}
-    specs = orchestration.expand_grid(spark, methods).select(
-        orchestration.config_id(["method", "seed"]).alias("run_id"), "method", F.col("seed").cast("long").alias("seed"),
-        *[F.lit(v).cast(k).alias(n) for n, k, v in (("beta", "double", 4.0), ("n", "long", 200), ("steps", "long", 1000), ("dt", "double", 0.01), ("rate", "double", 1.0), ("every", "long", 10), ("start", "long", 200), ("cap", "double", 0.1))],
-    )
-    return rounded(simulate.simulate(specs))
+    return rounded(simulate.simulate(_specs(spark, {"method": ["abf", "uniform", "estimated", "oracle", "self"], "seed": [0, 1, 2]})))
+
+
+@query()
+def simulate_resamplers(spark, d):
+    return rounded(simulate.simulate(_specs(spark, {"method": ["uniform"], "resampler": list(simulate.RESAMPLERS), "seed": [0, 1]})))
+
+
+@query()
+def simulate_surface(spark, d):
+    return rounded(simulate.simulate(_specs(spark, {"method": ["abf", "estimated"], "model": ["surface"], "init": ["well", "uniform", "left", "right", "mixed"], "seed": [0]})))
 
 
 @query("SELECT p_partkey, p_size, round(p_retailprice, 2) AS p_retailprice FROM part")

@@ -173,6 +173,58 @@ def test_resampling_keeps_the_number_and_the_cap():
     assert events == 0 and pool.tolist() == list(range(200))
 
 
+def test_all_resamplers_keep_the_number_of_particles():
+    rng = np.random.default_rng(2)
+    for name, make in simulate.RESAMPLERS.items():
+        kill = make(200, rng) if name == "clocks" else make
+        for _ in range(20):
+            score = rng.standard_normal(200) * 5
+            pool, events = kill(score, 1.0, 0.5, 0.1, rng)
+            assert len(pool) == 200 and pool.min() >= 0 and pool.max() < 200
+            assert name == "clocks" or events <= 20
+        pool, events = kill(score, 0.0, 0.5, 0.1, rng)
+        assert events == 0 and pool.tolist() == list(range(200))
+        # Nobody to clone, or no event allowed.
+        if name in ("weighted", "configurations"):
+            assert kill(np.ones(200), 1.0, 0.5, 0.1, rng)[1] == 0
+            assert kill(score, 9.0, 0.5, 0.004, rng)[1] == 0
+    assert abs(simulate.recentred(np.array([9.0, 1, -2, -3]), 2).mean()) < 1e-12
+    # Those who die are the over-represented ones, clones the others.
+    score = np.repeat([3.0, -3.0], 100)
+    for name in ("proportional", "weighted", "configurations"):
+        pool, events = simulate.RESAMPLERS[name](score, 1.0, 0.5, 0.3, rng)
+        assert events > 0 and (pool < 100).sum() < 100
+
+
+def test_targets_and_leakage():
+    grid_, p = np.linspace(-2, 2, 41), np.linspace(1, 3, 41)
+    bias, average = np.cos(grid_), np.sin(grid_)
+    step = grid_[1] - grid_[0]
+    for method in ("uniform", "estimated", "self"):
+        q = simulate.target_of(method, grid_, p, bias, average, 2.0)
+        assert abs(simulate._integral(q, step) - 1) < 1e-9
+        with pytest.raises(ValueError):
+            simulate.target_of(method, grid_, p, bias, average, 2.0, reference=average)
+    want = np.exp(-2 * (average - bias))
+    assert np.allclose(simulate.target_of("oracle", grid_, p, bias, bias, 2.0, reference=average), want / simulate._integral(want, step))
+    assert np.allclose(simulate.target_of("self", grid_, p, bias, bias, 2.0), p / simulate._integral(p, step))
+
+
+def test_starts_and_surface():
+    rng = np.random.default_rng(3)
+    for kind, left in (("left", 1), ("right", 0), ("mixed", 0.5)):
+        x = simulate.starting(kind, 100, -3, 3, rng)
+        assert (x < 0).mean() == left and np.abs(x).min() > 0.5 and np.abs(x).max() < 2.5
+    s, h = simulate.Surface(), 1e-5
+    v = lambda x, y: 3 * np.exp(-x * x) * (np.exp(-((y - 1 / 3) ** 2)) - np.exp(-((y - 5 / 3) ** 2))) - 5 * np.exp(-y * y) * (np.exp(-((x - 1) ** 2)) + np.exp(-((x + 1) ** 2))) + 0.2 * x**4 + 0.2 * (y - 1 / 3) ** 4
+    fx, fy = s.forces(0.7, -0.4)
+    assert abs(fx + (v(0.7 + h, -0.4) - v(0.7 - h, -0.4)) / (2 * h)) < 1e-6 and abs(fy + (v(0.7, -0.4 + h) - v(0.7, -0.4 - h)) / (2 * h)) < 1e-6
+    spec = {"run_id": "a", "method": "estimated", "seed": 1, "beta": 4.0, "n": 60, "steps": 200, "dt": 0.005, "rate": 1.0, "every": 5, "start": 40, "cap": 0.1}
+    found = {(m, r, i): simulate.simulate_run({**spec, "model": m, "resampler": r, "init": i})[-1] for m in ("channel", "surface") for r in simulate.RESAMPLERS for i in ("well", "mixed")}
+    assert all(1 <= r[8] <= 60 and 1 <= r[7] <= 60 and 0 <= r[10] <= 1 for r in found.values())
+    assert len({r[5] for r in found.values()}) == len(found)
+
+
 def test_runs_are_reproducible_and_isolated(spark):
     good = ("a", "uniform", 1, 4.0, 50, 100, 0.01, 1.0, 5, 20, 0.1)
     specs = spark.createDataFrame([good, ("b", "abf", 1, -4.0, 50, 100, 0.01, 1.0, 5, 20, 0.1)], simulate.SPEC)
@@ -197,6 +249,6 @@ def test_simulate_methods_runs_every_method(spark):
 
     rows = registry.QUERIES["simulate_methods"](spark, "")
     runs = {(r.method, r.seed): r["count"] for r in rows.groupBy("method", "seed").count().collect()}
-    assert runs == {(m, s): 10 for m in ("abf", "uniform", "estimated") for s in (0, 1, 2)}
+    assert runs == {(m, s): 10 for m in ("abf", "uniform", "estimated", "oracle", "self") for s in (0, 1, 2)}
     ids = spark.createDataFrame([("abf", 0.5), ("uniform", 0.5), (None, 1.0)], "method string, eta double").select(orchestration.config_id(["method", "eta"]))
     assert [r[0] for r in ids.collect()] == ["method=abf_eta=0.5", "method=uniform_eta=0.5", "method=null_eta=1"]
