@@ -22,7 +22,9 @@ def mbar(samples: DataFrame, centers: list[float], x: str, home: str, stiffness:
 
     z_k = sum_n exp(-beta u_k(x_n)) / sum_l N_l exp(-beta u_l(x_n)) / z_l.  A round is
     one pass over the samples with K sums; K numbers come back.  Fixed ``rounds``, or
-    until the largest relative change is within ``tolerance``."""
+    until the largest relative change is within ``tolerance``.  The two columns are kept
+    through the rounds."""
+    samples = samples.select(x, home).persist()
     counts = {r[0]: r[1] for r in samples.groupBy(home).count().collect()}
     n = [counts.get(k, 0) for k in range(len(centers))]
 
@@ -39,6 +41,7 @@ def mbar(samples: DataFrame, centers: list[float], x: str, home: str, stiffness:
         z = new
         if tolerance is not None and change <= tolerance:
             break
+    samples.unpersist()
     return z
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import estimators, grid, models, sampling, significance
-from .tabular_queries import pairs, rounded, table
+from .tabular_queries import PAIRS, pairs, rounded, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -117,11 +117,10 @@ def reflected_images(spark, d):
     return images.groupBy(F.floor(F.col("value") / 100).cast("int").alias("bin")).agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH g AS (SELECT unnest(range(26))::INT AS j), n AS (SELECT j, 1 + j * 2::DOUBLE AS x FROM g), w AS (SELECT j, x, exp(-0.5::DOUBLE * ((x - l_quantity) / 3) * ((x - l_quantity) / 3)) / (3 * sqrt(2 * pi())) AS w, l_discount AS v FROM n, lineitem WHERE l_returnflag = 'A')
+@query(f"""WITH g AS (SELECT unnest(range(26))::INT AS j), n AS (SELECT j, 1 + j * 2::DOUBLE AS x FROM g), w AS (SELECT j, x, exp(-0.5::DOUBLE * ((x - l_quantity) / 3) * ((x - l_quantity) / 3)) / (3 * sqrt(2 * pi())) AS w, l_discount AS v FROM n, lineitem)
 SELECT j, x, round(sum(w * v) / (sum(w) + 10 + 1e-12), 8) AS estimate, round(sum(w), 4) AS mass FROM w GROUP BY ALL""")
 def kernel_regression(spark, d):
-    li = table(spark, d, "lineitem").where("l_returnflag = 'A'")
-    out = grid.kernel_regression(li, grid.grid(spark, 1, 51, 26), "l_quantity", "l_discount", 3.0, 10.0)
+    out = grid.kernel_regression(table(spark, d, "lineitem"), grid.grid(spark, 1, 51, 26), "l_quantity", "l_discount", 3.0, 10.0)
     return rounded(out.withColumn("mass", F.round("mass", 4)), 8)
 
 
@@ -199,10 +198,11 @@ def _mbar_sql(rounds: int) -> str:
 SELECT k::INT AS k, round(z, 6) AS z FROM (SELECT unnest([0, 1, 2]) AS k, unnest([z0, z1, z2]) AS z FROM {before})"""
 
 
-@query(_mbar_sql(5))
+# Both go on until nothing changes any more in the digits that are compared.
+@query(_mbar_sql(60))
 def mbar(spark, d):
     s = table(spark, d, "events").select((F.col("value") / 50).alias("x"), (F.col("event_id") % 3).cast("int").alias("home"))
-    z = estimators.mbar(s, _CENTERS, "x", "home", 2.0, 1.0, rounds=5)
+    z = estimators.mbar(s, _CENTERS, "x", "home", 2.0, 1.0, rounds=500, tolerance=1e-9)
     return spark.createDataFrame([(k, round(v, 6)) for k, v in enumerate(z)], "k int, z double")
 
 
@@ -249,14 +249,16 @@ def channel_reference(spark, d):
     return rounded(grid.grid(spark, -1.5, 1.5, 101).select("j", c.free_energy(x).alias("F"), c.mean_force(x).alias("Fprime")))
 
 
-@query()
+@query(f"""WITH c AS (SELECT unnest([-1.0, 0.0, 1.0])::DOUBLE AS x), h AS (SELECT i::INT AS j, -2.5::DOUBLE + i * 6.0::DOUBLE / 800 AS y FROM (SELECT unnest(range(801)) AS i)), v AS (SELECT x, j, y, {_V} AS v FROM c, h), e AS (SELECT x, j, y, exp(-4 * (v - min(v) OVER (PARTITION BY x))) AS p FROM v),
+t AS (SELECT x, sum(piece) AS t FROM (SELECT x, (p + lag(p) OVER (PARTITION BY x ORDER BY y)) / 2 * (y - lag(y) OVER (PARTITION BY x ORDER BY y)) AS piece FROM e) GROUP BY x) SELECT x AS x0, j, round(y, 8) + 0 AS y, round(p / t, 8) AS p FROM e JOIN t USING (x)""")
 def conditional_density(spark, d):
-    return rounded(models.conditional_density(spark, [-1.0, 0.0, 1.0], y=(-2.5, 3.5, 121)), 8)
+    return rounded(models.conditional_density(spark, [-1.0, 0.0, 1.0]), 8)
 
 
-@query()
+@query(f"""WITH g AS (SELECT i::INT AS j, -3 + i * 0.1::DOUBLE AS x FROM (SELECT unnest(range(61)) AS i)), h AS (SELECT i::INT AS k, -2.5::DOUBLE + i * 0.1::DOUBLE AS y FROM (SELECT unnest(range(61)) AS i)), v AS (SELECT j, k, x, y, {_V} AS v FROM g, h), e AS (SELECT *, exp(-4 * (v - min(v) OVER ())) AS p FROM v),
+t AS (SELECT sum(p * (CASE WHEN j IN (0, 60) THEN 0.5 ELSE 1 END)::DOUBLE * (CASE WHEN k IN (0, 60) THEN 0.5 ELSE 1 END)::DOUBLE * 0.01::DOUBLE) AS t FROM e) SELECT j, k, round(x, 6) + 0 AS x, round(y, 6) + 0 AS y, round(v, 6) + 0 AS v, round(p / t, 6) AS p FROM e, t""")
 def boltzmann_grid(spark, d):
-    return rounded(models.boltzmann_grid(spark), 8)
+    return rounded(models.boltzmann_grid(spark))
 
 
 @query(f"""WITH {PROFILE}, n AS (SELECT run, sum(piece) AS t FROM (SELECT run, (y + lag(y) OVER w) / 2 * (x - lag(x) OVER w) AS piece FROM profile WINDOW w AS (PARTITION BY run ORDER BY x)) GROUP BY run), p AS (SELECT run, x, y / t AS p, 1.0::DOUBLE / 49 AS q FROM profile JOIN n USING (run)),
@@ -291,6 +293,16 @@ def weighted_draw(spark, d):
     return sampling.weighted_draws(n, "n_nationkey", "w", asked, "u", ["n_regionkey"])
 
 
+_DENSITY = "(SELECT unnest(range(20000)) AS i)"
+
+
+# The tail of Student's law by quadrature over the angle whose tangent is t / sqrt(dof).
+@query(f"""WITH {PAIRS}, t AS (SELECT method, count(*) AS n, abs(avg(base - value) / (stddev_samp(base - value) / sqrt(count(*)))) AS t FROM pairs GROUP BY method), a AS (SELECT method, n, atan(t / sqrt(n - 1)) AS low FROM t),
+p AS (SELECT method, n, sum(cos(low + (i + 0.5::DOUBLE) * (pi() / 2 - low) / 20000) ^ (n - 2)) * (pi() / 2 - low) / (sum(cos((i + 0.5::DOUBLE) * pi() / 40000) ^ (n - 2)) * pi() / 2) AS p FROM a, {_DENSITY} GROUP BY method, n, low) SELECT method, n, round(p, 6) AS t_p FROM p""")
+def paired_t_pvalue(spark, d):
+    return rounded(significance.paired_tests(pairs(spark, d), ["method"]).select("method", "n", "t_p"))
+
+
 @query()
 def paired_significance(spark, d):
     return significance.paired_tests(pairs(spark, d), ["method"])

@@ -172,7 +172,9 @@ def stride_shard(spark, d):
     return o.select("o_orderkey", F.col("shard").cast("int").alias("shard"))
 
 
-@query()
+@query("""WITH RECURSIVE g AS (SELECT l_returnflag || l_linenumber AS name, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, l_returnflag || l_linenumber) AS i FROM lineitem GROUP BY l_returnflag, l_linenumber),
+s(i, name, shard, loads) AS (SELECT 0::BIGINT, '', -1, [0, 0, 0, 0]::BIGINT[] UNION ALL SELECT g.i, g.name, list_position(loads, list_min(loads))::INT - 1, list_transform([1, 2, 3, 4], lambda k: loads[k] + CASE WHEN k = list_position(loads, list_min(loads)) THEN g.n ELSE 0 END) FROM s JOIN g ON g.i = s.i + 1)
+SELECT name, shard FROM s WHERE i > 0""")
 def greedy_shard(spark, d):
     # The groups are batches of a plan, 35 at most here.
     sizes = table(spark, d, "lineitem").groupBy("l_returnflag", "l_linenumber").agg(F.count("*").alias("n")).collect()
