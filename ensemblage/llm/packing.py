@@ -8,7 +8,8 @@ the sources and clusters inside, and the successor search goes on from residual
 residual until a compatible bin is found.
 
 A document longer than the capacity gives full pieces, each a bin of its own, and a
-remainder that is packed.  Documents are dealt to shards by a hash of their id; the
+remainder that is packed.  Documents are dealt to shards by a hash of their id, source,
+cluster and length, so that rows of one id are not one shard; the
 number of shards follows the number of rows, so a shard has a bounded number of
 pieces, and only ids, names and lengths are shuffled.  Shards are packed apart.
 """
@@ -192,7 +193,8 @@ def best_fit(documents: DataFrame, capacity: int = CAPACITY, cluster: Column | N
     ``residual`` is what the finished bin has left.  Null texts count as empty: a
     piece of length 0 shares a bin like any other.  A null source or cluster is one
     of its own kind (the empty name); repeated rows are packed apart, as equal texts
-    conflict; ties go by doc_id, null first, then source and cluster.
+    conflict; ties go by doc_id, null first, then source and cluster.  A text of any
+    length gives as many pieces as it needs.  An empty table gives an empty result.
     """
     df = documents.select(
         "doc_id",
@@ -202,5 +204,5 @@ def best_fit(documents: DataFrame, capacity: int = CAPACITY, cluster: Column | N
     )
     rows = documents.select("doc_id").count()
     shards = max(1, -(-rows // SHARD_DOCUMENTS))
-    shard = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(shards)).cast("int")
+    shard = F.pmod(F.xxhash64("doc_id", "source", "cluster", "n_tokens", F.lit(17)), F.lit(shards)).cast("int")
     return df.withColumn("shard", shard).groupBy("shard").applyInPandas(_pack_shard(capacity), PACKED)

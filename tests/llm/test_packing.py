@@ -62,6 +62,57 @@ def test_whole_documents_are_packed(spark):
         assert len({r.source for r in members}) == len({r.cluster for r in members}) == len(members)
 
 
+def brute(docs, capacity):
+    """Bins as sets of (doc_id, piece), by trying every open bin for each piece."""
+    pieces = []
+    for doc, source, cluster, n in docs:
+        for k in range(max(1, -(-n // capacity))):
+            pieces.append((min(capacity, n - k * capacity), doc, k, source, cluster))
+    pieces.sort(key=lambda p: (-p[0], p[1], p[2], p[3], p[4]))
+    bins = []
+    for n, doc, k, source, cluster in pieces:
+        free = [b for b in bins if b["left"] >= n and b["left"] > 0 and source not in b["sources"] and cluster not in b["clusters"]]
+        if free:
+            tightest = min(b["left"] for b in free)
+            # Any of the tightest bins will do; residuals do not depend on which.
+            b = next(b for b in free if b["left"] == tightest)
+        else:
+            b = {"left": capacity, "sources": set(), "clusters": set(), "in": []}
+            bins.append(b)
+        b["left"] -= n
+        b["sources"].add(source)
+        b["clusters"].add(cluster)
+        b["in"].append((doc, k, n))
+    return bins
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_shards_match_brute_force(spark, seed):
+    rng = random.Random(seed)
+    # Sources of their own: which of several tightest bins is taken then makes no difference.
+    docs = [(i, f"s{i}", f"c{rng.randrange(60)}" if i % 3 else f"own{i}", rng.choice([0, 3, 17, 40, 64, 65, 200, rng.randrange(64)])) for i in range(150)]
+    df = spark.createDataFrame([(i, "w " * n, s, c) for i, s, c, n in docs], "doc_id long, text string, source string, dup string").repartition(3)
+    rows = packing.best_fit(df, capacity=64, cluster=packing.F.col("dup")).collect()
+    want = brute(docs, 64)
+    assert sorted((r.doc_id, r.piece, r.n_tokens, r.start) for r in rows) == sorted((d, k, n, 64 * k) for b in want for d, k, n in b["in"])
+    got = {}
+    for r in rows:
+        got.setdefault(r.bin_id, []).append(r)
+    for members in got.values():
+        assert sum(r.n_tokens for r in members) + members[0].residual == 64 and len({r.residual for r in members}) == 1
+        assert len({r.cluster for r in members}) == len(members)
+    assert abs(len(got) - len(want)) <= 1
+
+
+def test_rows_of_one_id_are_dealt_apart(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_DOCUMENTS", 50)
+    df = spark.createDataFrame([(7, f"text number {i} " * (i % 9), f"s{i % 4}") for i in range(1000)], "doc_id long, text string, source string")
+    shards = {}
+    for r in packing.best_fit(df).collect():
+        shards[r.bin_id.split("-")[0]] = shards.get(r.bin_id.split("-")[0], 0) + 1
+    assert len(shards) > 10 and max(shards.values()) < 200 and sum(shards.values()) == 1000
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string, source string")
     assert packing.best_fit(df).count() == 0
