@@ -186,7 +186,8 @@ def jarzynski(spark, d):
 _CENTERS = [0.0, 1.0, 2.0]
 
 
-def _mbar_sql(rounds: int) -> str:
+def mbar_ctes(rounds: int) -> tuple[str, str]:
+    """The iteration written out: common tables, and the name of the last weights."""
     bias = [f"exp(-0.5::DOUBLE * 2 * (x - {c}::DOUBLE) * (x - {c}::DOUBLE))" for c in _CENTERS]
     steps, before = "", "z0"
     for r in range(1, rounds + 1):
@@ -194,8 +195,20 @@ def _mbar_sql(rounds: int) -> str:
         sums = ", ".join(f"sum({b} / ({below})) AS s{k}" for k, b in enumerate(bias))
         steps += f", r{r} AS (SELECT {sums} FROM s, n, {before}), z{r} AS (SELECT s0 / s1 AS z0, 1.0::DOUBLE AS z1, s2 / s1 AS z2 FROM r{r})"
         before = f"z{r}"
-    return f"""WITH s AS (SELECT value / 50 AS x, (event_id % 3)::INT AS home FROM events), n AS (SELECT count(*) FILTER (WHERE home = 0) AS n0, count(*) FILTER (WHERE home = 1) AS n1, count(*) FILTER (WHERE home = 2) AS n2 FROM s), z0 AS (SELECT 1.0::DOUBLE AS z0, 1.0::DOUBLE AS z1, 1.0::DOUBLE AS z2){steps}
-SELECT k::INT AS k, round(z, 6) AS z FROM (SELECT unnest([0, 1, 2]) AS k, unnest([z0, z1, z2]) AS z FROM {before})"""
+    start = "s AS (SELECT value / 50 AS x, (event_id % 3)::INT AS home FROM events), n AS (SELECT count(*) FILTER (WHERE home = 0) AS n0, count(*) FILTER (WHERE home = 1) AS n1, count(*) FILTER (WHERE home = 2) AS n2 FROM s), z0 AS (SELECT 1.0::DOUBLE AS z0, 1.0::DOUBLE AS z1, 1.0::DOUBLE AS z2)"
+    return start + steps, before
+
+
+def _mbar_sql(rounds: int) -> str:
+    tables, last = mbar_ctes(rounds)
+    return f"WITH {tables} SELECT k::INT AS k, round(z, 6) AS z FROM (SELECT unnest([0, 1, 2]) AS k, unnest([z0, z1, z2]) AS z FROM {last})"
+
+
+def mbar_profile_sql(rounds: int) -> str:
+    tables, last = mbar_ctes(rounds)
+    below = " + ".join(f"n{k} / {last}.z{k} * exp(-0.5::DOUBLE * 2 * (x - {c}::DOUBLE) * (x - {c}::DOUBLE))" for k, c in enumerate(_CENTERS))
+    return f"""WITH {tables}, w AS (SELECT CASE WHEN round_even(x / 0.25, 0)::INT BETWEEN 0 AND 40 THEN round_even(x / 0.25, 0)::INT END AS bin, 1 / ({below}) AS w FROM s, n, {last}),
+g AS (SELECT bin, sum(w) AS w FROM w GROUP BY bin) SELECT bin, round(w / sum(w) OVER (), 4) AS p, round(-ln(w / sum(w) OVER ()), 4) + 0 AS pmf FROM g"""
 
 
 # Both go on until nothing changes any more in the digits that are compared.

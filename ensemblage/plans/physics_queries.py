@@ -10,7 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import estimators, grid, models, particles, sampling, tabular
-from .grid_queries import PROFILE, profile
+from .grid_queries import PROFILE, mbar_profile_sql, profile
 from .tabular_queries import rounded, table
 
 QUERIES: dict = {}
@@ -282,10 +282,10 @@ def work_profile(spark, d):
     return rounded(estimators.work_profile(path, "run", ["step"], "xi", "force", 2.0), 8)
 
 
-@query()
+@query(mbar_profile_sql(60))
 def mbar_profile(spark, d):
     s = table(spark, d, "events").select((F.col("value") / 50).alias("x"), (F.col("event_id") % 3).cast("int").alias("home"))
-    return rounded(estimators.mbar_restrained_profile(s, [0.0, 1.0, 2.0], "x", "home", 2.0, 1.0, 0.0, 0.25, 41, 1e-8))
+    return rounded(estimators.mbar_restrained_profile(s, [0.0, 1.0, 2.0], "x", "home", 2.0, 1.0, 0.0, 0.25, 41, 1e-9), 4)
 
 
 # -------------------------------------------------------------------- particles

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from .. import sources, streaming
-from ..operators import simulate
+from ..operators import estimators, grid, sampled_systems, simulate
 from . import orchestration
 from .tabular_queries import rounded, table
 
@@ -96,6 +96,30 @@ def simulate_surface(spark, d):
     return rounded(simulate.simulate(_specs(spark, {"method": ["abf", "estimated"], "model": ["surface"], "init": ["well", "uniform", "left", "right", "mixed"], "seed": [0]})))
 
 
+@query()
+def simulate_dimer(spark, d):
+    specs = orchestration.expand_grid(spark, {"method": ["abf", "uniform"], "seed": [0, 1]})
+    specs = specs.select(orchestration.config_id(["method", "seed"]).alias("run_id"), "*").withColumns({"beta": F.lit(1.0), "side": F.lit(3), "spacing": F.lit(1.4), "n": F.lit(64), "steps": F.lit(400), "dt": F.lit(0.0005), "rate": F.lit(5.0), "start": F.lit(100), "every": F.lit(10), "cap": F.lit(0.1)})
+    return rounded(sampled_systems.sample(specs, sampled_systems.dimer_run, sampled_systems.DIMER_ROW))
+
+
+@query()
+def simulate_extended(spark, d):
+    specs = orchestration.expand_grid(spark, {"seed": [0, 1, 2]}).select(orchestration.config_id(["seed"]).alias("run_id"), "seed")
+    specs = specs.withColumns({"beta": F.lit(4.0), "n": F.lit(100), "steps": F.lit(1000), "dt": F.lit(0.005), "stiffness": F.lit(50.0)})
+    rows = sampled_systems.sample(specs, sampled_systems.extended_run, sampled_systems.EXTENDED_ROW)
+    return rounded(estimators.czar(rows.where("hits > 0"), ["run_id"], "z", "density", "mean_lambda", 4.0, 50.0))
+
+
+@query()
+def simulate_constrained_profile(spark, d):
+    specs = orchestration.expand_grid(spark, {"home": list(range(13))}).select(F.col("home").cast("string").alias("run_id"), "home", F.col("home").alias("seed"), (-1.2 + 0.2 * F.col("home")).alias("center"))
+    specs = specs.withColumns({"kind": F.lit("constrained"), "beta": F.lit(4.0), "n": F.lit(100), "steps": F.lit(500), "dt": F.lit(0.02), "every": F.lit(20), "dynamics": F.lit("langevin")})
+    rows = sampled_systems.sample(specs, sampled_systems.fixed_run, sampled_systems.SAMPLE_ROW).where("step > 100")
+    points = spark.range(49).select((-1.2 + 0.05 * F.col("id")).alias("x0"))
+    return rounded(estimators.integrated_profile(rows, "x", "force", 0.2, 13, grid.gaussian_offsets(0.1, 0.2, unit="sum"), points, "x0", 0.0, -1.2))
+
+
 @query("SELECT p_partkey, p_size, round(p_retailprice, 2) AS p_retailprice FROM part")
 def csv_round_trip(spark, d):
     place = scratch(spark)
