@@ -42,3 +42,21 @@ def weighted_draws(df: DataFrame, key: str, weight: str, draws: DataFrame, u: st
 
 def deaths(df: DataFrame, probability: Column, seed: str, key: str) -> DataFrame:
     return df.withColumn("dies", uniform(seed, key) < probability)
+
+
+def refilled(df: DataFrame, group: list[str], key: str, dies: Column, cloned: Column, seed: str) -> DataFrame:
+    """Who goes on after a resampling, as many in each group as before: survivors and
+    clones, a random subset of them if there are too many, further draws among the
+    survivors if there are too few.  (group, key of the source, ``how``: kept or drawn)"""
+    marked = df.select(*group, key, dies.alias("_dies"), cloned.alias("_cloned"))
+    copies = F.concat(F.when(F.col("_dies"), F.array().cast("array<int>")).otherwise(F.array(F.lit(0))), F.when(F.col("_cloned"), F.array(F.lit(1))).otherwise(F.array().cast("array<int>")))
+    pool = marked.withColumn("_copy", F.explode(copies))
+    rank = F.row_number().over(Window.partitionBy(*group).orderBy(uniform(seed, key, "_copy"), key, "_copy"))
+    size = marked.groupBy(*group).agg(F.count("*").alias("_n"), F.count_if(~F.col("_dies")).alias("_alive"), (F.count_if(~F.col("_dies")) + F.count_if("_cloned")).alias("_pool"))
+    kept = pool.withColumn("_rank", rank).join(size, group).where("_rank <= _n").select(*group, key, F.lit("kept").alias("how"))
+    # Empty places are few, and each looks up one survivor by its place among them.
+    lacking = size.where("_pool < _n and _alive > 0").withColumn("_slot", F.explode(F.expr("sequence(1L, _n - _pool)")))
+    lacking = lacking.withColumn("_at", F.floor(uniform(seed, *group, "_slot") * F.col("_alive")).cast("long"))
+    place = (F.row_number().over(Window.partitionBy(*group).orderBy(key)) - 1).cast("long")
+    alive = marked.where("not _dies").withColumn("_at", place).select(*group, "_at", key)
+    return kept.union(lacking.join(alive, [*group, "_at"]).select(*group, key, F.lit("drawn").alias("how")))

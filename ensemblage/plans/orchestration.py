@@ -86,6 +86,23 @@ def merged_config(base: dict, over: dict) -> dict:
     return out
 
 
+def overrides(arguments: list[str]) -> dict:
+    """Nested mapping of ``a.b=value`` arguments; values are read as YAML, later ones
+    win.  Lay it over a configuration by ``merged_config``."""
+    import yaml
+
+    out: dict = {}
+    for argument in arguments:
+        path, found, value = argument.partition("=")
+        if not found or not path:
+            raise ValueError(f"{argument}: name=value is needed")
+        nested = yaml.safe_load(value)
+        for name in reversed(path.split(".")):
+            nested = {name: nested}
+        out = merged_config(out, nested)
+    return out
+
+
 def gate(checks: DataFrame) -> DataFrame:
     """Pass the checks (name, ok) on, or fail the query naming those that did not."""
     bad = checks.agg(F.concat_ws(", ", F.collect_list(F.when(~F.col("ok"), F.col("name")))).alias("failed"))

@@ -177,6 +177,20 @@ def deaths(spark, d):
     return sampling.deaths(o, p, "s", "o_orderkey").select("o_orderkey", F.col("dies").alias("died"))
 
 
+def _uniform_sql(*parts: str) -> str:
+    return f"((('0x' || substr(md5('r:' || {" || ':' || ".join(parts)}), 1, 13))::BIGINT)::DOUBLE + 0.5) / 4503599627370496"
+
+
+@query(f"""WITH m AS (SELECT o_orderpriority AS g, o_orderkey AS id, o_orderkey % 5 < 2 AS dies, o_orderkey % (CASE WHEN o_orderpriority < '3' THEN 2 ELSE 9 END) = 1 AS cloned FROM orders),
+z AS (SELECT g, count(*) AS n, count(*) FILTER (WHERE NOT dies) AS alive, count(*) FILTER (WHERE NOT dies) + count(*) FILTER (WHERE cloned) AS pool FROM m GROUP BY g),
+p AS (SELECT g, id, 0 AS copy FROM m WHERE NOT dies UNION ALL SELECT g, id, 1 FROM m WHERE cloned), r AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY {_uniform_sql("id", "copy")}, id, copy) AS rank FROM p),
+s AS (SELECT g, alive, unnest(range(1, n - pool + 1)) AS slot FROM z WHERE pool < n), d AS (SELECT g, floor({_uniform_sql("g", "slot")} * alive)::BIGINT AS place FROM s), a AS (SELECT g, id, row_number() OVER (PARTITION BY g ORDER BY id) - 1 AS place FROM m WHERE NOT dies)
+SELECT g AS o_orderpriority, id AS o_orderkey, 'kept' AS how FROM r JOIN z USING (g) WHERE rank <= n UNION ALL SELECT g, id, 'drawn' FROM d JOIN a USING (g, place)""")
+def survivors_and_clones(spark, d):
+    every = F.when(F.col("o_orderpriority") < "3", 2).otherwise(9)
+    return sampling.refilled(table(spark, d, "orders"), ["o_orderpriority"], "o_orderkey", F.col("o_orderkey") % 5 < 2, F.col("o_orderkey") % every == 1, "r")
+
+
 # -------------------------------------------------------------- series, regions
 
 

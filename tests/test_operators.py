@@ -155,6 +155,10 @@ def test_plans(spark):
     assert orchestration.remaining(named, named.where("seed = 0"), named.where("seed = 1")).count() == 2
     assert orchestration.greedy_shards([("a", 5), ("b", 4), ("c", 3), ("d", 3)], 2) == {"a": 0, "b": 1, "c": 1, "d": 0}
     assert orchestration.merged_config({"a": {"b": 1, "c": 2}}, {"a": {"b": 3}}) == {"a": {"b": 3, "c": 2}}
+    found = orchestration.overrides(["a.b=3", "a.c=[1, 2]", "d=text", "a.b=0.5"])
+    assert found == {"a": {"b": 0.5, "c": [1, 2]}, "d": "text"}
+    with pytest.raises(ValueError):
+        orchestration.overrides(["a.b"])
     checks = spark.createDataFrame([("x", True), ("y", False)], "name string, ok boolean")
     with pytest.raises(Exception, match="failed: y"):
         orchestration.gate(checks).collect()
