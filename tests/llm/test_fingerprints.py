@@ -1,5 +1,8 @@
 import hashlib
 import random
+import struct
+
+import xxhash
 
 from ensemblage.llm import fingerprints as fp
 
@@ -39,6 +42,42 @@ def edited(rows):
         yield i, t, t[: len(t) - q] + nxt[:q], nxt
 
 
+def hashed(data, seed=42):
+    return struct.unpack("<q", struct.pack("<Q", xxhash.xxh64(data, seed=seed).intdigest()))[0]
+
+
+def hashed_longs(*values):
+    seed = 42
+    for v in values:
+        seed = hashed(struct.pack("<q", v), seed % 2**64)
+    return seed
+
+
+def brute_sketch(text):
+    """Smallest anchor hashes in Python: k-mers whose least s-mer hash is at an edge."""
+    tokens = tokens_of(text)
+    h = [hashed(t.encode()) for t in tokens]
+    s_mers = [hashed_longs(*h[i : i + fp.S]) for i in range(len(h) - fp.S + 1)]
+    w = fp.K - fp.S + 1
+    found = {hashed_longs(x[0], x[2], x[3]) % 2**64 >> 16 for x in (s_mers[i : i + w] for i in range(len(h) - fp.K + 1)) if min(x) in (x[0], x[-1])}
+    return sorted(found or {hashed(text.encode()) % 2**64 >> 16})[: fp.SKETCH]
+
+
+def test_fingerprints_match_brute_force(spark):
+    df = spark.createDataFrame(TEXTS, "doc_id long, text string").repartition(3)
+    got = sorted(fp.fingerprints(df).collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.edited_sha256))
+    want = sorted(edited(TEXTS), key=lambda r: (r[0] is not None, r[0] or 0, hashlib.sha256(r[2].encode()).hexdigest()))
+
+    def near(a, b):
+        u = sorted(set(a) | set(b))[: fp.SKETCH]
+        return len(set(u) & set(a) & set(b)) / len(u)
+
+    for g, (_, own, new, nxt) in zip(got, want):
+        a, b, c = map(brute_sketch, (own, new, nxt))
+        assert g.fingerprint == "".join(f"{x:012x}" for x in a) and g.edited_fingerprint == "".join(f"{x:012x}" for x in b)
+        assert (g.near_edited, g.near_next) == (near(a, b), near(a, c))
+
+
 def test_edited_texts_and_composed_fingerprints(spark, monkeypatch):
     monkeypatch.setattr(fp, "BUCKET_ROWS", 5)
     df = spark.createDataFrame([(*t, 3) for t in TEXTS], "doc_id long, text string, n_chars int")
