@@ -94,8 +94,9 @@ def row_slices(offsets: np.ndarray, budget: int):
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_SPACE = np.zeros(256, bool)
-_SPACE[[32, *range(9, 14)]] = True
+#: Breaks for words of the contracts: white space.
+WHITE = np.zeros(256, bool)
+WHITE[[32, *range(9, 14)]] = True
 #: Breaks for words of letters and digits: all other ASCII bytes.
 PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
@@ -127,7 +128,7 @@ def _factors(n: int, lane: int = 0) -> np.ndarray:
 class Words:
     """Words of some rows: ``hash`` (uint64), ``row``, byte ``start`` and ``size``."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = _SPACE):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = WHITE):
         """``breaks``: for each byte whether it ends a word; white space by default."""
         data = _LOWER[data]
         space = breaks[data]

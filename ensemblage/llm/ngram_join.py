@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, materialize, mix64, row_slices, text_buffers
+from .common import PUNCTUATION, WHITE, Words, materialize, mix64, row_slices, text_buffers
 from .components import components
 
 SLICE_BYTES = 2 << 20
@@ -60,11 +60,13 @@ _SMALLEST_REST = 1 << 20
 
 @dataclass(frozen=True)
 class Join:
-    """``n`` words a shingle; sets link when ``den`` * intersection >= ``num`` * union."""
+    """``n`` words a shingle; sets link when ``den`` * intersection >= ``num`` * union.
+    Words end at white space, with ``punctuation`` at all ASCII but letters and digits."""
 
     n: int = 5
     num: int = 80
     den: int = 100
+    punctuation: bool = False
 
     def differ(self, size):
         """Most elements in which a set of ``size`` and a linked one, not smaller, differ."""
@@ -100,12 +102,13 @@ def shingle_sets(words: Words, n: int) -> Iterator[np.ndarray]:
             yield np.zeros(0, np.uint64)
 
 
-def _sets(batches: Iterator[pa.RecordBatch], n: int):
+def _sets(batches: Iterator[pa.RecordBatch], join: Join):
+    breaks = PUNCTUATION if join.punctuation else WHITE
     for batch in batches:
         data, offsets = text_buffers(batch.column("text"))
         for a, b in row_slices(offsets, SLICE_BYTES):
-            words = Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-            yield batch.slice(a, b - a), list(shingle_sets(words, n))
+            words = Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], breaks)
+            yield batch.slice(a, b - a), list(shingle_sets(words, join.n))
 
 
 class Levels:
@@ -219,7 +222,7 @@ def profiles(documents: DataFrame, join: Join) -> DataFrame:
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
-        for batch, sets in _sets(batches, join.n):
+        for batch, sets in _sets(batches, join):
             cls, sketches = [], []
             short = np.zeros((len(sets), SHORT), np.int64)
             for at, s in enumerate(sets):
@@ -264,7 +267,7 @@ def members(documents: DataFrame, join: Join) -> DataFrame:
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
-        for _, sets in _sets(batches, join.n):
+        for _, sets in _sets(batches, join):
             own, digests = [], []
             for s in sets:
                 if join.differ(len(s)) and (c := _class(s)) not in seen:
@@ -457,7 +460,7 @@ def fetch_sets(documents: DataFrame, reps: DataFrame, wanted: DataFrame, join: J
     texts = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST)).alias("id"), F.xxhash64("text").alias("key"), "text").join(one, ["id", "key"])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, sets in _sets(batches, join.n):
+        for batch, sets in _sets(batches, join):
             yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array([s.tobytes() for s in sets], pa.binary())], ["cls", "items"])
 
     # Repeated rows of one id and text would give a class twice.

@@ -174,16 +174,20 @@ def text_cluster(text: Column) -> Column:
     return F.md5(folded(text))
 
 
-def near_clusters(documents: DataFrame, join: ngram_join.Join = ngram_join.Join(n=5, num=80, den=100)) -> DataFrame:
+NEAR = ngram_join.Join(n=5, num=80, den=100, punctuation=True)
+
+
+def near_clusters(documents: DataFrame, join: ngram_join.Join = NEAR) -> DataFrame:
     """doc_id, source, n_tokens and ``cluster`` of each document: the group of near
-    copies that its folded text is in.  Texts without words are one cluster."""
-    plain = documents.select("doc_id", folded(F.col("text")).alias("text"))
-    profile, groups = ngram_join.class_groups(plain, join)
+    copies that it is in, whatever its case and punctuation.  Texts without words are
+    one cluster."""
+    text = F.lower(F.coalesce(F.col("text"), F.lit("")))
+    profile, groups = ngram_join.class_groups(documents.select("doc_id", text.alias("text")), join)
     last = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("_id")
     known = profile.where("cls is not null").select(last, F.col("key").alias("_key"), "cls").distinct()
     known = known.join(groups.withColumnRenamed("node", "cls"), "cls", "left").select("_id", "_key", F.hex(F.coalesce("component", "cls")).alias("_group"))
-    slim = documents.select("doc_id", "source", word_count(F.col("text")).alias("n_tokens"), text_cluster(F.col("text")).alias("_equal"), last, F.xxhash64(folded(F.col("text"))).alias("_key"))
-    rows = slim.join(known, ["_id", "_key"], "left").select("doc_id", "source", "n_tokens", F.coalesce("_group", "_equal").alias("cluster"))
+    slim = documents.select("doc_id", "source", word_count(F.col("text")).alias("n_tokens"), last, F.xxhash64(text).alias("_key"))
+    rows = slim.join(known, ["_id", "_key"], "left").select("doc_id", "source", "n_tokens", F.coalesce("_group", F.lit("no words")).alias("cluster"))
     return materialize(rows, "packing-clusters")
 
 
