@@ -115,8 +115,11 @@ def removals(documents: DataFrame) -> DataFrame:
     few = F.broadcast(seen) if seen.count() <= BROADCAST_ROWS else seen
     count = lambda c: F.coalesce(F.regexp_count(c, F.lit(WORD)), F.lit(0))
     found = every.join(few, "hash").withColumns({"words_a": count("a"), "words_b": count("b")})
+    # Two long lines are units by themselves, and their pair has nothing to add.
+    long_a, long_b = F.col("words_a") >= LONG_WORDS, F.col("words_b") >= LONG_WORDS
+    found = found.where(F.when(F.col("b").isNull(), long_a).otherwise(~(long_a & long_b)))
     # Bytes are kept as one column; a line feed is in no line.
-    found = found.where(F.col("b").isNotNull() | (F.col("words_a") >= LONG_WORDS)).withColumn("bytes", F.concat_ws("\n", "a", "b")).drop("a", "b")
+    found = found.withColumn("bytes", F.concat_ws("\n", "a", "b")).drop("a", "b")
     found = materialize(found, "line-found")
     first = found.groupBy("hash").agg(F.min(F.struct("id", "key", "k")).alias("first")).select("hash", "first.*")
     # Rows of one id and text are one document and have the same bytes.
