@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, id_text, materialize, mix64, row_slices, text_buffers
+from .common import Words, id_text, materialize, row_slices, text_buffers
 
 DEPTH = 5
 HEAD_GRAMS = 1 << 21
