@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ctw, fim, fingerprints, line_dedup, mixing, ngram_join, ogg, packing, secrets, toxicity, warc
+from . import conversations, ctw, fim, fingerprints, line_dedup, mixing, ngram_join, ogg, packing, secrets, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,11 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return conversations.report(rows, conversations.damage(rows))
+
+
 def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.report(table(spark, sf_dir, "documents"))
 
@@ -72,6 +77,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_warc": op9_warc,
     "op10_secrets": op10_secrets,
+    "op11_conversations": op11_conversations,
     "op13_fim": op13_fim,
 }
 
@@ -79,5 +85,6 @@ ORACLES: dict[str, str] = {
     "op1_line_dedup": line_dedup.oracle(),
     "op4_mixing": mixing.oracle(),
     "op7_jaccard_join": ngram_join.oracle(_TRIGRAMS),
+    "op11_conversations": conversations.oracle(),
     "op13_fim": fim.oracle(),
 }
