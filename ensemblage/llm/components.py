@@ -1,22 +1,56 @@
-"""Connected components of an undirected graph by alternating large and small stars.
+"""Connected components of an undirected graph by union-find and alternating stars.
 
-Every round is two aggregations over the links that remain; nothing is collected but
+Each task first reduces its links to a forest by union-find with path halving, in memory
+that is bounded by ``MOST_NODES``.  The forests are joined by large and small stars: every
+round is two aggregations over the links that remain; nothing is collected but
 a count of changes.  Rounds grow with the logarithm of the longest path, and each
 round's links are checkpointed, so a lost executor never replays more than one.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import scratch_dir
 
+#: Nodes that a task holds in union-find; then it begins anew, which keeps links whole.
+MOST_NODES = 1_000_000
+
 
 def _directed(links: DataFrame) -> DataFrame:
     return links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
+def spanning_forest(links: DataFrame) -> DataFrame:
+    """Links (a, b) that join the same nodes as ``links`` do, a task's nodes by a forest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict = {}
+
+        def root(x):
+            while (above := parent.setdefault(x, x)) != x:
+                parent[x] = x = parent.setdefault(above, above)
+            return x
+
+        for batch in batches:
+            kept = []
+            for at, (a, b) in enumerate(zip(batch.column("a").to_pylist(), batch.column("b").to_pylist())):
+                x, y = root(a), root(b)
+                if x != y:
+                    parent[max(x, y)] = min(x, y)
+                    kept.append(at)
+            if len(parent) > MOST_NODES:
+                parent.clear()
+            yield batch.take(pa.array(kept, pa.int64()))
+
+    links = links.select("a", "b")
+    return links.mapInArrow(run, links.schema)
+
+
 def _large_star(links: DataFrame) -> DataFrame:
     """Link every larger neighbour of a node to the smallest of its neighbourhood."""
     both = _directed(links)
@@ -34,11 +68,11 @@ def _small_star(links: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, component) for all nodes of ``links`` (a, b: long); the component is its
+    """(node, component) for all nodes of ``links`` (a, b of one kind); the component is its
     smallest node.  Self-links and repeated links change nothing; without links the
     result is empty."""
     scratch_dir(links.sparkSession)
-    now = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().checkpoint()
+    now = spanning_forest(links.where("a <> b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().checkpoint()
     before = None
     while True:
         now = _small_star(_large_star(now)).checkpoint()

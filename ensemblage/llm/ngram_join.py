@@ -33,7 +33,7 @@ shingles of one pair of documents.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -259,7 +259,11 @@ def _binary(hi: np.ndarray, lo: np.ndarray) -> pa.Array:
     return pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(hi), [None, pa.py_buffer(both.tobytes())]).cast(pa.binary())
 
 
-def members(documents: DataFrame, join: Join) -> DataFrame:
+#: Sets and the join, to (set, region) pairs; linked sets must have a region in common.
+Regions = Callable[[list[np.ndarray], Join], tuple[np.ndarray, np.ndarray]]
+
+
+def members(documents: DataFrame, join: Join, regions: Regions = regions_of) -> DataFrame:
     """(s, cls, pivot): the sets of all regions that have two of them or more, with the
     region's pivot, which is its first set.
 
@@ -276,7 +280,7 @@ def members(documents: DataFrame, join: Join) -> DataFrame:
                     digests.append(c)
             if len(seen) > _SEEN:
                 seen.clear()
-            which, region = regions_of(own, join)
+            which, region = regions(own, join)
             halves = np.frombuffer(b"".join(digests), ">i8").astype(np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(region.view(np.int64)), pa.array(halves[which, 0]), pa.array(halves[which, 1])], ["s", "hi", "lo"])
 
@@ -313,9 +317,10 @@ def members(documents: DataFrame, join: Join) -> DataFrame:
     return rows.repartition("s").sortWithinPartitions("s", "hi", "lo").mapInArrow(stream, "s long, cls binary, pivot binary")
 
 
-def voronoi_join(n: np.ndarray, sketch: np.ndarray, group: np.ndarray, join: Join, nearest: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def voronoi_join(n: np.ndarray, sketch: np.ndarray, group: np.ndarray, join: Join, nearest: int | None = None, side: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of places of sets in different groups that sizes and sketches allow; for
-    each set outside the largest group the ``nearest`` ones only, if given.
+    each set outside the largest group the ``nearest`` ones only, if given.  ``side``
+    tells which sets (1) are joined with which (2) where that is settled.
 
     Pivots create Voronoi cells; a cell's windows hold all sets that can be within reach
     of one of its own by the triangle inequality; cells are split until they are small,
@@ -358,10 +363,12 @@ def voronoi_join(n: np.ndarray, sketch: np.ndarray, group: np.ndarray, join: Joi
             others = window[inside]
             yield from (split if len(mine) * len(others) < 0.5 * len(own) * len(window) else compare)(mine, others)
 
-    main = np.bincount(group).argmax()
-    own = np.flatnonzero(group != main)
-    if len(own):
-        yield from split(own, np.arange(len(n)))
+    if side is None:
+        own, window = np.flatnonzero(group != np.bincount(group).argmax()), np.arange(len(n))
+    else:
+        own, window = np.flatnonzero(side == 1), np.flatnonzero(side == 2)
+    if len(own) and len(window):
+        yield from split(own, window)
 
 
 def candidates(found: DataFrame, reps: DataFrame, groups: DataFrame | None, join: Join, nearest: int | None) -> DataFrame:
@@ -369,15 +376,26 @@ def candidates(found: DataFrame, reps: DataFrame, groups: DataFrame | None, join
     that sizes and short sketches allow."""
     own = found.select("s", "cls").join(groups.withColumnRenamed("node", "cls"), "cls", "left").select("s", "cls", F.coalesce("component", "cls").alias("component"))
     own = materialize(own, "join-own")
-    mixed = own.groupBy("s").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count("*").alias("rows")).where("c1 <> c2")
-    blocks = F.ceil(F.col("rows") / REGION_ROWS).cast("int").alias("blocks")
-    own = own.join(mixed.select("s", blocks), "s").join(reps.select("cls", F.col("n_shingles").alias("n"), *_SHORT), "cls")
-    # A region of several blocks has a cell for each pair of blocks: a row goes to the
-    # pairs that its own block is in.
-    block = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.least(block, other) * 100_000 + F.greatest(block, other))
-    own = own.withColumn("cell", F.explode(pairs))
-    columns = ["s", "cell", "cls", "component", "n", *_SHORT]
+    mixed = own.groupBy("s").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count("*").alias("rows")).where("c1 <> c2").select("s", "rows")
+    mixed = materialize(mixed, "join-mixed")
+    large = mixed.where(F.col("rows") > REGION_ROWS)
+    if large.isEmpty():
+        own = own.join(mixed, "s").withColumns({"main": F.lit(None).cast("binary"), "rest": F.col("rows")})
+    else:
+        groups_of = own.join(large, "s").groupBy("s", "component").agg(F.count("*").alias("n")).groupBy("s").agg(F.max(F.struct("n", "component")).alias("main"))
+        groups_of = groups_of.select("s", F.col("main.component").alias("main"), F.col("main.n").alias("n"))
+        own = own.join(mixed.join(groups_of, "s", "left").select("s", "rows", "main", (F.col("rows") - F.coalesce("n", F.lit(0))).alias("rest")), "s")
+    blocks = lambda rows: F.ceil(F.col(rows) / REGION_ROWS).cast("int")
+    own = own.withColumns({"blocks": blocks("rows"), "others": blocks("rest")}).join(reps.select("cls", F.col("n_shingles").alias("n"), *_SHORT), "cls")
+    # A large region has a cell for each block of the sets outside its largest group with
+    # each block of all sets.  Sets of the largest group need no partner among themselves.
+    deal = lambda k: F.pmod(F.xxhash64("cls"), F.col(k)).cast("int")
+    cell = lambda x, y, side: F.struct(x.alias("x"), y.alias("y"), F.lit(side).alias("side"))
+    every = lambda k: F.sequence(F.lit(0), F.col(k) - 1)
+    second = F.transform(every("others"), lambda x: cell(x, deal("blocks"), 2))
+    first = F.transform(every("blocks"), lambda y: cell(deal("others"), y, 1))
+    cells = F.when(F.col("blocks") == 1, F.array(cell(F.lit(0), F.lit(0), 0))).when(F.col("component") == F.col("main"), second).otherwise(F.concat(first, second))
+    own = own.withColumn("cell", F.explode(cells)).select("s", "cell.*", "cls", "component", "n", *_SHORT)
 
     def join_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -385,24 +403,24 @@ def candidates(found: DataFrame, reps: DataFrame, groups: DataFrame | None, join
         def joined(table: pa.Table):
             if not table.num_rows:
                 return
-            place = np.stack([table["s"].to_numpy(), table["cell"].to_numpy().astype(np.int64)])
+            place = np.stack([table["s"].to_numpy(), table["x"].to_numpy().astype(np.int64), table["y"].to_numpy().astype(np.int64)])
             edges = np.flatnonzero(np.concatenate([[True], (place[:, 1:] != place[:, :-1]).any(0), [True]]))
-            n = table["n"].to_numpy()
+            n, side = table["n"].to_numpy(), table["side"].to_numpy()
             # Bits are counted without a sign.
             sketch = np.stack([table[f].to_numpy() for f in _SHORT], 1).view(np.uint64)
             group = table["component"].combine_chunks().dictionary_encode().indices.to_numpy()
             cls = table["cls"].combine_chunks()
             left, right = [], []
             # Regions of two sets, the most of them, at once.
-            two = edges[:-1][np.diff(edges) == 2]
+            two = edges[:-1][(np.diff(edges) == 2) & (side[edges[:-1]] == 0)]
             apart = np.bitwise_count(sketch[two] ^ sketch[two + 1]).sum(1) <= join.apart(n[two] + n[two + 1])
             two = two[apart & (group[two] != group[two + 1])]
             left.append(two)
             right.append(two + 1)
             for a, b in zip(edges[:-1], edges[1:]):
-                if b - a > 2:
+                if b - a > 2 or side[a]:
                     _, dense = np.unique(group[a:b], return_inverse=True)
-                    for i, j in voronoi_join(n[a:b], sketch[a:b], dense, join, nearest):
+                    for i, j in voronoi_join(n[a:b], sketch[a:b], dense, join, nearest, side[a:b] if side[a] else None):
                         left.append(i + a)
                         right.append(j + a)
                         if sum(map(len, left)) > 200_000:
@@ -424,14 +442,15 @@ def candidates(found: DataFrame, reps: DataFrame, groups: DataFrame | None, join
             if sum(h.num_rows for h in held) < 20_000:
                 continue
             table = pa.Table.from_batches(held).combine_chunks()
-            s, cell = table["s"].to_numpy(), table["cell"].to_numpy()
-            last = len(s) - int(np.argmax(((s != s[-1]) | (cell != cell[-1]))[::-1])) if ((s != s[-1]) | (cell != cell[-1])).any() else 0
+            place = np.stack([table[c].to_numpy().astype(np.int64) for c in ("s", "x", "y")])
+            other = (place != place[:, -1:]).any(0)
+            last = len(other) - int(np.argmax(other[::-1])) if other.any() else 0
             yield from out(table.slice(0, last))
             held = table.slice(last).combine_chunks().to_batches()
         if held:
             yield from out(pa.Table.from_batches(held))
 
-    met = own.select(*columns).repartition("s", "cell").sortWithinPartitions("s", "cell").mapInArrow(join_cells, "a binary, b binary")
+    met = own.repartition("s", "x", "y").sortWithinPartitions("s", "x", "y").mapInArrow(join_cells, "a binary, b binary")
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -501,12 +520,12 @@ def _grouped(links: DataFrame, groups: DataFrame | None) -> DataFrame:
     return materialize(kept.union(merged.join(groups.select("node"), "node", "left_anti")), "join-groups")
 
 
-def class_groups(documents: DataFrame, join: Join = Join()) -> tuple[DataFrame, DataFrame]:
+def class_groups(documents: DataFrame, join: Join = Join(), regions: Regions = regions_of) -> tuple[DataFrame, DataFrame]:
     """Profiles of all documents (doc_id, key, n_shingles, cls), and the components
-    (node, component) of the classes that have links."""
+    (node, component) of the classes that have links within ``regions``."""
     documents = documents.select("doc_id", "text")
     profile = materialize(profiles(documents, join), "join-profiles")
-    found = materialize(members(documents, join), "join-members")
+    found = materialize(members(documents, join, regions), "join-members")
     known = found.select("cls").distinct()
     reps = profile.where("sketch is not null").join(known, "cls").select("cls", "n_shingles", "sketch", *_SHORT, F.coalesce("doc_id", F.lit(_LOWEST)).alias("id"), "key")
     reps = materialize(reps.dropDuplicates(["cls"]), "join-classes")
@@ -526,7 +545,7 @@ def class_groups(documents: DataFrame, join: Join = Join()) -> tuple[DataFrame,
     return profile.select("doc_id", "key", "n_shingles", "cls"), groups
 
 
-def near_duplicates(documents: DataFrame, join: Join = Join()) -> DataFrame:
+def near_duplicates(documents: DataFrame, join: Join = Join(), regions: Regions = regions_of) -> DataFrame:
     """doc_id, n_shingles, class (of equal sets), group, component_id for each row.
 
     ``component_id`` is the smallest doc_id of the group.  Null texts, empty ones and
@@ -535,7 +554,7 @@ def near_duplicates(documents: DataFrame, join: Join = Join()) -> DataFrame:
     takes part; its component_id is the smallest id there is, null if there is none.
     Texts of any length take part whole.  An empty table gives an empty result.
     """
-    profile, groups = class_groups(documents, join)
+    profile, groups = class_groups(documents, join, regions)
     # Ids are summed up by class before classes meet their group, so no key is hot
     # but a class in the last join, whose rows come straight from a table.
     least = profile.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least"))
@@ -547,12 +566,12 @@ def near_duplicates(documents: DataFrame, join: Join = Join()) -> DataFrame:
     return df.select("doc_id", "n_shingles", F.hex("cls").alias("class"), F.hex("group").alias("group"), own.alias("component_id"))
 
 
-def keep_one(documents: DataFrame, join: Join = Join()) -> DataFrame:
+def keep_one(documents: DataFrame, join: Join = Join(), regions: Regions = regions_of) -> DataFrame:
     """The documents, columns as given, with one of each group: the smallest doc_id
     (null last), then by a hash of the text.  Rows without words (null, empty, white
     space) all stay.  Of repeated rows of one id and text one stays.  An empty table
     stays empty; columns of any name may come along."""
-    profile, groups = class_groups(documents, join)
+    profile, groups = class_groups(documents, join, regions)
     last = F.coalesce("doc_id", F.lit(2**63 - 1)).alias("_id")
     rows = profile.where("cls is not null").groupBy("cls", last, F.col("key").alias("_key")).agg(F.count("*").alias("rows"))
     rows = materialize(rows, "join-keep")

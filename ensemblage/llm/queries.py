@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversations, ctw, fim, fingerprints, line_dedup, mixing, ngram_join, ogg, packing, secrets, toxicity, warc
+from . import conversations, ctw, fim, fingerprints, line_dedup, mixing, ngram_join, ogg, packing, secrets, superminhash, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,13 @@ def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.report(rows, conversations.damage(rows))
 
 
+_BIGRAMS = ngram_join.Join(n=2, num=80, den=100)
+
+
+def op12_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return superminhash.near_duplicates(table(spark, sf_dir, "documents"), _BIGRAMS)
+
+
 def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.report(table(spark, sf_dir, "documents"))
 
@@ -78,6 +85,7 @@ QUERIES = {
     "op9_warc": op9_warc,
     "op10_secrets": op10_secrets,
     "op11_conversations": op11_conversations,
+    "op12_superminhash": op12_superminhash,
     "op13_fim": op13_fim,
 }
 
@@ -86,5 +94,6 @@ ORACLES: dict[str, str] = {
     "op4_mixing": mixing.oracle(),
     "op7_jaccard_join": ngram_join.oracle(_TRIGRAMS),
     "op11_conversations": conversations.oracle(),
+    "op12_superminhash": superminhash.oracle(_BIGRAMS),
     "op13_fim": fim.oracle(),
 }
