@@ -1,16 +1,28 @@
-"""Tests and intervals that need more than aggregates: Arrow-fed, one group at a time.
+"""Paired tests and bootstrap intervals as plans over all comparisons at once.
 
-A group is the set of matched pairs of one comparison (tens of seeds), so groups are
-small by design of the experiments."""
+A comparison may have any number of pairs: ranks come from counts of distinct values,
+the exact law of the signed-rank sum from an array that grows rank by rank, and a
+bootstrap from draws that every row makes by itself, whose medians are found by the
+distributed selection of ``quantiles``.  Python is used for Student's law alone, on one
+row for each comparison."""
 
 from __future__ import annotations
 
 import math
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions import finite
+from . import scan
+from .quantiles import order_statistics, same
+
+#: Pairs up to which the law of the signed-rank sum is exact, if no two sizes tie.
+EXACT_UP_TO = 50
+#: Fixed values of the draws: a prime, and the factors of row, resample and seed.
+PRIME, OF_ROW, OF_RESAMPLE, OF_SEED = 2147483647, 1664525013, 1013904243, 69069131
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
@@ -44,61 +56,110 @@ def t_p_value(t: float, dof: int) -> float:
     return incomplete_beta(dof / 2, 0.5, dof / (dof + t * t))
 
 
-def paired_t_p(d: np.ndarray) -> float:
-    n = len(d)
-    if n < 2:
-        return math.nan
-    s = d.std(ddof=1)
-    if s == 0:
-        return math.nan if d.mean() == 0 else 0.0
-    return t_p_value(d.mean() / (s / math.sqrt(n)), n - 1)
-
-
-def wilcoxon_p(d: np.ndarray, exact_up_to: int = 50) -> float:
-    """Two-sided signed-rank p-value, zeros dropped: exact without ties for small n,
-    else the normal approximation with tie correction."""
-    d = d[d != 0]
-    n = len(d)
-    if n < 1:
-        return math.nan
-    size = np.abs(d)
-    order, ranks = np.argsort(size, kind="stable"), np.empty(n)
-    values, first, counts = np.unique(size[order], return_index=True, return_counts=True)
-    ranks[order] = np.repeat(first + (counts + 1) / 2, counts)
-    plus = ranks[d > 0].sum()
-    least = min(plus, n * (n + 1) / 2 - plus)
-    if n <= exact_up_to and counts.max() == 1:
-        ways = np.zeros(n * (n + 1) // 2 + 1)
-        ways[0] = 1
-        for k in range(1, n + 1):
-            ways[k:] = ways[k:] + ways[:-k]
-        return float(min(1.0, 2 * ways[: int(least) + 1].sum() / 2.0**n))
-    mean = n * (n + 1) / 4
-    variance = n * (n + 1) * (2 * n + 1) / 24 - (counts**3 - counts).sum() / 48
-    return float(math.erfc(abs(least - mean) / math.sqrt(2 * variance)))
-
-
-def bootstrap_median(x: np.ndarray, resamples: int = 2000, seed: int = 0, level: float = 0.95) -> tuple[float, float]:
-    if not len(x):
-        return math.nan, math.nan
-    rng = np.random.default_rng(seed)
-    medians = np.median(x[rng.integers(0, len(x), (resamples, len(x)))], axis=1)
-    low, high = np.percentile(medians, [50 * (1 - level), 50 * (1 + level)])
-    return float(low), float(high)
-
-
-def paired_tests(pairs: DataFrame, keys: list[str]) -> DataFrame:
+@F.pandas_udf(T.DoubleType())
+def _t_p_udf(t: pd.Series, dof: pd.Series) -> pd.Series:
+    known = [x is not None and not math.isnan(x) and k >= 1 for x, k in zip(t, dof)]
+    return pd.Series([t_p_value(x, int(k)) if ok and math.isfinite(x) else (0.0 if ok else None) for x, k, ok in zip(t, dof, known)], dtype="float64")
+
+
+def paired_t_test(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n, t_p): two-sided p-value of the paired t test over finite pairs.  Null
+    below two pairs and where all differences are 0; 0 where all are equal and not 0."""
+    ok = pairs.where(finite(F.col("base").cast("double")) & finite(F.col("value").cast("double")))
+    d = F.col("base").cast("double") - F.col("value").cast("double")
+    sums = ok.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(d).alias("_m"), F.stddev_samp(d).alias("_s"))
+    error = F.col("_s") / F.sqrt(F.col("n").cast("double"))
+    t = F.when(F.col("_s") > 0, F.col("_m") / error).when(F.col("_m") != 0, math.inf)
+    return sums.withColumn("_t", F.when(F.col("n") >= 2, t)).select(*keys, "n", F.nanvl(_t_p_udf("_t", F.col("n") - 1), F.lit(None).cast("double")).alias("t_p"))
+
+
+def erfc(x: Column) -> Column:
+    """The complementary error function for x >= 0: a series of positive terms below 3,
+    a continued fraction from its far end above."""
+    square = x * x
+    start = F.struct(x.alias("term"), x.alias("sum"))
+    step = lambda s, k: F.struct((s["term"] * 2 * square / (2 * k + 1)).alias("term"), (s["sum"] + s["term"] * 2 * square / (2 * k + 1)).alias("sum"))
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(80)), start, step, lambda s: s["sum"])
+    fraction = F.aggregate(F.sequence(F.lit(80), F.lit(1), F.lit(-1)), x, lambda t, k: x + k / 2 / t)
+    return F.when(x < 3, 1 - 2 / math.sqrt(math.pi) * F.exp(-square) * series).otherwise(F.exp(-square) / math.sqrt(math.pi) / fraction)
+
+
+def signed_rank_ways(n: Column) -> Column:
+    """For each sum of ranks 1..n, the number of subsets that have it."""
+    zeros = lambda k: F.array_repeat(F.lit(0.0), k)
+    grow = lambda ways, k: F.zip_with(F.concat(ways, zeros(k)), F.concat(zeros(k), ways), lambda x, y: x + y)
+    return F.aggregate(F.sequence(F.lit(1), n.cast("int")), F.array(F.lit(1.0)), grow)
+
+
+def signed_rank_test(pairs: DataFrame, keys: list[str], exact_up_to: int = EXACT_UP_TO) -> DataFrame:
+    """(keys, wilcoxon_n, w_plus, wilcoxon_p): two-sided signed-rank test of base - value
+    over finite pairs, zeros dropped, tied sizes at their mean rank.  Exact without ties
+    for few pairs, else the normal approximation with its correction for ties.  Null below
+    two pairs and where all differences are 0."""
+    ok = pairs.where(finite(F.col("base").cast("double")) & finite(F.col("value").cast("double")))
+    d = F.col("base").cast("double") - F.col("value").cast("double")
+    differences = ok.select(*keys, d.alias("_d"))
+    known = differences.groupBy(*keys).agg(F.count("*").alias("_pairs"))
+    # Sizes are counted first, so that a tie is one row and ranks need no row's order.
+    sizes = differences.where("_d <> 0").groupBy(*keys, F.abs("_d").alias("_size")).agg(F.count("*").alias("c"), F.count_if(F.col("_d") > 0).alias("plus"))
+    before = F.coalesce(F.sum("c").over(Window.partitionBy(*keys).orderBy("_size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    doubled = F.col("plus") * (2 * F.col("_before") + F.col("c") + 1)
+    c = F.col("c").cast("double")
+    ranks = sizes.withColumn("_before", before).groupBy(*keys).agg(F.sum("c").alias("n"), F.sum(doubled).alias("_plus2"), F.sum(c * c * c - c).alias("_ties"), F.max("c").alias("_most"))
+    n = F.col("n").cast("double")
+    least2 = F.least(F.col("_plus2"), F.col("n") * (F.col("n") + 1) - F.col("_plus2"))
+    ways = F.slice(signed_rank_ways(F.col("n")), 1, (least2 / 2).cast("int") + 1)
+    exact = F.least(F.lit(1.0), 2 * F.aggregate(ways, F.lit(0.0), lambda t, w: t + w) / F.pow(F.lit(2.0), n))
+    variance = n * (n + 1) * (2 * n + 1) / 24 - F.col("_ties") / 48
+    normal = erfc(F.abs(least2 / 2 - n * (n + 1) / 4) / F.sqrt(2 * variance))
+    p = F.when((F.col("n") <= exact_up_to) & (F.col("_most") == 1), exact).otherwise(normal)
+    out = same(known, ranks, keys, "left")
+    return out.select(*keys, F.coalesce("n", F.lit(0)).alias("wilcoxon_n"), (F.col("_plus2") / 2).alias("w_plus"), F.when(F.col("_pairs") >= 2, p).alias("wilcoxon_p"))
+
+
+def draw(row: Column, resample: Column, seed: int, n: Column) -> Column:
+    """Which of n rows (from 0) a row (from 1) draws in a resample: a permutation
+    polynomial of degree 25 modulo a prime, in longs that any engine can follow."""
+    z = (row * F.lit(OF_ROW) + resample * F.lit(OF_RESAMPLE) + F.lit(seed * OF_SEED % PRIME)) % PRIME
+
+    def fifth(x: Column) -> Column:
+        square = x * x % PRIME
+        return square * square % PRIME * x % PRIME
+
+    z = fifth((fifth(z) + resample) % PRIME) * n
+    return F.rint((z - z % PRIME) / PRIME).cast("long")
+
+
+def bootstrap_medians(values: DataFrame, keys: list[str], value: str, resamples: int = 2000, seed: int = 0, blocks: int | None = None) -> DataFrame:
+    """(keys, resample, median) of resamples with replacement, over finite values.
+
+    Every row draws once in each resample, by a function of seed, resample and its rank,
+    so the multiplicities of all rows are those of a bootstrap and the same whenever a
+    task runs again.  A resample's median is one or two order statistics of the ranks
+    drawn; draws are counted where they are made and not kept."""
+    rows = values.where(finite(F.col(value).cast("double"))).select(*keys, F.col(value).cast("double").alias("_v"))
+    rows = scan.ranked(rows, keys, ["_v"], "_rank", blocks)
+    rows = scan.kept(rows)
+    size = rows.groupBy(*keys).agg(F.max("_rank").alias("_n"))
+    each = same(rows.select(*keys, "_rank"), size, keys).withColumn("resample", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(resamples - 1).cast("long"))))
+    drawn = each.select(*keys, "resample", draw(F.col("_rank"), F.col("resample"), seed, F.col("_n")).alias("_drawn"))
+    middle = order_statistics(drawn, [*keys, "resample"], ["_drawn"], [0.5])
+    middle = middle.select(*keys, "resample", (F.col("value").cast("long") + 1).alias("_rank"))
+    return same(middle, rows, [*keys, "_rank"]).groupBy(*keys, "resample").agg(F.avg("_v").alias("median"))
+
+
+def bootstrap_interval(values: DataFrame, keys: list[str], value: str, resamples: int = 2000, seed: int = 0, level: float = 0.95, blocks: int | None = None) -> DataFrame:
+    """(keys, low, high): the middle ``level`` of the medians of resamples."""
+    ends = F.percentile("median", F.array(F.lit(0.5 * (1 - level)), F.lit(0.5 * (1 + level)))).alias("_q")
+    medians = bootstrap_medians(values, keys, value, resamples, seed, blocks)
+    return medians.groupBy(*keys).agg(ends).select(*keys, F.col("_q")[0].alias("low"), F.col("_q")[1].alias("high"))
+
+
+def paired_tests(pairs: DataFrame, keys: list[str], resamples: int = 2000, seed: int = 0) -> DataFrame:
     """n, p-values of the paired t and signed-rank tests of base - value, and the
     bootstrap interval of the median percent gain, for each comparison."""
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.select(*keys).schema)
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["base", "value"])
-        base, value = pdf["base"].to_numpy(float), pdf["value"].to_numpy(float)
-        ok = np.isfinite(base) & np.isfinite(value)
-        d = (base - value)[ok]
-        gains = 100 * d[base[ok] != 0] / base[ok][base[ok] != 0]
-        low, high = bootstrap_median(gains)
-        return pd.DataFrame([[*key, len(d), paired_t_p(d), wilcoxon_p(d) if len(d) >= 2 else math.nan, low, high]], columns=[*keys, "n", "t_p", "wilcoxon_p", "gain_low", "gain_high"])
-
-    return pairs.select(*keys, F.col("base").cast("double"), F.col("value").cast("double")).groupBy(*keys).applyInPandas(run, f"{kinds}, n long, t_p double, wilcoxon_p double, gain_low double, gain_high double")
+    both = same(paired_t_test(pairs, keys), signed_rank_test(pairs, keys).select(*keys, "wilcoxon_p"), keys)
+    base, value = F.col("base").cast("double"), F.col("value").cast("double")
+    gains = pairs.where(finite(base) & finite(value) & (base != 0)).select(*keys, (100 * (base - value) / base).alias("gain"))
+    interval = bootstrap_interval(gains, keys, "gain", resamples, seed).withColumnsRenamed({"low": "gain_low", "high": "gain_high"})
+    return same(both, interval, keys, "left")

@@ -6,25 +6,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import finite, finite_or_null, quantile, reduction_percent, standard_error
+from .quantiles import exact_quantiles, same
+from .scan import decayed_last, previous, running_sums
 
 
 def config_summary(df: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
     """Runs per configuration, and median, quartiles, IQR and missing share of metrics.
 
-    Values are summed up to their counts first, spread by group and value, so that a
-    group of many rows gathers its distinct values only, and all quartiles of a metric
-    come from one aggregate."""
-    if len(metrics) == 1:
-        # One metric: equal values of a group are one row with a frequency.
-        (m,) = metrics
-        counted = df.groupBy(*keys, finite_or_null(F.col(m)).alias("_v")).agg(F.count("*").alias("_n"))
-        q = F.percentile("_v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("_n")).alias("_q")
-        missing = F.try_divide(F.coalesce(F.sum(F.when(F.col("_v").isNull(), F.col("_n"))), F.lit(0)).cast("double"), F.sum("_n"))
-        out = counted.groupBy(*keys).agg(F.sum("_n").alias("n"), q, missing.alias("_missing"))
-        return out.select(*keys, "n", *_spread(m, F.col("_q")), F.col("_missing").alias(f"{m}_missing"))
-    quartiles = [F.percentile(finite_or_null(F.col(m)), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"_{m}") for m in metrics]
+    Quartiles of all metrics are found together by distributed selection, so that no
+    group is gathered; a metric without a finite value has nulls."""
     missing = [F.avg((~finite(F.col(m))).cast("double")).alias(f"{m}_missing") for m in metrics]
-    out = df.groupBy(*keys).agg(F.count("*").alias("n"), *quartiles, *missing)
+    counts = df.groupBy(*keys).agg(F.count("*").alias("n"), *missing)
+    found = exact_quantiles(df, keys, metrics, [0.25, 0.5, 0.75])
+    by_metric = [F.max(F.when(F.col("metric") == m, F.col("quantiles"))).alias(f"_{m}") for m in metrics]
+    out = same(counts, found.groupBy(*keys).agg(*by_metric), keys, "left")
     return out.select(*keys, "n", *[c for m in metrics for c in (*_spread(m, F.col(f"_{m}")), F.col(f"{m}_missing"))])
 
 
@@ -153,12 +148,10 @@ def crossings(path: DataFrame, run: list[str], order: list[Column], x: Column) -
     return signs.withColumn("p", before).groupBy(*run).agg(F.count_if(F.col("p") != F.col("s")).alias("crossings"), F.count("*").alias("n_points"))
 
 
-def ema(path: DataFrame, run: str, order: list[str], value: str, alpha: float, start: float | None = 0.0) -> DataFrame:
+def ema(path: DataFrame, run: str, order: list[str], value: str, alpha: float, start: float | None = 0.0, blocks: int | None = None) -> DataFrame:
     """Exponential moving average at the end of each run, from ``start`` or, if that
-    is None, from the first value.  A run is folded in order inside one row."""
-    gathered = path.groupBy(run).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(value).alias("v")))).alias("a"))
-    first = F.lit(start) if start is not None else F.col("a")[0]["v"]
-    return gathered.select(run, F.aggregate("a", first.cast("double"), lambda t, p: t * (1 - alpha) + alpha * p["v"]).alias("ema"), F.size("a").alias("n"))
+    is None, from the first value.  A long run is cut over several tasks."""
+    return decayed_last(path, [run], order, value, 1 - alpha, start, "ema", blocks).withColumn("n", F.col("n").cast("int"))
 
 
 def cadence_rate(alpha: float, every: int) -> float:
@@ -167,11 +160,11 @@ def cadence_rate(alpha: float, every: int) -> float:
 
 
 def running_counters(events: DataFrame, run: list[str], order: list[str], counters: list[str]) -> DataFrame:
-    """``total_`` columns: counters summed up along each run; ``since_``: what was added
-    since the row before, from totals again."""
-    w = Window.partitionBy(*run).orderBy(*order)
-    df = events.withColumns({f"total_{c}": F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, 0)) for c in counters})
-    return df.withColumns({f"since_{c}": F.col(f"total_{c}") - F.coalesce(F.lag(f"total_{c}").over(w), F.lit(0)) for c in counters})
+    """``total_`` columns: counters summed up along each run, which may be cut over
+    several tasks; ``since_``: what was added since the row before, from totals again."""
+    df = running_sums(events, run, order, {f"total_{c}": F.col(c) for c in counters})
+    df = previous(df, run, order, {f"_p_{c}": f"total_{c}" for c in counters})
+    return df.withColumns({f"since_{c}": F.col(f"total_{c}") - F.coalesce(F.col(f"_p_{c}"), F.lit(0)) for c in counters}).drop(*[f"_p_{c}" for c in counters])
 
 
 def extent(x: Column, low: float, high: float) -> Column:

@@ -313,12 +313,7 @@ _DENSITY = "(SELECT unnest(range(20000)) AS i)"
 @query(f"""WITH {PAIRS}, t AS (SELECT method, count(*) AS n, abs(avg(base - value) / (stddev_samp(base - value) / sqrt(count(*)))) AS t FROM pairs GROUP BY method), a AS (SELECT method, n, atan(t / sqrt(n - 1)) AS low FROM t),
 p AS (SELECT method, n, sum(cos(low + (i + 0.5::DOUBLE) * (pi() / 2 - low) / 20000) ^ (n - 2)) * (pi() / 2 - low) / (sum(cos((i + 0.5::DOUBLE) * pi() / 40000) ^ (n - 2)) * pi() / 2) AS p FROM a, {_DENSITY} GROUP BY method, n, low) SELECT method, n, round(p, 6) AS t_p FROM p""")
 def paired_t_pvalue(spark, d):
-    return rounded(significance.paired_tests(pairs(spark, d), ["method"]).select("method", "n", "t_p"))
-
-
-@query()
-def paired_significance(spark, d):
-    return significance.paired_tests(pairs(spark, d), ["method"])
+    return rounded(significance.paired_t_test(pairs(spark, d), ["method"]))
 
 
 @query("""SELECT s_suppkey, round(4 * s_acctbal / 10000, 6) AS energetic, round(2 * ln((1 + s_nationkey) / 2.0::DOUBLE), 6) AS entropic, round((s_suppkey % 7 + s_suppkey % 5) / greatest((s_suppkey % 3) * 100, 1)::DOUBLE, 6) AS replaced FROM supplier""")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import sources, streaming
 from ..operators import estimators, grid, sampled_systems, simulate
+from ..sources.shared import scratch
 from . import orchestration
 from .tabular_queries import rounded, table
 
@@ -25,18 +26,6 @@ def query(sql: str | None = None):
     return add
 
 
-def scratch(spark) -> str:
-    """A new folder in the shared scratch place; a local one where none is set."""
-    import tempfile
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="ensemblage-")
-    return f"{base}/{uuid.uuid4().hex}"
-
-
 def run_stream(stream, mode: str, spark):
     """Run a stream over what is there now and return its output as a table.
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ensemblage.functions import compact_number, iqr, quantile, strict_median
-from ensemblage.operators import estimators, grid, models, sampling, selection, significance, simulate, tabular
+from ensemblage.operators import estimators, grid, models, sampling, selection, simulate, tabular
 from ensemblage.plans import orchestration
 
 NAN = float("nan")
@@ -109,15 +109,6 @@ def test_unpaired_gain_golden_value(spark):
     assert tabular.unpaired_gain(runs, "m", "abf", "v").first().gain == pytest.approx(0.5455541712, abs=1e-4)
 
 
-def test_p_values():
-    assert significance.wilcoxon_p(np.arange(1, 21.0)) == 2 / 2**20
-    assert significance.t_p_value(2.2281388519649385, 10) == pytest.approx(0.05, abs=1e-9)
-    assert math.isnan(significance.paired_t_p(np.array([1.0]))) and math.isnan(significance.paired_t_p(np.zeros(5)))
-    assert math.isnan(significance.wilcoxon_p(np.zeros(4)))
-    low, high = significance.bootstrap_median(np.arange(100.0))
-    assert low < 49.5 < high and (low, high) == significance.bootstrap_median(np.arange(100.0))
-
-
 def test_jarzynski_does_not_underflow(spark):
     w = spark.createDataFrame([("a", 5000.0), ("a", 5001.0)], "k string, w double")
     want = 5000 - math.log((1 + math.exp(-1)) / 2)
