@@ -1,27 +1,31 @@
 """Line dedup by content-defined chunks of lines.
 
-Native: array functions, aggregations, a window over removed lines, and joins.
+Native: array functions, aggregations, windows over one document's lines, and joins.
 
 Lines without a word are passed over.  A rolling hash over the hashes of two neighbouring
-lines stands for the gap between them.  A gap is inside a chunk if its rolling hash occurs
-elsewhere as well, in any document; every other gap is a boundary.  So a boundary depends
-on the two lines beside it and on nothing further: it shifts with the text around it, and
-no line at the end of a repeated passage is lost to a chunk that begins or ends outside.
-(Boundaries by a residue of the rolling hash, as is usual, cut through the ends of
-passages: with one gap in two a boundary, 42 % of the lines of a repeated passage of 12
-lines stay.)  A line of ``LONG_WORDS`` words or more is a chunk by itself.
-
-The pairs of lines that make up chunks, and the long lines, are compared byte for byte
-with the first occurrence (smallest doc_id, then place in the document) of their rolling
-hash.  Where they are equal and not the first, their lines are repeated; a stretch of
-repeated neighbours of two lines or more, or with a long line, goes if it has
-``LEAST_WORDS`` words.  Blank lines inside go with it.  The first occurrence of a line's
+lines stands for the gap between them.  Where the rolling hash of a gap occurs again, its
+two lines may be repeated; a line of ``LONG_WORDS`` words or more may be by itself.  What
+may be repeated is compared byte for byte: equal lines get one name, the place of the first
+of them, and a gap's *anchor* is the first place (smallest doc_id, then place) where its
+two lines stand together.
+
+A chunk is a longest stretch of lines whose anchors follow each other, gap by gap, in one
+document.  Its boundaries are where the anchor of the next gap is elsewhere; they depend on
+the lines beside the gap, shift with the text around them, and lie at the very ends of a
+passage that was copied.  So a chunk stands whole, byte for byte, in one document, and is
+never put together from several.  Chunks that are not their own anchors go if they have
+``LEAST_WORDS`` words; blank lines inside go with them.  The first occurrence of a line's
 text always stays.  A passage that occurs twice in one document loses its second place.
 
+(Boundaries by a residue or a local minimum of the rolling hash leave no whole chunk inside
+most passages of two or three lines: the gaps at the passage's ends have outside lines in
+their hashes, and what lies between two boundaries then differs from copy to copy.)
+
 Hashes are counted before any text moves.  The repeated hashes are broadcast while they
-are few (``BROADCAST_ROWS``, counted first), else joined.  A hash that occurs often does
-not gather in one task: what is compared comes straight from an exchange, whose large
-partitions adaptive execution splits.
+are few (``BROADCAST_ROWS``, counted first), else joined.  Lines move once, to get their
+names; what follows has names only.  A hash, line or gap that occurs often does not gather
+in one task: it is summed before it moves, and what is joined comes straight from an
+exchange, whose large partitions adaptive execution splits.
 """
 
 from __future__ import annotations
@@ -29,24 +33,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, let, materialize
+from .common import WORD, let, materialize, md5_int
 
 LONG_WORDS = 50
 #: Shorter stretches are common phrases rather than copies.
 LEAST_WORDS = 20
-_FACTOR = 1000003
+_FACTOR = 0x100000001B3
 _LAST = 2**63 - 1
 BROADCAST_ROWS = 1_000_000
 
 
+def _line_hash(x: Column) -> Column:
+    return F.xxhash64(x)
+
+
 def _pair_hash(a: Column, b: Column) -> Column:
-    """The rolling hash of two neighbours; never negative."""
-    return a["h"] * _FACTOR + b["h"]
+    """The rolling hash of two neighbours: 63 mixed bits, never negative."""
+    return F.pmod(F.xxhash64(a["h"], b["h"]), F.lit(_LAST))
 
 
-def _line_hash(a: Column) -> Column:
+def _own_hash(a: Column) -> Column:
     """Of a line by itself; always negative."""
-    return -1 - F.pmod(F.xxhash64(a["x"], F.lit(1)), F.lit(2**62))
+    return -1 - F.pmod(a["h"], F.lit(_LAST))
 
 
 def _marks(text: Column) -> Column:
@@ -55,7 +63,7 @@ def _marks(text: Column) -> Column:
     def worded(lines):
         return F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda m: m["x"].rlike(WORD))
 
-    return F.transform(let(F.split(text, "\n", -1), worded), lambda m: F.struct(m["i"].alias("i"), m["x"].alias("x"), F.pmod(F.xxhash64(m["x"]), F.lit(2**31)).alias("h")))
+    return F.transform(let(F.split(text, "\n", -1), worded), lambda m: F.struct(m["i"].alias("i"), m["x"].alias("x"), _line_hash(m["x"]).alias("h")))
 
 
 def _may_be_long(a: Column) -> Column:
@@ -68,34 +76,25 @@ def _next(marks: Column) -> Column:
 
 
 def _hashes(text: Column) -> Column:
-    """The hashes of all units of a text."""
+    """The hashes of all gaps and long lines of a text."""
     pairs = lambda m: F.transform(_next(m), lambda b, k: _pair_hash(F.get(m, k), b))
-    lines = lambda m: F.transform(F.filter(m, _may_be_long), _line_hash)
+    lines = lambda m: F.transform(F.filter(m, _may_be_long), _own_hash)
     return let(_marks(text), lambda m: F.concat(pairs(m), lines(m)))
 
 
 def _units(text: Column) -> Column:
-    """Array of (hash, k, i, a, j, b, again): every two neighbours among the lines that
-    hold a word, then lines that may be long, which have no ``b``.  ``k`` counts lines
-    with a word, ``i`` and ``j`` are their places among all lines; ``again`` tells that
-    the same hash stands earlier in the text."""
-    no = lambda kind: F.lit(None).cast(kind)
+    """Array of (hash, lines): for each gap its two lines, for each line that may be long
+    itself; a line is (k, i, x, h), where ``k`` counts lines with a word and ``i`` all."""
 
-    def unit(h, k, i, a, j, b):
-        return F.struct(h.alias("hash"), k.alias("k"), i.alias("i"), a.alias("a"), j.alias("j"), b.alias("b"))
+    def line(a, k):
+        return F.struct(k.alias("k"), a["i"].alias("i"), a["x"].alias("x"), a["h"].alias("h"))
 
     def both(m):
-        pairs = F.transform(_next(m), lambda b, k: let(F.get(m, k), lambda a: unit(_pair_hash(a, b), k, a["i"], a["x"], b["i"], b["x"])))
-        lines = F.filter(F.transform(m, lambda a, k: F.struct(k.alias("k"), a["i"].alias("i"), a["x"].alias("x"))), _may_be_long)
-        return F.concat(pairs, F.transform(lines, lambda a: unit(_line_hash(a), a["k"], a["i"], a["x"], no("int"), no("string"))))
+        pairs = F.transform(_next(m), lambda b, k: let(F.get(m, k), lambda a: F.struct(_pair_hash(a, b).alias("hash"), F.array(line(a, k), line(b, k + 1)).alias("lines"))))
+        lines = F.filter(F.transform(m, line), _may_be_long)
+        return F.concat(pairs, F.transform(lines, lambda a: F.struct(_own_hash(a).alias("hash"), F.array(a).alias("lines"))))
 
-    def flagged(units):
-        order = F.array_sort(F.transform(units, lambda u: F.struct(u["hash"].alias("hash"), u["k"].alias("k"))))
-        again = let(order, lambda o: F.transform(o, lambda x, n: F.struct((x["hash"] < 0).alias("line"), x["k"].alias("k"), F.coalesce(F.get(o, n - 1)["hash"] == x["hash"], F.lit(False)).alias("again"))))
-        # Back in the order of the units.
-        return F.zip_with(units, F.array_sort(again), lambda u, x: F.struct(u.alias("u"), x["again"].alias("again")))
-
-    return let(let(_marks(text), both), flagged)
+    return let(_marks(text), both)
 
 
 def _id() -> Column:
@@ -103,7 +102,12 @@ def _id() -> Column:
 
 
 def _key() -> Column:
-    return F.xxhash64("text").alias("key")
+    return md5_int(F.col("text")).alias("key")
+
+
+def _islands(rows: DataFrame, *part: str) -> Column:
+    """A number for each stretch of consecutive ``k`` in a part, whose ``k`` are distinct."""
+    return F.col("k") - F.row_number().over(Window.partitionBy(*part).orderBy("k"))
 
 
 def removals(documents: DataFrame) -> DataFrame:
@@ -111,30 +115,38 @@ def removals(documents: DataFrame) -> DataFrame:
     texts = documents.select("doc_id", "text").where("text is not null")
     hashes = texts.select(F.explode(_hashes(F.col("text"))).alias("hash"))
     seen = materialize(hashes.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "line-hashes")
-    every = texts.select(_id(), _key(), F.explode(_units(F.col("text"))).alias("x")).select("id", "key", "x.u.*", "x.again")
+    every = texts.select(_id(), _key(), F.explode(_units(F.col("text"))).alias("u")).select("id", "key", "u.*")
     few = F.broadcast(seen) if seen.count() <= BROADCAST_ROWS else seen
-    count = lambda c: F.coalesce(F.regexp_count(c, F.lit(WORD)), F.lit(0))
-    found = every.join(few, "hash").withColumns({"words_a": count("a"), "words_b": count("b")})
-    # Two long lines are units by themselves, and their pair has nothing to add.
-    long_a, long_b = F.col("words_a") >= LONG_WORDS, F.col("words_b") >= LONG_WORDS
-    found = found.where(F.when(F.col("b").isNull(), long_a).otherwise(~(long_a & long_b)))
-    # Bytes are kept as one column; a line feed is in no line.
-    found = found.withColumn("bytes", F.concat_ws("\n", "a", "b")).drop("a", "b")
+    found = every.join(few, "hash").select("id", "key", F.explode("lines").alias("l")).select("id", "key", "l.*")
     found = materialize(found, "line-found")
-    first = found.groupBy("hash").agg(F.min(F.struct("id", "key", "k")).alias("first")).select("hash", "first.*")
-    # Rows of one id and text are one document and have the same bytes.
-    reps = found.join(first, ["hash", "id", "key", "k"], "left_semi").select("hash", F.col("id").alias("first"), F.col("bytes").alias("same")).dropDuplicates(["hash"])
-    reps = materialize(reps, "line-first")
-    lost = found.join(reps, "hash").where((F.col("bytes") == F.col("same")) & ((F.col("id") != F.col("first")) | F.col("again")))
-    lines = lost.select("id", "key", F.explode(F.filter(F.array(
-        F.struct("k", "i", F.col("words_a").alias("words")),
-        F.struct((F.col("k") + 1).alias("k"), F.col("j").alias("i"), F.col("words_b").alias("words")),
-    ), lambda x: x["i"].isNotNull())).alias("x")).select("id", "key", "x.*").distinct()
-    # Neighbours have the same difference of place and rank.
-    rank = F.row_number().over(Window.partitionBy("id", "key").orderBy("k"))
-    runs = lines.withColumn("run", F.col("k") - rank).groupBy("id", "key", "run")
-    runs = runs.agg(F.sum("words").alias("words"), F.struct(F.min("i").alias("lo"), F.max("i").alias("hi")).alias("range"))
-    return runs.where(F.col("words") >= LEAST_WORDS).groupBy("id", "key").agg(F.array_sort(F.collect_list("range")).alias("ranges"))
+    # Equal lines get one name.  Rows of one id and text are one document.
+    place = F.struct("id", "key", "k")
+    named = found.groupBy("h", "x").agg(F.min(place).alias("name"))
+    named = named.withColumn("words", F.coalesce(F.regexp_count("x", F.lit(WORD)), F.lit(0)))
+    lines = found.join(named, ["h", "x"]).select("id", "key", "k", "i", "words", "name").dropDuplicates(["id", "key", "k"])
+    ahead = Window.partitionBy("id", "key").orderBy("k")
+    nothing = F.lit(None).cast(named.schema["name"].dataType)
+    after = F.when(F.lead("k").over(ahead) == F.col("k") + 1, F.lead("name").over(ahead))
+    lines = materialize(lines.withColumn("after", after), "line-names")
+    gap = lambda second: F.struct(F.col("name").alias("a"), second.alias("b")).alias("gap")
+    gaps = lines.where("after is not null").select("id", "key", "k", gap(F.col("after")))
+    units = gaps.unionByName(lines.where(F.col("words") >= LONG_WORDS).select("id", "key", "k", gap(nothing)))
+    anchors = units.groupBy("gap").agg(F.min(place).alias("anchor"))
+    units = materialize(units.join(anchors, "gap").select("gap", "id", "key", "k", "anchor"), "line-units")
+    # Of one id no text is earlier; there an anchor is the place before in the text itself.
+    elsewhere = units.where("id <> anchor.id").select("id", "key", "k", F.struct("gap.b").alias("pair"), F.col("anchor.id").alias("of_id"), F.col("anchor.key").alias("of_key"), (F.col("k") - F.col("anchor.k")).alias("shift"))
+    before = F.lag("k").over(Window.partitionBy("gap", "id", "key").orderBy("k"))
+    again = units.where("id = anchor.id").withColumn("before", before).where("before is not null")
+    again = again.select("id", "key", "k", F.struct("gap.b").alias("pair"), F.col("id").alias("of_id"), F.col("key").alias("of_key"), (F.col("k") - F.col("before")).alias("shift"))
+    step = F.explode(F.when(F.col("pair.b").isNull(), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1))))
+    covered = elsewhere.unionByName(again).withColumn("step", step).select("id", "key", "of_id", "of_key", "shift", (F.col("k") + F.col("step")).alias("k")).distinct()
+    covered = covered.join(lines.select("id", "key", "k", "i", "words"), ["id", "key", "k"])
+    chunk = ["id", "key", "of_id", "of_key", "shift"]
+    covered = covered.withColumn("chunk", _islands(covered, *chunk))
+    total = F.sum("words").over(Window.partitionBy(*chunk, "chunk"))
+    lost = covered.withColumn("total", total).where(F.col("total") >= LEAST_WORDS).select("id", "key", "k", "i").distinct()
+    ranges = lost.withColumn("run", _islands(lost, "id", "key")).groupBy("id", "key", "run").agg(F.struct(F.min("i").alias("lo"), F.max("i").alias("hi")).alias("range"))
+    return ranges.groupBy("id", "key").agg(F.array_sort(F.collect_list("range")).alias("ranges"))
 
 
 def _cut(documents: DataFrame) -> DataFrame:
@@ -177,13 +189,16 @@ def report(documents: DataFrame) -> DataFrame:
 def oracle() -> str:
     """The same rows in DuckDB SQL over the table ``documents``."""
     word = r"[^\x20\x09-\x0D]"
-    return f"""WITH docs AS (SELECT row_number() OVER () AS r, coalesce(doc_id, {_LAST}) AS id, doc_id, text FROM documents),
-split AS (SELECT r, id, text AS whole, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM docs WHERE text IS NOT NULL),
+    return f"""WITH docs AS (SELECT row_number() OVER () AS r, coalesce(doc_id, {_LAST}) AS id, doc_id, text, ('0x' || substr(md5(text), 1, 15))::BIGINT AS key FROM documents),
+split AS (SELECT r, id, key, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM docs WHERE text IS NOT NULL),
 worded AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY i) AS k, len(regexp_extract_all(line, '{word}+')) AS words FROM split WHERE regexp_matches(line, '{word}')),
-pairs AS (SELECT *, lead(line) OVER w AS line_b, lead(i) OVER w AS j, lead(words) OVER w AS words_b FROM worded WINDOW w AS (PARTITION BY r ORDER BY i)),
-units AS (SELECT r, id, whole, k, i, words, j, words_b, line || chr(10) || line_b AS bytes FROM pairs WHERE line_b IS NOT NULL UNION ALL SELECT r, id, whole, k, i, words, NULL, NULL, line FROM worded WHERE words >= {LONG_WORDS}),
-lost AS (SELECT * FROM units QUALIFY id <> min(id) OVER (PARTITION BY bytes) OR k <> min(k) OVER (PARTITION BY bytes, id, whole)),
-lines AS (SELECT r, k, i, words FROM lost UNION SELECT r, k + 1, j, words_b FROM lost WHERE j IS NOT NULL),
-runs AS (SELECT r, min(i) AS lo, max(i) AS hi FROM (SELECT *, k - row_number() OVER (PARTITION BY r ORDER BY k) AS run FROM lines) GROUP BY r, run HAVING sum(words) >= {LEAST_WORDS}),
-kept AS (SELECT s.r, string_agg(line, chr(10) ORDER BY i) FILTER (WHERE lo IS NULL) AS text, count(lo) AS removed, count(*) AS n_lines FROM split s LEFT JOIN runs ON runs.r = s.r AND i BETWEEN lo AND hi GROUP BY s.r)
+pairs AS (SELECT *, lead(line) OVER w AS line_b FROM worded WINDOW w AS (PARTITION BY r ORDER BY i)),
+units AS (SELECT DISTINCT id, key, k, 1 AS size, line || chr(10) || line_b AS bytes FROM pairs WHERE line_b IS NOT NULL UNION ALL SELECT DISTINCT id, key, k, 0, line FROM worded WHERE words >= {LONG_WORDS}),
+anchored AS (SELECT *, min({{'id': id, 'key': key, 'k': k}}) OVER (PARTITION BY bytes) AS anchor, lag(k) OVER (PARTITION BY bytes, id, key ORDER BY k) AS before FROM units),
+hits AS (SELECT id, key, k, size, CASE WHEN id <> anchor.id THEN anchor.id ELSE id END AS of_id, CASE WHEN id <> anchor.id THEN anchor.key ELSE key END AS of_key, CASE WHEN id <> anchor.id THEN k - anchor.k ELSE k - before END AS shift FROM anchored WHERE id <> anchor.id OR before IS NOT NULL),
+covered AS (SELECT id, key, of_id, of_key, shift, k FROM hits UNION SELECT id, key, of_id, of_key, shift, k + 1 FROM hits WHERE size = 1),
+chunks AS (SELECT c.*, w.i, w.words, c.k - row_number() OVER (PARTITION BY c.id, c.key, of_id, of_key, shift ORDER BY c.k) AS chunk FROM covered c JOIN (SELECT DISTINCT id, key, k, i, words FROM worded) w ON c.id = w.id AND c.key = w.key AND c.k = w.k),
+lost AS (SELECT DISTINCT id, key, k, i FROM (SELECT *, sum(words) OVER (PARTITION BY id, key, of_id, of_key, shift, chunk) AS total FROM chunks) WHERE total >= {LEAST_WORDS}),
+runs AS (SELECT id, key, min(i) AS lo, max(i) AS hi FROM (SELECT *, k - row_number() OVER (PARTITION BY id, key ORDER BY k) AS run FROM lost) GROUP BY id, key, run),
+kept AS (SELECT s.r, string_agg(line, chr(10) ORDER BY i) FILTER (WHERE lo IS NULL) AS text, count(lo) AS removed, count(*) AS n_lines FROM split s LEFT JOIN runs ON runs.id = s.id AND runs.key = s.key AND i BETWEEN lo AND hi GROUP BY s.r)
 SELECT docs.doc_id, CASE WHEN docs.text IS NOT NULL THEN coalesce(kept.text, '') END AS text, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(removed, 0)::BIGINT AS removed_lines FROM docs LEFT JOIN kept USING (r)"""

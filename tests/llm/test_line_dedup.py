@@ -1,8 +1,12 @@
+import hashlib
+import itertools
 import random
 import re
 
 import duckdb
 import pandas as pd
+import pytest
+from pyspark.sql import functions as F
 
 from ensemblage.llm import line_dedup
 
@@ -30,35 +34,46 @@ def frame(spark, rows=DOCS):
 
 
 def brute(rows):
-    """Line by line: units by their bytes, first by id, then by place."""
-    units = {}
-    docs = {}
-    for r, (doc, text) in enumerate(rows):
-        lines = (text or "").split("\n")
-        worded = [(i, x, len([w for w in re.split("[\x20\x09-\x0d]+", x) if w])) for i, x in enumerate(lines)]
-        worded = [w for w in worded if w[2]]
-        docs[r] = lines, worded
-        own = [(k, a[1] + "\n" + b[1], [k, k + 1]) for k, (a, b) in enumerate(zip(worded, worded[1:]))]
-        own += [(k, a[1], [k]) for k, a in enumerate(worded) if a[2] >= line_dedup.LONG_WORDS]
-        for k, bytes_, of in own:
-            units.setdefault(bytes_, []).append((2**63 - 1 if doc is None else doc, k, r, of))
-    lost = {r: set() for r in docs}
-    for places in units.values():
-        least = min(p[0] for p in places)
-        for doc, k, r, of in places:
-            if doc != least or k != min(p[1] for p in places if p[2] == r):
-                lost[r].update(of)
+    """Line by line: gaps by their bytes, anchors by id and place, chunks by following."""
+    docs, units = {}, {}
+    for doc, text in rows:
+        if text is not None:
+            at = (2**63 - 1 if doc is None else doc, int(hashlib.md5(text.encode()).hexdigest()[:15], 16))
+            lines = text.split("\n")
+            worded = [(i, x, len([w for w in re.split("[\x20\x09-\x0d]+", x) if w])) for i, x in enumerate(lines)]
+            docs[at] = [w for w in worded if w[2]]
+    for at, worded in docs.items():
+        for k, a in enumerate(worded):
+            if a[2] >= line_dedup.LONG_WORDS:
+                units.setdefault((a[1],), []).append((*at, k))
+            if k + 1 < len(worded):
+                units.setdefault((a[1], worded[k + 1][1]), []).append((*at, k))
+    follows = {}
+    for bytes_, places in units.items():
+        places.sort()
+        for n, (doc, key, k) in enumerate(places):
+            first = places[0] if doc != places[0][0] else places[n - 1] if n and places[n - 1][:2] == (doc, key) else None
+            if first:
+                follows.setdefault((doc, key), {}).setdefault((*first[:2], k - first[2]), set()).update(range(k, k + len(bytes_)))
+    gone = {}
+    for at, chunks in follows.items():
+        lost = set()
+        for ks in chunks.values():
+            for _, run in itertools.groupby(enumerate(sorted(ks)), lambda x: x[1] - x[0]):
+                run = [k for _, k in run]
+                if sum(docs[at][k][2] for k in run) >= line_dedup.LEAST_WORDS:
+                    lost.update(run)
+        for _, run in itertools.groupby(enumerate(sorted(lost)), lambda x: x[1] - x[0]):
+            run = [docs[at][k][0] for _, k in run]
+            gone.setdefault(at, set()).update(range(run[0], run[-1] + 1))
     out = []
-    for r, (lines, worded) in docs.items():
-        gone, run = set(), []
-        for k in [*sorted(lost[r]), None]:
-            if run and (k is None or k != run[-1] + 1):
-                if sum(worded[x][2] for x in run) >= line_dedup.LEAST_WORDS:
-                    gone.update(range(worded[run[0]][0], worded[run[-1]][0] + 1))
-                run = []
-            run.append(k)
-        doc, text = rows[r]
-        out.append((doc, None if text is None else "\n".join(x for i, x in enumerate(lines) if i not in gone), 0 if text is None else len(lines), len(gone)))
+    for doc, text in rows:
+        if text is None:
+            out.append((doc, None, 0, 0))
+            continue
+        lost = gone.get((2**63 - 1 if doc is None else doc, int(hashlib.md5(text.encode()).hexdigest()[:15], 16)), set())
+        lines = text.split("\n")
+        out.append((doc, "\n".join(x for i, x in enumerate(lines) if i not in lost), len(lines), len(lost)))
     return out
 
 
@@ -103,7 +118,7 @@ def test_repeated_passages_go_and_their_text_stays_once(spark):
             assert x in whole
             copies += sum(t.split("\n").count(x) for _, t in rows) - 1
             left += sum(t.split("\n").count(x) for t in got.values()) - 1
-    assert copies > 200 and left <= 0.02 * copies
+    assert copies > 200 and left <= 0.05 * copies, (copies, left)
 
 
 def test_passage_goes_but_for_its_first_place(spark):
@@ -124,5 +139,24 @@ def test_both_joins_agree(spark, monkeypatch):
     assert sorted(map(tuple, line_dedup.dedup_lines(frame(spark)).collect()), key=repr) == want
 
 
+def test_nothing_is_put_together_from_several_documents(spark):
+    line = lambda x: " ".join(x + str(k) for k in range(7))
+    a, b, c = map(line, "abc")
+    rows = [(1, f"{a}\n{b}"), (2, f"{b}\n{c}"), (3, f"{a}\n{b}\n{c}"), (4, f"x\n{a}\n{b}\n{c}")]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(frame(spark, rows)).collect()}
+    assert got == dict(rows)
+    # Only two documents that have the whole of it in one place are copies.
+    rows += [(0, f"y\n{a}\n{b}\n{c}\nz")]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(frame(spark, rows)).collect()}
+    assert got == {0: rows[4][1], 1: rows[0][1], 2: rows[1][1], 3: "", 4: "x"}
+
+
+@pytest.mark.parametrize("bits", [1, 4])
+def test_clashing_hashes_lose_nothing(spark, monkeypatch, bits):
+    monkeypatch.setattr(line_dedup, "_line_hash", lambda x: F.pmod(F.xxhash64(x), F.lit(bits)))
+    rows = corpus(4)[0]
+    assert sorted(map(tuple, line_dedup.report(frame(spark, rows)).collect()), key=repr) == sorted(brute(rows), key=repr)
+
+
 def test_empty(spark):
     assert line_dedup.dedup_lines(frame(spark).limit(0)).count() == 0
