@@ -12,6 +12,9 @@ import math
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from .gauss import moments, sums_at
+from .intervals import within
+
 EPS = 1e-12
 
 
@@ -187,22 +190,34 @@ def gaussian(u: Column, width: float) -> Column:
 
 
 def kernel_density(particles: DataFrame, nodes: DataFrame, x: str, width: float, low: float, high: float, eps: float = EPS) -> DataFrame:
-    """Density at each node, by Gaussians about the particles and their images.
+    """Density at each node, by Gaussians about the particles and their images beyond
+    both ends, by a fast Gauss transform.
+
+    A particle's image is as far from a node as the node's image from the particle, so
+    one set of moments serves a node and its two images."""
+    own = particles.where(F.col(x).isNotNull())
+    found = moments(own, [], x, {"_mass": F.lit(1.0)}, width)
+    total = own.agg(F.count("*").alias("_n"))
+    images = nodes.select("j", "x", F.explode(F.array(F.col("x").cast("double"), 2 * low - F.col("x"), 2 * high - F.col("x"))).alias("_at"))
+    sums = sums_at(images, F.col("_at"), found, [], ["_mass"], width).groupBy("j", "x").agg(F.sum("_mass").alias("_mass"))
+    # One row beside all.
+    density = F.col("_mass") / (F.col("_n") * (width * math.sqrt(2 * math.pi)))
+    return sums.crossJoin(F.broadcast(total)).where("_n > 0").select("j", "x", F.greatest(density, F.lit(eps)).alias("density"))
+
 
-    Nodes (j, x) are a grid that is sent to all; sums are partial before they move.
-    A particle's images add up inside its row, so no rows are made for them."""
-    node = nodes.select("j", F.col("x").alias("_x"))
-    p = particles.select(F.col(x).cast("double").alias("_p"))
-    mass = sum((gaussian(F.col("_x") - image, width) for image in (2 * low - F.col("_p"), 2 * high - F.col("_p"))), gaussian(F.col("_x") - F.col("_p"), width))
-    return p.crossJoin(F.broadcast(node)).groupBy("j", F.col("_x").alias("x")).agg(F.greatest(F.avg(mass), F.lit(eps)).alias("density"))
+def _weighted_sums(particles: DataFrame, nodes: DataFrame, x: str, value: str, width: float) -> DataFrame:
+    """(j, x, num, den): sums of kernel times value and of the kernel at each node."""
+    own = particles.where(F.col(x).isNotNull() & F.col(value).isNotNull())
+    found = moments(own, [], x, {"num": F.col(value), "den": F.lit(1.0)}, width)
+    norm = width * math.sqrt(2 * math.pi)
+    return sums_at(nodes.select("j", "x"), F.col("x"), found, [], ["num", "den"], width).select("j", "x", (F.col("num") / norm).alias("num"), (F.col("den") / norm).alias("den"))
 
 
 def kernel_regression(particles: DataFrame, nodes: DataFrame, x: str, value: str, width: float, min_count: float = 0.0, eps: float = EPS) -> DataFrame:
-    """Weighted mean sum(w v) / (sum(w) + min_count + eps) at each node."""
-    node = nodes.select("j", F.col("x").alias("_x"))
-    w = gaussian(F.col("_x") - F.col(x), width)
-    both = particles.select(x, value).crossJoin(F.broadcast(node))
-    return both.groupBy("j", F.col("_x").alias("x")).agg((F.sum(w * F.col(value)) / (F.sum(w) + min_count + eps)).alias("estimate"), F.sum(w).alias("mass"))
+    """Weighted mean sum(w v) / (sum(w) + min_count + eps) at each node, by a fast Gauss
+    transform; particles without a value are passed over."""
+    sums = _weighted_sums(particles, nodes, x, value, width)
+    return sums.select("j", "x", (F.col("num") / (F.col("den") + min_count + eps)).alias("estimate"), F.col("den").alias("mass"))
 
 
 def binned_mean(sums: DataFrame, least: float = 0.0) -> DataFrame:
@@ -231,9 +246,7 @@ def smoothed_force(df: DataFrame, run: list[str], x: str, value: str, low: float
 def kernel_estimate(particles: DataFrame, nodes: DataFrame, x: str, value: str, width: float, smoothing: list[tuple[int, float]], n: int, eps: float = EPS) -> DataFrame:
     """Weighted mean at each node without a least count, 0 where there is no weight,
     then smoothed with its end values going on."""
-    node = nodes.select("j", F.col("x").alias("_x"))
-    w = gaussian(F.col("_x") - F.col(x), width)
-    sums = particles.select(x, value).crossJoin(F.broadcast(node)).groupBy("j").agg(F.sum(w * F.col(value)).alias("num"), F.sum(w).alias("den"))
+    sums = _weighted_sums(particles, nodes, x, value, width)
     raw = sums.select("j", F.when(F.col("den") > eps, F.col("num") / F.col("den")).otherwise(0.0).alias("estimate"))
     return smooth(raw, [], "estimate", n, smoothing, "replicate")
 
@@ -346,8 +359,7 @@ def conditional_divergence(df: DataFrame, bins: DataFrame, x: str, y: str, refer
 
     Null for bins with fewer than ``least`` particles."""
     step = (high - low) / n
-    near = F.abs(F.col(x) - F.col("center")) <= F.col("half")
-    hits = df.select(F.col(x), closed_right_bin(F.col(y), low, high, n).alias("k")).join(F.broadcast(bins), near)
+    hits = within(df.select(F.col(x).alias("_at"), closed_right_bin(F.col(y), low, high, n).alias("k")), F.col("_at"), bins, F.col("center") - F.col("half"), F.col("center") + F.col("half"))
     counts = hits.groupBy("center", "k").agg(F.count("*").alias("n")).withColumn("_all", F.sum("n").over(Window.partitionBy("center")))
     total = counts.groupBy("center").agg(F.max("_all").alias("n_in_bin"), F.sum(F.when(F.col("k").isNotNull(), F.col("n"))).alias("n_kept"))
     dense = bins.select("center").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("mid", F.lit(low) + (F.col("k") + 0.5) * step)

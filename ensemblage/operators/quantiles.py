@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import finite_or_null
-from ..sources.shared import kept
+from ..functions.shared import kept
 
 #: Values in a bucket that the last pass may count one by one.
 FEW = 1 << 16

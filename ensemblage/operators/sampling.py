@@ -29,14 +29,15 @@ def weighted_subset(df: DataFrame, group: list[str], key: str, weight: str, k: i
 
 def weighted_draws(df: DataFrame, key: str, weight: str, draws: DataFrame, u: str, group: list[str]) -> DataFrame:
     """For every draw u in (0, 1) of a group, the row whose part of the group's total
-    weight holds it: with replacement.  Draws and parts are merged in one sort, and
-    each draw takes the first part that ends at or after it."""
+    weight holds it: with replacement.  Draws and parts are merged in one sort, from
+    the last end to the first, and each draw takes the part that came last before it:
+    the time is that of the sort."""
     w = Window.partitionBy(*group).orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
     total = F.sum(weight).over(Window.partitionBy(*group))
     parts = df.where(F.col(weight) > 0).select(*group, (F.sum(weight).over(w) / total).alias("_at"), F.col(key).alias("_row"), F.lit(None).cast(draws.schema["draw"].dataType).alias("draw"))
     asked = draws.select(*group, F.col(u).alias("_at"), F.lit(None).cast(df.schema[key].dataType).alias("_row"), "draw")
-    after = Window.partitionBy(*group).orderBy("_at", F.col("draw").asc_nulls_last()).rowsBetween(0, Window.unboundedFollowing)
-    both = parts.unionByName(asked).withColumn("_hit", F.first("_row", ignorenulls=True).over(after))
+    back = Window.partitionBy(*group).orderBy(F.desc("_at"), F.desc_nulls_first("draw"), F.desc("_row")).rowsBetween(Window.unboundedPreceding, 0)
+    both = parts.unionByName(asked).withColumn("_hit", F.last("_row", ignorenulls=True).over(back))
     return both.where("draw is not null").select(*group, "draw", F.col("_hit").alias(key))
 
 

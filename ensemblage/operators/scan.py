@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import kept
+from ..functions.shared import kept
 from .quantiles import same
 
 
@@ -122,3 +122,40 @@ def decayed(df: DataFrame, run: list[str], order: list[str], value: str, keep: f
     upto = _within(run, order, "_link").rowsBetween(Window.unboundedPreceding, 0)
     own = F.sum("_grown").over(upto)
     return both.withColumn(out, (F.col("_t") + own) * F.pow(F.lit(keep), F.col("_i") + 1)).drop("_block", "_link", "_place", "_i", "_grown", "_w", "_t")
+
+
+def carried(df: DataFrame, run: list[str], order: list[str], columns: list[str], blocks: int | None = None) -> DataFrame:
+    """The rows with ``columns`` replaced by their last value that is not null, of this
+    row or of one before it in the run."""
+    rows = in_blocks(df, run, order, blocks)
+    ends = rows.groupBy(*run, "_block").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(*order))).alias(f"_l_{c}") for c in columns])
+    earlier = _parts(run).rowsBetween(Window.unboundedPreceding, -1)
+    entry = ends.select(*run, "_block", *[F.last(f"_l_{c}", ignorenulls=True).over(earlier).alias(f"_e_{c}") for c in columns])
+    upto = _within(run, order).rowsBetween(Window.unboundedPreceding, 0)
+    both = same(rows, entry, [*run, "_block"])
+    return both.withColumns({c: F.coalesce(F.last(c, ignorenulls=True).over(upto), F.col(f"_e_{c}")) for c in columns}).drop("_block", *[f"_e_{c}" for c in columns])
+
+
+def interpolated(points: DataFrame, nodes: DataFrame, run: list[str], x: str, y: str, outside: float | None = None, blocks: int | None = None) -> DataFrame:
+    """The points with ``y``: linear between the nodes of their run on both sides, whose
+    distances may differ; the end value beyond the ends, or ``outside``.
+
+    Every node carries its segment to the next one; points and nodes are merged in one
+    sort and each point takes the last segment that began.  Points of a run without nodes
+    get null; of nodes with one x the last by y counts; null x and null nodes are passed
+    over (such points get null)."""
+    known = nodes.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*run, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+    known = known.groupBy(*run, "_x").agg(F.max("_y").alias("_y"))
+    segments = previous(known.withColumn("_back", -F.col("_x")), run, ["_back"], {"_nx": "_x", "_ny": "_y"}, blocks).drop("_back")
+    left = segments.select(*run, "_x", F.lit(0).alias("_kind"), F.struct(F.col("_x").alias("x0"), F.col("_y").alias("y0"), F.col("_nx").alias("x1"), F.col("_ny").alias("y1")).alias("_s"), F.lit(None).cast(points.select(F.struct("*").alias("r")).schema["r"].dataType).alias("_row"))
+    asked = points.select(*run, F.col(x).cast("double").alias("_x"), F.lit(1).alias("_kind"), F.lit(None).cast(left.schema["_s"].dataType).alias("_s"), F.struct("*").alias("_row"))
+    merged = carried(left.unionByName(asked), run, ["_x", "_kind"], ["_s"], blocks).where("_kind = 1")
+    first = known.groupBy(*run).agg(F.min_by("_y", "_x").alias("_fy"))
+    merged = same(merged, first, run, "left") if run else merged.crossJoin(F.broadcast(first))
+    s = {k: F.col(f"_s.{k}") for k in ("x0", "y0", "x1", "y1")}
+    between = s["y0"] + (s["y1"] - s["y0"]) * F.try_divide(F.col("_x") - s["x0"], s["x1"] - s["x0"])
+    end = F.lit(outside).cast("double") if outside is not None else None
+    below = F.col("_fy") if end is None else F.when(F.col("_fy").isNotNull(), end)
+    beyond = s["y0"] if end is None else F.when(F.col("_x") == s["x0"], s["y0"]).otherwise(end)
+    value = F.when(F.col("_x").isNull(), None).when(F.col("_s").isNull(), below).when(s["x1"].isNull(), beyond).otherwise(between)
+    return merged.select(*[F.col("_row").getField(c).alias(c) for c in points.columns if c != y], value.alias(y))

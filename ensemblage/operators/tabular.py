@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import finite, finite_or_null, quantile, reduction_percent, standard_error
+from .intervals import within
 from .quantiles import exact_quantiles, same
 from .scan import decayed_last, previous, running_sums
 
@@ -194,12 +195,12 @@ def region_fractions(df: DataFrame, keys: list[str], where: Column) -> DataFrame
 
 def conditional_moments(df: DataFrame, bins: DataFrame, x: str, y: str) -> DataFrame:
     """Count, mean, sample variance and mean square of y for particles within
-    ``half`` of each bin's ``center`` (closed).  Bins are a few rows, sent to all.
+    ``half`` of each bin's ``center`` (closed).
 
-    The band join emits a particle only for the bins that hold it.  Variance is null
-    for fewer than two particles; bins without particles stay with count 0."""
-    inside = F.abs(F.col(x) - F.col("center")) <= F.col("half")
-    hits = df.select(F.col(x).cast("double").alias(x), F.col(y).cast("double").alias(y)).join(F.broadcast(bins), inside)
+    Particles and bins meet by cells of the bins' own size, whatever their widths.
+    Variance is null for fewer than two particles; bins without particles stay with
+    count 0."""
+    hits = within(df.select(F.col(x).cast("double").alias("_at"), F.col(y).cast("double").alias(y)), F.col("_at"), bins, F.col("center") - F.col("half"), F.col("center") + F.col("half"))
     found = hits.groupBy("center").agg(F.count("*").alias("n"), F.avg(y).alias("mean"), F.var_samp(y).alias("variance"), F.avg(F.col(y) * F.col(y)).alias("mean_square"))
     return bins.join(found, "center", "left").select("center", F.coalesce("n", F.lit(0)).alias("n"), "mean", F.when(F.col("n") >= 2, F.col("variance")).alias("variance"), "mean_square")
 
@@ -207,8 +208,7 @@ def conditional_moments(df: DataFrame, bins: DataFrame, x: str, y: str) -> DataF
 def conditional_spread(df: DataFrame, bins: DataFrame, x: str, components: list[str]) -> DataFrame:
     """Per half-open bin [low, high): count, mean over the components of their sample
     variances (null below two), and mean of the squared norm."""
-    inside = (F.col(x) >= F.col("low")) & (F.col(x) < F.col("high"))
-    hits = df.select(F.col(x).cast("double").alias(x), *[F.col(c).cast("double").alias(c) for c in components]).join(F.broadcast(bins), inside)
+    hits = within(df.select(F.col(x).cast("double").alias("_at"), *[F.col(c).cast("double").alias(c) for c in components]), F.col("_at"), bins, F.col("low"), F.col("high"), closed=(True, False))
     norm = sum((F.col(c) * F.col(c) for c in components[1:]), F.col(components[0]) * F.col(components[0]))
     variance = sum((F.var_samp(c) for c in components[1:]), F.var_samp(components[0])) / len(components)
     found = hits.groupBy("low", "high").agg(F.count("*").alias("n"), F.when(F.count("*") >= 2, variance).alias("variance"), F.avg(norm).alias("square_norm"))

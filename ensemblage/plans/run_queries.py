@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import sources, streaming
 from ..operators import estimators, grid, sampled_systems, simulate
-from ..sources.shared import scratch
+from ..functions.shared import scratch
 from . import orchestration
 from .tabular_queries import rounded, table
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import quantiles, scan, significance, tabular
+from ..operators import intervals, quantiles, scan, significance, tabular
 from .tabular_queries import PAIRS, pairs, rounded, table
 
 QUERIES: dict = {}
@@ -76,10 +76,10 @@ def _fifth(x: str) -> str:
     return f"(((({x} * {x}) % {p}) * (({x} * {x}) % {p})) % {p} * {x}) % {p}"
 
 
-_INTERVAL = f"""gains AS (SELECT method, 100 * (base - value) / base AS v FROM pairs WHERE base <> 0), placed AS (SELECT *, row_number() OVER (PARTITION BY method ORDER BY v) AS rank, count(*) OVER (PARTITION BY method) AS n FROM gains),
-z0 AS (SELECT method, n, r, (rank * {significance.OF_ROW} + r * {significance.OF_RESAMPLE}) % {significance.PRIME} AS z FROM placed, (SELECT unnest(range(2000)) AS r)),
+_INTERVAL = f"""gains AS (SELECT method, 100 * (base - value) / base AS v FROM pairs WHERE base <> 0), spots AS (SELECT *, row_number() OVER (PARTITION BY method ORDER BY v) AS rank, count(*) OVER (PARTITION BY method) AS n FROM gains),
+z0 AS (SELECT method, n, r, (rank * {significance.OF_ROW} + r * {significance.OF_RESAMPLE}) % {significance.PRIME} AS z FROM spots, (SELECT unnest(range(2000)) AS r)),
 z1 AS (SELECT method, n, r, ({_fifth('z')} + r) % {significance.PRIME} AS z FROM z0), drawn AS (SELECT method, r, (({_fifth('z')}) * n) // {significance.PRIME} + 1 AS rank FROM z1),
-medians AS (SELECT method, r, quantile_cont(v, 0.5) AS m FROM drawn JOIN placed USING (method, rank) GROUP BY ALL),
+medians AS (SELECT method, r, quantile_cont(v, 0.5) AS m FROM drawn JOIN spots USING (method, rank) GROUP BY ALL),
 interval AS (SELECT method, quantile_cont(m, 0.025) AS gain_low, quantile_cont(m, 0.975) AS gain_high FROM medians GROUP BY method)"""
 
 
@@ -113,3 +113,26 @@ def cumulative_long_run(spark, d):
     e = table(spark, d, "events").select("event_type", F.col("event_id"), "value")
     out = scan.cumulative_trapezoid(e, ["event_type"], "event_id", "value", blocks=8)
     return rounded(scan.ranked(out, ["event_type"], ["event_id"], blocks=8).select("event_type", "event_id", "cumulative", "rank"), 4)
+
+
+# Nodes at uneven distances, a profile for each priority; dates before the first node and
+# after the last take the end values.
+@query("""WITH nodes AS (SELECT o_orderpriority AS run, epoch(date_trunc('month', o_orderdate)) // 86400 AS x, avg(o_totalprice) AS y FROM orders WHERE month(o_orderdate) IN (2, 3, 7) GROUP BY ALL), s AS (SELECT *, lead(x) OVER w AS x1, lead(y) OVER w AS y1 FROM nodes WINDOW w AS (PARTITION BY run ORDER BY x)),
+f AS (SELECT run, arg_min(y, x) AS y0 FROM nodes GROUP BY run), p AS (SELECT o_orderkey, o_orderpriority AS run, (epoch(o_orderdate) // 86400) AS x FROM orders)
+SELECT o_orderkey, round(CASE WHEN s.x IS NULL THEN f.y0 WHEN s.x1 IS NULL THEN s.y ELSE s.y + (s.y1 - s.y) * (p.x - s.x) / (s.x1 - s.x) END, 4) AS y FROM p JOIN f USING (run) ASOF LEFT JOIN s ON p.run = s.run AND p.x >= s.x""")
+def uneven_interpolation(spark, d):
+    day = lambda c: F.datediff(c, F.lit("1970-01-01").cast("date")).cast("double")
+    o = table(spark, d, "orders").select("o_orderkey", F.col("o_orderpriority").alias("run"), F.col("o_orderdate").cast("date").alias("d"), "o_totalprice")
+    nodes = o.where(F.month("d").isin(2, 3, 7)).groupBy("run", day(F.trunc("d", "month")).alias("x")).agg(F.avg("o_totalprice").alias("y"))
+    points = o.select("o_orderkey", "run", day(F.col("d")).alias("x"))
+    return rounded(scan.interpolated(points, nodes, ["run"], "x", "y").select("o_orderkey", "y"), 4)
+
+
+# Price bands of all lengths, which suppliers' balances fall in.
+@query("""WITH b AS (SELECT p_partkey, p_size AS k, p_retailprice - p_size * p_size AS low, p_retailprice + CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE p_size END AS high FROM part), s AS (SELECT s_suppkey, abs(s_acctbal) % 2000 AS v FROM supplier)
+SELECT p_partkey, count(*) AS n, round(min(v), 4) AS least FROM b JOIN s ON v >= low AND v < high GROUP BY p_partkey""")
+def interval_join(spark, d):
+    b = table(spark, d, "part").select("p_partkey", (F.col("p_retailprice") - F.col("p_size") * F.col("p_size")).alias("low"), (F.col("p_retailprice") + F.when(F.col("p_partkey") % 3 == 0, 0).otherwise(F.col("p_size"))).alias("high"))
+    s = table(spark, d, "supplier").select((F.abs("s_acctbal") % 2000).alias("v"))
+    met = intervals.within(s, F.col("v"), b, F.col("low"), F.col("high"), closed=(True, False))
+    return rounded(met.groupBy("p_partkey").agg(F.count("*").alias("n"), F.min("v").alias("least")), 4)

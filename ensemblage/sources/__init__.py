@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import io
 import json
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import nan_to_null
+from ..operators.scan import interpolated
 
 
 def read_config(spark: SparkSession, path: str) -> dict:
@@ -79,17 +81,23 @@ def latest(spark: SparkSession, path: str, pattern: str = "sweep_*", pointer: st
 
 
 def write_whole(spark: SparkSession, path: str, text: str) -> None:
-    """One small file that is there whole or not at all: written beside its place, then
-    renamed; a file that was there is replaced."""
+    """One small file that is there whole: written beside its place under a name of its
+    own, then renamed over what was there.  A stop before the rename leaves the old file;
+    the rename is one step where the store has such a step."""
     place, fs = _hadoop(spark, path)
-    beside = _hadoop(spark, path + ".part")[0]
+    beside = _hadoop(spark, f"{path}.{uuid.uuid4().hex}.part")[0]
     out = fs.create(beside, True)
     out.write(bytearray(text.encode()))
     out.close()
-    if fs.exists(place):
-        fs.delete(place, False)
-    if not fs.rename(beside, place):
-        raise OSError(f"{path} could not be put in place")
+    _rename_over(spark, beside, place)
+
+
+def _rename_over(spark: SparkSession, beside, place) -> None:
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs
+    kind = getattr(fs, "Options$Rename")
+    how = spark.sparkContext._gateway.new_array(kind, 1)
+    how[0] = kind.OVERWRITE
+    fs.FileContext.getFileContext(place.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(beside, place, how)
 
 
 def read_npz(spark: SparkSession, path: str) -> DataFrame:
@@ -191,14 +199,18 @@ def cached_reference(spark: SparkSession, path: str, key: dict, build) -> DataFr
     return spark.read.parquet(place)
 
 
-def cross_check(built: DataFrame, reference: DataFrame, keys: list[str], value: str, tolerance: float = 5e-2) -> DataFrame:
-    """One row: nodes compared, largest deviation, and whether it is tolerable."""
-    both = built.select(*keys, F.col(value).alias("_a")).join(reference.select(*keys, F.col(value).alias("_b")), keys)
-    return both.agg(F.count("*").alias("n"), F.max(F.abs(F.col("_a") - F.col("_b"))).alias("deviation")).withColumn("ok", (F.col("n") > 0) & (F.col("deviation") <= tolerance))
+def cross_check(built: DataFrame, reference: DataFrame, run: list[str], x: str, value: str, tolerance: float = 5e-2) -> DataFrame:
+    """One row: nodes compared, largest deviation, and whether it is tolerable.
+
+    The reference is interpolated at the nodes that were built, run by run; its own nodes
+    may lie anywhere, and beyond its ends its end values count."""
+    at = interpolated(built.select(*run, x, F.col(value).alias("_a"), F.lit(None).cast("double").alias(value)), reference, run, x, value)
+    both = at.where(F.col(value).isNotNull() & F.col("_a").isNotNull())
+    return both.agg(F.count("*").alias("n"), F.max(F.abs(F.col("_a") - F.col(value))).alias("deviation")).withColumn("ok", (F.col("n") > 0) & (F.col("deviation") <= tolerance))
 
 
-def required_reference(built: DataFrame, reference: DataFrame, keys: list[str], value: str, tolerance: float = 5e-2) -> DataFrame:
+def required_reference(built: DataFrame, reference: DataFrame, run: list[str], x: str, value: str, tolerance: float = 5e-2) -> DataFrame:
     """``cross_check`` that fails the query where no node is there to compare; a
     deviation beyond the tolerance is reported (``ok``) and does not fail."""
-    checked = cross_check(built, reference, keys, value, tolerance)
+    checked = cross_check(built, reference, run, x, value, tolerance)
     return checked.where(F.assert_true(F.col("n") > 0, F.lit("the reference has no node in common")).isNull())
