@@ -7,8 +7,9 @@ import uuid
 from pyspark.sql import functions as F
 
 from .. import sources, streaming
-from ..operators import estimators, grid, sampled_systems, simulate
 from ..functions.shared import scratch
+from ..operators import estimators, grid, sampled_systems, simulate
+from ..streaming import lineage
 from . import orchestration
 from .tabular_queries import rounded, table
 
@@ -131,3 +132,48 @@ def manifest_round_trip(spark, d):
     sources.write_json(runs, place)
     m = sources.read_manifest(spark, place, whole_files=False)
     return m.select(F.col("shard_index").cast("int").alias("shard_index"), F.col("run.key").cast("int").alias("key"), "run.name")
+
+
+# Rows come in three batches of ten days; every tenth comes one batch late.  The stream is
+# stopped after two batches and goes on from its checkpoint with the third.
+_DELIVERED = """rows AS (SELECT event_type AS run, user_id AS label, value, ts, least(2, CASE WHEN day(ts) <= 10 THEN 0 WHEN day(ts) <= 20 THEN 1 ELSE 2 END + (event_id % 10 = 0)::INT) AS batch, (epoch_ms(ts) // 86400000 + 1) * 86400000 AS ends FROM events),
+marks AS (SELECT batch, max(max(epoch_ms(ts))) OVER (ORDER BY batch) AS mark FROM rows GROUP BY batch), told AS (SELECT rows.*, coalesce(ends <= b.mark, false) AS late, floor(value / 50)::INT AS bin FROM rows LEFT JOIN marks b ON b.batch = rows.batch - 1)"""
+
+
+@query(f"""WITH {_DELIVERED}, f AS (SELECT run, ends, label, count(*) AS c FROM told WHERE NOT late GROUP BY ALL), w AS (SELECT run, ends, sum(c)::BIGINT AS n, count(*) AS n_unique, round(sum(c) ^ 2 / sum(c * c), 6) AS ess FROM f WHERE ends <= (SELECT max(mark) FROM marks) GROUP BY ALL),
+first AS (SELECT event_type AS run, count(*) AS n, sum(value) AS total FROM events GROUP BY ALL), h AS (SELECT run, ends, count(*) AS c, sum(value) AS v FROM told WHERE NOT late GROUP BY ALL)
+SELECT run, 'window' AS kind, ends, w.n, n_unique, ess, (first.n + sum(h.c) OVER (PARTITION BY run ORDER BY ends))::BIGINT AS hist_n, round(first.total + sum(h.v) OVER (PARTITION BY run ORDER BY ends), 2) AS hist_total FROM w JOIN h USING (run, ends) JOIN first USING (run)
+UNION ALL SELECT run, 'late', ends, count(*), 0, NULL, NULL, NULL FROM told WHERE late GROUP BY run, ends
+UNION ALL SELECT 'silent', 'expired', epoch_ms(TIMESTAMP '2024-01-15'), 0, 0, NULL, count(*), round(sum(value), 2) FROM events""")
+def stream_lineage(spark, d):
+    day = 86_400_000
+    place = scratch(spark)
+    late = (F.col("event_id") % 10 == 0).cast("int")
+    home = F.when(F.dayofmonth("ts") <= 10, 0).when(F.dayofmonth("ts") <= 20, 1).otherwise(2)
+    ms = F.unix_millis(F.col("ts").cast("timestamp"))
+    e = table(spark, d, "events").select(F.col("event_type").alias("run"), F.col("user_id").cast("string").alias("label"), "value", ms.alias("ms"), F.least(home + late, F.lit(2)).alias("batch"))
+    # When a batch was delivered: the newest time in it or before.
+    marks = {r[0]: r[1] for r in e.groupBy("batch").agg(F.max("ms")).collect()}
+    mark = lambda b: max(v for k, v in marks.items() if k <= b)
+    binned = table(spark, d, "events").groupBy(F.col("event_type").alias("run"), F.floor(F.col("value") / 50).cast("int").alias("bin")).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    first = binned.unionByName(binned.withColumn("run", F.lit("silent")).groupBy("run", "bin").agg(F.sum("n").alias("n"), F.sum("total").alias("total")))
+    processor = lineage.LineageWindows(day, 20 * day, 0.0, 50.0, 20, 1705276800000)
+    kind = "run string, label string, value double, ms long, arrived timestamp"
+
+    def write(rows, number):
+        rows.write.mode("overwrite").parquet(f"{place}/out/batch={number}")
+
+    with lineage.rocksdb(spark):
+        for batches in ((0, 1), (2,)):
+            for b in batches:
+                arrived = F.timestamp_millis(F.lit(mark(b)))
+                e.where(F.col("batch") == b).select("run", "label", "value", "ms", arrived.alias("arrived")).coalesce(1).write.mode("append").parquet(f"{place}/in")
+            stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(f"{place}/in")
+            out = lineage.lineage_windows(stream, first, processor)
+            q = out.writeStream.outputMode("append").option("checkpointLocation", f"{place}/state").trigger(availableNow=True).foreachBatch(write).start()
+            q.awaitTermination()
+    rows = spark.read.schema(out.schema.add("batch", "long")).parquet(f"{place}/out")
+    # Late rows of a window may come in several batches.
+    whole = rows.where("kind <> 'late'").select("run", "kind", "ends", "n", "n_unique", "ess", "hist_n", "hist_total")
+    aside = rows.where("kind = 'late'").groupBy("run", "kind", "ends").agg(F.sum("n").alias("n"), F.lit(0).cast("long").alias("n_unique"), F.lit(None).cast("double").alias("ess"), F.lit(None).cast("long").alias("hist_n"), F.lit(None).cast("double").alias("hist_total"))
+    return rounded(whole.withColumn("hist_total", F.round("hist_total", 2)).unionByName(aside))
