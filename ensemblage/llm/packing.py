@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import ngram_join
+from . import ngram_join, superminhash
 from .common import WORD, materialize
 
 CAPACITY = 2048
@@ -179,10 +179,11 @@ NEAR = ngram_join.Join(n=5, num=80, den=100, punctuation=True)
 
 def near_clusters(documents: DataFrame, join: ngram_join.Join = NEAR) -> DataFrame:
     """doc_id, source, n_tokens and ``cluster`` of each document: the group of near
-    copies that it is in, whatever its case and punctuation.  Texts without words are
-    one cluster."""
+    copies that it is in, whatever its case and punctuation.  Candidates are those of
+    SuperMinHash bands, links are counted on whole sets.  Texts without words are one
+    cluster."""
     text = F.lower(F.coalesce(F.col("text"), F.lit("")))
-    profile, groups = ngram_join.class_groups(documents.select("doc_id", text.alias("text")), join)
+    profile, groups = ngram_join.class_groups(documents.select("doc_id", text.alias("text")), join, superminhash.buckets_of)
     last = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("_id")
     known = profile.where("cls is not null").select(last, F.col("key").alias("_key"), "cls").distinct()
     known = known.join(groups.withColumnRenamed("node", "cls"), "cls", "left").select("_id", "_key", F.hex(F.coalesce("component", "cls")).alias("_group"))
