@@ -53,6 +53,8 @@ def _v_dy(x, y):
 
 
 register_potential("two_channel", _v, _v_dx, _v_dy)
+
+
 def _ring(x, y):
     """Terms of a potential with a ring of wells."""
     return 1 - x * x - y * y, x * x - 2, (x + y) * (x + y) - 1, (x - y) * (x - y) - 1
@@ -131,11 +133,10 @@ def reference_profile(spark: SparkSession, potential: str = "two_channel", beta:
     return rows.crossJoin(F.broadcast(total)).withColumn("p", F.col("p") / F.col("_t")).drop("_t")
 
 
-def conditional_density(spark: SparkSession, at: list[float], potential: str = "two_channel", beta: float = 4.0, y=(-2.5, 3.5, 801)) -> DataFrame:
-    """p(y | x0) at the nodes of y for each x0."""
+def conditional_density(at: DataFrame, potential: str = "two_channel", beta: float = 4.0, y=(-2.5, 3.5, 801)) -> DataFrame:
+    """p(y | x0) at the nodes of y for each row's ``x0``, which are distinct."""
     v = POTENTIALS[potential]
-    centers = spark.createDataFrame([(float(a),) for a in at], "x0 double")
-    df = centers.crossJoin(F.broadcast(grid(spark, *y).withColumnRenamed("x", "y")))
+    df = at.select("x0").crossJoin(F.broadcast(grid(at.sparkSession, *y).withColumnRenamed("x", "y")))
     value = v.value(F.col("x0"), F.col("y"))
     df = df.withColumn("v", value).withColumn("p", E(-beta * (F.col("v") - F.min("v").over(Window.partitionBy("x0")))))
     return df.join(trapezoid(df, ["x0"], "y", "p", "_t"), "x0").select("x0", "j", "y", (F.col("p") / F.col("_t")).alias("p"))

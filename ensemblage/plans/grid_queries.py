@@ -244,34 +244,55 @@ _V = "3 * exp(-x * x) * (exp(-(y - 1.0::DOUBLE / 3) * (y - 1.0::DOUBLE / 3)) - e
 _VX = "-6 * x * exp(-x * x) * (exp(-(y - 1.0::DOUBLE / 3) * (y - 1.0::DOUBLE / 3)) - exp(-(y - 5.0::DOUBLE / 3) * (y - 5.0::DOUBLE / 3))) + 10 * exp(-y * y) * ((x - 1) * exp(-(x - 1) * (x - 1)) + (x + 1) * exp(-(x + 1) * (x + 1))) + 0.8::DOUBLE * x * x * x"
 
 
-@query(f"""WITH g AS (SELECT i::INT AS j, -3 + i * 6.0::DOUBLE / 400 AS x FROM (SELECT unnest(range(401)) AS i)), h AS (SELECT i AS k, -2.5::DOUBLE + i * 6.0::DOUBLE / 800 AS y FROM (SELECT unnest(range(801)) AS i)),
+# Potentials and profiles are taken at points that customers give.
+POINTS = "pt AS (SELECT c_custkey, -2.9::DOUBLE + 5.8::DOUBLE * (c_acctbal + 1000) / 11000 AS x, -2.4::DOUBLE + 5.8::DOUBLE * (c_custkey * 37 % 1000) / 1000 AS y FROM customer)"
+
+
+def points(spark, d):
+    x = -2.9 + 5.8 * (F.col("c_acctbal") + 1000) / 11000
+    return table(spark, d, "customer").select("c_custkey", x.alias("x"), (-2.4 + 5.8 * (F.col("c_custkey") * 37 % 1000) / 1000).alias("y"))
+
+
+def between(columns: list[str], low: float, step: float, n: int) -> str:
+    """Linear interpolation of ``profile`` (j and the columns) at the points."""
+    at = ", ".join(f"a.{c} * (1 - part) + b.{c} * part AS {c}" for c in columns)
+    return f"cell AS (SELECT c_custkey, greatest(0, least({n - 2}, floor((x - {low}::DOUBLE) / {step}::DOUBLE)::INT)) AS i, (x - {low}::DOUBLE) / {step}::DOUBLE AS t FROM pt), told AS (SELECT c_custkey, {at} FROM (SELECT *, greatest(0.0, least(1.0, t - i)) AS part FROM cell) JOIN profile a ON a.j = i JOIN profile b ON b.j = i + 1)"
+
+
+@query(f"""WITH {POINTS}, g AS (SELECT i::INT AS j, -3 + i * 6.0::DOUBLE / 400 AS x FROM (SELECT unnest(range(401)) AS i)), h AS (SELECT i AS k, -2.5::DOUBLE + i * 6.0::DOUBLE / 800 AS y FROM (SELECT unnest(range(801)) AS i)),
 v AS (SELECT j, x, k, {_V} AS v, {_VX} AS f FROM g, h), w AS (SELECT *, min(v) OVER (PARTITION BY j) AS least, (CASE WHEN k = 0 OR k = 800 THEN 0.5 ELSE 1 END)::DOUBLE * 6 / 800 * exp(-4 * (v - min(v) OVER (PARTITION BY j))) AS w FROM v),
 r AS (SELECT j, x, max(least) - ln(sum(w)) / 4 AS F, sum(w * f) / sum(w) AS fp FROM w GROUP BY j, x), c AS (SELECT j, x, F - avg(F) OVER () AS F, fp FROM r), p AS (SELECT *, exp(-4 * F) AS p FROM c),
-t AS (SELECT sum(piece) AS t FROM (SELECT (p + lag(p) OVER (ORDER BY x)) / 2 * (x - lag(x) OVER (ORDER BY x)) AS piece FROM p))
-SELECT j, round(x, 6) AS x, round(F, 6) AS F, round(fp, 6) AS Fprime, round(p / t, 8) AS p FROM p, t""")
+t AS (SELECT sum(piece) AS t FROM (SELECT (p + lag(p) OVER (ORDER BY x)) / 2 * (x - lag(x) OVER (ORDER BY x)) AS piece FROM p)),
+profile AS (SELECT j, F, fp AS Fprime, p / t AS p FROM p, t), {between(['F', 'Fprime', 'p'], -3.0, 6.0 / 400, 401)} SELECT c_custkey, round(F, 6) + 0 AS F, round(Fprime, 6) + 0 AS Fprime, round(p, 6) AS p FROM told""")
 def reference_profile(spark, d):
-    r = models.reference_profile(spark)
-    return r.select("j", F.round("x", 6).alias("x"), (F.round("F", 6) + 0.0).alias("F"), (F.round("Fprime", 6) + 0.0).alias("Fprime"), F.round("p", 8).alias("p"))
+    r, out = models.reference_profile(spark), points(spark, d)
+    for c in ("F", "Fprime", "p"):
+        out = grid.interpolate(out, r.select("j", c), "x", -3.0, 6.0 / 400, 401, c)
+    return rounded(out.select("c_custkey", "F", "Fprime", "p"))
 
 
-@query("""WITH g AS (SELECT i::INT AS j, -1.5::DOUBLE + i * 3.0::DOUBLE / 100 AS x FROM (SELECT unnest(range(101)) AS i)), w AS (SELECT *, 1 + 3 * exp(-x * x / (2 * 0.09::DOUBLE)) AS o, -3 * x / 0.09::DOUBLE * exp(-x * x / (2 * 0.09::DOUBLE)) AS s FROM g)
-SELECT j, round((x * x - 1) * (x * x - 1) + 0.25::DOUBLE * ln(o), 6) + 0 AS F, round(4 * x * (x * x - 1) + 0.25::DOUBLE * s / o, 6) + 0 AS Fprime FROM w""")
+@query(f"""WITH {POINTS}, w AS (SELECT *, 1 + 3 * exp(-x * x / (2 * 0.09::DOUBLE)) AS o, -3 * x / 0.09::DOUBLE * exp(-x * x / (2 * 0.09::DOUBLE)) AS s FROM pt)
+SELECT c_custkey, round((x * x - 1) * (x * x - 1) + 0.25::DOUBLE * ln(o), 6) + 0 AS F, round(4 * x * (x * x - 1) + 0.25::DOUBLE * s / o, 6) + 0 AS Fprime FROM w""")
 def channel_reference(spark, d):
     c = models.Channel()
     x = F.col("x")
-    return rounded(grid.grid(spark, -1.5, 1.5, 101).select("j", c.free_energy(x).alias("F"), c.mean_force(x).alias("Fprime")))
+    return rounded(points(spark, d).select("c_custkey", c.free_energy(x).alias("F"), c.mean_force(x).alias("Fprime")))
 
 
-@query(f"""WITH c AS (SELECT unnest([-1.0, 0.0, 1.0])::DOUBLE AS x), h AS (SELECT i::INT AS j, -2.5::DOUBLE + i * 6.0::DOUBLE / 800 AS y FROM (SELECT unnest(range(801)) AS i)), v AS (SELECT x, j, y, {_V} AS v FROM c, h), e AS (SELECT x, j, y, exp(-4 * (v - min(v) OVER (PARTITION BY x))) AS p FROM v),
-t AS (SELECT x, sum(piece) AS t FROM (SELECT x, (p + lag(p) OVER (PARTITION BY x ORDER BY y)) / 2 * (y - lag(y) OVER (PARTITION BY x ORDER BY y)) AS piece FROM e) GROUP BY x) SELECT x AS x0, j, round(y, 8) + 0 AS y, round(p / t, 8) AS p FROM e JOIN t USING (x)""")
+# A conditional density for each nation's place.
+@query(f"""WITH c AS (SELECT n_nationkey, (n_nationkey - 12) / 6.0::DOUBLE AS x FROM nation), h AS (SELECT i::INT AS j, -2.5::DOUBLE + i * 6.0::DOUBLE / 800 AS y FROM (SELECT unnest(range(801)) AS i)), v AS (SELECT x, j, y, {_V} AS v FROM c, h), e AS (SELECT x, j, y, exp(-4 * (v - min(v) OVER (PARTITION BY x))) AS p FROM v),
+t AS (SELECT x, sum(piece) AS t FROM (SELECT x, (p + lag(p) OVER (PARTITION BY x ORDER BY y)) / 2 * (y - lag(y) OVER (PARTITION BY x ORDER BY y)) AS piece FROM e) GROUP BY x) SELECT round(x, 8) + 0 AS x0, j, round(y, 8) + 0 AS y, round(p / t, 8) AS p FROM e JOIN t USING (x)""")
 def conditional_density(spark, d):
-    return rounded(models.conditional_density(spark, [-1.0, 0.0, 1.0]), 8)
+    at = table(spark, d, "nation").select(((F.col("n_nationkey") - 12) / 6).alias("x0"))
+    return rounded(models.conditional_density(at), 8)
 
 
-@query(f"""WITH g AS (SELECT i::INT AS j, -3 + i * 0.1::DOUBLE AS x FROM (SELECT unnest(range(61)) AS i)), h AS (SELECT i::INT AS k, -2.5::DOUBLE + i * 0.1::DOUBLE AS y FROM (SELECT unnest(range(61)) AS i)), v AS (SELECT j, k, x, y, {_V} AS v FROM g, h), e AS (SELECT *, exp(-4 * (v - min(v) OVER ())) AS p FROM v),
-t AS (SELECT sum(p * (CASE WHEN j IN (0, 60) THEN 0.5 ELSE 1 END)::DOUBLE * (CASE WHEN k IN (0, 60) THEN 0.5 ELSE 1 END)::DOUBLE * 0.01::DOUBLE) AS t FROM e) SELECT j, k, round(x, 6) + 0 AS x, round(y, 6) + 0 AS y, round(v, 6) + 0 AS v, round(p / t, 6) AS p FROM e, t""")
+# Every customer's point has the density of its nearest node.
+@query(f"""WITH {POINTS}, g AS (SELECT i::INT AS j, -3 + i * 0.1::DOUBLE AS x FROM (SELECT unnest(range(61)) AS i)), h AS (SELECT i::INT AS k, -2.5::DOUBLE + i * 0.1::DOUBLE AS y FROM (SELECT unnest(range(61)) AS i)), v AS (SELECT j, k, x, y, {_V} AS v FROM g, h), e AS (SELECT *, exp(-4 * (v - min(v) OVER ())) AS p FROM v),
+t AS (SELECT sum(p * (CASE WHEN j IN (0, 60) THEN 0.5 ELSE 1 END)::DOUBLE * (CASE WHEN k IN (0, 60) THEN 0.5 ELSE 1 END)::DOUBLE * 0.01::DOUBLE) AS t FROM e) SELECT c_custkey, j, k, round(v, 6) + 0 AS v, round(p / t, 6) AS p FROM (SELECT c_custkey, greatest(0, least(60, round_even((x + 3) / 0.1::DOUBLE, 0)::INT)) AS j, greatest(0, least(60, round_even((y + 2.5) / 0.1::DOUBLE, 0)::INT)) AS k FROM pt) q JOIN e USING (j, k), t""")
 def boltzmann_grid(spark, d):
-    return rounded(models.boltzmann_grid(spark))
+    at = points(spark, d).select("c_custkey", grid.nearest_bin(F.col("x"), -3.0, 0.1, 61).alias("j"), grid.nearest_bin(F.col("y"), -2.5, 0.1, 61).alias("k"))
+    return rounded(at.join(F.broadcast(models.boltzmann_grid(spark)), ["j", "k"]).select("c_custkey", "j", "k", "v", "p"))
 
 
 @query(f"""WITH {PROFILE}, n AS (SELECT run, sum(piece) AS t FROM (SELECT run, (y + lag(y) OVER w) / 2 * (x - lag(x) OVER w) AS piece FROM profile WINDOW w AS (PARTITION BY run ORDER BY x)) GROUP BY run), p AS (SELECT run, x, y / t AS p, 1.0::DOUBLE / 49 AS q FROM profile JOIN n USING (run)),

@@ -6,11 +6,13 @@ are the nation's customers."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import estimators, grid, models, particles, sampling, tabular
-from .grid_queries import PROFILE, mbar_profile_sql, profile
+from .grid_queries import POINTS, PROFILE, between, mbar_profile_sql, points, profile
 from .tabular_queries import rounded, table
 
 QUERIES: dict = {}
@@ -232,36 +234,63 @@ def conditional_spread(spark, d):
 # ------------------------------------------------------------------- potentials
 
 
-def _xy(spark):
-    g = grid.grid(spark, -1.5, 1.5, 13)
-    return g.select("j", "x").crossJoin(F.broadcast(g.select(F.col("j").alias("k"), F.col("x").alias("y"))))
+@query(f"""WITH {POINTS} SELECT c_custkey, round((4 * (1 - x*x - y*y) ^ 2 + 2 * (x*x - 2) ^ 2 + ((x + y) ^ 2 - 1) ^ 2 + ((x - y) ^ 2 - 1) ^ 2) / 6, 8) AS v,
+  round((-16 * x * (1 - x*x - y*y) + 8 * x * (x*x - 2) + 4 * ((x + y) ^ 2 - 1) * (x + y) + 4 * ((x - y) ^ 2 - 1) * (x - y)) / 6, 8) + 0 AS dx, round((-16 * y * (1 - x*x - y*y) + 4 * ((x + y) ^ 2 - 1) * (x + y) - 4 * ((x - y) ^ 2 - 1) * (x - y)) / 6, 8) + 0 AS dy FROM pt""")
+def ring_potential(spark, d):
+    v, x, y = models.POTENTIALS["ring"], F.col("x"), F.col("y")
+    return rounded(points(spark, d).select("c_custkey", v.value(x, y).alias("v"), v.dx(x, y).alias("dx"), v.dy(x, y).alias("dy")), 8)
 
 
-_XY = "g AS (SELECT unnest(range(13))::INT AS j), p AS (SELECT a.j, b.j AS k, -1.5::DOUBLE + a.j * 0.25 AS x, -1.5::DOUBLE + b.j * 0.25 AS y FROM g a, g b)"
+_TV = "3 * exp(-x * x) * (exp(-(y - 1.0::DOUBLE / 3) ^ 2) - exp(-(y - 5.0::DOUBLE / 3) ^ 2)) - 5 * exp(-y * y) * (exp(-(x - 1) ^ 2) + exp(-(x + 1) ^ 2)) + 0.2::DOUBLE * x ^ 4 + 0.2::DOUBLE * (y - 1.0::DOUBLE / 3) ^ 4"
+_TV = _TV.replace("exp(-(y - 1.0::DOUBLE / 3) ^ 2)", "exp(-1 * (y - 1.0::DOUBLE / 3) ^ 2)").replace("exp(-(y - 5.0::DOUBLE / 3) ^ 2)", "exp(-1 * (y - 5.0::DOUBLE / 3) ^ 2)").replace("exp(-(x - 1) ^ 2)", "exp(-1 * (x - 1) ^ 2)").replace("exp(-(x + 1) ^ 2)", "exp(-1 * (x + 1) ^ 2)")
 
 
-@query(f"""WITH {_XY} SELECT j, k, round((4 * (1 - x*x - y*y) ^ 2 + 2 * (x*x - 2) ^ 2 + ((x + y) ^ 2 - 1) ^ 2 + ((x - y) ^ 2 - 1) ^ 2) / 6, 8) AS v,
-  round((-16 * x * (1 - x*x - y*y) + 8 * x * (x*x - 2) + 4 * ((x + y) ^ 2 - 1) * (x + y) + 4 * ((x - y) ^ 2 - 1) * (x - y)) / 6, 8) + 0 AS dx, round((-16 * y * (1 - x*x - y*y) + 4 * ((x + y) ^ 2 - 1) * (x + y) - 4 * ((x - y) ^ 2 - 1) * (x - y)) / 6, 8) + 0 AS dy FROM p""")
-def ring_potential(spark, d):
-    v, x, y = models.POTENTIALS["ring"], F.col("x"), F.col("y")
-    return rounded(_xy(spark).select("j", "k", v.value(x, y).alias("v"), v.dx(x, y).alias("dx"), v.dy(x, y).alias("dy")), 8)
+_RV = "(4 * (1 - x*x - y*y) ^ 2 + 2 * (x*x - 2) ^ 2 + ((x + y) ^ 2 - 1) ^ 2 + ((x - y) ^ 2 - 1) ^ 2) / 6"
+_GRADIENTS = {
+    "ring": (_RV, "(-16 * x * (1 - x*x - y*y) + 8 * x * (x*x - 2) + 4 * ((x + y) ^ 2 - 1) * (x + y) + 4 * ((x - y) ^ 2 - 1) * (x - y)) / 6", "(-16 * y * (1 - x*x - y*y) + 4 * ((x + y) ^ 2 - 1) * (x + y) - 4 * ((x - y) ^ 2 - 1) * (x - y)) / 6"),
+    "two_channel": (_TV, "-6 * x * exp(-x * x) * (exp(-1 * (y - 1.0::DOUBLE / 3) ^ 2) - exp(-1 * (y - 5.0::DOUBLE / 3) ^ 2)) + 10 * exp(-y * y) * ((x - 1) * exp(-1 * (x - 1) ^ 2) + (x + 1) * exp(-1 * (x + 1) ^ 2)) + 0.8::DOUBLE * x ^ 3",
+      "-6 * exp(-x * x) * ((y - 1.0::DOUBLE / 3) * exp(-1 * (y - 1.0::DOUBLE / 3) ^ 2) - (y - 5.0::DOUBLE / 3) * exp(-1 * (y - 5.0::DOUBLE / 3) ^ 2)) + 10 * y * exp(-y * y) * (exp(-1 * (x - 1) ^ 2) + exp(-1 * (x + 1) ^ 2)) + 0.8::DOUBLE * (y - 1.0::DOUBLE / 3) ^ 3"),
+}
 
 
-@query("SELECT unnest(['two_channel', 'ring', 'triple_well']) AS name, 169::BIGINT AS n, true AS ok")
-def gradient_checks(spark, d):
-    rows = [models.gradient_check(_xy(spark), name).withColumn("name", F.lit(name)) for name in ("two_channel", "ring", "triple_well")]
-    both = rows[0].union(rows[1]).union(rows[2])
-    return both.select("name", "n", ((F.col("dx_off") < 1e-6) & (F.col("dy_off") < 1e-6)).alias("ok"))
+def _shifted(v: str, dx: str, dy: str) -> str:
+    """The expression at a point moved by a small step."""
+    return re.sub(r"\b([xy])\b", lambda m: f"({m[1]} + {dx if m[1] == 'x' else dy})", v)
 
 
-_TV = "3 * exp(-x * x) * (exp(-(y - 1.0::DOUBLE / 3) ^ 2) - exp(-(y - 5.0::DOUBLE / 3) ^ 2)) - 5 * exp(-y * y) * (exp(-(x - 1) ^ 2) + exp(-(x + 1) ^ 2)) + 0.2::DOUBLE * x ^ 4 + 0.2::DOUBLE * (y - 1.0::DOUBLE / 3) ^ 4"
-_TV = _TV.replace("exp(-(y - 1.0::DOUBLE / 3) ^ 2)", "exp(-1 * (y - 1.0::DOUBLE / 3) ^ 2)").replace("exp(-(y - 5.0::DOUBLE / 3) ^ 2)", "exp(-1 * (y - 5.0::DOUBLE / 3) ^ 2)").replace("exp(-(x - 1) ^ 2)", "exp(-1 * (x - 1) ^ 2)").replace("exp(-(x + 1) ^ 2)", "exp(-1 * (x + 1) ^ 2)")
+def _gradient_sql(name: str) -> str:
+    v, gx, gy = _GRADIENTS[name]
+    off = lambda g, up, down: f"max(abs(({g}) - (({_shifted(v, *up)}) - ({_shifted(v, *down)})) / 2e-5::DOUBLE))"
+    h, g = "1e-5::DOUBLE", "-1e-5::DOUBLE"
+    return f"SELECT '{name}' AS name, count(*) AS n, round(max(abs({gx})), 6) AS steepest_x, round(max(abs({gy})), 6) AS steepest_y, {off(gx, (h, '0'), (g, '0'))} < 1e-4 AND {off(gy, ('0', h), ('0', g))} < 1e-4 AS ok FROM pt"
 
 
-@query(f"""WITH g AS (SELECT i::INT AS j, -2 + i * 4.0::DOUBLE / 40 AS x FROM (SELECT unnest(range(41)) AS i)), h AS (SELECT i AS k, -5 + i * 10.0::DOUBLE / 1000 AS y FROM (SELECT unnest(range(1001)) AS i)), w AS (SELECT j, (CASE WHEN k = 0 OR k = 1000 THEN 0.5 ELSE 1 END)::DOUBLE * 0.01::DOUBLE * exp(-2 * ({_TV})) AS w FROM g, h),
-f AS (SELECT j, -ln(sum(w)) / 2 AS f FROM w GROUP BY j) SELECT j, round(f - avg(f) OVER (), 6) + 0 AS F FROM f""")
+# Both sides difference their own potential and hold their own gradient against it.
+@query(f"WITH {POINTS} {_gradient_sql('two_channel')} UNION ALL {_gradient_sql('ring')}")
+def gradient_checks(spark, d):
+    out = []
+    for name in ("two_channel", "ring"):
+        v, at = models.POTENTIALS[name], points(spark, d)
+        steep = at.agg(F.max(F.abs(v.dx(F.col("x"), F.col("y")))).alias("steepest_x"), F.max(F.abs(v.dy(F.col("x"), F.col("y")))).alias("steepest_y"))
+        # One row beside one row.
+        both = models.gradient_check(at, name).crossJoin(F.broadcast(steep))
+        out.append(both.select(F.lit(name).alias("name"), "n", "steepest_x", "steepest_y", ((F.col("dx_off") < 1e-4) & (F.col("dy_off") < 1e-4)).alias("ok")))
+    return rounded(out[0].union(out[1]))
+
+
+# A potential that the user registers, over a table.
+@query(f"WITH {POINTS} SELECT c_custkey, round(x * x * x * x / 4 - x * y, 6) + 0 AS v, round(x * x * x - y, 6) + 0 AS dx, round(-x, 6) + 0 AS dy FROM pt")
+def registered_potential(spark, d):
+    models.register_potential("tilted_quartic", lambda x, y: x * x * x * x / 4 - x * y, lambda x, y: x * x * x - y, lambda x, y: -x)
+    v, x, y = models.POTENTIALS["tilted_quartic"], F.col("x"), F.col("y")
+    return rounded(points(spark, d).select("c_custkey", v.value(x, y).alias("v"), v.dx(x, y).alias("dx"), v.dy(x, y).alias("dy")))
+
+
+@query(f"""WITH {POINTS}, g AS (SELECT i::INT AS j, -2 + i * 4.0::DOUBLE / 40 AS x FROM (SELECT unnest(range(41)) AS i)), h AS (SELECT i AS k, -5 + i * 10.0::DOUBLE / 1000 AS y FROM (SELECT unnest(range(1001)) AS i)), w AS (SELECT j, (CASE WHEN k = 0 OR k = 1000 THEN 0.5 ELSE 1 END)::DOUBLE * 0.01::DOUBLE * exp(-2 * ({_TV})) AS w FROM g, h),
+f AS (SELECT j, -ln(sum(w)) / 2 AS f FROM w GROUP BY j), profile AS (SELECT j, f - avg(f) OVER () AS F FROM f), {between(['F'], -2.0, 0.1, 41)} SELECT c_custkey, round(F, 6) + 0 AS F FROM told""")
 def triple_well_profile(spark, d):
-    return rounded(models.reference_profile(spark, "triple_well", 2.0, (-2.0, 2.0, 41), (-5.0, 5.0, 1001)).select("j", "F"))
+    r = models.reference_profile(spark, "triple_well", 2.0, (-2.0, 2.0, 41), (-5.0, 5.0, 1001))
+    return rounded(grid.interpolate(points(spark, d), r.select("j", "F"), "x", -2.0, 0.1, 41, "F").select("c_custkey", "F"))
 
 
 @query("""SELECT s_suppkey, round((1 - phi) * 6 / 4, 8) AS height, round(exp(phi * 6 / 3), 8) AS omega_in, round((1 - phi) * 6 / 4, 8) AS df_energetic, round(3.0::DOUBLE / 4 * (phi * 6 / 3), 8) AS df_entropic FROM (SELECT s_suppkey, (s_suppkey % 11) / 10.0::DOUBLE AS phi FROM supplier)""")
@@ -270,10 +299,10 @@ def design_knobs(spark, d):
     return rounded(models.knobs(s, "phi", 6.0, 4.0, 1.0, 3).drop("phi"), 8)
 
 
-@query("""WITH g AS (SELECT i::INT AS j, -1.5::DOUBLE + i * 3.0::DOUBLE / 60 AS x FROM (SELECT unnest(range(61)) AS i)) SELECT j, round(0.6::DOUBLE * (x * x - 1) ^ 2 + 0.5::DOUBLE * ln(1 + (exp(0.6::DOUBLE * 6 / 2) - 1) * exp(-x * x / 0.18::DOUBLE)), 6) + 0 AS F FROM g""")
+@query(f"""WITH {POINTS} SELECT c_custkey, round(0.6::DOUBLE * (x * x - 1) ^ 2 + 0.5::DOUBLE * ln(1 + (exp(0.6::DOUBLE * 6 / 2) - 1) * exp(-x * x / 0.18::DOUBLE)), 6) + 0 AS F FROM pt""")
 def channel_of_share(spark, d):
     c = models.Channel.from_share(0.6, 6.0, 4.0, 1.0, 2)
-    return rounded(grid.grid(spark, -1.5, 1.5, 61).select("j", c.free_energy(F.col("x")).alias("F")))
+    return rounded(points(spark, d).select("c_custkey", c.free_energy(F.col("x")).alias("F")))
 
 
 # ----------------------------------------------------------------------- chains
