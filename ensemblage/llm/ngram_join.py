@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from .common import PUNCTUATION, WHITE, Words, materialize, mix64, row_slices, text_buffers
 from .components import components
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 #: Ids of texts to fetch that may be broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Rows of a region that one task joins; larger ones are joined block by block.
