@@ -1,8 +1,9 @@
 """Connected components of an undirected graph by union-find and alternating stars.
 
 Each task first reduces its links to a forest by union-find with path halving, in memory
-that is bounded by ``MOST_NODES``.  The forests are joined by large and small stars: every
-round is two aggregations over the links that remain; nothing is collected but
+that is bounded by ``MOST_NODES``.  If no more than ``FEW_LINKS`` are left of all tasks'
+forests, counted, one more union-find ends the work; else the forests are joined by large
+and small stars: every round is two aggregations over the links that remain; nothing is collected but
 a count of changes.  Rounds grow with the logarithm of the longest path, and each
 round's links are checkpointed, so a lost executor never replays more than one.
 """
@@ -19,38 +20,68 @@ from .common import scratch_dir
 
 #: Nodes that a task holds in union-find; then it begins anew, which keeps links whole.
 MOST_NODES = 1_000_000
+#: Links whose nodes one task may hold in union-find.
+FEW_LINKS = 200_000
 
 
 def _directed(links: DataFrame) -> DataFrame:
     return links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
+class Sets:
+    """Union-find with path halving; a set's root is its smallest node."""
+
+    def __init__(self):
+        self.parent: dict = {}
+
+    def root(self, x):
+        parent = self.parent
+        while (above := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent.setdefault(above, above)
+        return x
+
+    def join(self, a, b) -> bool:
+        """Whether the two were apart."""
+        x, y = self.root(a), self.root(b)
+        if x == y:
+            return False
+        self.parent[max(x, y)] = min(x, y)
+        return True
+
+
 def spanning_forest(links: DataFrame) -> DataFrame:
     """Links (a, b) that join the same nodes as ``links`` do, a task's nodes by a forest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parent: dict = {}
-
-        def root(x):
-            while (above := parent.setdefault(x, x)) != x:
-                parent[x] = x = parent.setdefault(above, above)
-            return x
-
+        sets = Sets()
         for batch in batches:
-            kept = []
-            for at, (a, b) in enumerate(zip(batch.column("a").to_pylist(), batch.column("b").to_pylist())):
-                x, y = root(a), root(b)
-                if x != y:
-                    parent[max(x, y)] = min(x, y)
-                    kept.append(at)
-            if len(parent) > MOST_NODES:
-                parent.clear()
-            yield batch.take(pa.array(kept, pa.int64()))
+            pairs = zip(batch.column("a").to_pylist(), batch.column("b").to_pylist())
+            yield batch.take(pa.array([at for at, (a, b) in enumerate(pairs) if sets.join(a, b)], pa.int64()))
+            if len(sets.parent) > MOST_NODES:
+                sets = Sets()
 
     links = links.select("a", "b")
     return links.mapInArrow(run, links.schema)
 
 
+def _at_once(links: DataFrame) -> DataFrame:
+    """The components of few links, in one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets, kind = Sets(), None
+        for batch in batches:
+            kind = batch.column("a").type
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+                sets.join(a, b)
+        nodes = list(sets.parent)
+        for at in range(0, len(nodes), 50_000):
+            some = nodes[at : at + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(some, kind), pa.array([sets.root(x) for x in some], kind)], ["node", "component"])
+
+    schema = links.select(links["a"].alias("node"), links["b"].alias("component")).schema
+    return links.coalesce(1).mapInArrow(run, schema)
+
+
 def _large_star(links: DataFrame) -> DataFrame:
     """Link every larger neighbour of a node to the smallest of its neighbourhood."""
     both = _directed(links)
@@ -73,6 +104,8 @@ def components(links: DataFrame) -> DataFrame:
     result is empty."""
     scratch_dir(links.sparkSession)
     now = spanning_forest(links.where("a <> b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().checkpoint()
+    if now.count() <= FEW_LINKS:
+        return _at_once(now)
     before = None
     while True:
         now = _small_star(_large_star(now)).checkpoint()

@@ -121,3 +121,7 @@ def test_union_find_keeps_what_is_joined(spark, monkeypatch):
     want = {x: root(x) for x in used}
     assert {r.node: r.component for r in cc.components(df).collect()} == want
     assert {r.node: r.component for r in cc.components(forest).collect()} == want
+    monkeypatch.setattr(cc, "FEW_LINKS", 0)
+    monkeypatch.setattr(cc, "MOST_NODES", 20)
+    assert {r.node: r.component for r in cc.components(df).collect()} == want
+    assert cc.components(df.where("a = b")).collect() == []
