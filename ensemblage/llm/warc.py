@@ -7,7 +7,8 @@ to will do; each holds about ``ARCHIVE_BYTES`` of records and is read back by pa
 
 Every archive's index is a run sorted by (URL key, timestamp, page id).  Splitters cut
 all runs at the same keys; the segments of one key range meet in one task and a loser
-tree merges them k ways.  Ranges in their order are the globally ordered capture history.
+tree merges them k ways.  Where a range has segments of more than ``FAN_IN`` archives, they
+are merged in two passes, so that no tree has many more ways than that.  Ranges in their order are the globally ordered capture history.
 Splitters have two levels: at most ``COARSE`` keys, which go to every task, cut the key
 space into stretches, and each stretch is cut by splitters of its own, which only its
 segments meet.  So a range holds some ``RANGE_ENTRIES`` entries however large the table.
@@ -38,6 +39,10 @@ COARSE = 1024
 OVERSAMPLE = 8
 #: Index entries a range should hold.
 RANGE_ENTRIES = 20_000
+#: Runs that one loser tree merges, about.
+FAN_IN = 128
+#: Digests that occur again and are sent to every task; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 EPOCH = 1_700_000_000  # capture time of page 0; pages follow by a second each
 
 ENTRY = "urlkey string, ts string, page_id long, archive string, offset long, size long, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -167,12 +172,17 @@ def with_origin(pages: DataFrame, smallest: int = 0) -> DataFrame:
     """page_id, url, payload, digest and ``refers_to``: the smallest page_id of the
     same payload where that is another row, for payloads of ``smallest`` bytes or more.
 
-    Digests, not payloads, are grouped and shuffled back by page.
+    Digests are grouped, not payloads.  Those that occur again are written once and
+    sent to all tasks while they are few, so that payloads stay where they are; beyond
+    that they are joined, and adaptive execution splits what is common.
     """
     df = pages.select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
     df = df.withColumn("sha1", F.sha1("payload"))
     first = df.groupBy("sha1").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     # Only digests seen twice come here; a row without a copy keeps its own id.
+    first = materialize(first, "warc-first")
+    if first.count() <= BROADCAST_ROWS:
+        first = F.broadcast(first)
     return df.join(first, "sha1", "left").select(
         "page_id", "url", "payload", "sha1", F.when((F.octet_length("payload") >= smallest) & (F.col("first") != F.col("page_id")), F.col("first")).alias("refers_to")
     )
@@ -294,12 +304,21 @@ def merge_runs(runs: DataFrame) -> DataFrame:
 
         cut = materialize(cut, "segments").join(fine, "key_range", "left").mapInPandas(again, f"key_range long, archive string, segment array<struct<{kind}>>")
 
+    def merged_rows(segments) -> Iterator[tuple]:
+        return (row for _, row in LoserTree([[(_key(r), r) for r in rows_of(segment)] for segment in segments]))
+
+    def premerge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = [dict(zip(_FIELDS, row)) for row in merged_rows(pdf["segment"])]
+        return pd.DataFrame({"key_range": [key[0]], "archive": [f"{key[1]:06d}"], "segment": [rows]})
+
+    # A range's segments are at most its entries, or the archives.
+    groups = -(-min(runs.count(), 2 * RANGE_ENTRIES) // FAN_IN)
+    if groups > 1:
+        group = F.pmod(F.xxhash64("archive"), F.lit(groups)).alias("group")
+        cut = cut.groupBy("key_range", group).applyInPandas(premerge, f"key_range long, archive string, segment array<struct<{kind}>>")
+
     def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        streams = []
-        for segment in pdf.sort_values("archive", kind="stable")["segment"]:
-            rows = [tuple(None if e[f] is None else e[f] for f in _FIELDS) for e in segment]
-            streams.append([(_key(r), r) for r in rows])
-        merged = [(key[0], place, *row) for place, (_, row) in enumerate(LoserTree(streams))]
+        merged = [(key[0], place, *row) for place, row in enumerate(merged_rows(pdf.sort_values("archive", kind="stable")["segment"]))]
         out = pd.DataFrame(merged, columns=["key_range", "place", *_FIELDS])
         return out.astype({"page_id": "Int64", "refers_to": "Int64"})
 

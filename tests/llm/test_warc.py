@@ -65,6 +65,21 @@ def test_ranges_hold_what_they_should_however_many(spark, monkeypatch):
     assert len(sizes) > 50 and max(sizes.values()) < 200
 
 
+def test_passes_of_bounded_fan_in_and_both_joins(spark, monkeypatch):
+    pages = [(i, f"http://h{i % 11}.org/{i * 7 % 100}", f"<p>{i // 3}</p>") for i in range(600)] + [(None, None, None), (5, "http://h5.org/x", "<p>1</p>")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(4)
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 3000)
+    monkeypatch.setattr(warc, "RANGE_ENTRIES", 100)
+    want = warc.capture_history(df).collect()
+    monkeypatch.setattr(warc, "FAN_IN", 4)
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", 0)
+    rows = warc.capture_history(df).collect()
+    columns = ("page_id", "payload_digest", "record_type", "refers_to", "urlkey", "ts")
+    assert sorted((tuple(r[c] for c in columns) for r in rows), key=repr) == sorted((tuple(r[c] for c in columns) for r in want), key=repr)
+    placed = [(r.urlkey, r.ts, r.page_id is not None, r.page_id or 0) for r in sorted(rows, key=lambda r: (r.key_range, r.place))]
+    assert placed == sorted(placed)
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.capture_history(df).count() == 0
