@@ -1,15 +1,18 @@
 """Toxicity: noisy-channel restoration of disguised words, then a lexical score.
 
-Restoration.  A span that looks disguised (digits or symbols inside a word, single
-letters with separators between them, a letter three times in a row) is a character
-lattice: each observed character may stand for itself, for letters that it looks like,
-for nothing if it separates, or for a repetition.  Viterbi decoding finds the most
-probable intended letters under a character trigram model with the channel's costs.
+Restoration.  A span that may be disguised (digits, symbols, letters of other scripts or
+characters without width inside a word, single letters with separators between them, a
+letter three times in a row, or twice where the character model finds once more likely) is
+a character lattice: each observed character may stand for itself, for letters that it
+looks like, for nothing if it separates, or for a repetition.  Viterbi decoding finds the
+most probable intended letters under a character trigram model with the channel's costs.
 The restored words are added to the text's own ones.
 
 Score.  Words and their first 4 to 6 bytes are features.  The evidence of a feature is
-the log-odds of its shrunken precision on labelled texts; a text's evidence is that of
-its strongest feature, and two-fold cross-fitting calibrates it to a probability.
+the log-odds of its shrunken precision on labelled texts.  A text's evidence adds up that
+of its different features, the strongest whole and each further one shrunk by ``SHARE``
+again, as features of one text say much the same; two-fold cross-fitting calibrates it to
+a probability.
 
 Trigrams are counted over all documents.  The lexicon learns from at most ``TRAIN_ROWS``
 labelled texts of any length, those with the smallest hashes of their ids; a histogram of
@@ -41,20 +44,31 @@ SLICE_BYTES = 2 << 20
 _SHRINK = 4.0
 _LEAST_TEXTS = 3
 LEAST_GAIN = 10.0
+#: Weight of a text's second strongest feature; of the third its square, and so on.
+SHARE = 0.25
+#: By how much one letter must be likelier than the two that stand there.
+DOUBLED_GAIN = 2.0
 
 # Letters that a character may stand for.
 LOOKS_LIKE = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "il", "|": "li", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "*": "aeiou",
+    "а": "a", "в": "b", "е": "e", "и": "u", "і": "i", "ј": "j", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "с": "c", "ѕ": "s", "т": "t", "у": "y", "х": "x",
+    "α": "a", "β": "b", "ε": "e", "η": "n", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x",
 }
+# Characters without width.
+_NO_WIDTH = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
 _SEPARATORS = " .-_*~'"
-_SYMBOLS = re.escape("".join(c for c in LOOKS_LIKE if not c.isdigit()))
+_OTHER_SCRIPT = "".join(c for c in LOOKS_LIKE if c.isalpha())
+_SYMBOLS = re.escape("".join(c for c in LOOKS_LIKE if not c.isalnum())) + _OTHER_SCRIPT + _OTHER_SCRIPT.upper() + _NO_WIDTH
 
 _MARK = rf"[0-9{_SYMBOLS}]"
 _TOKEN = re.compile(rf"[A-Za-z0-9{_SYMBOLS}]{{3,}}")
 _BEFORE, _AFTER = frozenset("\"'([,;:"), frozenset("\"')].,;:?")
 _HAS_LETTER, _HAS_MARK, _SPACE = re.compile("[A-Za-z]"), re.compile(_MARK), re.compile(r"\s")
-_SPACED = re.compile(rf"(?<!\S)[A-Za-z0-9{_SYMBOLS}](?:[ .\-_*~][A-Za-z0-9{_SYMBOLS}]){{3,}}(?![^\s.,;:!?])")
+_ONE = rf"[A-Za-z0-9{_SYMBOLS}]"
+_SPACED = re.compile(rf"(?<!\S){_ONE}(?:[ .\-_*~]{{1,3}}{_ONE}){{2,}}(?![^\s.,;:!?])")
+_GAP = re.compile(rf"(?<={_ONE})([ .\-_*~])[ .\-_*~]*(?={_ONE})")
 # From a run's first letter on, so that a run is gone through once.
 _REPEATED = re.compile(r"(?<![A-Za-z])[A-Za-z]*([A-Za-z])\1\1[A-Za-z]*")
 _LONG_REPEAT = re.compile(r"([a-z])\1{3,}")
@@ -144,7 +158,7 @@ class Channel:
             choices = [(c, _SAME)] if c in _LETTERS else []
             separates = phrase and i % 2 == 1
             if not separates:
-                choices += [(x, _LOOKS - math.log(len(LOOKS_LIKE[c]))) for x in LOOKS_LIKE.get(c, "")]
+                choices += [(x, (_SAME if c in _OTHER_SCRIPT else _LOOKS) - math.log(len(LOOKS_LIKE[c]))) for x in LOOKS_LIKE.get(c, "")]
             inside, between = (_UNLIKELY, _EDGE) if mixed and c == " " else (_NOTHING, _UNLIKELY if mixed else _EDGE)
             for (a, b), (score, letters) in states.items():
                 for x, cost in choices:
@@ -164,24 +178,59 @@ class Channel:
             out.append(x)
         return "".join(reversed(out))
 
-    def restored(self, text: str) -> list[str]:
+    def doubled(self, data: np.ndarray, offsets: np.ndarray | None = None) -> np.ndarray:
+        """Places of letters that stand twice where the model finds one likelier; texts
+        end at ``offsets``."""
+        n = len(data)
+        if n < 2:
+            return np.zeros(0, np.int64)
+        opens = np.zeros(n + 1, bool)
+        opens[[0, n] if offsets is None else offsets] = True
+        code = np.append(_CODE[data], 0)
+        odd = np.append(data > 127, False)
+        at = np.flatnonzero((code[:-2] == code[1:-1]) & (code[:-2] > 0) & ~opens[1:-1])
+        before = np.where(opens[at], 0, code[at - 1])
+        c, after = code[at], np.where(opens[at + 2], 0, code[at + 2])
+        # Three in a row are spans by themselves; words with bytes beyond ASCII are not judged.
+        keep = (before != c) & (after != c) & (opens[at] | ~odd[at - 1]) & (opens[at + 2] | ~odd[at + 2])
+        at, before, c, after = at[keep], before[keep], c[keep], after[keep]
+        gain = _AGAIN - _SAME + self.log[before, c, after] - self.log[before, c, c] - self.log[c, c, after]
+        return at[gain > DOUBLED_GAIN]
+
+    def restored(self, text: str, marks: bool = True) -> list[str]:
         """Words behind the disguised spans of a text, in order of kind.  A spaced span
         gives its letters as one word, with and without those at its ends, and the words
-        that it parts into."""
-        spaced = [m[0] for m in _SPACED.finditer(text)]
+        that it parts into.  ``marks``: whether more than doubled letters may be there."""
+        spaced = [_GAP.sub(r"\1", m[0]) for m in _SPACED.finditer(text)] if marks else []
         # The letter at either end may be a word by itself.
-        ends = [x for s in spaced for x in (s[2:] if s[1] == " " else "", s[:-2] if s[-2] == " " else "") if x]
-        found = [*_mixed(text), *spaced, *ends, *(m[0] for m in _REPEATED.finditer(text))]
+        ends = [x for s in spaced for x in (s[2:] if s[1] == " " else "", s[:-2] if s[-2] == " " else "") if len(x) > 2]
+        found = [*_mixed(text), *spaced, *ends, *(m[0] for m in _REPEATED.finditer(text))] if marks else []
         clean = lambda s: _LONG_REPEAT.sub(r"\1\1\1", s.rstrip("!|+.?").lower())
         words = [self.decode(clean(s)) for s in dict.fromkeys(found)]
         for s in dict.fromkeys(spaced):
             words += self.decode(s.lower(), True).split()
-        return [w for w in words if w]
-
-
+        raw = text.encode()
+        data = np.frombuffer(raw, np.uint8)
+        twice = {}
+        for at in self.doubled(data):
+            start, end = at, at + 2
+            while start and _LETTER[data[start - 1]]:
+                start -= 1
+            while end < len(data) and _LETTER[data[end]]:
+                end += 1
+            if end - start <= _KEPT_CHARS:
+                twice[raw[start:end].decode().lower()] = None
+        return [w for w in [*words, *map(self.decode, twice)] if w]
+
+
+_CODE = np.zeros(256, np.int64)
+_CODE[[ord(c) for c in _LETTERS]] = _CODE[[ord(c) for c in _LETTERS.upper()]] = np.arange(1, 27)
 _DIGIT_OR_SYMBOL = np.zeros(256, bool)
 _DIGIT_OR_SYMBOL[[ord(c) for c in LOOKS_LIKE if ord(c) < 128]] = True
 _LETTER = np.array([chr(b).isalpha() and b < 128 for b in range(256)])
+#: First bytes of Greek and Cyrillic letters.
+_OTHER_LEAD = np.zeros(256, bool)
+_OTHER_LEAD[[0xCE, 0xCF, 0xD0, 0xD1]] = True
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[ord(c) for c in _SEPARATORS]] = True
 
@@ -195,23 +244,36 @@ def suspicious(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     any_ = np.zeros(len(data), bool)
     any_[:-1] |= (letter[:-1] & mark[1:]) | (mark[:-1] & letter[1:])
     any_[:-2] |= letter[:-2] & (data[:-2] | 32 == data[1:-1] | 32) & (data[:-2] | 32 == data[2:] | 32)
-    one = letter | mark
-    if len(data) > 4:
-        any_[:-4] |= one[:-4] & _SEPARATOR[data[1:-3]] & one[2:-2] & _SEPARATOR[data[3:-1]] & one[4:]
-    # The euro and pound signs have bytes beyond ASCII.
-    any_ |= (data == 0xE2) | (data == 0xC2)
+    # Single letters with one to three separators between two of them; bytes of a letter
+    # of another script may be among them.
+    one, gap = letter | mark | (data > 127), _SEPARATOR[data]
+    for n in (1, 2, 3):
+        if len(data) > n + 1:
+            apart = gap[1 : len(data) - n]
+            for k in range(1, n):
+                apart = apart & gap[1 + k : len(data) - n + k]
+            opens = np.concatenate([[True], ~one[: len(data) - n - 2]])
+            any_[: -n - 1] |= one[: -n - 1] & opens & apart & one[n + 1 :]
+    # Signs of money and characters without width have bytes beyond ASCII; letters of other
+    # scripts count next to those of ours.
+    any_ |= (data == 0xE2) | (data == 0xC2) | (data == 0xEF)
+    lead = _OTHER_LEAD[data]
+    any_[:-1] |= letter[:-1] & lead[1:]
+    any_[:-2] |= lead[:-2] & letter[2:]
     return np.add.reduceat(np.append(any_, False).astype(np.int64), np.minimum(offsets[:-1], len(data))) * (offsets[1:] > offsets[:-1]) > 0
 
 
 def with_restored(data: np.ndarray, offsets: np.ndarray, channel: Channel) -> tuple[np.ndarray, np.ndarray]:
     """The texts, each with its restored words after it."""
-    rows = np.flatnonzero(suspicious(data, offsets))
+    marked = suspicious(data, offsets)
+    twice = np.searchsorted(offsets, channel.doubled(data, offsets), "right") - 1
+    rows = np.union1d(np.flatnonzero(marked), twice)
     if not len(rows):
         return data, offsets
     raw = data.tobytes()
     parts, size, at = [], np.diff(offsets), 0
     for r in rows:
-        words = channel.restored(raw[offsets[r] : offsets[r + 1]].decode())
+        words = channel.restored(raw[offsets[r] : offsets[r + 1]].decode(), bool(marked[r]))
         if words:
             extra = (" " + " ".join(words)).encode()
             parts += [raw[at : offsets[r + 1]], extra]
@@ -242,20 +304,29 @@ class Model:
     scale: float
     shift: float
 
-    def strongest(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        best = np.full(len(offsets) - 1, self.none)
-        if len(self.hashes):
-            slots = np.zeros(1 << 16, bool)
-            slots[(self.hashes >> np.uint64(48)).astype(np.int64)] = True
-            for row, h in features(data, offsets):
-                maybe = np.flatnonzero(slots[(h >> np.uint64(48)).astype(np.int64)])
-                at = np.minimum(np.searchsorted(self.hashes, h[maybe]), len(self.hashes) - 1)
-                hit = self.hashes[at] == h[maybe]
-                np.maximum.at(best, row[maybe[hit]], self.evidence[at[hit]])
-        return best
+    def total(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """The evidence of each text: that of its different features, in order of
+        strength, each shrunk once more than the one before."""
+        x = np.full(len(offsets) - 1, self.none)
+        if not len(self.hashes):
+            return x
+        slots = np.zeros(1 << 16, bool)
+        slots[(self.hashes >> np.uint64(48)).astype(np.int64)] = True
+        found = []
+        for row, h in features(data, offsets):
+            maybe = np.flatnonzero(slots[(h >> np.uint64(48)).astype(np.int64)])
+            at = np.minimum(np.searchsorted(self.hashes, h[maybe]), len(self.hashes) - 1)
+            hit = self.hashes[at] == h[maybe]
+            found.append(np.unique(row[maybe[hit]] * len(self.hashes) + at[hit]))
+        row, at = np.divmod(np.unique(np.concatenate(found)), len(self.hashes))
+        order = np.lexsort((-self.evidence[at], row))
+        row, e = row[order], self.evidence[at[order]]
+        rank = np.arange(len(row)) - np.searchsorted(row, row)
+        np.add.at(x, row, (e - self.none) * SHARE**rank)
+        return x
 
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-(self.scale * self.strongest(data, offsets) + self.shift)))
+        return 1 / (1 + np.exp(-(self.scale * self.total(data, offsets) + self.shift)))
 
 
 def feature_counts(data: np.ndarray, offsets: np.ndarray, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -327,7 +398,7 @@ def learn(data: np.ndarray, offsets: np.ndarray, toxic: np.ndarray) -> Model:
     x = np.zeros(len(toxic))
     for half in (0, 1):
         mine = cell // 2 == half
-        x[mine] = lexicon(h, n, totals, _HALVES[1 - half], chars).strongest(data, offsets)[mine]
+        x[mine] = lexicon(h, n, totals, _HALVES[1 - half], chars).total(data, offsets)[mine]
     return _calibrated(lexicon(h, n, totals, _ALL, chars), x, toxic)
 
 
@@ -430,7 +501,7 @@ def fit(documents: DataFrame, labels: DataFrame) -> Model:
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cell, data, offsets in slices(batches):
-            x = np.where(cell < 2, *(m.strongest(data, offsets) for m in halves.value))
+            x = np.where(cell < 2, *(m.total(data, offsets) for m in halves.value))
             yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(x)], ["cell", "x"])
 
     # A number for each training text.

@@ -36,7 +36,7 @@ def scores(model, texts):
     return model.score(*tox.with_restored(data, offsets, tox.Channel(tox.CharModel(model.chars))))
 
 
-DISGUISED = ["1d10t", "i d i o t", "i.d.i.0.t", "idiooooot", "IDIOT!", "m0r0n", "$tup1d", "st*pid", "w0rthl3ss", "m-o-r-o-n"]
+DISGUISED = ["idiiot", "i\u200bdi\u200bot", "idi\u00adot", "id\u0456ot", "\u043coron", "m\u03bfron", "i  d  i  o  t", "i..d..i..o..t", "i   d i   o t", "1d10t", "i d i o t", "i.d.i.0.t", "idiooooot", "IDIOT!", "m0r0n", "$tup1d", "st*pid", "w0rthl3ss", "m-o-r-o-n"]
 
 
 @pytest.mark.parametrize("word", DISGUISED)
@@ -45,6 +45,22 @@ def test_disguised_words_are_restored(model, word):
     assert bad >= tox.THRESHOLD > good
 
 
+def test_short_spans_and_doubled_letters_are_restored():
+    rng = random.Random(6)
+    words = [w for w in CLEAN + ["ass", "bad", "duck", "luck"] for _ in range(20)]
+    text = " ".join(rng.sample(words, len(words))).encode()
+    channel = tox.Channel(tox.CharModel(tox.CharModel.count(np.frombuffer(text, np.uint8))))
+    for seen, want in [("a s s", "ass"), ("b  a  d", "bad"), ("b-a-d", "bad"), ("duuck", "duck"), ("LUUCK", "luck"), ("b\u0430d", "bad"), ("du\u200bck", "duck"), ("8ad", "bad")]:
+        assert want in channel.restored(f"it is {seen} they say"), seen
+        data, offsets = text_buffers(pa.array([f"it is {seen} they say", "it is quiet they say"], pa.large_string()))
+        d, o = tox.with_restored(data, offsets, channel)
+        assert d[o[0] : o[1]].tobytes().decode().split()[-1] == want or want in d[o[0] : o[1]].tobytes().decode().split()
+        assert d[o[1] : o[2]].tobytes() == b"it is quiet they say"
+    # Natural double letters stay.
+    for word in ("weather", "ass", "moved"):
+        assert channel.restored(f"it is {word} they say") == []
+
+
 LONG = ["idi" + "o" * 60 + "t", "m0r" + "0" * 30 + "n", "a i-d-i-o-t", "y i d i o t", "a i d i o t", "i d i o t y", "stupid" + "d" * 50, " ".join("people talked about stupid weather".replace(" ", "")), ".".join("peopletalkedaboutworthlessmusic")]
 
 
@@ -147,7 +163,7 @@ def test_scores_match_brute_force(spark):
             gain = a * math.log(a / (a + b) / prior) + (b * math.log(b / (a + b) / (1 - prior)) if b else 0)
             if a >= 3 and gain > 10 and math.log(p / (1 - p)) > none + 0.5:
                 out[f] = math.log(p / (1 - p))
-        return lambda text_features: max([none, *(out[f] for f in text_features if f in out)])
+        return lambda text_features: none + sum((e - none) * tox.SHARE**k for k, e in enumerate(sorted((out[f] for f in text_features if f in out), reverse=True)))
 
     halves = [evidence([i for i in rank if rank[i] % 2 == half]) for half in (0, 1)]
     x = np.array([halves[1 - rank[i] % 2](of[i]) for i in rank])
