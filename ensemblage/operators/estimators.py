@@ -3,6 +3,9 @@ targets, scores and rates of birth-death resampling."""
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,42 +20,68 @@ def jarzynski(work: DataFrame, keys: list[str], w: str, beta: float) -> DataFram
     return df.groupBy(*keys).agg((F.max("_least") - F.log(F.avg(F.exp(-beta * (F.col(w) - F.col("_least"))))) / beta).alias("delta_f"), F.count("*").alias("n"))
 
 
+def _log_weights(x: str, centers: list[float], stiffness: float, beta: float, logs: list[float | None]) -> Column:
+    """Array over the restraints of log n_k + f_k - beta u_k(x), null where n_k is 0."""
+    each = F.array(*[F.struct(F.lit(float(c)).alias("c"), F.lit(None if g is None else float(g)).cast("double").alias("g")) for c, g in zip(centers, logs)])
+    return F.transform(each, lambda k: k["g"] - beta * stiffness / 2 * (F.col(x) - k["c"]) * (F.col(x) - k["c"]))
+
+
+def _log_sum(terms: Column) -> Column:
+    most = F.array_max(terms)
+    return most + F.log(F.aggregate(terms, F.lit(0.0), lambda t, v: t + F.coalesce(F.exp(v - most), F.lit(0.0))))
+
+
+def _mixed(history: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Anderson's mixture of the last iterates and what a round made of them."""
+    f, g = history[-1]
+    if len(history) < 2:
+        return g
+    residual = g - f
+    steps = np.stack([(b - a) - residual for a, b in history[:-1]], 1)
+    weights, *_ = np.linalg.lstsq(steps, -residual, rcond=1e-10)
+    moved = g + np.stack([b - g for _, b in history[:-1]], 1) @ weights
+    # Far from the solution a mixture may leave it; then the plain round counts.
+    return moved if np.isfinite(moved).all() and np.abs(moved - g).max() < 10 * np.abs(residual).max() + 1e-12 else g
+
+
 def mbar(samples: DataFrame, centers: list[float], x: str, home: str, stiffness: float, beta: float, rounds: int = 20, tolerance: float | None = None) -> list[float]:
     """Weights z of harmonic restraints by self-consistent iteration, z[K/2] = 1.
 
-    z_k = sum_n exp(-beta u_k(x_n)) / sum_l N_l exp(-beta u_l(x_n)) / z_l.  A round is
-    one pass over the samples with K sums; K numbers come back.  Fixed ``rounds``, or
-    until the largest relative change is within ``tolerance``.  The two columns are kept
+    z_k = sum_n exp(-beta u_k(x_n)) / sum_l N_l exp(-beta u_l(x_n)) / z_l, with f = -log z.
+    Everything is in logarithms: a sample's restraints are one array, its denominator a
+    log-sum of it, and what is added up for each k is a probability, so that nothing
+    underflows far from all centers.  A round is one aggregate with K sums, and K numbers
+    come back; rounds are mixed by Anderson's method.  At most ``rounds``, or until a round
+    changes no weight by more than ``tolerance`` (relative).  The two columns are kept
     through the rounds."""
     samples = samples.select(x, home).persist()
     counts = {r[0]: r[1] for r in samples.groupBy(home).count().collect()}
     n = [counts.get(k, 0) for k in range(len(centers))]
-
-    def bias(k: int) -> Column:
-        d = F.col(x) - centers[k]
-        return F.exp(-beta * stiffness / 2 * d * d)
-
-    z = [1.0] * len(centers)
+    at = lambda f: _log_weights(x, centers, stiffness, beta, f)
+    f, history = np.zeros(len(centers)), []
     for _ in range(rounds):
-        below = sum((n[k] / z[k] * bias(k) for k in range(1, len(z))), n[0] / z[0] * bias(0))
-        row = samples.withColumn("_b", below).agg(*[F.sum(bias(k) / F.col("_b")).alias(f"z{k}") for k in range(len(z))]).first()
-        new = [v / row[len(z) // 2] for v in row]
-        change = max(abs(a - b) / max(abs(a), EPS) for a, b in zip(new, z))
-        z = new
+        rows = samples.select(at(list(f)).alias("_u"), _log_sum(at([math.log(m) + v if m else None for m, v in zip(n, f)])).alias("_l"))
+        row = rows.agg(*[F.sum(F.exp(F.get("_u", F.lit(k)) - F.col("_l"))).alias(f"s{k}") for k in range(len(centers))]).first()
+        new = f - np.log(np.array([max(v or 0.0, 1e-300) for v in row]))
+        new -= new[len(centers) // 2]
+        change = np.abs(np.expm1(f - new)).max()
         if tolerance is not None and change <= tolerance:
+            f = new
             break
+        history = [*history[-4:], (f, new)]
+        f = _mixed(history)
     samples.unpersist()
-    return z
+    return [float(v) for v in np.exp(-(f - f[len(centers) // 2]))]
 
 
 def mbar_profile(samples: DataFrame, centers: list[float], z: list[float], x: str, home: str, stiffness: float, beta: float, bin_of: Column) -> DataFrame:
-    """Unbiased probability of each bin from the samples' MBAR weights."""
+    """Unbiased probability of each bin from the samples' MBAR weights, in logarithms."""
     counts = {r[0]: r[1] for r in samples.groupBy(home).count().collect()}
-    below = F.lit(0.0)
-    for k, c in enumerate(centers):
-        d = F.col(x) - c
-        below = below + counts.get(k, 0) / z[k] * F.exp(-beta * stiffness / 2 * d * d)
-    sums = samples.withColumn("_w", 1 / below).groupBy(bin_of.alias("bin")).agg(F.sum("_w").alias("_w"))
+    logs = [math.log(counts[k]) - math.log(v) if counts.get(k) else None for k, v in enumerate(z)]
+    weighed = samples.select(bin_of.alias("bin"), (-_log_sum(_log_weights(x, centers, stiffness, beta, logs))).alias("_w"))
+    # The largest weight is taken out before exponentials are added up.
+    top = weighed.agg(F.max("_w").alias("_top"))
+    sums = weighed.crossJoin(F.broadcast(top)).groupBy("bin").agg(F.sum(F.exp(F.col("_w") - F.col("_top"))).alias("_w"))
     total = sums.agg(F.sum("_w").alias("_t"))
     return sums.crossJoin(F.broadcast(total)).select("bin", (F.col("_w") / F.col("_t")).alias("p"), (-F.log(F.col("_w") / F.col("_t")) / beta).alias("pmf"))
 
