@@ -212,19 +212,24 @@ def _class(s: np.ndarray) -> bytes:
     return hashlib.md5(s.tobytes()).digest()
 
 
-_PROFILE = "doc_id long, key long, n_shingles long, cls binary, sketch binary, " + ", ".join(f"{f} long" for f in _SHORT)
+_PROFILE = "doc_id long, key long, n_shingles long, cls binary, sketch binary, " + ", ".join(f"{f} long" for f in _SHORT) + ", hi long, lo long, regions array<long>"
 _SEEN = 2_000_000
 
+#: Sets and the join, to (set, region) pairs; linked sets must have a region in common.
+Regions = Callable[[list[np.ndarray], Join], tuple[np.ndarray, np.ndarray]]
+
 
-def profiles(documents: DataFrame, join: Join) -> DataFrame:
+def profiles(documents: DataFrame, join: Join, regions: Regions = regions_of) -> DataFrame:
     """Per document its set's size and class (null if empty), and for the first one of
-    a class in each partition its parity sketches."""
+    a class in each partition its parity sketches, and its regions if a set that differs
+    can link.  Texts are cut into words once for all of these."""
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
         for batch, sets in _sets(batches, join):
-            cls, sketches = [], []
+            cls, sketches, first = [], [], []
             short = np.zeros((len(sets), SHORT), np.int64)
+            halves = np.zeros((len(sets), 2), np.int64)
             for at, s in enumerate(sets):
                 c = _class(s) if len(s) else None
                 cls.append(c)
@@ -234,8 +239,16 @@ def profiles(documents: DataFrame, join: Join) -> DataFrame:
                 seen.add(c)
                 sketches.append(parity(s))
                 short[at] = short_parity(s)
+                if join.differ(len(s)):
+                    halves[at] = np.frombuffer(c, ">i8")
+                    first.append(at)
             if len(seen) > _SEEN:
                 seen.clear()
+            which, region = regions([sets[at] for at in first], join)
+            owner = np.array(first, np.int64)[which]
+            order = np.argsort(owner, kind="stable")
+            ends = np.searchsorted(owner[order], np.arange(len(sets) + 1)).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(region[order].view(np.int64)))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
@@ -244,8 +257,10 @@ def profiles(documents: DataFrame, join: Join) -> DataFrame:
                     pa.array(cls, pa.binary()),
                     pa.array(sketches, pa.binary()),
                     *[pa.array(np.ascontiguousarray(short[:, k])) for k in range(SHORT)],
+                    *[pa.array(np.ascontiguousarray(halves[:, k])) for k in (0, 1)],
+                    lists,
                 ],
-                ["doc_id", "key", "n_shingles", "cls", "sketch", *_SHORT],
+                ["doc_id", "key", "n_shingles", "cls", "sketch", *_SHORT, "hi", "lo", "regions"],
             )
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text").mapInArrow(profile, _PROFILE)
@@ -259,31 +274,12 @@ def _binary(hi: np.ndarray, lo: np.ndarray) -> pa.Array:
     return pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(hi), [None, pa.py_buffer(both.tobytes())]).cast(pa.binary())
 
 
-#: Sets and the join, to (set, region) pairs; linked sets must have a region in common.
-Regions = Callable[[list[np.ndarray], Join], tuple[np.ndarray, np.ndarray]]
-
-
-def members(documents: DataFrame, join: Join, regions: Regions = regions_of) -> DataFrame:
+def members(profile: DataFrame) -> DataFrame:
     """(s, cls, pivot): the sets of all regions that have two of them or more, with the
     region's pivot, which is its first set.
 
     A region's rows arrive in order, and nothing is kept of it but one row."""
 
-    def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = set()
-        for _, sets in _sets(batches, join):
-            own, digests = [], []
-            for s in sets:
-                if join.differ(len(s)) and (c := _class(s)) not in seen:
-                    seen.add(c)
-                    own.append(s)
-                    digests.append(c)
-            if len(seen) > _SEEN:
-                seen.clear()
-            which, region = regions(own, join)
-            halves = np.frombuffer(b"".join(digests), ">i8").astype(np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(region.view(np.int64)), pa.array(halves[which, 0]), pa.array(halves[which, 1])], ["s", "hi", "lo"])
-
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # The last row so far with its region's pivot, and whether others were there.
         tail, company = None, False
@@ -313,7 +309,7 @@ def members(documents: DataFrame, join: Join, regions: Regions = regions_of) ->
         if tail is not None and company:
             yield pa.RecordBatch.from_arrays([pa.array(tail[:1]), _binary(tail[1:2], tail[2:3]), _binary(tail[3:4], tail[4:])], ["s", "cls", "pivot"])
 
-    rows = documents.select("text").mapInArrow(replicate, "s long, hi long, lo long")
+    rows = profile.select(F.explode("regions").alias("s"), "hi", "lo")
     return rows.repartition("s").sortWithinPartitions("s", "hi", "lo").mapInArrow(stream, "s long, cls binary, pivot binary")
 
 
@@ -524,8 +520,8 @@ def class_groups(documents: DataFrame, join: Join = Join(), regions: Regions = r
     """Profiles of all documents (doc_id, key, n_shingles, cls), and the components
     (node, component) of the classes that have links within ``regions``."""
     documents = documents.select("doc_id", "text")
-    profile = materialize(profiles(documents, join), "join-profiles")
-    found = materialize(members(documents, join, regions), "join-members")
+    profile = materialize(profiles(documents, join, regions), "join-profiles")
+    found = materialize(members(profile), "join-members")
     known = found.select("cls").distinct()
     reps = profile.where("sketch is not null").join(known, "cls").select("cls", "n_shingles", "sketch", *_SHORT, F.coalesce("doc_id", F.lit(_LOWEST)).alias("id"), "key")
     reps = materialize(reps.dropDuplicates(["cls"]), "join-classes")
