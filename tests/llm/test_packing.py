@@ -104,6 +104,26 @@ def test_shards_match_brute_force(spark, seed):
     assert abs(len(got) - len(want)) <= 1
 
 
+@pytest.mark.parametrize("seed", [3, 4, 5])
+def test_every_piece_goes_to_the_tightest_compatible_bin(seed):
+    """With sources and clusters in common: the choice is replayed piece by piece."""
+    rng = random.Random(seed)
+    pieces = [(rng.choice([0, 3, 17, 40, 63, 64, rng.randrange(65)]), f"s{rng.randrange(7)}", f"c{rng.randrange(40)}") for _ in range(600)]
+    pieces.sort(key=lambda p: -p[0])
+    left, sources, clusters = {}, {}, {}
+    for (n, source, cluster), b in zip(pieces, packing.pack(pieces, 64)):
+        fits = {k: r for k, r in left.items() if r >= n and r > 0 and source not in sources[k] and cluster not in clusters[k]}
+        if b in left:
+            assert fits[b] == min(fits.values())
+        else:
+            assert not fits
+            left[b], sources[b], clusters[b] = 64, set(), set()
+        left[b] -= n
+        sources[b].add(source)
+        clusters[b].add(cluster)
+    assert len(left) > 20
+
+
 def test_rows_of_one_id_are_dealt_apart(spark, monkeypatch):
     monkeypatch.setattr(packing, "SHARD_DOCUMENTS", 50)
     df = spark.createDataFrame([(7, f"text number {i} " * (i % 9), f"s{i % 4}") for i in range(1000)], "doc_id long, text string, source string")
