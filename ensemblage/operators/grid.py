@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .gauss import moments, sums_at
 from .intervals import within
+from .scan import decayed_last
 
 EPS = 1e-12
 
@@ -255,9 +256,7 @@ def ema_profiles(df: DataFrame, run: list[str], step: str, node: str, y: str, al
     """Moving average of profiles over their steps, from the first one on; ``at``: with
     the value 0 at the node nearest to it.  Taking a constant out at every step shifts
     the average by a constant, so it is taken out once."""
-    folded = df.groupBy(*run, node).agg(F.array_sort(F.collect_list(F.struct(F.col(step).alias("s"), F.col(y).cast("double").alias("v")))).alias("a"))
-    value = F.aggregate("a", F.col("a")[0]["v"], lambda t, p: t * (1 - alpha) + alpha * p["v"])
-    folded = folded.select(*run, node, value.alias(out))
+    folded = decayed_last(df, [*run, node], [step], y, 1 - alpha, None, out).drop("n")
     return folded if at is None else gauge_fix(folded, run, node, out, at)
 
 

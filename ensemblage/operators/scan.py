@@ -73,10 +73,16 @@ def cumulative_trapezoid(df: DataFrame, run: list[str], x: str, y: str, out: str
     return running_sums(pairs, run, [x], {out: piece}, blocks).drop("_x", "_y")
 
 
+def _positive(keep: float) -> float:
+    """A rate of 0 would have no powers; this one is lost in a double's digits."""
+    return max(keep, 1e-17)
+
+
 def _links(rows: DataFrame, run: list[str], order: list[str], value: str, keep: float) -> tuple[DataFrame, DataFrame]:
     """Rows with their place ``_i`` in a link, and a link's map: ``n`` rows and ``b``.
 
     Links are parts of a block so short that powers of ``keep`` stay far from overflow."""
+    keep = _positive(keep)
     most = max(1, int(200 / -math.log(keep))) if keep < 1 else 1 << 30
     place = F.row_number().over(_within(run, order)) - 1
     rows = rows.withColumn("_place", place).withColumn("_link", F.floor(F.col("_place") / most).cast("long")).withColumn("_i", F.col("_place") % most)
@@ -87,6 +93,7 @@ def _links(rows: DataFrame, run: list[str], order: list[str], value: str, keep:
 
 def _block_maps(links: DataFrame, run: list[str], keep: float) -> DataFrame:
     """A block's map t -> a t + b, from those of its links in order."""
+    keep = _positive(keep)
     ordered = F.array_sort(F.collect_list(F.struct("_link", "n", "b")))
     return links.groupBy(*run, "_block").agg(F.sum("n").alias("n"), ordered.alias("_o")).select(*run, "_block", "n", F.pow(F.lit(keep), F.col("n")).alias("a"), F.aggregate("_o", F.lit(0.0), lambda t, m: t * F.pow(F.lit(keep), m["n"]) + m["b"]).alias("b"))
 
@@ -109,6 +116,7 @@ def decayed_last(df: DataFrame, run: list[str], order: list[str], value: str, ke
 def decayed(df: DataFrame, run: list[str], order: list[str], value: str, keep: float, start: float = 0.0, out: str = "ema", blocks: int | None = None) -> DataFrame:
     """The rows with t = keep t + (1 - keep) v after each of them."""
     rows = in_blocks(df.withColumn("_w", F.col(value).cast("double") * (1 - keep)), run, order, blocks)
+    keep = _positive(keep)
     rows, links = _links(rows, run, order, "_w", keep)
     links = kept(links)
     # A block's entry from the blocks before it, then a link's from the links before it.

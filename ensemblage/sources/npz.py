@@ -32,7 +32,8 @@ def _groups(pattern: str) -> list[str]:
 
 
 def _open(path: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
+    local = path.startswith(("/", "file:"))
+    return (pafs.LocalFileSystem(), re.sub("^file:/*", "/", path)) if local else pafs.FileSystem.from_uri(path)
 
 
 @dataclass

@@ -149,7 +149,7 @@ def test_scans_of_runs_over_blocks(walk, blocks):
             assert (before[g, k].pk, before[g, k].p) == ((run[at - 1][0], run[at - 1][1]) if at else (None, None))
 
 
-@pytest.mark.parametrize("keep", [0.9, 0.5, 0.9999, 1e-6])
+@pytest.mark.parametrize("keep", [0.9, 0.5, 0.9999, 1e-6, 0.0])
 def test_moving_averages_over_blocks(walk, keep):
     rows, df = walk
     df = df.where("v is not null")
