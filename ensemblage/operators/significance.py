@@ -2,13 +2,14 @@
 
 A comparison may have any number of pairs: ranks come from counts of distinct values,
 the exact law of the signed-rank sum from an array that grows rank by rank, and a
-bootstrap from draws that every row makes by itself, whose medians are found by the
-distributed selection of ``quantiles``.  Python is used for Student's law alone, on one
+bootstrap from draws that every row makes by itself, whose medians are found by counts of
+the ranks drawn near the middle.  Python is used for Student's law alone, on one
 row for each comparison."""
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -17,12 +18,15 @@ from pyspark.sql import types as T
 
 from ..functions import finite
 from . import scan
-from .quantiles import order_statistics, same
+from .quantiles import same
 
 #: Pairs up to which the law of the signed-rank sum is exact, if no two sizes tie.
 EXACT_UP_TO = 50
 #: Fixed values of the draws: a prime, and the factors of row, resample and seed.
 PRIME, OF_ROW, OF_RESAMPLE, OF_SEED = 2147483647, 1664525013, 1013904243, 69069131
+#: Distance from the middle, in roots of n, within which ranks drawn are counted one by one;
+#: a resample's median has a deviation of half a root.
+REACH = 4.0
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
@@ -130,22 +134,42 @@ def draw(row: Column, resample: Column, seed: int, n: Column) -> Column:
     return F.rint((z - z % PRIME) / PRIME).cast("long")
 
 
-def bootstrap_medians(values: DataFrame, keys: list[str], value: str, resamples: int = 2000, seed: int = 0, blocks: int | None = None) -> DataFrame:
+def bootstrap_medians(values: DataFrame, keys: list[str], value: str, resamples: int = 2000, seed: int = 0, blocks: int | None = None, reach: float = REACH) -> DataFrame:
     """(keys, resample, median) of resamples with replacement, over finite values.
 
     Every row draws once in each resample, by a function of seed, resample and its rank,
     so the multiplicities of all rows are those of a bootstrap and the same whenever a
     task runs again.  A resample's median is one or two order statistics of the ranks
-    drawn; draws are counted where they are made and not kept."""
+    drawn.  These stand near n/2, so in one pass draws are counted where they are made: by
+    rank within ``reach`` sqrt(n) of the middle, in one number on either side.  Resamples
+    whose median stands farther off are drawn again with eight times the reach."""
     rows = values.where(finite(F.col(value).cast("double"))).select(*keys, F.col(value).cast("double").alias("_v"))
     rows = scan.ranked(rows, keys, ["_v"], "_rank", blocks)
     rows = scan.kept(rows)
     size = rows.groupBy(*keys).agg(F.max("_rank").alias("_n"))
-    each = same(rows.select(*keys, "_rank"), size, keys).withColumn("resample", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(resamples - 1).cast("long"))))
-    drawn = each.select(*keys, "resample", draw(F.col("_rank"), F.col("resample"), seed, F.col("_n")).alias("_drawn"))
-    middle = order_statistics(drawn, [*keys, "resample"], ["_drawn"], [0.5])
-    middle = middle.select(*keys, "resample", (F.col("value").cast("long") + 1).alias("_rank"))
-    return same(middle, rows, [*keys, "_rank"]).groupBy(*keys, "resample").agg(F.avg("_v").alias("median"))
+    session = rows.sparkSession
+    # The rows are few for what is made of them, so that their number of tasks is set.
+    tasks = max(int(session.conf.get("spark.sql.shuffle.partitions")), session.sparkContext.defaultParallelism)
+    each = same(rows.select(*keys, "_rank"), size, keys).repartition(tasks, "_rank")
+    asked = each.withColumn("resample", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(resamples - 1).cast("long"))))
+    group, found = [*keys, "resample"], []
+    while True:
+        drawn = asked.select(*group, "_n", draw(F.col("_rank"), F.col("resample"), seed, F.col("_n")).alias("_drawn"))
+        far = F.lit(float(reach)) * F.sqrt(F.col("_n").cast("double")) + 1
+        at = F.when(F.col("_drawn") < F.col("_n") / 2 - far, -1).when(F.col("_drawn") > F.col("_n") / 2 + far, F.col("_n")).otherwise(F.col("_drawn"))
+        counts = drawn.groupBy(*group, "_n", at.alias("_at")).agg(F.count("*").alias("c"))
+        upto = Window.partitionBy(*group).orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+        ends = counts.withColumn("_end", F.sum("c").over(upto)).withColumn("_inside", (F.col("_at") >= 0) & (F.col("_at") < F.col("_n")))
+        # The places are (n - 1) // 2 and n // 2, from 0.
+        place = lambda p: F.max(F.when(F.col("_inside") & (F.col("_end") - F.col("c") <= p) & (p < F.col("_end")), F.col("_at")))
+        middle = scan.kept(ends.groupBy(*group).agg(place(F.floor((F.col("_n") - 1) / 2)).alias("_low"), place(F.floor(F.col("_n") / 2)).alias("_high")))
+        found.append(middle.where("_low is not null and _high is not null"))
+        missed = middle.where("_low is null or _high is null").select(*group)
+        if missed.isEmpty():
+            break
+        asked, reach = same(each, missed, keys) if keys else each.crossJoin(missed), 8 * reach
+    middle = reduce(DataFrame.unionByName, found).select(*group, F.explode(F.array("_low", "_high")).alias("_rank")).withColumn("_rank", F.col("_rank") + 1)
+    return same(middle, rows, [*keys, "_rank"]).groupBy(*group).agg(F.avg("_v").alias("median"))
 
 
 def bootstrap_interval(values: DataFrame, keys: list[str], value: str, resamples: int = 2000, seed: int = 0, level: float = 0.95, blocks: int | None = None) -> DataFrame:

@@ -115,6 +115,18 @@ def test_bootstrap_draws_like_a_bootstrap(spark):
     assert significance.bootstrap_interval(df.where("false"), ["g"], "v", 10).collect() == []
 
 
+@pytest.mark.parametrize("reach", [0.01, 4.0])
+def test_bootstrap_medians_are_those_of_all_draws(spark, reach):
+    p, rng = significance.PRIME, random.Random(6)
+    groups = {g: sorted(rng.gauss(0, 1) for _ in range(n)) for g, n in (("odd", 201), ("even", 60), (None, 3), ("one", 1))}
+    df = spark.createDataFrame([(g, v) for g, x in groups.items() for v in x], "g string, v double")
+    # Medians beyond the reach are found as well.
+    got = {(r.g, r.resample): r.median for r in significance.bootstrap_medians(df, ["g"], "v", 40, seed=5, reach=reach).collect()}
+    draw = lambda k, r, n: pow((pow((k * significance.OF_ROW + r * significance.OF_RESAMPLE + 5 * significance.OF_SEED) % p, 5, p) + r) % p, 5, p) * n // p
+    want = {(g, r): float(np.median([x[draw(k, r, len(x))] for k in range(1, len(x) + 1)])) for g, x in groups.items() for r in range(40)}
+    assert got == want
+
+
 def test_draws_are_spread(spark):
     n = 50
     df = spark.range(1, n + 1).withColumnRenamed("id", "i").withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(1999)).cast("array<bigint>")))
