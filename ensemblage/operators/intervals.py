@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import scan
 from .quantiles import same
 
 #: Cells of a level are numbered exactly up to this power of two.
@@ -48,3 +49,31 @@ def within(points: DataFrame, x: Column, intervals: DataFrame, low: Column, high
     below = F.col("_x") <= F.col("_high") if closed[1] else F.col("_x") < F.col("_high")
     met = same(at, spans, [*keys, "_level", "_cell"])
     return met.where(above & below).drop("_x", "_low", "_high", "_level", "_cell")
+
+
+def counted(points: DataFrame, x: Column, intervals: DataFrame, low: Column, high: Column, closed: tuple[bool, bool] = (True, True), n: str = "n", least: str = "least", blocks: int | None = None) -> DataFrame:
+    """The intervals that hold a point, with the number of points held and the least one.
+
+    What ``within`` would give, counted, without making its pairs: points are summed up
+    along the line, and each interval looks up the sums at its two ends, so that work grows
+    with points and intervals whatever their overlap.  Ends and points are as there."""
+    size = F.abs(low) + F.abs(high)
+    spans = intervals.withColumns({"_low": low.cast("double"), "_high": high.cast("double")}).where((size < float("inf")) & (low <= high))
+    row = F.struct(*intervals.columns)
+    # Intervals that are equal in all columns stay apart by a name; both ends carry it.
+    spans = scan.kept(spans.select(F.monotonically_increasing_id().alias("_i"), row.alias("_row"), "_low", "_high"))
+    at = points.select(x.cast("double").alias("_x")).where("_x is not null and not isnan(_x)").groupBy("_x").agg(F.count("*").alias("_c"))
+    none = F.lit(None).cast("double")
+    # At one place: ends that leave its points out come before them, those that take them
+    # in come after.
+    ends = F.array(F.struct(F.col("_low").alias("_x"), F.lit(0 if closed[0] else 2).alias("_kind"), F.lit(True).alias("_first")), F.struct(F.col("_high").alias("_x"), F.lit(2 if closed[1] else 0).alias("_kind"), F.lit(False).alias("_first")))
+    asked = spans.select("_i", F.explode(ends).alias("_e")).select("_e.*", "_i", F.lit(0).cast("long").alias("_c"), none.alias("_p"))
+    line = at.select("_x", F.lit(1).alias("_kind"), F.lit(None).cast("boolean").alias("_first"), F.lit(None).cast("long").alias("_i"), "_c", F.col("_x").alias("_p")).unionByName(asked)
+    # The sum up to an end is of the points below it; the next point is the last one in
+    # the opposite order.
+    line = line.withColumns({"_back": -F.col("_x"), "_kind_back": -F.col("_kind")})
+    line = scan.running_sums(line, [], ["_x", "_kind"], {"_upto": F.col("_c")}, blocks)
+    line = scan.carried(line, [], ["_back", "_kind_back"], ["_p"], blocks).where("_i is not null")
+    pick = lambda first, c: F.max(F.when(F.col("_first") == first, F.col(c)))
+    found = line.groupBy("_i").agg((pick(False, "_upto") - pick(True, "_upto")).alias(n), pick(True, "_p").alias(least)).where(F.col(n) > 0)
+    return spans.join(found, "_i").select("_row.*", n, least)

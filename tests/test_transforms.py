@@ -53,6 +53,25 @@ def test_interval_join_of_mixed_widths(spark, closed):
     assert intervals.within(p, F.col("x"), s.where("false"), F.col("low"), F.col("high"), ["g"], closed).collect() == []
 
 
+@pytest.mark.parametrize("closed", [(True, True), (True, False), (False, True), (False, False)])
+def test_counts_of_intervals_are_those_of_their_join(spark, closed):
+    rng = random.Random(5)
+    points = [(k, rng.choice([None, math.nan, math.inf, 0.0, -0.0, 8.0, -8.0, rng.uniform(-100, 100), float(rng.randrange(20))])) for k in range(400)]
+    spans = []
+    for k in range(150):
+        low = rng.choice([0.0, -0.0, 8.0, -8.0, rng.uniform(-100, 100), float(rng.randrange(20))])
+        spans.append((k, low, low + rng.choice([0.0, 1.0, 8.0, 16.0, rng.expovariate(0.1), 1e8])))
+    spans += [(900, 5.0, 1.0), (901, None, 3.0), (902, -math.inf, 3.0), (903, 0.0, math.nan), (904, -8.0, 8.0), (904, -8.0, 8.0)]
+    p, s = spark.createDataFrame(points, "p int, x double"), spark.createDataFrame(spans, "s int, low double, high double")
+    got = intervals.counted(p, F.col("x"), s, F.col("low"), F.col("high"), closed, blocks=5)
+    assert got.columns == ["s", "low", "high", "n", "least"]
+    met = intervals.within(p, F.col("x"), s.dropDuplicates(), F.col("low"), F.col("high"), closed=closed)
+    want = {r.s: (r.n, r.least) for r in met.groupBy("s").agg(F.count("*").alias("n"), F.min("x").alias("least")).collect()}
+    rows = got.collect()
+    assert {r.s: (r.n, r.least) for r in rows} == want and len(rows) == len(want) + 1
+    assert intervals.counted(p.where("false"), F.col("x"), s, F.col("low"), F.col("high"), closed).collect() == []
+
+
 @pytest.mark.parametrize("outside", [None, -1.0])
 @pytest.mark.parametrize("blocks", [1, 8])
 def test_interpolation_between_uneven_nodes(spark, outside, blocks):
