@@ -12,10 +12,12 @@ a histogram: no group is gathered or sorted, however large.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions import finite_or_null
 from ..functions.shared import kept
 
 #: Values in a bucket that the last pass may count one by one.
@@ -25,20 +27,16 @@ SHIFTS = (48, 32, 16, 0)
 #: Buckets asked for that are sent to every task; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 _TWO52 = 1 << 52
-_TINY = 2.0**-1022
 
 
-def ordered_bits(c: Column) -> Column:
+@F.pandas_udf(T.LongType())
+def ordered_bits(c: pd.Series) -> pd.Series:
     """A long for each finite double, in the same order: the bits of its magnitude with
-    its sign.  Both zeros are 0.  Every step is exact: powers of two and their products."""
-    a = F.abs(c.cast("double"))
-    two = lambda e: F.pow(F.lit(2.0), e)
-    guess = F.floor(F.log2(a))
-    # The logarithm may be rounded over an integer.
-    e = F.when(a >= two(guess + 1), guess + 1).when(a < two(guess), guess - 1).otherwise(guess)
-    normal = (e + 1023) * F.lit(_TWO52) + ((a / two(e) - 1) * float(_TWO52)).cast("long")
-    bits = F.when(a < _TINY, (a * 2.0**537 * 2.0**537).cast("long")).otherwise(normal)
-    return F.when(c < 0, -bits).otherwise(bits)
+    its sign.  Both zeros are 0; what is not finite is null.  Bits are read as they stand
+    in Arrow's memory, which costs less than logarithms and powers."""
+    v = c.to_numpy(dtype="float64", na_value=np.nan)
+    bits = np.abs(v).view("int64")
+    return pd.Series(pd.arrays.IntegerArray(np.where(v < 0, -bits, bits), ~np.isfinite(v)))
 
 
 def from_ordered_bits(k: Column) -> Column:
@@ -66,8 +64,9 @@ def _asked(total: Column, shares: list[float]) -> Column:
 def order_statistics(df: DataFrame, keys: list[str], metrics: list[str], shares: list[float], few: int = FEW) -> DataFrame:
     """(keys, metric, total, place, value): for each group and metric with a finite value,
     those that the quantiles ``shares`` lie between; ``place`` counts from 0."""
-    unpivot = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), ordered_bits(finite_or_null(F.col(m).cast("double"))).alias("k")) for m in metrics])).alias("_m")
-    values = df.select(*keys, unpivot).select(*keys, "_m.metric", "_m.k").where("k is not null")
+    bits = df.select(*keys, *[ordered_bits(F.col(m).cast("double")).alias(f"_k{i}") for i, m in enumerate(metrics)])
+    unpivot = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"_k{i}").alias("k")) for i, m in enumerate(metrics)])).alias("_m")
+    values = bits.select(*keys, unpivot).select(*keys, "_m.metric", "_m.k").where("k is not null")
     group = [*keys, "metric"]
     asked: DataFrame | None = None
     shift, before = SHIFTS[0], None

@@ -21,6 +21,19 @@ def test_ordered_bits_keep_order_and_value(spark):
     assert [r.v for r in rows] == sorted(values)
 
 
+def test_ordered_bits_are_read_and_not_computed(spark):
+    df = spark.createDataFrame([(v,) for v in [*ODD, None, math.nan, math.inf, -math.inf]], "v double")
+    df = df.select("v", quantiles.ordered_bits(F.col("v")).alias("k"))
+    # One call for each batch of values, and no logarithm or power for each value.
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "LOG2" not in plan.upper() and "POWER" not in plan.upper()
+    for r in df.collect():
+        if r.v is None or not math.isfinite(r.v):
+            assert r.k is None
+        else:
+            assert r.k == (-1 if r.v < 0 else 1) * int(np.float64(abs(r.v)).view("int64"))
+
+
 @pytest.mark.parametrize("few", [1, 3, 1 << 16])
 def test_quantiles_of_many_groups_and_metrics(spark, few):
     rng = random.Random(2)
