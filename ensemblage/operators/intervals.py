@@ -17,6 +17,8 @@ from .quantiles import same
 
 #: Cells of a level are numbered exactly up to this power of two.
 _DIGITS = 50
+#: Intervals that are sent to every task; more are joined by a shuffle.
+BROADCAST_ROWS = 100_000
 
 
 def _level(low: Column, high: Column) -> Column:
@@ -39,7 +41,8 @@ def within(points: DataFrame, x: Column, intervals: DataFrame, low: Column, high
     spans = intervals.withColumns({"_low": low.cast("double"), "_high": high.cast("double")}).where((size < float("inf")) & (low <= high))
     spans = spans.withColumn("_level", _level(F.col("_low"), F.col("_high")))
     # There are as many levels as binary orders of length: a few, 2100 at the very most.
-    levels = [r[0] for r in spans.select("_level").distinct().collect()]
+    found = spans.groupBy("_level").count().collect()
+    levels = [r[0] for r in found]
     cells = F.array_distinct(F.array(_cell(F.col("_low"), F.col("_level")), _cell(F.col("_high"), F.col("_level"))))
     spans = spans.withColumn("_cell", F.explode(cells))
     at = points.withColumn("_x", x.cast("double")).where("_x is not null and not isnan(_x)")
@@ -47,7 +50,9 @@ def within(points: DataFrame, x: Column, intervals: DataFrame, low: Column, high
     at = at.withColumn("_look", F.explode(looks)).select(*points.columns, "_x", "_look._level", "_look._cell")
     above = F.col("_x") >= F.col("_low") if closed[0] else F.col("_x") > F.col("_low")
     below = F.col("_x") <= F.col("_high") if closed[1] else F.col("_x") < F.col("_high")
-    met = same(at, spans, [*keys, "_level", "_cell"])
+    # Few intervals have few cells, and a shuffle would bring all points of one to one task.
+    few = sum(r[1] for r in found) <= BROADCAST_ROWS
+    met = same(at, F.broadcast(spans) if few else spans, [*keys, "_level", "_cell"])
     return met.where(above & below).drop("_x", "_low", "_high", "_level", "_cell")
 
 

@@ -53,6 +53,17 @@ def test_interval_join_of_mixed_widths(spark, closed):
     assert intervals.within(p, F.col("x"), s.where("false"), F.col("low"), F.col("high"), ["g"], closed).collect() == []
 
 
+@pytest.mark.parametrize("most", [2, intervals.BROADCAST_ROWS])
+def test_few_intervals_go_to_the_points(spark, monkeypatch, most):
+    monkeypatch.setattr(intervals, "BROADCAST_ROWS", most)
+    p = spark.range(1000).select("id", (F.col("id") % 50).cast("double").alias("x")).repartition(3)
+    bins = spark.createDataFrame([(float(c), 5.0) for c in (5, 15, 60)], "center double, half double")
+    met = intervals.within(p, F.col("x"), bins, F.col("center") - F.col("half"), F.col("center") + F.col("half"))
+    plan = met._jdf.queryExecution().optimizedPlan().toString()
+    assert ("rightHint=(strategy=broadcast)" in plan) == (most > 2)
+    assert {r.center: r["count"] for r in met.groupBy("center").count().collect()} == {5.0: 220, 15.0: 220}
+
+
 @pytest.mark.parametrize("closed", [(True, True), (True, False), (False, True), (False, False)])
 def test_counts_of_intervals_are_those_of_their_join(spark, closed):
     rng = random.Random(5)
