@@ -2,7 +2,8 @@
 with two lengths, and its reaction coordinate.
 
 Neighbours come from cell lists: a particle meets those of its own and the adjoining
-cells, so a configuration's pairs grow with its density and not with its square.
+cells, so a configuration's pairs grow with its density and not with its square.  Particles
+at one place are one site while sites meet.
 """
 
 from __future__ import annotations
@@ -13,25 +14,60 @@ from pyspark.sql import functions as F
 from .grid import EPS, minimum_image, wrap
 
 
-def neighbours(particles: DataFrame, box: list[str], cutoff: float, length: float, skip: tuple[int, int] | None = (0, 1)) -> DataFrame:
-    """Pairs i < j of one box within the cutoff of their nearest images: box, i, j, dx, dy
-    (from j to i) and r.  Particles are (box, id, x, y) in a square of side ``length``;
-    ``skip`` is a pair that has a bond of its own."""
+#: Ids of one site that may stand in one array: those with the same id // MEMBERS.
+MEMBERS = 1 << 16
+
+
+def sites(particles: DataFrame, box: list[str]) -> DataFrame:
+    """(box, x, y, block, ids): the particles at each place, by blocks of ids."""
+    xy = [F.col(c).cast("double").alias(c) for c in "xy"]
+    return particles.select(*box, *xy, F.floor(F.col("id") / MEMBERS).alias("block"), "id").groupBy(*box, "x", "y", "block").agg(F.collect_list("id").alias("ids"))
+
+
+def site_pairs(places: DataFrame, box: list[str], cutoff: float, length: float, more: list[str]) -> DataFrame:
+    """Pairs of places (box, x, y, block) of one box within the cutoff of their nearest
+    images, each pair once and each place with itself: dx, dy (from the second to the
+    first), r, ``self``, and the columns ``more`` of both with the endings 1 and 2."""
     cells = max(1, int(length // cutoff))
     side = length / cells
     at = lambda c: F.least(F.floor(wrap(F.col(c), length) / side).cast("int"), F.lit(cells - 1))
-    own = particles.select(*box, F.col("id").alias("i"), F.col("x").alias("x1"), F.col("y").alias("y1"), at("x").alias("cx"), at("y").alias("cy"))
+    columns = ["x", "y", "block", *more]
+    named = lambda k: [F.col(c).alias(f"{c}{k}") for c in columns]
+    own = places.select(*box, *named(1), at("x").alias("cx"), at("y").alias("cy"))
     # With fewer than three cells a side an adjoining cell is the same one twice.
     steps = sorted({k % cells for k in (-1, 0, 1)})
     around = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in steps for b in steps])
-    other = particles.select(*box, F.col("id").alias("j"), F.col("x").alias("x2"), F.col("y").alias("y2"), at("x").alias("_x"), at("y").alias("_y"), F.explode(around).alias("s"))
-    other = other.select(*box, "j", "x2", "y2", F.pmod(F.col("_x") + F.col("s.a"), F.lit(cells)).alias("cx"), F.pmod(F.col("_y") + F.col("s.b"), F.lit(cells)).alias("cy"))
+    other = places.select(*box, *named(2), at("x").alias("_x"), at("y").alias("_y"), F.explode(around).alias("s"))
+    other = other.select(*box, *[f"{c}2" for c in columns], F.pmod(F.col("_x") + F.col("s.a"), F.lit(cells)).alias("cx"), F.pmod(F.col("_y") + F.col("s.b"), F.lit(cells)).alias("cy"))
     dx, dy = minimum_image(F.col("x1") - F.col("x2"), length), minimum_image(F.col("y1") - F.col("y2"), length)
-    near = own.join(other, [*box, "cx", "cy"]).where("i < j").select(*box, "i", "j", dx.alias("dx"), dy.alias("dy"))
-    near = near.withColumn("r", F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy"))).where(F.col("r") <= cutoff)
+    one, two = F.struct("x1", "y1", "block1"), F.struct("x2", "y2", "block2")
+    near = own.join(other, [*box, "cx", "cy"]).where(one <= two).select(*box, *[f"{c}{k}" for k in (1, 2) for c in more], (one == two).alias("self"), dx.alias("dx"), dy.alias("dy"))
+    return near.withColumn("r", F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy"))).where(F.col("r") <= cutoff)
+
+
+def expanded(pairs: DataFrame, box: list[str], skip: tuple[int, int] | None = (0, 1)) -> DataFrame:
+    """Pairs i < j of particles from pairs of sites with ``ids1`` and ``ids2``."""
+    each = pairs.withColumn("_a", F.explode("ids1")).drop("ids1").withColumn("_b", F.explode("ids2")).drop("ids2")
+    first = F.col("_a") < F.col("_b")
+    each = each.where(first | (~F.col("self") & (F.col("_a") != F.col("_b"))))
+    turned = lambda c: F.when(first, F.col(c)).otherwise(0.0 - F.col(c)).alias(c)
+    near = each.select(*box, F.least("_a", "_b").alias("i"), F.greatest("_a", "_b").alias("j"), turned("dx"), turned("dy"), "r")
     return near if skip is None else near.where(~((F.col("i") == skip[0]) & (F.col("j") == skip[1])))
 
 
+def neighbours(particles: DataFrame, box: list[str], cutoff: float, length: float, skip: tuple[int, int] | None = (0, 1), digits: int | None = None) -> DataFrame:
+    """Pairs i < j of one box within the cutoff of their nearest images: box, i, j, dx, dy
+    (from j to i) and r.  Particles are (box, id, x, y) in a square of side ``length``;
+    ``skip`` is a pair that has a bond of its own; ``digits`` rounds.
+
+    Particles at one place are one site while distances are found (and rounded), so
+    that a pair of particles costs no more than its row."""
+    pairs = site_pairs(sites(particles, box), box, cutoff, length, ["ids"])
+    if digits is not None:
+        pairs = pairs.withColumns({c: F.round(c, digits) for c in ("dx", "dy", "r")})
+    return expanded(pairs, box, skip)
+
+
 def repulsion(r: Column, sigma: float, epsilon: float, least: float) -> tuple[Column, Column]:
     """Energy of the repulsive part of a Lennard-Jones pair within its cutoff, and the
     energy's slope; distances below ``least`` sigmas count as that."""
@@ -48,18 +84,36 @@ def bond(r: Column, height: float, width: float, rest: float) -> tuple[Column, C
 
 def energies_and_forces(particles: DataFrame, box: list[str], length: float, sigma: float = 1.0, epsilon: float = 1.0, height: float = 1.0, width: float = 0.5, least: float = 0.1) -> tuple[DataFrame, DataFrame]:
     """(box, energy) and (box, id, fx, fy): repulsion of all pairs but the dimer (ids 0
-    and 1), and the dimer's bond.  Particles that touch nothing have no force."""
+    and 1), and the dimer's bond.  Particles that touch nothing have no force.
+
+    Particles at one place act, and are acted on, as one site with their number, so that
+    work grows with the pairs of places.  The dimer's two ends are places of their own."""
     cutoff = 2 ** (1 / 6) * sigma
     value, slope = repulsion(F.col("r"), sigma, epsilon, least)
-    pairs = neighbours(particles, box, cutoff, length).select(*box, "i", "j", "dx", "dy", "r", value.alias("v"), (-slope / F.greatest("r", F.lit(least * sigma))).alias("f"))
+    # In block: ends of the dimer by their ids, all others together.
+    own = F.when(F.col("id").isin(0, 1), F.col("id")).otherwise(-1).cast("long").alias("block")
+    named = particles.select(*box, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), own, "id")
+    places = named.groupBy(*box, "x", "y", "block").agg(F.count("*").alias("n"), F.min("id").alias("id"))
+    pairs = site_pairs(places.withColumn("place", F.struct("x", "y", "block")), box, cutoff, length, ["place", "n"])
+    dimer_pair = (F.least("place1.block", "place2.block") == 0) & (F.greatest("place1.block", "place2.block") == 1)
+    met = F.when(F.col("self"), F.col("n1") * (F.col("n1") - 1) / 2).otherwise(F.col("n1") * F.col("n2"))
+    pairs = pairs.where(~dimer_pair).withColumn("_met", met.cast("double")).where("_met > 0")
+    pairs = pairs.select(*box, "place1", "place2", "n1", "n2", "self", "dx", "dy", (value * F.col("_met")).alias("v"), (-slope / F.greatest("r", F.lit(least * sigma))).alias("f"))
     dimer = dimers(particles, box, length)
     value, slope = bond(F.col("r"), height, width, cutoff)
-    bonds = dimer.select(*box, F.lit(0).cast("long").alias("i"), F.lit(1).cast("long").alias("j"), "dx", "dy", "r", value.alias("v"), (-slope / F.col("r")).alias("f"))
-    both = pairs.union(bonds)
-    energy = both.groupBy(*box).agg(F.sum("v").alias("energy"))
-    ends = F.array(F.struct(F.col("i").alias("id"), F.col("f").alias("s")), F.struct(F.col("j").alias("id"), (-F.col("f")).alias("s")))
-    forces = both.withColumn("e", F.explode(ends)).groupBy(*box, F.col("e.id").alias("id"))
-    return energy, forces.agg(F.sum(F.col("e.s") * F.col("dx")).alias("fx"), F.sum(F.col("e.s") * F.col("dy")).alias("fy"))
+    bonds = dimer.select(*box, "dx", "dy", value.alias("v"), (-slope / F.col("r")).alias("f"))
+    energy = pairs.select(*box, "v").union(bonds.select(*box, "v")).groupBy(*box).agg(F.sum("v").alias("energy"))
+    # What each particle of a place gets from the n particles of the other place; of its
+    # own place it gets nothing, but has been touched.
+    sides = F.array(F.struct(F.col("place1").alias("place"), F.col("n2").alias("n"), F.col("f").alias("s")), F.struct(F.col("place2").alias("place"), F.col("n1").alias("n"), (-F.col("f")).alias("s")))
+    pulls = lambda e: (F.sum(F.col(f"{e}s") * F.col("dx")).alias("fx"), F.sum(F.col(f"{e}s") * F.col("dy")).alias("fy"))
+    on = pairs.withColumn("e", F.explode(sides)).select(*box, "e.place", (F.col("e.s") * F.col("e.n")).alias("s"), "dx", "dy").groupBy(*box, "place").agg(*pulls(""))
+    members = named.select(*box, F.struct("x", "y", "block").alias("place"), "id")
+    crowd = members.join(on, [*box, "place"]).select(*box, "id", "fx", "fy")
+    ends = F.array(F.struct(F.lit(0).cast("long").alias("id"), F.col("f").alias("s")), F.struct(F.lit(1).cast("long").alias("id"), (-F.col("f")).alias("s")))
+    pair = bonds.withColumn("e", F.explode(ends)).select(*box, "e.id", (F.col("e.s") * F.col("dx")).alias("fx"), (F.col("e.s") * F.col("dy")).alias("fy"))
+    forces = crowd.unionByName(pair).groupBy(*box, "id").agg(F.sum("fx").alias("fx"), F.sum("fy").alias("fy"))
+    return energy, forces
 
 
 def dimers(particles: DataFrame, box: list[str], length: float) -> DataFrame:

@@ -348,7 +348,8 @@ pairs AS (SELECT * FROM near WHERE NOT (i = 0 AND j = 1))"""
 
 @query(f"WITH {BOXES} SELECT box, i, j, round(dx, 6) + 0 AS dx, round(dy, 6) + 0 AS dy, round(r, 6) AS r FROM pairs WHERE r <= 1.3")
 def pairs_within_cutoff(spark, d):
-    return rounded(particles.neighbours(boxes(spark, d), ["box"], 1.3, 10.0))
+    # Rounded where distances are found: a pair of copies has the digits of its place.
+    return particles.neighbours(boxes(spark, d), ["box"], 1.3, 10.0, digits=6)
 
 
 _FORCE = f"""{BOXES}, wca AS (SELECT box, i, j, dx, dy, 4 * ((1 / greatest(r, 0.8)) ^ 12 - (1 / greatest(r, 0.8)) ^ 6) + 1 AS v, -(4 * (-12 * (1 / greatest(r, 0.8)) ^ 12 + 6 * (1 / greatest(r, 0.8)) ^ 6) / greatest(r, 0.8)) / greatest(r, 0.8) AS f FROM pairs WHERE r <= 2::DOUBLE ^ (1.0::DOUBLE / 6)),

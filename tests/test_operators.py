@@ -1,11 +1,12 @@
 import math
+import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from ensemblage.functions import compact_number, iqr, quantile, strict_median
-from ensemblage.operators import estimators, grid, models, sampling, selection, simulate, tabular
+from ensemblage.operators import estimators, grid, models, particles, sampling, selection, simulate, tabular
 from ensemblage.plans import orchestration
 
 NAN = float("nan")
@@ -247,3 +248,44 @@ def test_simulate_methods_runs_every_method(spark):
     assert runs == {(m, s): 10 for m in ("abf", "uniform", "estimated", "oracle", "self") for s in (0, 1, 2)}
     ids = spark.createDataFrame([("abf", 0.5), ("uniform", 0.5), (None, 1.0)], "method string, eta double").select(orchestration.config_id(["method", "eta"]))
     assert [r[0] for r in ids.collect()] == ["method=abf_eta=0.5", "method=uniform_eta=0.5", "method=null_eta=1"]
+
+
+@pytest.mark.parametrize("members", [2, 1 << 16])
+def test_particles_at_one_place_are_one_site(spark, monkeypatch, members):
+    monkeypatch.setattr(particles, "MEMBERS", members)
+    rng = random.Random(8)
+    spots = [(rng.uniform(-3, 12), rng.uniform(0, 10)) for _ in range(12)]
+    state = [(b, k, *rng.choice(spots[:6] if b == "dense" else spots)) for b in ("dense", "wide") for k in range(40)]
+    df = spark.createDataFrame(state, "box string, id long, x double, y double")
+    image = lambda d: d - 10 * round(d / 10)
+    want, force, energy = {}, {}, {}
+    for b, i, x, y in state:
+        for _, j, u, v in [t for t in state if t[0] == b and t[1] > i]:
+            dx, dy = image(x - u), image(y - v)
+            r = math.hypot(dx, dy)
+            if (i, j) == (0, 1):
+                r = max(r, 1e-12)
+                w = (r - 2 ** (1 / 6) - 0.5) / 0.5
+                e, f = (1 - w * w) ** 2, 4 * w * (1 - w * w) / 0.5 / r
+            else:
+                if r <= 2.2:
+                    want[b, i, j] = (dx, dy, r)
+                if r > 2 ** (1 / 6):
+                    continue
+                six = (1 / max(r, 0.8)) ** 6
+                e, f = 4 * (six * six - six) + 1, 24 / max(r, 0.8) ** 2 * (2 * six * six - six)
+            energy[b] = energy.get(b, 0.0) + e
+            for k, s in ((i, f), (j, -f)):
+                a = force.get((b, k), (0.0, 0.0))
+                force[b, k] = (a[0] + s * dx, a[1] + s * dy)
+    rows = particles.neighbours(df, ["box"], 2.2, 10.0).collect()
+    got = {(r.box, r.i, r.j): (r.dx, r.dy, r.r) for r in rows}
+    assert len(rows) == len(got) and got.keys() == want.keys()
+    assert all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+    e, f = particles.energies_and_forces(df, ["box"], 10.0, least=0.8)
+    assert {r.box: r.energy for r in e.collect()} == pytest.approx(energy, rel=1e-9)
+    got = {(r.box, r.id): (r.fx, r.fy) for r in f.collect()}
+    assert got.keys() == force.keys()
+    assert all(got[k] == pytest.approx(force[k], rel=1e-6, abs=1e-6) for k in force)
+    # 40 particles of the dense box stand at six places.
+    assert particles.sites(df.where("box = 'dense'"), ["box"]).select("x", "y").distinct().count() == 6
