@@ -29,26 +29,36 @@ def isolated(df: DataFrame, keys: list[str], function: Callable[[tuple, pd.DataF
     key_fields = [df.schema[k] for k in keys]
     out = T.StructType([*key_fields, *[T.StructField(f.name, f.dataType) for f in schema.fields], T.StructField("error", T.StringType()), T.StructField("trace", T.StringType())])
 
+    kinds: dict = {}
+
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         import pyarrow as pa
         from pyspark.sql.pandas.types import to_arrow_type
 
+        if not kinds:
+            kinds.update({f.name: to_arrow_type(f.dataType) for f in schema.fields})
+        error = trace = None
         try:
             result = function(key, pdf)
-            result = result[names]
-            for f in schema.fields:
+            columns = {n: result[n] for n in names}
+            for n, c in columns.items():
                 # Fails here, and not in what Spark does with all groups' rows.
-                pa.Array.from_pandas(result[f.name], type=to_arrow_type(f.dataType))
-            result = result.assign(error=None, trace=None)
+                pa.Array.from_pandas(c, type=kinds[n])
+            # Plain objects: text columns may otherwise come in several chunks.
+            columns = {n: c.to_numpy(dtype=object) for n, c in columns.items()}
+            size = len(result)
         except Exception as e:  # noqa: BLE001
-            kind = type(e).__name__
-            result = pd.DataFrame([{**dict.fromkeys(names), "error": f"{kind}: {e}"[:ERROR_CHARS], "trace": traceback.format_exc()[-ERROR_CHARS:]}])
-        for name, value in zip(keys, key):
-            result[name] = [value] * len(result)
-        # Plain objects: text columns may otherwise come in several chunks.
-        return result[[f.name for f in out.fields]].astype(object)
-
-    return df.groupBy(*keys).applyInPandas(run, out)
+            error, trace, size = f"{type(e).__name__}: {e}"[:ERROR_CHARS], traceback.format_exc()[-ERROR_CHARS:], 1
+            columns = {n: [None] for n in names}
+        for name, value in zip([*keys, "error", "trace"], [*key, error, trace]):
+            columns[name] = [value] * size
+        # One table a group: each further step over it costs more than most functions do.
+        return pd.DataFrame({f.name: columns[f.name] for f in out.fields}, dtype=object)
+
+    session = df.sparkSession
+    # Small groups may cost much time, so that their bytes must not choose the tasks.
+    tasks = max(int(session.conf.get("spark.sql.shuffle.partitions")), session.sparkContext.defaultParallelism)
+    return df.repartition(tasks, *keys).groupBy(*keys).applyInPandas(run, out)
 
 
 def succeeded(results: DataFrame) -> DataFrame:

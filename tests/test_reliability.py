@@ -42,6 +42,14 @@ def test_a_group_that_fails_leaves_the_others(spark):
     assert isolation.isolated(df.where("false"), ["g"], spread, SCHEMA).collect() == []
 
 
+def test_small_groups_are_dealt_to_all_tasks(spark):
+    df = spark.range(400).select((F.col("id") % 100).alias("g"), F.col("id").cast("double").alias("v"))
+    results = isolation.isolated(df, ["g"], lambda key, pdf: pd.DataFrame({"n": [len(pdf)], "top": [pdf["v"].max()]}), SCHEMA)
+    placed = results.withColumn("at", F.spark_partition_id()).collect()
+    assert {(r.g, r.n, r.top) for r in placed} == {(g, 4, 300.0 + g) for g in range(100)}
+    assert len({r["at"] for r in placed}) == 4
+
+
 def put(path, text, mode="w"):
     path.parent.mkdir(parents=True, exist_ok=True)
     with open(path, mode) as f:
