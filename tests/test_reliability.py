@@ -1,5 +1,6 @@
 import io
 import zipfile
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
@@ -9,6 +10,7 @@ from pyspark.sql import types as T
 
 from ensemblage.operators import isolation, reports
 from ensemblage.sources import npz, parts
+from ensemblage.streaming import lineage
 
 SCHEMA = T.StructType([T.StructField("n", T.LongType()), T.StructField("top", T.DoubleType())])
 
@@ -50,6 +52,65 @@ def test_small_groups_are_dealt_to_all_tasks(spark):
     assert len({r["at"] for r in placed}) == 4
 
 
+class Held:
+    """A map or value of a state, which counts its calls."""
+
+    calls = 0
+
+    def __init__(self, *kind):
+        self.rows = {}
+
+    def containsKey(self, key):
+        Held.calls += 1
+        return key in self.rows
+
+    def getValue(self, key):
+        Held.calls += 1
+        return self.rows[key]
+
+    def updateValue(self, key, value):
+        Held.calls += 1
+        self.rows[key] = value
+
+    def removeKey(self, key):
+        Held.calls += 1
+        del self.rows[key]
+
+    def iterator(self):
+        return iter(list(self.rows.items()))
+
+    def exists(self):
+        return bool(self.rows)
+
+    def get(self):
+        return self.rows[None]
+
+    def update(self, value):
+        self.rows[None] = value
+
+
+@pytest.mark.parametrize("held", [50, 200_000])
+def test_families_of_a_window_are_written_together(monkeypatch, held):
+    monkeypatch.setattr(lineage, "HELD", held)
+    handle = SimpleNamespace(getMapState=Held, getValueState=Held, registerTimer=lambda at: None)
+    p = lineage.LineageWindows(100, 1000, 0.0, 1.0, 4, 0)
+    p.init(handle)
+    rng = np.random.default_rng(9)
+    rows = pd.DataFrame({"label": rng.integers(0, 700, 3000).astype(str), "ms": rng.integers(0, 200, 3000), "value": rng.uniform(0, 4, 3000)})
+    times = SimpleNamespace(getCurrentWatermarkInMs=lambda: 0)
+    Held.calls = 0
+    for batch in (rows[:2000], rows[2000:]):
+        assert list(p.handleInputRows(("r",), iter([batch[:700], batch[700:]]), times)) == []
+    if held > 50:
+        assert Held.calls < 400  # three for each family were 4,000 and more
+    for ends in (100, 200):
+        (out,) = p.handleExpiredTimer(("r",), times, SimpleNamespace(getExpiryTimeInMs=lambda: ends))
+        sizes = rows[rows["ms"] // 100 == ends // 100 - 1]["label"].value_counts()
+        assert (out["n"][0], out["n_unique"][0]) == (sizes.sum(), len(sizes))
+        assert out["ess"][0] == pytest.approx(sizes.sum() ** 2 / (sizes**2).sum())
+    assert out["hist_n"][0] == 3000 and not p.families.rows and not p.parts.rows and not p.open.rows
+
+
 def put(path, text, mode="w"):
     path.parent.mkdir(parents=True, exist_ok=True)
     with open(path, mode) as f:
