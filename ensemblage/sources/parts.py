@@ -13,13 +13,16 @@ import io
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.shared import kept
 from ..operators.selection import keep_last
 
+#: Bytes of a part up to which a task may hold it whole.
+LARGE = 32 << 20
+
 
 def _count_parquet(content: bytes) -> int:
     import pyarrow.parquet as pq
@@ -30,6 +33,11 @@ def _count_parquet(content: bytes) -> int:
 
 def _count_csv(content: bytes) -> int:
     rows = csv.reader(io.StringIO(content.decode("utf-8"), newline=""), strict=True)
+    return _whole_rows(rows)
+
+
+def _whole_rows(rows) -> int:
+    """Rows below the header of a CSV reader, which must all be as wide."""
     width = len(next(rows, ()))
     if not width:
         raise ValueError("no header")
@@ -63,11 +71,41 @@ def listed(spark: SparkSession, path: str, kind: str) -> DataFrame:
 _COUNT = {"parquet": _count_parquet, "csv": _count_csv}
 
 
+def _count_lines(lines: Iterator[bytes]) -> int:
+    """As ``_count_csv``, of a part that comes line by line."""
+    return _whole_rows(csv.reader((line.decode("utf-8") + "\n" for line in lines), strict=True))
+
+
+def _count_large(spark: SparkSession, path: str, kind: str) -> tuple[int | None, str | None]:
+    """Rows of a part, or what is wrong with it, by a job of its own: Spark's reader goes
+    over all columns of a Parquet part, cut over tasks; lines of a CSV part, of which a
+    quote may take several, are one stream.  Nothing of the part is held."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        try:
+            found = (_count_lines(bytes(v) for pdf in batches for v in pdf["value"]), None)
+        except Exception as e:  # noqa: BLE001
+            found = (None, f"{type(e).__name__}: {e}"[:500])
+        yield pd.DataFrame([found], columns=["rows", "error"]).astype({"rows": "Int64"})
+
+    try:
+        if kind == "csv":
+            lines = spark.read.option("ignoreCorruptFiles", False).text(path).select(F.col("value").cast("binary")).coalesce(1)
+            return tuple(lines.mapInPandas(run, "rows long, error string").first())
+        seen = Observation()
+        part = spark.read.option("ignoreCorruptFiles", False).parquet(path).observe(seen, F.count(F.lit(1)).alias("rows"))
+        part.write.format("noop").mode("overwrite").save()
+        return seen.get["rows"], None
+    except Exception as e:  # noqa: BLE001
+        return None, f"{type(e).__name__}: {e}"[:500]
+
+
 def audited(spark: SparkSession, path: str, kind: str = "parquet") -> DataFrame:
     """(path, bytes, rows, error) of every part below ``path``: ``rows`` if it can be read
     to its end, else what is wrong with it.  What is tried is held against what the store
     lists, so that no part goes unnamed.  Parts are read where Spark puts them, one at
-    a time in memory; an empty folder gives no rows."""
+    a time in memory; one of more than ``LARGE`` bytes is a job of its own and never whole
+    in memory.  An empty folder gives no rows."""
     count = _COUNT[kind]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -80,10 +118,13 @@ def audited(spark: SparkSession, path: str, kind: str = "parquet") -> DataFrame:
                     found.append((file, len(content), None, f"{type(e).__name__}: {e}"[:500]))
             yield pd.DataFrame(found, columns=["path", "bytes", "rows", "error"]).astype({"rows": "Int64"})
 
-    every = listed(spark, path, kind)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{kind}").option("recursiveFileLookup", True).load(path)
-    tried = files.select(_name(F.col("_metadata.file_path")).alias("path"), "content").mapInPandas(run, "path string, bytes long, rows long, error string")
-    both = every.join(tried.drop("bytes"), "path", "left")
+    every = kept(listed(spark, path, kind))
+    files = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{kind}").option("recursiveFileLookup", True).load(path).where(F.col("length") <= LARGE)
+    tried = files.select(_name(F.col("_metadata.file_path")).alias("path"), "content").mapInPandas(run, "path string, bytes long, rows long, error string").drop("bytes")
+    large = [(r.path, *_count_large(spark, r.path, kind)) for r in every.where(F.col("bytes") > LARGE).collect()]
+    if large:
+        tried = tried.unionByName(spark.createDataFrame(large, "path string, rows long, error string"))
+    both = every.join(tried, "path", "left")
     return both.withColumn("error", F.when(F.col("rows").isNull(), F.coalesce("error", F.lit("nothing to read"))))
 
 

@@ -117,6 +117,37 @@ def put(path, text, mode="w"):
         f.write(text)
 
 
+@pytest.fixture(params=[0, parts.LARGE])
+def large(request, monkeypatch):
+    """Parts are tried whole, or by jobs of their own."""
+    monkeypatch.setattr(parts, "LARGE", request.param)
+    if not request.param:
+        monkeypatch.setitem(parts._COUNT, "parquet", None)
+        monkeypatch.setitem(parts._COUNT, "csv", None)
+
+
+def test_large_parts_are_never_held(spark, tmp_path, large):
+    base = tmp_path / "large"
+    put(base / "csv" / "a.csv", 'k,v\n1,"two\nlines"\r\n\n2,2.5')
+    put(base / "csv" / "ragged.csv", "k,v\n7,1\n8,1,1\n")
+    put(base / "csv" / "bytes.csv", b"k,v\n9,\xff\xfe\n", "wb")
+    put(base / "csv" / "quote.csv", 'k,v\n10,"open\n')
+    got = {r.path.rsplit("/", 1)[1]: (r.rows, r.error) for r in parts.audited(spark, f"file://{base}/csv", "csv").collect()}
+    assert got.pop("a.csv") == (2, None)
+    assert set(got) == {"ragged.csv", "bytes.csv", "quote.csv"} and all(n is None and e for n, e in got.values())
+    spark.range(1000).withColumn("x", F.sha2(F.col("id").cast("string"), 256)).repartition(3).write.parquet(f"file://{base}/parquet")
+    files = sorted((base / "parquet").glob("*.parquet"))
+    files[0].write_bytes(files[0].read_bytes()[:900])
+    content = bytearray(files[1].read_bytes())
+    content[200:1200] = bytes(1000)
+    files[1].write_bytes(content)
+    for crc in (base / "parquet").glob(".*.crc"):
+        crc.unlink()
+    got = {r.path.rsplit("/", 1)[1]: (r.rows, r.error) for r in parts.audited(spark, f"file://{base}/parquet").collect()}
+    assert got[files[2].name][0] in (333, 334) and got[files[2].name][1] is None
+    assert all(got[f.name][0] is None and got[f.name][1] for f in files[:2]) and len(got) == 3
+
+
 def test_merge_of_csv_parts(spark, tmp_path):
     base = tmp_path / "csv"
     put(base / "a.csv", "k,v\n1,1.5\n2,2.5\n")
