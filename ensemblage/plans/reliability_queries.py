@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.shared import scratch
+from ..functions.shared import kept, scratch
 from ..operators import isolation, reports
 from ..sources import npz, parts
 from .tabular_queries import rounded, table
@@ -88,7 +88,8 @@ def _spread(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
 SELECT user_id, CASE WHEN n IS NULL THEN 'waiting' WHEN user_id % 7 = 3 OR p = 0 THEN 'failed' ELSE 'done' END AS status, CASE WHEN user_id % 7 = 3 AND n > 0 THEN 'ValueError: user ' || user_id WHEN p = 0 THEN 'KeyError' END AS error, CASE WHEN user_id % 7 <> 3 AND p > 0 THEN n END AS n, CASE WHEN user_id % 7 <> 3 AND p > 0 THEN round(spread, 6) END AS spread FROM specs LEFT JOIN u USING (user_id)""")
 def isolated_groups(spark, d):
     e = table(spark, d, "events").select("user_id", "event_type", "value")
-    results = isolation.isolated(e, ["user_id"], _spread, T.StructType.fromDDL("n long, spread double"))
+    # Written once: good and failed groups are both read from it, more than once.
+    results = kept(isolation.isolated(e, ["user_id"], _spread, T.StructType.fromDDL("n long, spread double")))
     good, bad = isolation.succeeded(results), isolation.failed(results, ["user_id"])
     most = e.agg((F.max("user_id") + 3).alias("most"))
     specs = most.select(F.explode(F.sequence(F.lit(0).cast("long"), "most")).alias("user_id"))
