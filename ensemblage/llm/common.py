@@ -125,6 +125,20 @@ def _factors(n: int, lane: int = 0) -> np.ndarray:
     return _FACTORS[lane]
 
 
+def word_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """How many words of the contracts (``WORD``) each row has."""
+    inside = ~WHITE[data]
+    if not len(data):
+        return np.zeros(len(offsets) - 1, np.int64)
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    edges = offsets[:-1]
+    edges = edges[edges < len(data)]
+    first[edges] = inside[edges]
+    at = np.flatnonzero(first)
+    return np.diff(np.searchsorted(at, offsets))
+
+
 class Words:
     """Words of some rows: ``hash`` (uint64), ``row``, byte ``start`` and ``size``."""
 

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PUNCTUATION, WHITE, Words, materialize, mix64, row_slices, text_buffers
+from .common import PUNCTUATION, WHITE, Words, materialize, mix64, row_slices, text_buffers, word_counts
 from .components import components
 
 SLICE_BYTES = 1 << 20
@@ -219,10 +219,13 @@ _SEEN = 2_000_000
 Regions = Callable[[list[np.ndarray], Join], tuple[np.ndarray, np.ndarray]]
 
 
-def profiles(documents: DataFrame, join: Join, regions: Regions = regions_of) -> DataFrame:
+def profiles(documents: DataFrame, join: Join, regions: Regions = regions_of, carry: str | None = None) -> DataFrame:
     """Per document its set's size and class (null if empty), and for the first one of
     a class in each partition its parity sketches, and its regions if a set that differs
-    can link.  Texts are cut into words once for all of these."""
+    can link.  Texts are cut into words once for all of these.
+
+    ``carry`` names a text column that comes along; ``n_words``, the white-space words
+    of each text, then comes too, so that nobody has to read the texts again for it."""
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
@@ -249,6 +252,7 @@ def profiles(documents: DataFrame, join: Join, regions: Regions = regions_of) ->
             order = np.argsort(owner, kind="stable")
             ends = np.searchsorted(owner[order], np.arange(len(sets) + 1)).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(region[order].view(np.int64)))
+            along = [] if carry is None else [batch.column(carry), pa.array(word_counts(*text_buffers(batch.column("text"))))]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
@@ -259,11 +263,14 @@ def profiles(documents: DataFrame, join: Join, regions: Regions = regions_of) ->
                     *[pa.array(np.ascontiguousarray(short[:, k])) for k in range(SHORT)],
                     *[pa.array(np.ascontiguousarray(halves[:, k])) for k in (0, 1)],
                     lists,
+                    *along,
                 ],
-                ["doc_id", "key", "n_shingles", "cls", "sketch", *_SHORT, "hi", "lo", "regions"],
+                ["doc_id", "key", "n_shingles", "cls", "sketch", *_SHORT, "hi", "lo", "regions", *names],
             )
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text").mapInArrow(profile, _PROFILE)
+    names = [] if carry is None else [carry, "n_words"]
+    kinds = "" if carry is None else f", {carry} string, n_words long"
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text", *names[:1]).mapInArrow(profile, _PROFILE + kinds)
 
 
 # --------------------------------------------------------------------- regions
@@ -470,9 +477,12 @@ def sketched(pairs: DataFrame, reps: DataFrame, join: Join) -> DataFrame:
 def fetch_sets(documents: DataFrame, reps: DataFrame, wanted: DataFrame, join: Join) -> DataFrame:
     """(cls, items) for the classes ``wanted``: whole sets, from one text of each."""
     one = materialize(reps.join(wanted, "cls").select("cls", "id", "key"), "join-wanted")
+    texts = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST)).alias("id"), "text")
     if one.count() <= BROADCAST_ROWS:
+        # Few rows have one of the ids; only their texts are hashed.
+        texts = texts.join(F.broadcast(one.select("id").distinct()), "id", "left_semi")
         one = F.broadcast(one)
-    texts = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST)).alias("id"), F.xxhash64("text").alias("key"), "text").join(one, ["id", "key"])
+    texts = texts.select("id", F.xxhash64("text").alias("key"), "text").join(one, ["id", "key"])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, sets in _sets(batches, join):
@@ -516,11 +526,13 @@ def _grouped(links: DataFrame, groups: DataFrame | None) -> DataFrame:
     return materialize(kept.union(merged.join(groups.select("node"), "node", "left_anti")), "join-groups")
 
 
-def class_groups(documents: DataFrame, join: Join = Join(), regions: Regions = regions_of) -> tuple[DataFrame, DataFrame]:
-    """Profiles of all documents (doc_id, key, n_shingles, cls), and the components
-    (node, component) of the classes that have links within ``regions``."""
-    documents = documents.select("doc_id", "text")
-    profile = materialize(profiles(documents, join, regions), "join-profiles")
+def class_groups(documents: DataFrame, join: Join = Join(), regions: Regions = regions_of, carry: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Profiles of all documents (doc_id, key, n_shingles, cls; with ``carry`` that text
+    column and n_words), and the components (node, component) of the classes that have
+    links within ``regions``."""
+    along = [] if carry is None else [carry, "n_words"]
+    documents = documents.select("doc_id", "text", *along[:1])
+    profile = materialize(profiles(documents, join, regions, carry), "join-profiles")
     found = materialize(members(profile), "join-members")
     known = found.select("cls").distinct()
     reps = profile.where("sketch is not null").join(known, "cls").select("cls", "n_shingles", "sketch", *_SHORT, F.coalesce("doc_id", F.lit(_LOWEST)).alias("id"), "key")
@@ -538,7 +550,7 @@ def class_groups(documents: DataFrame, join: Join = Join(), regions: Regions = r
         distances = materialize(measured(tested, documents, reps, join), "join-distances")
         groups = _grouped(distances.where("linked").select("a", "b"), groups)
         before = distances.select("a", "b") if before is None else before.union(distances.select("a", "b"))
-    return profile.select("doc_id", "key", "n_shingles", "cls"), groups
+    return profile.select("doc_id", "key", "n_shingles", "cls", *along), groups
 
 
 def near_duplicates(documents: DataFrame, join: Join = Join(), regions: Regions = regions_of) -> DataFrame:

@@ -181,14 +181,15 @@ def near_clusters(documents: DataFrame, join: ngram_join.Join = NEAR) -> DataFra
     """doc_id, source, n_tokens and ``cluster`` of each document: the group of near
     copies that it is in, whatever its case and punctuation.  Candidates are those of
     SuperMinHash bands, links are counted on whole sets.  Texts without words are one
-    cluster."""
+    cluster.  Words are counted in the pass that makes the sets (lower case has the same)."""
     text = F.lower(F.coalesce(F.col("text"), F.lit("")))
-    profile, groups = ngram_join.class_groups(documents.select("doc_id", text.alias("text")), join, superminhash.buckets_of)
-    last = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("_id")
-    known = profile.where("cls is not null").select(last, F.col("key").alias("_key"), "cls").distinct()
-    known = known.join(groups.withColumnRenamed("node", "cls"), "cls", "left").select("_id", "_key", F.hex(F.coalesce("component", "cls")).alias("_group"))
-    slim = documents.select("doc_id", "source", word_count(F.col("text")).alias("n_tokens"), last, F.xxhash64(text).alias("_key"))
-    rows = slim.join(known, ["_id", "_key"], "left").select("doc_id", "source", "n_tokens", F.coalesce("_group", F.lit("no words")).alias("cluster"))
+    slim = documents.select("doc_id", F.col("source").cast("string").alias("source"), text.alias("text"))
+    profile, groups = ngram_join.class_groups(slim, join, superminhash.buckets_of, carry="source")
+    profile = profile.select("doc_id", "source", F.col("n_words").alias("n_tokens"), "cls")
+    # Texts without words have no class: they stay out of the join, where they were one key.
+    known = profile.where("cls is not null").join(groups.withColumnRenamed("node", "cls"), "cls", "left")
+    rows = known.select("doc_id", "source", "n_tokens", F.hex(F.coalesce("component", "cls")).alias("cluster"))
+    rows = rows.union(profile.where("cls is null").select("doc_id", "source", "n_tokens", F.lit("no words")))
     return materialize(rows, "packing-clusters")
 
 

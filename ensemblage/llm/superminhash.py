@@ -34,28 +34,59 @@ BANDS, ROWS = 44, 5
 PLACES = BANDS * ROWS
 #: Elements whose permutations are held at once.
 BLOCK = 1 << 16
+#: Steps without a table of each element's order.
+LOOKED_UP = 8
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _RANK = np.uint64(56)  # the rank stands above this bit, the fraction below
 
 
 def _lower(ranks: np.ndarray, owner: np.ndarray, items: np.ndarray, first: int, last: int) -> None:
-    """Lower the ranks of sets ``first`` to ``last`` by some of their elements."""
-    order = np.tile(np.arange(PLACES, dtype=np.uint8), (len(items), 1))
+    """Lower the ranks of sets ``first`` to ``last`` by some of their elements.
+
+    After a few steps most sets are done.  Until then what stands at a place is looked up
+    in the draws so far; only the elements that are left get a table of their order."""
     mine = ranks[first : last + 1]
     flat = mine.reshape(-1)
-    at, owner = np.arange(len(items)), owner - first
+    owner = owner - first
+    # Step by step: the place drawn, and what has moved there from the step's own place.
+    drawn_at: list[np.ndarray] = []
+    moved: list[np.ndarray] = []
+    order, at = None, np.zeros(0, np.int64)
+
+    def stands(place: np.ndarray) -> np.ndarray:
+        now = place.copy()
+        for k, m in zip(drawn_at, moved):
+            np.copyto(now, m, where=k == place)
+        return now
+
+    going = np.arange(len(mine))
     for j in range(PLACES):
         # Only sets with a place that this rank can lower go on.
-        open_ = mine.max(1) >= np.uint64(j) << _RANK
-        if not open_.all():
+        still = mine[going].max(1) >= np.uint64(j) << _RANK
+        if not still.all():
+            going = going[still]
+            open_ = np.zeros(len(mine), bool)
+            open_[going] = True
             keep = open_[owner]
-            at, owner, items = at[keep], owner[keep], items[keep]
-        if not len(at):
+            owner, items, at = owner[keep], items[keep], at[keep] if j > LOOKED_UP else at
+            if j <= LOOKED_UP:
+                drawn_at, moved = [k[keep] for k in drawn_at], [m[keep] for m in moved]
+        if not len(items):
             return
+        if j == LOOKED_UP:
+            order, at = np.tile(np.arange(PLACES, dtype=np.uint8), (len(items), 1)), np.arange(len(items))
+            for k, m in zip(drawn_at, moved):
+                order[at, k] = m
         drawn = mix64(items + np.uint64(j + 1) * _STEP)
-        k = j + ((drawn & np.uint64(0xFFFFFFFF)) * np.uint64(PLACES - j) >> np.uint64(32)).astype(np.int64)
-        place = order[at, k]
-        order[at, k] = order[at, j]
+        k = ((drawn & np.uint64(0xFFFFFFFF)) * np.uint64(PLACES - j) >> np.uint64(32)).astype(np.uint8) + np.uint8(j)
+        if order is None:
+            place = stands(k)
+            moved_now = stands(np.full(len(items), j, np.uint8))
+            drawn_at.append(k)
+            moved.append(moved_now)
+        else:
+            place = order[at, k]
+            order[at, k] = order[at, j]
         value = (np.uint64(j) << _RANK) | (drawn >> np.uint64(8))
         slot = owner * PLACES + place
         better = value < flat[slot]
@@ -68,13 +99,17 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     ranks = np.full((len(sets), PLACES), np.uint64(2**64 - 1))
     if not len(sets):
         return ranks
-    items, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+    # By size, as small sets take the most steps and are few elements together.
+    by = np.argsort(size, kind="stable")
+    items, owner = np.concatenate([sets[k] for k in by]), np.repeat(np.arange(len(sets)), size[by])
     with np.errstate(over="ignore"):
         # A set of any size goes through in parts, as ranks are minima.
         for a in range(0, len(items), BLOCK):
             part = owner[a : a + BLOCK]
             _lower(ranks, part, items[a : a + BLOCK], int(part[0]), int(part[-1]))
-    return ranks
+    back = np.empty_like(by)
+    back[by] = np.arange(len(by))
+    return ranks[back]
 
 
 def estimate(a: np.ndarray, b: np.ndarray) -> float:

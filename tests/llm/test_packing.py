@@ -151,3 +151,31 @@ def test_near_copies_never_share_a_bin(spark, tmp_path):
     for pair in ((10, 11), (12, 13)):
         assert len({r.cluster for r in got if r.doc_id in pair}) == 1
         assert len({r.bin_id for r in got if r.doc_id in pair}) == 2
+
+
+def test_texts_without_near_copies_are_read_once(spark):
+    """Sizes, clusters and sets come from one pass; words were counted by one of their own."""
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(20)), "s") for i in range(50)] + [(50, None, "s"), (51, " \t ", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = packing.near_clusters(df.mapInArrow(count, df.schema)).collect()
+    assert read.value == len(rows)
+    assert {r.doc_id: (r.source, r.n_tokens) for r in got} == {i: (s, len((t or "").split())) for i, t, s in rows}
+    assert len({r.cluster for r in got}) == 51
+
+
+ODD = ["", None, " ", "a", " a", "a ", "a\tb\x0b\x0cc\r\nd", "\x1c\x1f a", "a b  c", "İI K ß", "\x85 x", "\x00 \x00", "é" * 9, "  あ \U0001f600  ", "A.b,c! D"]
+
+
+def test_words_of_sets_pass_are_those_of_the_pattern(spark):
+    df = spark.createDataFrame([(i, t, "s") for i, t in enumerate(ODD * 3)], "doc_id long, text string, source string")
+    want = {r.doc_id: r.n for r in df.select("doc_id", packing.word_count(packing.F.col("text")).alias("n")).collect()}
+    assert {r.doc_id: r.n_tokens for r in packing.near_clusters(df).collect()} == want
+    empty = packing.near_clusters(df.limit(0))
+    assert empty.count() == 0 and [c for c, _ in empty.dtypes] == ["doc_id", "source", "n_tokens", "cluster"]

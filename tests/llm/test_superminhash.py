@@ -125,3 +125,10 @@ def test_union_find_keeps_what_is_joined(spark, monkeypatch):
     monkeypatch.setattr(cc, "MOST_NODES", 20)
     assert {r.node: r.component for r in cc.components(df).collect()} == want
     assert cc.components(df.where("a = b")).collect() == []
+
+
+@pytest.mark.parametrize("steps", [0, 1, 3, sm.PLACES])
+def test_looked_up_steps_are_those_of_the_table(monkeypatch, steps):
+    sets = random_sets(random.Random(5), [3, 900, 1, 30, 250, 2])
+    monkeypatch.setattr(sm, "LOOKED_UP", steps)
+    assert sm.signatures(sets).tolist() == [slow(s) for s in sets]
