@@ -8,14 +8,21 @@ at one place are one site while sites meet.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.shared import kept
 from .grid import EPS, minimum_image, wrap
 
 
 #: Ids of one site that may stand in one array: those with the same id // MEMBERS.
 MEMBERS = 1 << 16
+#: Ids of one site that stand in one row while they are paired with another's.
+CROWD = 64
+#: Meetings of particles, those of adjoining cells, that make a task's share; most tasks.
+MEETINGS, TASKS = 1 << 27, 10_000
 
 
 def sites(particles: DataFrame, box: list[str]) -> DataFrame:
@@ -24,29 +31,84 @@ def sites(particles: DataFrame, box: list[str]) -> DataFrame:
     return particles.select(*box, *xy, F.floor(F.col("id") / MEMBERS).alias("block"), "id").groupBy(*box, "x", "y", "block").agg(F.collect_list("id").alias("ids"))
 
 
-def site_pairs(places: DataFrame, box: list[str], cutoff: float, length: float, more: list[str]) -> DataFrame:
-    """Pairs of places (box, x, y, block) of one box within the cutoff of their nearest
-    images, each pair once and each place with itself: dx, dy (from the second to the
-    first), r, ``self``, and the columns ``more`` of both with the endings 1 and 2."""
+def crowds(places: DataFrame, box: list[str]) -> DataFrame:
+    """Sites with at most CROWD ids in a row; ``block`` tells a site's rows apart."""
+    starts = F.sequence(F.lit(0), F.floor((F.size("ids") - 1) / CROWD).cast("int"))
+    parts = F.transform(starts, lambda k: F.slice("ids", k * CROWD + 1, CROWD))
+    split = places.select(*box, "x", "y", "block", F.posexplode(parts).alias("part", "ids"))
+    return split.withColumn("block", F.struct("block", "part")).drop("part")
+
+
+def _cells(cutoff: float, length: float) -> tuple[list[Column], int, Column]:
+    """Cell of a place (cx, cy), cells a side, and the steps to the cells around."""
     cells = max(1, int(length // cutoff))
     side = length / cells
-    at = lambda c: F.least(F.floor(wrap(F.col(c), length) / side).cast("int"), F.lit(cells - 1))
-    columns = ["x", "y", "block", *more]
-    named = lambda k: [F.col(c).alias(f"{c}{k}") for c in columns]
-    own = places.select(*box, *named(1), at("x").alias("cx"), at("y").alias("cy"))
+    at = [F.least(F.floor(wrap(F.col(c), length) / side).cast("int"), F.lit(cells - 1)).alias(f"c{c}") for c in "xy"]
     # With fewer than three cells a side an adjoining cell is the same one twice.
     steps = sorted({k % cells for k in (-1, 0, 1)})
-    around = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in steps for b in steps])
-    other = places.select(*box, *named(2), at("x").alias("_x"), at("y").alias("_y"), F.explode(around).alias("s"))
-    other = other.select(*box, *[f"{c}2" for c in columns], F.pmod(F.col("_x") + F.col("s.a"), F.lit(cells)).alias("cx"), F.pmod(F.col("_y") + F.col("s.b"), F.lit(cells)).alias("cy"))
+    return at, cells, F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in steps for b in steps])
+
+
+def _around(df: DataFrame, cutoff: float, length: float) -> DataFrame:
+    """Rows of cells (cx, cy), once for each cell around (and for their own)."""
+    _, cells, steps = _cells(cutoff, length)
+    rest = [c for c in df.columns if c not in ("cx", "cy")]
+    moved = [F.pmod(F.col(f"c{c}") + F.col(f"s.{k}"), F.lit(cells)).alias(f"c{c}") for c, k in (("x", "a"), ("y", "b"))]
+    return df.withColumn("s", F.explode(steps)).select(*rest, *moved, "s")
+
+
+def shares(places: DataFrame, box: list[str], cutoff: float, length: float) -> tuple[DataFrame, int] | None:
+    """How the meetings of sites with ``ids`` are dealt to tasks: cells (box, cx, cy) with
+    too many for one and the ``parts`` that each of their two sides is cut into; and
+    how many tasks.  None where the meetings are few."""
+    at, _, _ = _cells(cutoff, length)
+    counts = places.select(*box, *at, F.size("ids").alias("n")).where("cx is not null and cy is not null").groupBy(*box, "cx", "cy").agg(F.sum("n").alias("n"))
+    home = (F.col("s.a") == 0) & (F.col("s.b") == 0)
+    met = _around(counts, cutoff, length).groupBy(*box, "cx", "cy").agg((F.sum(F.when(home, F.col("n"))).cast("double") * F.sum("n")).alias("met"))
+    met = kept(met.where("met > 0"))
+    total = met.agg(F.sum("met")).first()[0] or 0.0
+    if total <= MEETINGS:
+        return None
+    crowded = met.where(F.col("met") > MEETINGS).select(*box, "cx", "cy", F.ceil(F.sqrt(F.col("met") / MEETINGS)).cast("int").alias("parts"))
+    return crowded, min(TASKS, math.ceil(total / MEETINGS))
+
+
+def site_pairs(places: DataFrame, box: list[str], cutoff: float, length: float, more: list[str], dealt: tuple[DataFrame, int] | None = None) -> DataFrame:
+    """Pairs of places (box, x, y, block) of one box within the cutoff of their nearest
+    images, each pair once and each place with itself: dx, dy (from the second to the
+    first), r, ``self``, and the columns ``more`` of both with the endings 1 and 2.
+    ``dealt`` are ``shares``."""
+    at, _, _ = _cells(cutoff, length)
+    columns = ["x", "y", "block", *more]
+    named = lambda k: [F.col(c).alias(f"{c}{k}") for c in columns]
+    own = places.select(*box, *named(1), *at)
+    other = _around(places.select(*box, *named(2), *at), cutoff, length).drop("s")
+    keys = [*box, "cx", "cy"]
+    if dealt is not None:
+        crowded, tasks = dealt
+        # A crowded cell is a square of parts: a row of one side goes to all parts of the other.
+        part = lambda df, k: F.pmod(F.xxhash64(f"x{k}", f"y{k}", f"block{k}"), F.col("parts")).cast("int")
+        every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+        cut = lambda df: df.join(crowded, keys, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+        own = cut(own).withColumn("p1", part(own, 1)).withColumn("p2", every).drop("parts")
+        other = cut(other).withColumn("p2", part(other, 2)).withColumn("p1", every).drop("parts")
+        keys = [*keys, "p1", "p2"]
+        own, other = own.repartition(tasks, *keys), other.repartition(tasks, *keys).hint("merge")
     dx, dy = minimum_image(F.col("x1") - F.col("x2"), length), minimum_image(F.col("y1") - F.col("y2"), length)
     one, two = F.struct("x1", "y1", "block1"), F.struct("x2", "y2", "block2")
-    near = own.join(other, [*box, "cx", "cy"]).where(one <= two).select(*box, *[f"{c}{k}" for k in (1, 2) for c in more], (one == two).alias("self"), dx.alias("dx"), dy.alias("dy"))
+    near = own.join(other, keys).where(one <= two).select(*box, *[f"{c}{k}" for k in (1, 2) for c in more], (one == two).alias("self"), dx.alias("dx"), dy.alias("dy"))
     return near.withColumn("r", F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy"))).where(F.col("r") <= cutoff)
 
 
 def expanded(pairs: DataFrame, box: list[str], skip: tuple[int, int] | None = (0, 1)) -> DataFrame:
-    """Pairs i < j of particles from pairs of sites with ``ids1`` and ``ids2``."""
+    """Pairs i < j of particles from pairs of sites with ``ids1`` and ``ids2``.
+
+    What is compiled into one loop hands out its rows only when a row that came into the
+    loop is done: with the join, all pairs of a site with all sites around.  Functions of
+    higher order are not compiled and part the two: the loop then holds the pairs of two
+    crowds.  (It also learns from them that no id is null.)"""
+    present = lambda c: F.transform(c, lambda k: F.coalesce(k, F.lit(0)))
+    pairs = pairs.withColumns({c: present(c) for c in ("ids1", "ids2")})
     each = pairs.withColumn("_a", F.explode("ids1")).drop("ids1").withColumn("_b", F.explode("ids2")).drop("ids2")
     first = F.col("_a") < F.col("_b")
     each = each.where(first | (~F.col("self") & (F.col("_a") != F.col("_b"))))
@@ -61,8 +123,10 @@ def neighbours(particles: DataFrame, box: list[str], cutoff: float, length: floa
     ``skip`` is a pair that has a bond of its own; ``digits`` rounds.
 
     Particles at one place are one site while distances are found (and rounded), so
-    that a pair of particles costs no more than its row."""
-    pairs = site_pairs(sites(particles, box), box, cutoff, length, ["ids"])
+    that a pair of particles costs no more than its row.  The rows are quadratic in a
+    cell's particles: sites are counted first and their meetings dealt to tasks."""
+    places = kept(crowds(sites(particles, box), box))
+    pairs = site_pairs(places, box, cutoff, length, ["ids"], shares(places, box, cutoff, length))
     if digits is not None:
         pairs = pairs.withColumns({c: F.round(c, digits) for c in ("dx", "dy", "r")})
     return expanded(pairs, box, skip)

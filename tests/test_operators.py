@@ -1,5 +1,6 @@
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -289,3 +290,23 @@ def test_particles_at_one_place_are_one_site(spark, monkeypatch, members):
     assert all(got[k] == pytest.approx(force[k], rel=1e-6, abs=1e-6) for k in force)
     # 40 particles of the dense box stand at six places.
     assert particles.sites(df.where("box = 'dense'"), ["box"]).select("x", "y").distinct().count() == 6
+
+
+def test_pairs_of_a_crowded_cell_are_dealt_and_written_out_of_the_join(spark, monkeypatch):
+    monkeypatch.setattr(particles, "MEETINGS", 300)
+    monkeypatch.setattr(particles, "CROWD", 3)
+    rng = random.Random(4)
+    spots = [(rng.uniform(4, 5), rng.uniform(4, 5)) for _ in range(8)]
+    state = [("one", k, *rng.choice(spots)) for k in range(60)] + [("two", k, rng.uniform(0, 10), rng.uniform(0, 10)) for k in range(60)] + [("three", k, 1.0, None) for k in range(3)]
+    df = spark.createDataFrame(state, "box string, id long, x double, y double")
+    image = lambda d: d - 10 * round(d / 10)
+    near = lambda s, t: math.hypot(image(s[2] - t[2]), image(s[3] - t[3])) <= 1.3
+    want = [(s[0], s[1], t[1]) for s in state for t in state if s[0] == t[0] != "three" and s[1] < t[1] and (s[1], t[1]) != (0, 1) and near(s, t)]
+    pairs = particles.neighbours(df, ["box"], 1.3, 10.0)
+    assert sorted((r.box, r.i, r.j) for r in pairs.collect()) == sorted(want)
+    # The loop that writes pairs out would hold all pairs of a site, were the join in it.
+    plan = pairs._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    joins, loops = (set(re.findall(rf"\*\((\d+)\) {node}", plan)) for node in ("SortMergeJoin", r"Generate explode\(ids[12]"))
+    assert joins and loops and not joins & loops
+    # All of the first box stands in one cell.
+    assert pairs.where("box = 'one'").select(F.spark_partition_id()).distinct().count() > 4
