@@ -306,7 +306,7 @@ def test_pairs_of_a_crowded_cell_are_dealt_and_written_out_of_the_join(spark, mo
     assert sorted((r.box, r.i, r.j) for r in pairs.collect()) == sorted(want)
     # The loop that writes pairs out would hold all pairs of a site, were the join in it.
     plan = pairs._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
-    joins, loops = (set(re.findall(rf"\*\((\d+)\) {node}", plan)) for node in ("SortMergeJoin", r"Generate explode\(ids[12]"))
+    joins, loops = (set(re.findall(rf"\*\((\d+)\) {node}", plan)) for node in (r"(?:SortMerge|BroadcastHash)Join", r"Generate explode\(ids[12]"))
     assert joins and loops and not joins & loops
     # All of the first box stands in one cell.
     assert pairs.where("box = 'one'").select(F.spark_partition_id()).distinct().count() > 4
